@@ -27,7 +27,7 @@ def work_dir(spark: SparkSession) -> str:
 
 def tune_arrow(spark: SparkSession) -> None:
     """Small Arrow batches, so that very long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 

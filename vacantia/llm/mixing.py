@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import BROADCAST_ROWS, small, stored
 
 #: A rate, and so the copies of a document, is never above this.
 MOST_COPIES = 3
@@ -70,8 +70,9 @@ def solve(hist: DataFrame) -> DataFrame:
     capped = F.col("target") >= F.col("source_size") * F.lit(MOST_COPIES * (1 - 1e-9))
     state = state.withColumns({"lambda": F.when(~capped, F.lit(0.0)), "low": F.lit(-1e4), "high": F.lit(1e4), "error": F.lit(None).cast("double")})
     state = stored(state, "mix-state", 1)
+    few = state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for _ in range(MOST_STEPS):
-        s = small(state)
+        s = F.broadcast(state) if few else state
         h = hist.withColumnRenamed("source", "_source")
         h = h.join(s, F.col("_source").eqNullSafe(F.col("source"))).filter(F.col("lambda").isNotNull())
         r = rate(F.col("lambda"), F.col("size"), F.col("mean"))
@@ -106,7 +107,8 @@ def _with_rates(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """state and a cut per source: documents whose key is at most the cut get one more copy.
+    """state, and a cut and one extra key per source: documents whose key is at most the
+    cut, or is the extra one, get one more copy.
 
     The cut is a weighted quantile of the keys, found ten bits at a time: each
     pass sums words by (source, bin), at most 1024 bins a source."""
@@ -122,27 +124,20 @@ def cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
         at = bins.join(small(known.select("source", "need")), F.col("source").eqNullSafe(F.col("_source")))
         last = level == KEY_BITS // LEVEL_BITS - 1
         # The first bin that reaches what is needed; if none does, all bins are taken.
-        reached = F.col("upto") >= F.col("need") if not last else F.col("upto") - F.col("words") / 2 >= F.col("need")
+        reached = F.col("upto") >= F.col("need")
         at = at.groupBy("_source").agg(F.min(F.when(reached, F.col("bin"))).alias("bin"), F.max("bin").alias("top"), F.max(F.when(~reached, F.col("upto"))).alias("below"))
         new = known.join(at, F.col("source").eqNullSafe(F.col("_source")), "left")
         prefix = F.coalesce(F.col("bin") - (1 if last else 0), F.col("top"), F.lit(-1) if last else F.lit(0))
         # On lower levels only the bin chosen above counts; its own start is what lies below it.
         new = new.withColumns({"prefix": prefix, "need": F.when(F.col("bin").isNull(), F.col("need")).otherwise(F.col("need") - F.coalesce("below", F.lit(0)))})
         known = stored(new.select(*known.columns), "mix-cut", 1)
-    return known.select("source", "source_size", "target", "mean", "lambda", F.col("prefix").alias("cut"))
-
-
-def fit(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Fit the mix of docs: one row a source with its target, multiplier and cut.
-
-    Reads the texts once; what Newton and the rounding read is a stored table of
-    (source, size, chance). Empty table: no rows. Null text: size 0. A null source
-    is a source of its own, last in order. Equal rows share one random number.
-    Extra columns are not read."""
-    rows = docs.select(F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), chance(F.col(doc_id), F.col(text)).alias("_chance"))
-    rows = stored(rows, "mix-sizes")
-    hist = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
-    return cuts(rows, solve(hist))
+    # What the cut leaves open goes to the one document past it whose size fits best.
+    k = _with_rates(rows, known.select("source", "mean", "lambda", "need", "prefix")).filter(F.col("_key") > F.col("prefix"))
+    fit_ = F.struct(F.abs(F.col("size") - F.col("need")).alias("off"), F.col("_key").alias("key"), F.col("need").alias("need"))
+    best = k.groupBy(F.col("source").alias("_source")).agg(F.min(fit_).alias("best"))
+    best = best.select("_source", F.when(F.col("best.off") < F.col("best.need"), F.col("best.key")).alias("extra"))
+    out = known.join(best, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return stored(out.select("source", "source_size", "target", "mean", "lambda", F.col("prefix").alias("cut"), "extra"), "mix-fit", 1)
 
 
 def copies(docs: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -155,7 +150,7 @@ def copies(docs: DataFrame, mix: DataFrame, text: str = "text", source: str = "s
     whole = F.floor(r).cast("long")
     part = r - whole
     key = F.least(F.greatest(F.floor((F.col("_mix_chance") - part + 1) * F.lit(float(1 << (KEY_BITS - 1)))).cast("long"), F.lit(0)), F.lit((1 << KEY_BITS) - 1))
-    more = F.when((part > 0) & (F.col("_mix_size") > 0) & (key <= F.col("_mix_s_cut")), 1).otherwise(0)
+    more = F.when((part > 0) & (F.col("_mix_size") > 0) & ((key <= F.col("_mix_s_cut")) | F.coalesce(key == F.col("_mix_s_extra"), F.lit(False))), 1).otherwise(0)
     n = F.when(F.col("_mix_size") == 0, F.lit(1)).otherwise(F.least(whole + more, F.lit(MOST_COPIES)))
     return out.select(*docs.columns, F.col("_mix_size").alias("_size"), F.col("_mix_s_source_size").alias("_source_size"), F.col("_mix_s_target").alias("_target"), r.alias("_rate"), n.cast("int").alias("_copies"))
 

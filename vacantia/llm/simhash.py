@@ -193,8 +193,7 @@ def links(nodes: DataFrame, distance: int = 4, tile: int = TILE) -> DataFrame:
         if kept:
             yield found(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    tune_arrow(nodes.sparkSession)
     at = stored(nodes.select("fp", "node").mapInArrow(replicate, "anchor long, fp long, node long"), "simhash-anchors")
     hot = at.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > tile)
     hot = small(hot.select(F.col("anchor").alias("_anchor"), F.ceil(F.col("_n") / tile).cast("int").alias("_m")))
