@@ -216,24 +216,36 @@ class Page:
         return "\n\n".join(x for x in out if x)
 
 
-def marginals(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, depth: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """P(article) of each node of a forest by sum-product messages, up and then down.
+def messages(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, levels: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum-product messages up and then down a forest, all nodes of one depth together.
 
     unary: nodes x 2 log potentials. pair: kinds x 2 (parent) x 2 (child) log
-    potentials. parent: -1 for roots. All nodes of one depth go together."""
-    belief = unary.astype(np.float64).copy()
+    potentials. parent: -1 for roots. levels: the nodes of each depth. Gives the log
+    beliefs, those from below alone, and the messages up."""
+    belief = unary.copy()
     up = np.zeros_like(belief)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if len(depth) else []
     for at in reversed(levels[1:]):
         inner = pair[kind[parent[at]]] + belief[at][:, None, :]
         up[at] = np.logaddexp(inner[:, :, 0], inner[:, :, 1])
         up[at] -= up[at].max(axis=1, keepdims=True)
         np.add.at(belief, parent[at], up[at])
+    below = belief.copy()
     for at in levels[1:]:
         rest = belief[parent[at]] - up[at]
         inner = pair[kind[parent[at]]] + rest[:, :, None]
         down = np.logaddexp(inner[:, 0, :], inner[:, 1, :])
         belief[at] += down - down.max(axis=1, keepdims=True)
+    return belief, below, up
+
+
+def by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(depth) else []
+
+
+def marginals(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, depth: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """P(article) of each node of a forest."""
+    belief, _, _ = messages(unary.astype(np.float64), pair, parent, by_depth(depth), kind)
     return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700)))
 
 
@@ -248,33 +260,51 @@ class Model:
         self.weights, self.pair = weights, pair
 
     @classmethod
-    def fit(cls, pages: list[tuple[Page, np.ndarray]], steps: int = 400, ridge: float = 0.02) -> Model:
-        """Fit to pages with a 0/1 label per node (1: article, or holds some of it)."""
-        x = np.concatenate([p.features() for p, _ in pages]).astype(np.float64)
-        y = np.concatenate([np.asarray(label, np.float64) for _, label in pages])
-        w = np.zeros(x.shape[1])
-        for _ in range(steps):  # Newton steps would do; plain gradient steps on so few weights are as good
-            p = 1 / (1 + np.exp(-x @ w))
-            w -= 4.0 * (x.T @ (p - y) / len(y) + ridge / 20 * w)
-        counts = np.full((4, 2, 2), 0.5)
-        for page, label in pages:
-            label, parent = np.asarray(label, int), np.array(page.parent)
-            np.add.at(counts, (kinds(page)[parent[1:]], label[parent[1:]], label[1:]), 1)
-        joint = counts / counts.sum(axis=(1, 2), keepdims=True)
-        pair = np.log(joint) - np.log(joint.sum(axis=1, keepdims=True)) - np.log(joint.sum(axis=2, keepdims=True))
-        return cls(w, pair)
+    def fit(cls, pages: list[tuple[Page, np.ndarray]], steps: int = 100, rate: float = 0.15, ridge: float = 1e-4) -> Model:
+        """Fit to pages with a 0/1 label per node (1: article, or holds some of it).
+
+        Unary and pair weights are trained together: the gradient of the pages'
+        conditional likelihood is what the labels have less what the marginals
+        expect, and messages give those exactly. Adam steps from zero."""
+        x, parent, depth, kind = cls._stack([p for p, _ in pages])
+        y = np.concatenate([np.asarray(label, int) for _, label in pages])
+        levels, child = by_depth(depth), np.flatnonzero(parent >= 0)
+        up_kind = kind[parent[child]]
+        theta = np.zeros(x.shape[1] + 16)
+        first, second = np.zeros_like(theta), np.zeros_like(theta)
+        have = np.zeros((4, 2, 2))
+        np.add.at(have, (up_kind, y[parent[child]], y[child]), 1)
+        for step in range(1, steps + 1):
+            odds, pair = x @ theta[:-16], theta[-16:].reshape(4, 2, 2)
+            belief, below, up = messages(np.stack([np.zeros_like(odds), odds], axis=1), pair, parent, levels, kind)
+            p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700)))
+            joint = pair[up_kind] + (belief[parent[child]] - up[child])[:, :, None] + below[child][:, None, :]
+            joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+            joint /= joint.sum(axis=(1, 2), keepdims=True)
+            want = np.zeros((4, 2, 2))
+            np.add.at(want, up_kind, joint)
+            g = np.concatenate([x.T @ (p - y), (want - have).ravel()]) / len(pages) + ridge * theta
+            first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+            theta -= rate * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        return cls(theta[:-16], theta[-16:].reshape(4, 2, 2))
+
+    @staticmethod
+    def _stack(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Features, parents, depths and kinds of the nodes of all pages, one after another."""
+        start = np.concatenate([[0], np.cumsum([len(p.parent) for p in pages])])
+        parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + s) for p, s in zip(pages, start, strict=False)])
+        x = np.concatenate([p.features() for p in pages]).astype(np.float64)
+        return x, parent, np.concatenate([p.depth for p in pages]), np.concatenate([kinds(p) for p in pages])
 
     def keep(self, pages: list[Page]) -> list[np.ndarray]:
         """Which nodes of each page belong to the article."""
         if not pages:
             return []
-        n = np.array([len(p.parent) for p in pages])
-        start = np.concatenate([[0], np.cumsum(n)])
-        odds = np.concatenate([p.features() for p in pages]).astype(np.float64) @ self.weights
-        unary = np.stack([np.zeros_like(odds), odds], axis=1)
-        parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + s) for p, s in zip(pages, start, strict=False)])
-        m = marginals(unary, self.pair, parent, np.concatenate([p.depth for p in pages]), np.concatenate([kinds(p) for p in pages]))
-        return [m[a:b] > 0.5 for a, b in zip(start, start[1:], strict=False)]
+        x, parent, depth, kind = self._stack(pages)
+        odds = x @ self.weights
+        m = marginals(np.stack([np.zeros_like(odds), odds], axis=1), self.pair, parent, depth, kind)
+        edge = np.concatenate([[0], np.cumsum([len(p.parent) for p in pages])])
+        return [m[a:b] > 0.5 for a, b in zip(edge, edge[1:], strict=False)]
 
 
 def extract(sources: list[str | None], model: Model) -> list[str]:

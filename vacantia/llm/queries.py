@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, simhash
-from .common import table, tune_arrow
+from . import htmlmodel, labelled_pages, licenses, mixing, packing, preference, quality_rules, simhash, warc
+from .common import stored, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -16,6 +16,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in dictionary-compressed archives, and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = stored(warc.write(pages), "warc-archives")
+    out = warc.read(archives, payload=False)
+    number = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1), F.lit("")).cast("long")
+    return out.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op4_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix by source weights 1, 2, 3 takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -23,6 +32,14 @@ def op4_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer, against its twin with another answer."""
+    chosen, rejected = preference.swapped_answers(table(spark, sf_dir, "conversations"))
+    out = preference.formatted(chosen, rejected)
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(F.col("pair_id").alias("conv_id"), "prefix_turns", "prompt", "chosen_completion", spans("chosen_mask").alias("chosen_spans"), "rejected_completion", spans("rejected_mask").alias("rejected_spans"))
+
+
 def op6_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
@@ -36,17 +53,34 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
 
 
+def op8_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = htmlmodel.main_text(pages, labelled_pages.trained())
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses stated in every document."""
+    out = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "licenses", "n_blocks", F.array_max("reductions").alias("best_reduction"), F.array_join("differences", ";").alias("differences"))
+
+
 QUERIES = {
+    "op2_warc_zstd": op2_warc_zstd,
     "op4_entropy_balance": op4_entropy_balance,
+    "op5_preference_pairs": op5_preference_pairs,
     "op6_karmarkar_karp": op6_karmarkar_karp,
     "op7_decision_list": op7_decision_list,
+    "op8_tree_extraction": op8_tree_extraction,
     "op9_simhash_anchors": op9_simhash_anchors,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: DuckDB SQL where SQL can express the operator.
