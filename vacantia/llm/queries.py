@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmlmodel, labelled_pages, licenses, mixing, packing, preference, quality_rules, simhash, warc
+from . import htmlmodel, jpeg, labelled_pages, licenses, lmscore, mixing, packing, preference, quality_rules, simhash, warc
 from .common import stored, table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a progressive JPEG, decoded again."""
+    media = jpeg.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = media.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    out = jpeg.decoded(kept, tensor=False)
+    return out.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), jpeg.tail_crc("payload").alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records in dictionary-compressed archives, and read back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -25,6 +33,13 @@ def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; documents labelled good are the target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = lmscore.fit(lmscore.labelled_good(docs, table(spark, sf_dir, "labels")), docs)
+    return lmscore.scored(docs, models)
+
+
 def op4_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix by source weights 1, 2, 3 takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -73,7 +88,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_warc_zstd": op2_warc_zstd,
+    "op3_cross_entropy": op3_cross_entropy,
     "op4_entropy_balance": op4_entropy_balance,
     "op5_preference_pairs": op5_preference_pairs,
     "op6_karmarkar_karp": op6_karmarkar_karp,
