@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import mixing, packing, quality_rules, simhash
-from vacantia.llm.common import stored, table
+from vacantia.llm.common import small, stored, table
 from vacantia.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,9 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     document without an id stays only if no document of its component has one."""
     found = simhash.classes(docs.select("doc_id", "text"))
     keep = stored(found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "dedup-keep")
-    rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = rows.filter("_n = 1").select(*COLUMNS)
-    more = rows.filter("_n > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = docs.select(*COLUMNS).join(keep.filter("_n = 1"), same).select(*COLUMNS)
+    repeated = keep.filter("_n > 1")
+    if repeated.isEmpty():
+        return once
+    more = docs.select(*COLUMNS).join(small(repeated), same).groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
     return once.unionByName(more.select("doc_id", "r.*").select(*COLUMNS))
 
 
