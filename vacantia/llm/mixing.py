@@ -140,6 +140,19 @@ def cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
     return stored(out.select("source", "source_size", "target", "mean", "lambda", F.col("prefix").alias("cut"), "extra"), "mix-fit", 1)
 
 
+def fit(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """Fit the mix of docs: one row a source with its target, multiplier, cut and extra key.
+
+    Reads the texts once; what Newton and the rounding read is a stored table of
+    (source, size, chance). Empty table: no rows. Null text: size 0. A null source
+    is a source of its own, last in order. Equal rows share one random number.
+    Extra columns are not read."""
+    rows = docs.select(F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), chance(F.col(doc_id), F.col(text)).alias("_chance"))
+    rows = stored(rows, "mix-sizes")
+    hist = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
+    return cuts(rows, solve(hist))
+
+
 def copies(docs: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """docs and _size, _source_size, _target, _rate and _copies of each document under a fitted mix.
     Columns of docs are untouched; names that begin with _mix_ are used inside."""
