@@ -6,7 +6,7 @@ starts as a partial partition of its own, and the two partial partitions with th
 largest imbalance are merged, the heavy parts of one with the light parts of the
 other, until one is left, whose windows are nearly equal. If a window is above
 capacity, the window count rises; if that alone would leave too much padding, runs
-are cut in half and the group is packed again.
+are cut shorter and the group is packed again.
 """
 
 from __future__ import annotations
@@ -107,12 +107,13 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out + [[] for _ in range(k - len(out))]
 
 
-def halves(run: tuple[int, int, int], most: int) -> list[tuple[int, int, int]]:
-    """(document, start, length) in the fewest nearly equal runs of at most `most` ids."""
+def split(run: tuple[int, int, int], most: int) -> list[tuple[int, int, int]]:
+    """(document, start, length) in runs of `most` ids and what is left.
+
+    What is left differs from run to run, and differencing evens windows out by such
+    differences; equal parts would leave it nothing to work with."""
     doc, start, length = run
-    n = -(-length // most)
-    edge = [length * i // n for i in range(n + 1)]
-    return [(doc, start + a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+    return [(doc, start + a, min(most, length - a)) for a in range(0, length, most)]
 
 
 def pack_group(runs: list[tuple[int, int, int]], window: int, slack: float = 0.01) -> list[list[tuple[int, int, int]]]:
@@ -133,7 +134,7 @@ def pack_group(runs: list[tuple[int, int, int]], window: int, slack: float = 0.0
         return out
     least, most = -(-total // window), window
     while True:
-        pieces = [p for r in runs for p in (halves(r, most) if r[2] > most else [r])]
+        pieces = [p for r in runs for p in (split(r, most) if r[2] > most else [r])]
         k = least
         while True:
             parts = differencing([p[2] for p in pieces], k)
