@@ -9,7 +9,7 @@ of (source, size), so no step reads the documents again and no source, however
 large, meets in one task. Rates are then rounded to whole copies: a document gets
 floor(r_i) copies, and one more if its fixed random number falls under the
 fraction, moved by one cut per source so that the source's words come out within
-about one document of T_s.
+about one document of T_s; a few single documents then make up most of the rest.
 """
 
 from __future__ import annotations
@@ -107,18 +107,17 @@ def _with_rates(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """state, and a cut and one extra key per source: documents whose key is at most the
-    cut, or is the extra one, get one more copy.
+    """state, and a cut per source: documents whose key is at most the cut get one more copy.
 
     The cut is a weighted quantile of the keys, found ten bits at a time: each
     pass sums words by (source, bin), at most 1024 bins a source."""
-    whole = _with_rates(rows, state).groupBy("source").agg(F.sum(F.col("size") * F.col("_whole")).alias("given")).withColumnRenamed("source", "_source")
+    whole = _with_rates(rows, state).groupBy("source").agg(F.sum(F.col("size") * F.col("n") * F.col("_whole")).alias("given")).withColumnRenamed("source", "_source")
     known = state.join(whole, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     known = stored(known.withColumns({"need": F.col("target") - F.coalesce("given", F.lit(0)), "prefix": F.lit(0).cast("long")}).drop("given"), "mix-cut", 1)
     for level in range(KEY_BITS // LEVEL_BITS):
         shift = KEY_BITS - LEVEL_BITS * (level + 1)
         k = _with_rates(rows, known).filter(F.col("_key").isNotNull() & (F.shiftright("_key", shift + LEVEL_BITS) == F.col("prefix")))
-        bins = k.groupBy(F.col("source").alias("_source"), F.shiftright("_key", shift).alias("bin")).agg(F.sum("size").alias("words"))
+        bins = k.groupBy(F.col("source").alias("_source"), F.shiftright("_key", shift).alias("bin")).agg(F.sum(F.col("size") * F.col("n")).alias("words"))
         w = Window.partitionBy("_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         bins = bins.withColumn("upto", F.sum("words").over(w))
         at = bins.join(small(known.select("source", "need")), F.col("source").eqNullSafe(F.col("_source")))
@@ -131,26 +130,63 @@ def cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
         # On lower levels only the bin chosen above counts; its own start is what lies below it.
         new = new.withColumns({"prefix": prefix, "need": F.when(F.col("bin").isNull(), F.col("need")).otherwise(F.col("need") - F.coalesce("below", F.lit(0)))})
         known = stored(new.select(*known.columns), "mix-cut", 1)
-    # What the cut leaves open goes to the one document past it whose size fits best.
-    k = _with_rates(rows, known.select("source", "mean", "lambda", "need", "prefix")).filter(F.col("_key") > F.col("prefix"))
-    fit_ = F.struct(F.abs(F.col("size") - F.col("need")).alias("off"), F.col("_key").alias("key"), F.col("need").alias("need"))
-    best = k.groupBy(F.col("source").alias("_source")).agg(F.min(fit_).alias("best"))
-    best = best.select("_source", F.when(F.col("best.off") < F.col("best.need"), F.col("best.key")).alias("extra"))
-    out = known.join(best, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return stored(out.select("source", "source_size", "target", "mean", "lambda", F.col("prefix").alias("cut"), "extra"), "mix-fit", 1)
+    return known.select("source", "source_size", "target", "mean", "lambda", F.col("prefix").alias("cut"))
+
+
+#: Single documents per source that may get one copy more or less after rounding.
+MOST_FIXES = 4
+
+
+def _copies(rate_: Column, size: Column, chance_: Column, cut: Column, fixes: Column) -> Column:
+    """Whole copies of a document: its rate rounded by its key, and the source's fixes."""
+    whole = F.floor(rate_).cast("long")
+    part = rate_ - whole
+    key = F.least(F.greatest(F.floor((chance_ - part + 1) * F.lit(float(1 << (KEY_BITS - 1)))).cast("long"), F.lit(0)), F.lit((1 << KEY_BITS) - 1))
+    more = F.when((part > 0) & (key <= cut), 1).otherwise(0)
+    fix = F.aggregate(F.filter(F.coalesce(fixes, F.array().cast("array<struct<chance:double,delta:int>>")), lambda f: f["chance"] == chance_), F.lit(0), lambda x, f: x + f["delta"])
+    n = F.least(whole + more, F.lit(MOST_COPIES)) + fix
+    return F.when(size == 0, F.lit(1)).otherwise(F.least(F.greatest(n, F.lit(0)), F.lit(MOST_COPIES))).cast("int")
+
+
+def settled(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """fitted and fixes: what rounding leaves open in a source is made up, one document at a
+    time, by the document whose size comes nearest, with one copy more or less.
+
+    Sources of many documents need none to speak of; in small ones a single large
+    document would else decide how near the target they come."""
+    known = stored(fitted.withColumn("fixes", F.array().cast("array<struct<chance:double,delta:int>>")), "mix-fit", 1)
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for _ in range(MOST_FIXES):
+        s = known.withColumnRenamed("source", "_source")
+        r = rows.join(F.broadcast(s) if few else s, F.col("source").eqNullSafe(F.col("_source"))).filter("size > 0")
+        r = r.withColumn("_rate", F.round(rate(F.col("lambda"), F.col("size"), F.col("mean")), 12))
+        r = r.withColumn("_copies", _copies(F.col("_rate"), F.col("size"), F.col("_chance"), F.col("cut"), F.col("fixes")))
+        taken = r.groupBy(F.col("_source").alias("_t")).agg(F.sum(F.col("size") * F.col("n") * F.col("_copies")).alias("taken"), F.any_value("target").alias("_want"))
+        need = stored(taken.select("_t", (F.col("_want") - F.col("taken")).alias("need")), "mix-need", 1)
+        d = r.join(F.broadcast(need) if few else need, F.col("_source").eqNullSafe(F.col("_t")))
+        delta = F.when(F.col("need") > 0, 1).otherwise(-1)
+        able = F.when(delta > 0, F.col("_copies") < MOST_COPIES).otherwise(F.col("_copies") > 0)
+        fixed = F.exists("fixes", lambda f: f["chance"] == F.col("_chance"))
+        off = F.abs(F.abs(F.col("need")) - F.col("size") * F.col("n"))
+        d = d.filter(able & ~fixed & (off < F.abs(F.col("need"))))
+        best = d.groupBy(F.col("_source").alias("_b")).agg(F.min(F.struct(off.alias("off"), F.col("_chance").alias("chance"), delta.alias("delta"))).alias("best"))
+        new = known.join(best, F.col("source").eqNullSafe(F.col("_b")), "left")
+        added = F.when(F.col("best").isNotNull(), F.concat("fixes", F.array(F.struct(F.col("best.chance").alias("chance"), F.col("best.delta").cast("int").alias("delta"))))).otherwise(F.col("fixes"))
+        known = stored(new.withColumn("fixes", added).select(*known.columns), "mix-fit", 1)
+    return known
 
 
 def fit(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Fit the mix of docs: one row a source with its target, multiplier, cut and extra key.
+    """Fit the mix of docs: one row a source with its target, multiplier, cut and fixes.
 
     Reads the texts once; what Newton and the rounding read is a stored table of
     (source, size, chance). Empty table: no rows. Null text: size 0. A null source
     is a source of its own, last in order. Equal rows share one random number.
     Extra columns are not read."""
     rows = docs.select(F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), chance(F.col(doc_id), F.col(text)).alias("_chance"))
-    rows = stored(rows, "mix-sizes")
-    hist = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
-    return cuts(rows, solve(hist))
+    rows = stored(rows.groupBy("source", "size", "_chance").agg(F.count("*").alias("n")), "mix-sizes")
+    hist = stored(rows.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-hist")
+    return settled(rows, cuts(rows, solve(hist)))
 
 
 def copies(docs: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -160,11 +196,7 @@ def copies(docs: DataFrame, mix: DataFrame, text: str = "text", source: str = "s
     s = small(mix.select(*[F.col(c).alias(f"_mix_s_{c}") for c in mix.columns]))
     out = base.join(s, F.col("_mix_source").eqNullSafe(F.col("_mix_s_source")), "left")
     r = F.round(F.coalesce(rate(F.col("_mix_s_lambda"), F.col("_mix_size"), F.col("_mix_s_mean")), F.lit(1.0)), 12)
-    whole = F.floor(r).cast("long")
-    part = r - whole
-    key = F.least(F.greatest(F.floor((F.col("_mix_chance") - part + 1) * F.lit(float(1 << (KEY_BITS - 1)))).cast("long"), F.lit(0)), F.lit((1 << KEY_BITS) - 1))
-    more = F.when((part > 0) & (F.col("_mix_size") > 0) & ((key <= F.col("_mix_s_cut")) | F.coalesce(key == F.col("_mix_s_extra"), F.lit(False))), 1).otherwise(0)
-    n = F.when(F.col("_mix_size") == 0, F.lit(1)).otherwise(F.least(whole + more, F.lit(MOST_COPIES)))
+    n = F.when(F.col("_mix_size") == 0, F.lit(1)).otherwise(_copies(r, F.col("_mix_size"), F.col("_mix_chance"), F.col("_mix_s_cut"), F.col("_mix_s_fixes")))
     return out.select(*docs.columns, F.col("_mix_size").alias("_size"), F.col("_mix_s_source_size").alias("_source_size"), F.col("_mix_s_target").alias("_target"), r.alias("_rate"), n.cast("int").alias("_copies"))
 
 
