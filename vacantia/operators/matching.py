@@ -75,24 +75,39 @@ def strongest(phrases: DataFrame, by: list[str], n: int = 5) -> DataFrame:
     return phrases.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= n)
 
 
-def pair_features(df: DataFrame, word: str, phrase: str, flagged: str, bad: str) -> DataFrame:
-    """df with the derived features of a pair classifier; NaN counts as missing."""
-    v = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (word, phrase, flagged, bad)}
+def pair_features(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with the derived features of a pair classifier.
+
+    columns: which column holds word_distance, phrase_distance, requirements_distance,
+    seniority_abs_gap, technology_overlap, percent_flagged and bad_match_percent.
+    NaN, infinite and null inputs are missing; a feature is null if what it needs is."""
+
+    def value(name: str) -> Column:
+        v = F.col(columns[name]).cast("double")
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+    word, phrase, needs, gap, tech, flagged, bad = (value(n) for n in ("word_distance", "phrase_distance", "requirements_distance", "seniority_abs_gap", "technology_overlap", "percent_flagged", "bad_match_percent"))
+    there = lambda *v: F.array_compact(F.array(*v))
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+    geomean = F.sqrt(F.greatest(word, F.lit(0.0)) * F.greatest(phrase, F.lit(0.0)))
+    geomean = F.when(word.isNotNull() & phrase.isNotNull(), geomean)
     return df.withColumns(
         {
-            "distance_geomean": F.sqrt(F.greatest(v[word], F.lit(0.0)) * F.greatest(v[phrase], F.lit(0.0))),
-            "distance_log_ratio": F.log((v[word] + 1e-9) / (v[phrase] + 1e-9)),
-            "coverage_mean": (v[flagged] + v[bad]) / 2,
-            "worst_distance": F.greatest(v[word], v[phrase]),
-            "word_closeness": F.exp(-v[word]),
-            "phrase_closeness": F.exp(-v[phrase]),
+            "semantic_distance_geomean": geomean,
+            "semantic_distance_ratio_log": F.when((word + 1e-9 > 0) & (phrase + 1e-9 > 0), F.log((word + 1e-9) / (phrase + 1e-9))),
+            "semantic_requirements_mean": mean(there(word, phrase, needs)),
+            "semantic_requirements_max": F.array_max(there(word, phrase, needs)),
+            "seniority_fit_exp": F.when(gap.isNotNull(), F.exp(-F.greatest(gap, F.lit(0.0)))),
+            "technology_x_semantic_similarity": tech * F.exp(-geomean),
+            "requirements_x_seniority_badness": needs * (1.0 + gap),
+            "coverage_badness_mean": mean(there(flagged, bad)),
         }
     )
 
 
 def entropy(distribution: Column) -> Column:
-    """Of an array of probabilities, in nats."""
-    return -F.aggregate(distribution, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0)))
+    """Of an array of probabilities, in nats; null for an empty one."""
+    return F.when(F.size(distribution) > 0, -F.aggregate(distribution, F.lit(0.0), lambda s, p: s + p * F.log(F.greatest(p, F.lit(1e-12)))))
 
 
 def screened(df: DataFrame, probability: Column, threshold: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Operations that filter rather than rank take no part in fusion (fixed values).
-FILTERS = ("multi_metric_bad_fit_filter", "technology_mismatch_filter", "seniority_filter", "pair_independent_bad_match_filter", "llm_bad_match_filter", "requirements_embedding_filter")
+FILTERS = ("llm_bad_match_filter", "mahalanobis_outlier", "multi_metric_bad_fit_filter", "pair_independent_bad_match_forest", "seniority_filter", "technology_mismatch_filter")
 RRF_K = 60
 
 
@@ -92,8 +92,8 @@ def coverage_cut(df: DataFrame, bottom: float, top: float, least: int, by: str =
     refilled up to `least` by coverage."""
     w = Window.partitionBy(by)
     n = F.count("*").over(w)
-    cut = lambda f: F.greatest(F.lit(1), F.floor(n * f))
-    d = df.withColumns({"_low": F.row_number().over(w.orderBy("percent_flagged", F.desc("job_id"))), "_bad": F.row_number().over(w.orderBy(F.desc("bad_match_percent"), F.desc("job_id")))})
+    cut = lambda f: F.greatest(F.lit(1), F.floor(n * f)) if f > 0 else F.lit(0)
+    d = df.withColumns({"_low": F.row_number().over(w.orderBy("percent_flagged", "job_id")), "_bad": F.row_number().over(w.orderBy(F.desc("bad_match_percent"), "job_id"))})
     d = d.withColumn("_keep", (F.col("_low") > cut(bottom)) & (F.col("_bad") > cut(top)))
     d = d.withColumn("_again", F.row_number().over(w.orderBy(F.desc("_keep"), F.desc("percent_flagged"), "job_id"))).withColumn("_kept", F.count_if("_keep").over(w))
     return d.filter(F.col("_again") <= F.greatest(F.col("_kept"), F.lit(least))).drop("_low", "_bad", "_keep", "_again", "_kept")
@@ -107,7 +107,7 @@ def bad_fit(metrics: DataFrame, directions: dict[str, int], fraction: float = 0.
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(m) * F.lit(d)).cast("double").alias("goodness")) for m, d in directions.items()]))
     long = metrics.select(by, "job_id", pairs.alias("m")).select(by, "job_id", "m.*").filter("goodness IS NOT NULL AND NOT isnan(goodness)")
     w = Window.partitionBy(by, "metric")
-    long = long.withColumns({"_n": F.count("*").over(w), "_pos": F.row_number().over(w.orderBy("goodness", F.desc("job_id")))})
+    long = long.withColumns({"_n": F.count("*").over(w), "_pos": F.row_number().over(w.orderBy("goodness", "job_id"))})
     out = long.groupBy(by, "job_id").agg(F.count_if(F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).alias("flag_count"))
     return out.withColumn("is_bad", F.col("flag_count") >= flags)
 

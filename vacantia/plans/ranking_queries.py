@@ -58,7 +58,7 @@ def cluster_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best_clusters(r, 0.4).select("query_id", "job_id", "cluster")
 
 
-@query(f"WITH {METRICS_SQL}, s AS (SELECT query_id, job_id, coalesce(coverage, 0) AS pf, word_distance AS bad FROM metrics), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pf, job_id DESC) AS low, row_number() OVER (PARTITION BY query_id ORDER BY bad DESC, job_id DESC) AS high, count(*) OVER (PARTITION BY query_id) AS n FROM s) SELECT query_id, job_id FROM p WHERE low > greatest(1, floor(n * 0.2)) AND high > greatest(1, floor(n * 0.3))")
+@query(f"WITH {METRICS_SQL}, s AS (SELECT query_id, job_id, coalesce(coverage, 0) AS pf, word_distance AS bad FROM metrics), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pf, job_id) AS low, row_number() OVER (PARTITION BY query_id ORDER BY bad DESC, job_id) AS high, count(*) OVER (PARTITION BY query_id) AS n FROM s) SELECT query_id, job_id FROM p WHERE low > greatest(1, floor(n * 0.2)) AND high > greatest(1, floor(n * 0.3))")
 def coverage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the worst by coverage and the worst by bad matches."""
     s = metrics(spark, sf_dir).select("query_id", "job_id", F.coalesce("coverage", F.lit(0.0)).alias("percent_flagged"), F.col("word_distance").alias("bad_match_percent"))
@@ -68,7 +68,7 @@ def coverage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = "l AS (SELECT query_id, job_id, 'w' AS metric, -word_distance AS g FROM metrics UNION ALL SELECT query_id, job_id, 'c', coverage FROM metrics WHERE coverage IS NOT NULL UNION ALL SELECT query_id, job_id, 'x', cross_score FROM metrics)"
 
 
-@query(f"WITH {METRICS_SQL}, {_LONG}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, metric ORDER BY g, job_id DESC) AS k, count(*) OVER (PARTITION BY query_id, metric) AS n FROM l) SELECT query_id, job_id, count(*) FILTER (WHERE k <= greatest(1, floor(n * 0.25))) AS flag_count, count(*) FILTER (WHERE k <= greatest(1, floor(n * 0.25))) >= 2 AS is_bad FROM p GROUP BY query_id, job_id")
+@query(f"WITH {METRICS_SQL}, {_LONG}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, metric ORDER BY g, job_id) AS k, count(*) OVER (PARTITION BY query_id, metric) AS n FROM l) SELECT query_id, job_id, count(*) FILTER (WHERE k <= greatest(1, floor(n * 0.25))) AS flag_count, count(*) FILTER (WHERE k <= greatest(1, floor(n * 0.25))) >= 2 AS is_bad FROM p GROUP BY query_id, job_id")
 def multi_metric_badfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the worst quarter of two metrics or more."""
     return ranking.bad_fit(metrics(spark, sf_dir), DIRECTIONS)
@@ -149,7 +149,7 @@ def final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("query_id", "job_id").pivot("operation", ["word_wasserstein", "phrase_coverage", "cross_encoder"]).agg(F.max("rank").cast("long"))
 
 
-@query(f"WITH {METRICS_SQL}, {RESULTS_SQL}, {_LONG}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, metric ORDER BY g, job_id DESC) AS k, count(*) OVER (PARTITION BY query_id, metric) AS n FROM l), bad AS (SELECT query_id, job_id FROM p GROUP BY 1, 2 HAVING count(*) FILTER (WHERE k <= greatest(1, floor(n * 0.25))) >= 2), remaining AS (SELECT DISTINCT m.query_id, m.job_id FROM metrics m ANTI JOIN bad b ON b.query_id = m.query_id AND b.job_id = m.job_id), dense AS (SELECT r.query_id, operation, r.job_id, dense_rank() OVER (PARTITION BY r.query_id, operation ORDER BY rank) AS d FROM results r SEMI JOIN remaining m ON m.query_id = r.query_id AND m.job_id = r.job_id WHERE status = 'ok' AND operation <> 'seniority_filter'), per AS (SELECT query_id, job_id, list_sort(list(d), 'DESC') AS worst FROM dense GROUP BY 1, 2), o AS (SELECT r.query_id, r.job_id, row_number() OVER (PARTITION BY r.query_id ORDER BY worst IS NULL, worst, r.job_id) AS final_rank FROM remaining r LEFT JOIN per p ON p.query_id = r.query_id AND p.job_id = r.job_id) SELECT query_id, job_id, final_rank FROM o WHERE final_rank <= 10")
+@query(f"WITH {METRICS_SQL}, {RESULTS_SQL}, {_LONG}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, metric ORDER BY g, job_id) AS k, count(*) OVER (PARTITION BY query_id, metric) AS n FROM l), bad AS (SELECT query_id, job_id FROM p GROUP BY 1, 2 HAVING count(*) FILTER (WHERE k <= greatest(1, floor(n * 0.25))) >= 2), remaining AS (SELECT DISTINCT m.query_id, m.job_id FROM metrics m ANTI JOIN bad b ON b.query_id = m.query_id AND b.job_id = m.job_id), dense AS (SELECT r.query_id, operation, r.job_id, dense_rank() OVER (PARTITION BY r.query_id, operation ORDER BY rank) AS d FROM results r SEMI JOIN remaining m ON m.query_id = r.query_id AND m.job_id = r.job_id WHERE status = 'ok' AND operation <> 'seniority_filter'), per AS (SELECT query_id, job_id, list_sort(list(d), 'DESC') AS worst FROM dense GROUP BY 1, 2), o AS (SELECT r.query_id, r.job_id, row_number() OVER (PARTITION BY r.query_id ORDER BY worst IS NULL, worst, r.job_id) AS final_rank FROM remaining r LEFT JOIN per p ON p.query_id = r.query_id AND p.job_id = r.job_id) SELECT query_id, job_id, final_rank FROM o WHERE final_rank <= 10")
 def rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking pipeline end to end: metrics, the bad-fit filter, fusion, the ten best a query (a report)."""
     m = metrics(spark, sf_dir)
