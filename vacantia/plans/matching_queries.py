@@ -47,13 +47,13 @@ def strongest_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.strongest(m, ["query_id"]).select("query_id", "phrase_no", "place")
 
 
-@query(f"WITH {METRICS_SQL}, v AS (SELECT query_id, job_id, word_distance / 100000 AS w, cross_score / 10 AS p, coverage / 100 AS n, CAST(job_id % 5 AS DOUBLE) AS g, CAST(job_id % 3 AS DOUBLE) / 2 AS t, coverage / 50 AS f, cross_score / 20 AS b FROM metrics) SELECT query_id, job_id, round(sqrt(w * p), 6) AS semantic_distance_geomean, round(ln((w + 1e-9) / (p + 1e-9)), 6) AS semantic_distance_ratio_log, round(CASE WHEN n IS NULL THEN (w + p) / 2 ELSE (w + p + n) / 3 END, 11) AS semantic_requirements_mean, round(greatest(w, p, n), 6) AS semantic_requirements_max, round(exp(-g), 6) AS seniority_fit_exp, round(t * exp(-sqrt(w * p)), 6) AS technology_x_semantic_similarity, round(n * (1 + g), 6) AS requirements_x_seniority_badness, round(CASE WHEN f IS NULL THEN b ELSE (f + b) / 2 END, 6) AS coverage_badness_mean FROM v WHERE NOT coalesce(n * (1 + g) >= 1.2, false)")
+@query(f"WITH {METRICS_SQL}, v AS (SELECT query_id, job_id, word_distance / 100000 AS w, cross_score / 10 AS p, coverage / 100 AS n, CAST(job_id % 5 AS DOUBLE) AS g, CAST(job_id % 3 AS DOUBLE) / 2 AS t, coverage / 50 AS f, cross_score / 20 AS b FROM metrics) SELECT query_id, job_id, round(sqrt(w * p), 10) AS semantic_distance_geomean, round(ln((w + 1e-9) / (p + 1e-9)), 10) AS semantic_distance_ratio_log, round(CASE WHEN n IS NULL THEN (w + p) / 2 ELSE (w + p + n) / 3 END, 10) AS semantic_requirements_mean, round(greatest(w, p, n), 10) AS semantic_requirements_max, round(exp(-g), 10) AS seniority_fit_exp, round(t * exp(-sqrt(w * p)), 10) AS technology_x_semantic_similarity, round(n * (1 + g), 10) AS requirements_x_seniority_badness, round(CASE WHEN f IS NULL THEN b ELSE (f + b) / 2 END, 10) AS coverage_badness_mean FROM v WHERE NOT coalesce(n * (1 + g) >= 1.2, false)")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of a pair classifier, and a filter on them that fails open."""
     m = metrics(spark, sf_dir).selectExpr("query_id", "job_id", "word_distance / 100000 AS w", "cross_score / 10 AS p", "coverage / 100 AS n", "job_id % 5 AS g", "(job_id % 3) / 2 AS t", "coverage / 50 AS f", "cross_score / 20 AS b")
     out = matching.pair_features(m, {"word_distance": "w", "phrase_distance": "p", "requirements_distance": "n", "seniority_abs_gap": "g", "technology_overlap": "t", "percent_flagged": "f", "bad_match_percent": "b"})
     out = matching.screened(out, F.col("requirements_x_seniority_badness"), 1.2)
-    return out.select("query_id", "job_id", *[F.round(c, 11 if c == "semantic_requirements_mean" else 6).alias(c) for c in out.columns[9:]])
+    return out.select("query_id", "job_id", *[F.round(c, 10).alias(c) for c in out.columns[9:]])
 
 
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM documents), l AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS word FROM part), v AS (SELECT 'the' AS word, 1.5 AS x UNION ALL SELECT 'of', 2.5 UNION ALL SELECT 'and', 0.5) SELECT doc_id, count(*) AS n, round(sum(x), 4) AS total FROM w JOIN v ON v.word = w.word GROUP BY doc_id")
