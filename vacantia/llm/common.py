@@ -19,10 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or our own if unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/vacantia_work"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/vacantia_work").rstrip("/")
 
 
 def tune_arrow(spark: SparkSession) -> None:
