@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Operations that filter rather than rank take no part in fusion (fixed values).
 FILTERS = ("llm_bad_match_filter", "mahalanobis_outlier", "multi_metric_bad_fit_filter", "pair_independent_bad_match_forest", "seniority_filter", "technology_mismatch_filter")
 RRF_K = 60
@@ -166,12 +168,23 @@ LEVELS = ["entry", "junior", "mid", "senior", "lead", "principal/manager"]
 def level_score(similarities: Column, alpha: float = 3.0) -> Column:
     """The expected level of an array of similarities to the six levels: shifted above
     zero, made a distribution, sharpened."""
-    least = F.least(F.array_min(similarities), F.lit(0.0))
-    shifted = F.transform(similarities, lambda s: s - least)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    probs = F.transform(shifted, lambda s: F.when(total(shifted) > 0, s / total(shifted)).otherwise(F.lit(1.0) / F.size(similarities)))
-    sharp = F.transform(probs, lambda p: F.pow(p, F.lit(alpha)))
-    return F.aggregate(F.zip_with(sharp, F.sequence(F.lit(0), F.size(similarities) - 1), lambda p, k: p * k), F.lit(0.0), lambda x, y: x + y) / total(sharp)
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+    def shifted(sims: Column) -> Column:
+        return let(F.least(F.array_min(sims), F.lit(0.0)), lambda least: F.transform(sims, lambda s: s - least))
+
+    def shares(a: Column) -> Column:
+        return let(total(a), lambda t: F.transform(a, lambda s: F.when(t > 0, s / t).otherwise(F.lit(1.0) / F.size(a))))
+
+    def expected(p: Column) -> Column:
+        weighted = F.transform(p, lambda v, k: v * k)
+        return total(weighted) / total(p)
+
+    def sharpened(p: Column) -> Column:
+        return F.transform(p, lambda v: F.pow(v, F.lit(alpha)))
+
+    return let(similarities, lambda sims: let(shifted(sims), lambda a: let(shares(a), lambda p: let(sharpened(p), expected))))
 
 
 def bounded_level(score: Column, title: Column, years: Column) -> Column:

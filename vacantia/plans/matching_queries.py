@@ -123,3 +123,24 @@ def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         whole &= F.col(c).isNotNull()
     j = filters.required(jobs(spark, sf_dir), "posted_at_utc").withColumn("shard", F.col("id") % 10)
     return j.groupBy("shard").agg(F.count("*").alias("jobs"), F.min("posted_at_utc").alias("oldest"), F.max("posted_at_utc").alias("newest"), F.count_if(whole).alias("complete"))
+
+
+@query()
+def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole engine on documents as postings: enrich, hard filters, every metric, fusion
+    (random projections and an injected encoder, so there is no oracle)."""
+    from .engine import RankQuery, enrich, rank
+
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select(
+        F.col("doc_id").alias("id"),
+        F.substring("text", 1, 40).alias("title"),
+        F.concat(F.col("text"), F.lit("\nRequirements:\n* at least "), (F.col("doc_id") % 9).cast("string"), F.lit(" years of experience with SQL")).alias("content_text"),
+        F.element_at(F.array(*[F.lit(x) for x in ("Boston, MA", "Remote - United States", "London")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("location_name"),
+        F.concat(F.lit("Posted "), (F.col("doc_id") % 30).cast("string"), F.lit(" days ago")).alias("posted_at"),
+        now.alias("fetched_at_utc"),
+        F.lit(True).alias("is_active"),
+    )
+    q = RankQuery("The thing and the thinger with years of experience in the making of good things.", country="US", max_required_yoe=7, now=now, recent_hours=24 * 20)
+    out = rank(enrich(d, now), q)
+    return out.select("id", F.round("word_distance", 6).alias("word_distance"), F.round("phrase_distance", 6).alias("phrase_distance"), F.round("cross_score", 6).alias("cross_score"), "is_bad", "final_rank")
