@@ -135,6 +135,8 @@ def cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 #: Single documents per source that may get one copy more or less after rounding.
 MOST_FIXES = 4
+#: Sources that come this near their target need none.
+CLOSE = 0.001
 
 
 def _copies(rate_: Column, size: Column, chance_: Column, cut: Column, fixes: Column) -> Column:
@@ -154,26 +156,36 @@ def settled(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 
     Sources of many documents need none to speak of; in small ones a single large
     document would else decide how near the target they come."""
-    known = stored(fitted.withColumn("fixes", F.array().cast("array<struct<chance:double,delta:int>>")), "mix-fit", 1)
-    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    for _ in range(MOST_FIXES):
+    few = fitted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    mark = F.broadcast if few else (lambda d: d)
+
+    def with_copies(known: DataFrame) -> DataFrame:
         s = known.withColumnRenamed("source", "_source")
-        r = rows.join(F.broadcast(s) if few else s, F.col("source").eqNullSafe(F.col("_source"))).filter("size > 0")
+        r = rows.join(mark(s), F.col("source").eqNullSafe(F.col("_source"))).filter("size > 0")
         r = r.withColumn("_rate", F.round(rate(F.col("lambda"), F.col("size"), F.col("mean")), 12))
-        r = r.withColumn("_copies", _copies(F.col("_rate"), F.col("size"), F.col("_chance"), F.col("cut"), F.col("fixes")))
-        taken = r.groupBy(F.col("_source").alias("_t")).agg(F.sum(F.col("size") * F.col("n") * F.col("_copies")).alias("taken"), F.any_value("target").alias("_want"))
-        need = stored(taken.select("_t", (F.col("_want") - F.col("taken")).alias("need")), "mix-need", 1)
-        d = r.join(F.broadcast(need) if few else need, F.col("_source").eqNullSafe(F.col("_t")))
+        return r.withColumn("_copies", _copies(F.col("_rate"), F.col("size"), F.col("_chance"), F.col("cut"), F.col("fixes")))
+
+    known = fitted.withColumn("fixes", F.array().cast("array<struct<chance:double,delta:int>>"))
+    taken = with_copies(known).groupBy(F.col("_source").alias("_t")).agg(F.sum(F.col("size") * F.col("n") * F.col("_copies")).alias("_taken"))
+    known = known.join(taken, F.col("source").eqNullSafe(F.col("_t")), "left").withColumn("need", F.col("target") - F.coalesce("_taken", F.lit(0)))
+    known = stored(known.drop("_t", "_taken"), "mix-fit", 1)
+    for _ in range(MOST_FIXES):
+        open_ = known.filter(F.abs("need") > CLOSE * F.col("target"))
+        if open_.isEmpty():
+            break
+        words_ = F.col("size") * F.col("n")
         delta = F.when(F.col("need") > 0, 1).otherwise(-1)
         able = F.when(delta > 0, F.col("_copies") < MOST_COPIES).otherwise(F.col("_copies") > 0)
         fixed = F.exists("fixes", lambda f: f["chance"] == F.col("_chance"))
-        off = F.abs(F.abs(F.col("need")) - F.col("size") * F.col("n"))
-        d = d.filter(able & ~fixed & (off < F.abs(F.col("need"))))
-        best = d.groupBy(F.col("_source").alias("_b")).agg(F.min(F.struct(off.alias("off"), F.col("_chance").alias("chance"), delta.alias("delta"))).alias("best"))
+        off = F.abs(F.abs(F.col("need")) - words_)
+        d = with_copies(open_).filter(able & ~fixed & (off < F.abs(F.col("need"))))
+        best = d.groupBy(F.col("_source").alias("_b")).agg(F.min(F.struct(off.alias("off"), F.col("_chance").alias("chance"), delta.alias("delta"), words_.alias("words"))).alias("best"))
         new = known.join(best, F.col("source").eqNullSafe(F.col("_b")), "left")
-        added = F.when(F.col("best").isNotNull(), F.concat("fixes", F.array(F.struct(F.col("best.chance").alias("chance"), F.col("best.delta").cast("int").alias("delta"))))).otherwise(F.col("fixes"))
-        known = stored(new.withColumn("fixes", added).select(*known.columns), "mix-fit", 1)
-    return known
+        has = F.col("best").isNotNull()
+        added = F.when(has, F.concat("fixes", F.array(F.struct(F.col("best.chance").alias("chance"), F.col("best.delta").cast("int").alias("delta"))))).otherwise(F.col("fixes"))
+        left = F.when(has, F.col("need") - F.col("best.delta") * F.col("best.words")).otherwise(F.col("need"))
+        known = stored(new.withColumns({"fixes": added, "need": left}).select(*known.columns), "mix-fit", 1)
+    return known.drop("need")
 
 
 def fit(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
