@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.classes(docs.select("doc_id", "text"))
     keep = stored(found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "dedup-keep")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = docs.select(*COLUMNS).join(keep.filter("_n = 1"), same).select(*COLUMNS)
+    # Texts are dealt out by id at every size: keep has no proven bound, so it is not broadcast.
+    once = docs.select(*COLUMNS).join(keep.filter("_n = 1").hint("shuffle_hash"), same).select(*COLUMNS)
     repeated = keep.filter("_n > 1")
     if repeated.isEmpty():
         return once
