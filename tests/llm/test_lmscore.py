@@ -36,3 +36,18 @@ def test_against_brute_force(spark, docs, empty):
     none = lmscore.fit(empty.select("text"), empty.select("text"))
     assert lmscore.scored(empty.select("doc_id", "text"), none).count() == 0
     assert lmscore.scored(docs.select("doc_id", "text"), none).count() == docs.count()
+
+
+@pytest.mark.parametrize("head", [lmscore.HEAD, 5])
+def test_rare_words_are_told_apart_in_a_large_corpus(spark, monkeypatch, head):
+    monkeypatch.setattr(lmscore, "HEAD", head)
+    # 400,000 tokens of filler: a share of 2e-5 would ask for 8 occurrences.
+    rows = [(k, "filler " * 1000) for k in range(400)]
+    rows += [(1000, "rare good pair"), (1001, "rare good pair"), (1002, "scarce bad couple"), (1003, "scarce bad couple"), (1004, "once alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = lmscore.fit(docs.filter("doc_id = 1000 OR doc_id < 50"), docs)
+    got = {r["doc_id"]: r for r in lmscore.scored(docs, models).collect()}
+    assert len(got) == len(rows) and models.words.count() == 7
+    assert got[1000]["score"] < got[1002]["score"]
+    again = {r["doc_id"]: r for r in lmscore.scored(docs.select("*"), models).collect()}
+    assert all(again[k]["score"] == pytest.approx(r["score"], abs=1e-8) and again[k]["n_tokens"] == r["n_tokens"] for k, r in got.items())

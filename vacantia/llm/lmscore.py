@@ -5,137 +5,237 @@ matched: one vocabulary, the same bigram form, the same smoothing. The score of
 document is the mean over its tokens of target loss less background loss, so low
 scores read like the target.
 
-Counts cover every token of every document. The models are then cut off by
-relative frequency, which bounds them whatever the corpus: at most 1 / WORD_SHARE
-words a side, and 1 / PAIR_SHARE bigrams a side. So they may be broadcast, and
-scoring is one pass without a shuffle.
+Counts cover every token of every document, and every word and bigram that either
+side has LEAST times is in the models, so they grow with the corpus. They are stored
+tables: a text's words get their numbers, and its bigrams their log probabilities,
+by joins. Only the HEAD most frequent entries are also broadcast, which spares rows
+in those joins and changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, tune_arrow
+from .common import stored, tune_arrow
 from .textkernel import Words, slices
 
-#: Words and bigrams below these shares of all tokens (of either side) or seen once are left to smoothing.
-WORD_SHARE, PAIR_SHARE = 2e-5, 2e-6
+#: Words and bigrams that neither side has so often are left to smoothing; no share of all tokens is asked for.
+LEAST, WORD_SHARE, PAIR_SHARE = 2, 0.0, 0.0
+#: At most so many of the most frequent entries of a table are broadcast.
+HEAD = 1 << 18
 #: Weight of the unigrams in a bigram's estimate, in tokens; and of every word in a unigram's.
 PRIOR, ADD = 8.0, 0.5
 #: Distinct keys a task sums before it passes them on.
 HELD = 1 << 20
+#: Numbers of the unknown word and of the start of a text; words follow.
+UNKNOWN, START, FIRST = 0, 1, 2
 
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _summed(docs: DataFrame, keys: Callable[[Words], np.ndarray], text: str = "text") -> DataFrame:
-    """key and n: how often each key stands in the texts of docs."""
+
+def _merged(held: list[Counted]) -> Counted:
+    """Each key once, with its sums."""
+    k, t, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    if not len(k):
+        return k, t, b
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[at], np.add.reduceat(t[order], at), np.add.reduceat(b[order], at)
+
+
+def _summed(texts: DataFrame, keyed: Callable[[pa.RecordBatch], Iterator[Counted]], name: str) -> DataFrame:
+    """key, t and b: how often each key stands in target and background; a stored table of those kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Counted] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-            return k[at], np.add.reduceat(n, at) if len(k) else n
-
-        def out(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["key", "n"])
-
-        for b in batches:
-            for _, _, data, off in slices(b.column(0)):
-                k, n = np.unique(keys(Words(data, off)), return_counts=True)
-                held.append((k.view(np.int64), n.astype(np.int64)))
-                size += len(k)
+        def out(part: Counted) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(part[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in part], names=["key", "t", "b"])
+
+        for batch in batches:
+            for part in keyed(batch):
+                held.append(_merged([part]))
+                size += len(held[-1][0])
                 if size > 2 * HELD:
-                    held = [merged()]
+                    held = [_merged(held)]
                     size = len(held[0][0])
                     if size > HELD:
-                        yield from out(*held[0])
+                        yield from out(held[0])
                         held, size = [], 0
         if held:
-            yield from out(*merged())
+            yield from out(_merged(held))
 
-    tune_arrow(docs.sparkSession)
-    part = docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, n long")
-    return stored(part.groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
+    tune_arrow(texts.sparkSession)
+    counts = texts.mapInArrow(run, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return stored(counts.filter((F.col("t") >= LEAST) | (F.col("b") >= LEAST)), name)
+
+
+def _texts(sides: list[tuple[DataFrame, int, int]], text: str) -> DataFrame:
+    """Each distinct text once: text_key, text, and how often target and background have it."""
+    rows = None
+    for d, t, b in sides:
+        part = d.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"), F.lit(t).cast("long").alias("t"), F.lit(b).cast("long").alias("b")).filter("text IS NOT NULL")
+        rows = part if rows is None else rows.unionByName(part)
+    return stored(rows.groupBy("text_key").agg(F.first("text").alias("text"), F.sum("t").alias("t"), F.sum("b").alias("b")), "lm-texts")
+
+
+def _head(df: DataFrame, count: str) -> DataFrame:
+    """The rows of the highest counts, HEAD at most: all rows above a count, never some of one count."""
+    seen, least = 0, None
+    for r in df.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(HEAD + 1).collect():
+        seen += r["n"]
+        if seen > HEAD:
+            break
+        least = r["c"]
+    return df.filter(F.lit(False) if least is None else F.col(count) >= least)
+
+
+def _columns(df: DataFrame, by: str, *others: str) -> tuple[np.ndarray, ...]:
+    got = df.select(by, *others).toArrow()
+    order = np.argsort(got[by].to_numpy(), kind="stable")
+    return tuple(got[c].to_numpy()[order] for c in (by, *others))
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
 
-def _kept(target: DataFrame, background: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """Keys that either side has often enough, and their counts in both; and all counts of both."""
-    totals = [float(d.agg(F.sum("n")).first()[0] or 0) for d in (target, background)]
-    often = [d.filter((F.col("n") > 1) & (F.col("n") >= share * t)).select("key") for d, t in zip((target, background), totals, strict=True)]
-    keys = small(stored(often[0].union(often[1]).distinct(), "lm-keys"), int(2 / share))
-    both = [d.join(keys, "key", "left_semi") for d in (target, background)]
-    got = both[1].withColumnRenamed("n", "b").join(both[0].withColumnRenamed("n", "t"), "key", "full").orderBy("key").toArrow()
-    key = got["key"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    count = {c: np.nan_to_num(got[c].to_numpy().astype(np.float64)) for c in ("t", "b")}
-    return key[order], count["t"][order], count["b"][order], totals[0], totals[1]
+def _hashes(w: Words) -> np.ndarray:
+    return w.hashes(w.start, w.end).view(np.int64)
 
 
+def _word_counts(batch: pa.RecordBatch) -> Iterator[Counted]:
+    t, b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("t", "b"))
+    for at, size, data, off in slices(batch.column(batch.schema.get_field_index("text"))):
+        w = Words(data, off)
+        yield _hashes(w), np.repeat(t[at : at + size], w.count), np.repeat(b[at : at + size], w.count)
+
+
+def _numbers(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Histories and words of all tokens of a batch, and how many tokens each text has."""
+    rows = [np.frombuffer(x, np.int32) for x in ids.to_pylist()]
+    count = np.array([len(x) for x in rows], np.int64)
+    word = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[(np.cumsum(count) - count)[count > 0]] = START
+    return before, word, count
+
+
+def _pair_counts(batch: pa.RecordBatch) -> Iterator[Counted]:
+    before, word, count = _numbers(batch.column(batch.schema.get_field_index("ids")))
+    t, b = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(), count) for c in ("t", "b"))
+    yield before << 32 | word, t, b
+
+
+@dataclass
 class Models:
-    """Both models over one vocabulary. Word ids: rows of `words`, then unknown, then start."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        self.words, self.unknown = words, len(words)
-
-    def ids(self, w: Words) -> np.ndarray:
-        h = w.hashes(w.start, w.end)
-        if not len(self.words):
-            return np.full(len(h), self.unknown)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, self.unknown)
-
-    def pairs(self, w: Words) -> np.ndarray:
-        """history * (words + 2) + word of every token."""
-        ids = self.ids(w)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[w.first[:-1][w.count > 0]] = self.unknown + 1
-        return (before * (self.unknown + 2) + ids).astype(np.uint64)
-
-    def fit(self, pairs: np.ndarray, counts: tuple, singles: tuple, totals: tuple) -> None:
-        """Log probabilities of kept pairs, of single words, and the smoothing weight of histories.
-
-        p(w | h) = (c(h, w) + PRIOR * p(w)) / (c(h) + PRIOR), with c(h) the sum of the kept
-        pairs of h, so every history's probabilities add up to one."""
-        n = self.unknown + 2
-        self.pair, self.single, self.back, self.joint = pairs, [], [], []
-        history, word = (pairs // np.uint64(n)).astype(np.int64), (pairs % np.uint64(n)).astype(np.int64)
-        for count, single, total in zip(counts, singles, totals, strict=True):
-            rest = max(total - single.sum(), 0.0)
-            p = (np.append(single, rest) + ADD) / (total + ADD * (self.unknown + 1))
-            of = np.bincount(history, weights=count, minlength=n)
-            self.single.append(np.log(p))
-            self.back.append(np.log(PRIOR / (of + PRIOR)))
-            self.joint.append(np.log((count + PRIOR * p[word]) / (of[history] + PRIOR)))
-
-    def losses(self, w: Words) -> list[np.ndarray]:
-        """The loss of every token under target and background."""
-        n = self.unknown + 2
-        key = self.pairs(w)
-        at = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
-        known = self.pair[at] == key if len(self.pair) else np.zeros(len(key), bool)
-        history, word = (key // np.uint64(n)).astype(np.int64), (key % np.uint64(n)).astype(np.int64)
-        return [-np.where(known, self.joint[k][at] if len(self.pair) else 0.0, self.single[k][word] + self.back[k][history]) for k in (0, 1)]
+    """Both models over one vocabulary.
+
+    words has key (a hash) and id of every word in it. parts has what log probabilities
+    are summed from: key, x_t and x_b, with keys h << 32 | w for a bigram, -1 - 2 * w for
+    a word, -2 - 2 * h for a history. source is the background that ids was made of."""
+
+    words: DataFrame
+    parts: DataFrame
+    source: DataFrame
+    ids: DataFrame
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """words with id: numbers without gaps from FIRST on, stored."""
+    at = stored(words.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "lm-rows")
+    sizes = at.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row a file
+    first, next_id = [], FIRST
+    for r in sizes:
+        first.append((r["_part"], next_id))
+        next_id += r["n"]
+    if next_id >= 1 << 31:
+        raise ValueError("more words than 31 bits number")
+    first = words.sparkSession.createDataFrame(first, "_part int, _first long")
+    return stored(at.join(F.broadcast(first), "_part").select("key", "t", "b", (F.col("_first") + F.col("_row")).alias("id")), "lm-words")
+
+
+def _with_ids(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """text_key, t, b and ids: the numbers of a text's words in order, as 32-bit integers."""
+    spark = texts.sparkSession
+    tune_arrow(spark)
+    sent = spark.sparkContext.broadcast(_columns(_head(words.withColumn("n", F.col("t") + F.col("b")), "n"), "key", "id"))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = batch.column(0).to_numpy()
+            for at, size, data, off in slices(batch.column(1)):
+                w = Words(data, off)
+                h = _hashes(w)
+                tail = ~_find(sent.value[0], h)[1]
+                h, doc = h[tail], w.doc[tail]
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(name[at : at + size][doc[new]]), pa.array(h[new])], names=["text_key", "key"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.list_flatten(batch.column(4))
+            key, number = found.field(0).to_numpy(), found.field(1).to_numpy()
+            key, at = np.unique(key, return_index=True)
+            number = number[at]
+            out: list[bytes] = []
+            for _, _, data, off in slices(batch.column(1)):
+                w = Words(data, off)
+                h = _hashes(w)
+                ids = np.full(len(h), UNKNOWN, np.int32)
+                for keys, values in (sent.value, (key, number)):
+                    place, there = _find(keys, h)
+                    ids[there] = values[place[there]]
+                raw = ids.tobytes()
+                out += [raw[4 * x : 4 * y] for x, y in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.binary())], names=["text_key", "t", "b", "ids"])
+
+    tail = texts.select("text_key", "text").mapInArrow(rare, "text_key long, key long")
+    found = tail.join(words.select("key", "id"), "key").groupBy("text_key").agg(F.collect_list(F.struct("key", "id")).alias("found"))
+    both = texts.join(found.withColumnRenamed("text_key", "_key"), F.col("text_key") == F.col("_key"), "left").select("text_key", "text", "t", "b", "found")
+    return stored(both.mapInArrow(numbered, "text_key long, t long, b long, ids binary"), "lm-ids")
 
 
 def fit(target: DataFrame, background: DataFrame, text: str = "text") -> Models:
     """Both models, from every token of target and background. Empty tables give models without words."""
-    hashes = lambda w: w.hashes(w.start, w.end)
-    words, t, b, tn, bn = _kept(_summed(target, hashes, text), _summed(background, hashes, text), WORD_SHARE)
-    models = Models(words)
-    pairs, pt, pb, _, _ = _kept(_summed(target, models.pairs, text), _summed(background, models.pairs, text), PAIR_SHARE)
-    models.fit(pairs, (pt, pb), (t, b), (tn, bn))
-    return models
+    spark = background.sparkSession
+    texts = _texts([(target, 1, 0), (background, 0, 1)], text)
+    words = _numbered(_summed(texts, _word_counts, "lm-word-counts"))
+    ids = _with_ids(texts, words)
+    pairs = _summed(ids, _pair_counts, "lm-pairs")
+    tokens = [F.coalesce(F.sum(F.length("ids") / 4 * F.col(c)), F.lit(0.0)) for c in ("t", "b")]
+    total = ids.agg(*tokens).first()
+    known = words.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "b")]).first()
+    rest = spark.createDataFrame([(UNKNOWN, int(total[0]) - known[1], int(total[1]) - known[2])], "id long, t long, b long")
+    single = words.select("id", "t", "b").unionByName(rest)
+    p = {c: (F.col(f"p_{c}") + ADD) / F.lit(float(total[k]) + ADD * (known[0] + 1)) for k, c in enumerate("tb")}
+    single = single.select("id", F.col("t").alias("p_t"), F.col("b").alias("p_b")).select("id", *[p[c].alias(f"p_{c}") for c in "tb"], F.greatest("p_t", "p_b").alias("n"))
+    single = stored(single, "lm-singles")
+    history = pairs.groupBy(F.shiftright("key", 32).alias("h")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    # log p(w | h) = log p(w) - log(1 + c(h) / PRIOR) + log(1 + c(h, w) / (PRIOR p(w))), c(h) over the kept pairs of h.
+    of_pairs = pairs.join(single.drop("n"), F.col("key").bitwiseAND((1 << 32) - 1) == F.col("id")).select("key", *[F.log1p(F.col(c) / (PRIOR * F.col(f"p_{c}"))).alias(f"x_{c}") for c in "tb"], F.greatest("t", "b").alias("n"))
+    of_words = single.select((-1 - 2 * F.col("id")).alias("key"), *[F.log(f"p_{c}").alias(f"x_{c}") for c in "tb"], "n")
+    of_histories = history.select((-2 - 2 * F.col("h")).alias("key"), *[(-F.log1p(F.col(c) / PRIOR)).alias(f"x_{c}") for c in "tb"], F.greatest("t", "b").alias("n"))
+    parts = stored(of_pairs.unionByName(of_words).unionByName(of_histories), "lm-parts")
+    return Models(words, parts, background, ids.filter("b > 0"))
 
 
 def scored(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
@@ -143,29 +243,40 @@ def scored(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     (means over tokens, rounded to nine places; score is the difference).
 
     A text without words, or null, has losses and score 0; equal texts score alike;
-    other columns pass through; an empty table stays empty. Words are told apart by
-    64-bit hashes, upper case from lower."""
+    other columns pass through; an empty table stays empty. Words and texts are told
+    apart by 64-bit hashes, upper case from lower."""
     others = [c for c in docs.columns if c != text]
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the shares
+    ids = models.ids if docs is models.source else _with_ids(_texts([(docs, 0, 0)], text), models.words)
+    sent = docs.sparkSession.sparkContext.broadcast(_columns(_head(models.parts, "n"), "key", "x_t", "x_b"))
+    tune_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text))
-            n, loss = np.zeros(len(texts), np.int64), np.zeros((2, len(texts)))
-            for at, size, data, off in slices(texts):
-                w = Words(data, off)
-                n[at : at + size] = w.count
-                has = np.flatnonzero(w.count)
-                if len(has):
-                    for k, v in enumerate(m.losses(w)):
-                        loss[k, at + has] = np.add.reduceat(v, w.first[:-1][has]) / w.count[has]
-            t, g = np.round(loss, 9)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in others), pa.array(n), pa.array(t), pa.array(g), pa.array(np.round(t - g, 9))], names=[*others, "n_tokens", "target_loss", "background_loss", "score"])
-
-    tune_arrow(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n_tokens long, target_loss double, background_loss double, score double"]))
+        """The parts of each text that are not in the head, and one row of what is, under a key that no part has."""
+        keys, *values = sent.value
+        for batch in batches:
+            name = batch.column(0).to_numpy()
+            before, word, count = _numbers(batch.column(1))
+            doc = np.repeat(np.arange(len(name)), count)
+            sums, tails = np.zeros((2, len(name))), [(-(1 << 62) - (name & ((1 << 61) - 1)), np.arange(len(name)))]
+            for key in (before << 32 | word, -1 - 2 * word, -2 - 2 * before):
+                at, there = _find(keys, key)
+                for k, v in enumerate(values):
+                    sums[k] += np.bincount(doc[there], weights=v[at[there]], minlength=len(name)) if len(v) else 0.0
+                tails.append((key[~there], doc[~there]))
+            key, doc = (np.concatenate(x) for x in zip(*tails, strict=True))
+            fill = np.zeros(len(key) - len(name))
+            columns = [name[doc], key, np.concatenate([count, fill.astype(np.int64)]), *(np.concatenate([s, fill]) for s in sums)]
+            for i in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["text_key", "key", "n", "t", "b"])
+
+    rows = ids.select("text_key", "ids").mapInArrow(run, "text_key long, key long, n long, t double, b double")
+    got = rows.join(models.parts.select(F.col("key").alias("_key"), "x_t", "x_b"), F.col("key") == F.col("_key"), "left")
+    total = [F.sum(F.col(c) + F.coalesce(f"x_{c}", F.lit(0.0))).alias(c) for c in "tb"]
+    sums = stored(got.groupBy(F.col("text_key").alias("_text_key")).agg(F.sum("n").alias("_n"), *[x.alias(f"_{c}") for x, c in zip(total, "tb", strict=True)]), "lm-sums")
+    slim = docs.select(*others, F.xxhash64(text).alias("_of"), F.col(text).isNotNull().alias("_has"))
+    out = slim.join(sums, F.col("_has") & (F.col("_of") == F.col("_text_key")), "left")
+    loss = {c: F.when(F.col("_n") > 0, F.round(-F.col(f"_{c}") / F.col("_n"), 9)).otherwise(F.lit(0.0)) for c in "tb"}
+    return out.select(*others, F.coalesce("_n", F.lit(0)).cast("long").alias("n_tokens"), loss["t"].alias("target_loss"), loss["b"].alias("background_loss"), F.round(loss["t"] - loss["b"], 9).alias("score"))
 
 
 def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
