@@ -32,6 +32,15 @@ def filled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.filled_scores(c, known)
 
 
+@query(f"WITH {METRICS_SQL}, k AS (SELECT query_id, job_id, CASE WHEN job_id % 2 = 0 THEN cross_score ELSE CASE WHEN job_id % 3 = 0 THEN 1.0 ELSE 0.0 END END AS score FROM metrics) SELECT query_id, job_id, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM k")
+def filled_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12 over every candidate: those without a score are scored, and all are ranked anew."""
+    m = metrics(spark, sf_dir)
+    c = m.select("query_id", "job_id", F.lit("x").alias("a"), F.when(F.col("job_id") % 3 == 0, F.lit("x")).otherwise(F.lit("y")).alias("b"))
+    known = m.filter("job_id % 2 = 0").select("query_id", "job_id", F.col("cross_score").alias("score"))
+    return matching.filled_scores(c, known)
+
+
 @query(f"WITH {METRICS_SQL}, d AS (SELECT query_id, job_id % 10 AS resume, round(word_distance, 2) AS d, job_id % 4 = 0 AS ref FROM metrics), n AS (SELECT d, count(*) FILTER (WHERE ref) AS k FROM d GROUP BY d), p AS (SELECT d, sum(k) OVER (ORDER BY d) * 100.0 / sum(k) OVER () AS pct FROM n) SELECT resume, count(*) AS phrases, round(100.0 * count(*) FILTER (WHERE pct <= 10) / count(*), 4) AS percent_flagged, round(100.0 * count(*) FILTER (WHERE pct >= 90) / count(*), 4) AS bad_match_percent, round(avg(pct), 4) AS mean_percentile, round(avg(d.d), 1) AS mean_distance FROM d JOIN p ON p.d = d.d WHERE NOT ref GROUP BY resume")
 def job_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a candidate's nearest phrases compare with a pool's."""
