@@ -53,6 +53,15 @@ def sliced_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d
 
 
+def _percentiles(n: DataFrame) -> DataFrame:
+    """Phrases of label 1 with the percentile of their distance d among those of higher labels."""
+    per = n.groupBy("d").agg(F.count_if(F.col("label") > 1).alias("k"))
+    run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a distance, after aggregation
+    per = per.select(F.col("d").alias("_d"), (F.sum("k").over(run) * 100.0 / F.sum("k").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("pct"))
+    j = n.filter("label = 1").join(per, F.col("d") == F.col("_d"))
+    return j.select("vec_id", F.col("d").alias("nearest"), F.round("pct", 4).alias("percentile"), (F.col("pct") <= 10).alias("flagged"), (F.col("pct") >= 90).alias("bad"))
+
+
 @query(f"WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), r AS (SELECT v AS rv FROM e WHERE label = 0 AND vec_id < 400), n AS (SELECT vec_id, label, min(1 - list_cosine_similarity(v, rv)) AS nearest FROM e, r WHERE label <> 0 GROUP BY 1, 2), pool AS (SELECT nearest FROM n WHERE label > 1), j AS (SELECT vec_id, nearest, (SELECT count(*) FROM pool WHERE round(pool.nearest, 6) <= round(n.nearest, 6)) * 100.0 / (SELECT count(*) FROM pool) AS pct FROM n WHERE label = 1) SELECT vec_id, round(nearest, 6) AS nearest, round(pct, 4) AS percentile, pct <= 10 AS flagged, pct >= 90 AS bad FROM j")
 def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each phrase's nearest resume phrase, as a percentile of a reference pool.
@@ -62,11 +71,15 @@ def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The resume is the query: its phrases are a stated, small set.
     resume = np.array([r[0] for r in e.filter("label = 0 AND vec_id < 400").select("embedding").collect()]).reshape(-1, 64)
     n = vectors.nearest(e.filter("label <> 0").select("vec_id", "label", "embedding"), "embedding", resume).withColumn("d", F.round("nearest", 6))
-    per = n.groupBy("d").agg(F.count_if(F.col("label") > 1).alias("k"))
-    run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a distance, after aggregation
-    per = per.select(F.col("d").alias("_d"), (F.sum("k").over(run) * 100.0 / F.sum("k").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("pct"))
-    j = n.filter("label = 1").join(per, F.col("d") == F.col("_d"))
-    return j.select("vec_id", F.col("d").alias("nearest"), F.round("pct", 4).alias("percentile"), (F.col("pct") <= 10).alias("flagged"), (F.col("pct") >= 90).alias("bad"))
+    return _percentiles(n)
+
+
+@query(f"WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), r AS (SELECT v AS rv FROM e WHERE label = 0), n AS (SELECT vec_id, label, min(1 - list_cosine_similarity(v, rv)) AS nearest FROM e, r WHERE label <> 0 GROUP BY 1, 2), pool AS (SELECT nearest FROM n WHERE label > 1), j AS (SELECT vec_id, nearest, (SELECT count(*) FROM pool WHERE round(pool.nearest, 6) <= round(n.nearest, 6)) * 100.0 / (SELECT count(*) FROM pool) AS pct FROM n WHERE label = 1) SELECT vec_id, round(nearest, 6) AS nearest, round(pct, 4) AS percentile, pct <= 10 AS flagged, pct >= 90 AS bad FROM j")
+def phrase_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V17, J8, W23 with all of label 0 as the resume, which may grow with the table."""
+    e = table(spark, sf_dir, "embeddings")
+    n = vectors.nearest_of(e.filter("label <> 0").select("vec_id", "label", "embedding"), "embedding", e.filter("label = 0").select("embedding")).withColumn("d", F.round("nearest", 6))
+    return _percentiles(n)
 
 
 @query()
