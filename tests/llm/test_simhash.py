@@ -94,3 +94,12 @@ def test_classes(docs, empty):
     assert by[0] == by[1] == by[2] == 0  # no words: linked like any other
     assert by[4] == by[5] == 4
     assert simhash.classes(empty).count() == 0
+
+
+def test_fingerprints_of_null_ids_link(spark, monkeypatch):
+    # 7 and 9 link through a row without an id alone; the fourth row's component has no id.
+    rows = [(7, 0b1111 << 8), (None, 0), (9, 0b1111 << 20), (None, (1 << 40) * 0xFFFF), (3, (1 << 60) - 1)]
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda d: d.select("doc_id", d["text"].cast("long").alias("fp")))
+    docs = spark.createDataFrame([(k, str(v)) for k, v in rows], "doc_id long, text string")
+    got = {r["fp"]: r["component_id"] for r in simhash.classes(docs).collect()}
+    assert got == {0b1111 << 8: 7, 0: 7, 0b1111 << 20: 7, (1 << 40) * 0xFFFF: None, (1 << 60) - 1: 3}

@@ -208,6 +208,21 @@ def links(nodes: DataFrame, distance: int = 4, tile: int = TILE) -> DataFrame:
     return rows.mapInArrow(compare, "u long, v long")
 
 
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 4) -> DataFrame:
+    """What classes returns, and root: a fingerprint that names the component, with ids or without."""
+    slim = stored(with_fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "simhash-fp")
+    nodes = stored(slim.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    # Fingerprints are the nodes, so that those without an id link too.
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), distance))  # nodes without links are not in it
+    linked = stored(found.join(nodes, F.col("node") == F.col("fp")).select(F.col("node").alias("_node"), F.col("component_id").alias("_root"), "least_id"), "simhash-linked")
+    least = stored(linked.groupBy(F.col("_root").alias("_of")).agg(F.min("least_id").alias("_least")), "simhash-least")
+    linked = stored(linked.join(least, F.col("_root") == F.col("_of")).select("_node", "_root", "_least"), "simhash-roots")
+    # A linked fingerprint has its component's id, null if that has none; any other its own.
+    named = nodes.join(linked, F.col("fp") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), F.when(F.col("_node").isNull(), F.col("least_id")).otherwise(F.col("_least")).alias("component_id"), F.coalesce("_root", "fp").alias("root"))
+    named = stored(named, "simhash-classes")
+    return slim.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id", "root")
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 4) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every document.
 
@@ -215,10 +230,4 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distanc
     words and null texts have fingerprint 0 and link like any other. Rows with a
     null doc_id keep it and get their component's smallest id (null if it has none);
     repeated rows are returned as often as they stand. An empty table gives none."""
-    slim = stored(with_fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "simhash-fp")
-    nodes = stored(slim.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    edges = links(nodes.filter("node IS NOT NULL"), distance)
-    found = components(edges)  # node, component_id; nodes without links are not in it
-    named = nodes.join(found, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "node").alias("component_id"))
-    named = stored(named, "simhash-classes")
-    return slim.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+    return grouped(docs, text, doc_id, distance).drop("root")
