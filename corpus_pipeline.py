@@ -27,12 +27,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each SimHash component: that with the smallest doc_id.
 
     Rows that share that doc_id are one document: the first by text stays. A
-    document without an id stays only if no document of its component has one."""
-    found = simhash.classes(docs.select("doc_id", "text"))
-    keep = stored(found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "dedup-keep")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    document without an id stays only if no document of its component has one: then
+    the first by text of the component's least fingerprint."""
+    found = stored(simhash.grouped(docs.select("doc_id", "text")), "dedup-found")
+    keep = stored(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "dedup-keep")
+    same = F.col("doc_id") == F.col("_id")
     # Texts are dealt out by id at every size: keep has no proven bound, so it is not broadcast.
     once = docs.select(*COLUMNS).join(keep.filter("_n = 1").hint("shuffle_hash"), same).select(*COLUMNS)
+    nameless = found.filter("component_id IS NULL")
+    if not nameless.isEmpty():
+        least = stored(nameless.groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp"), "dedup-nameless")
+        # Null ids cannot name rows; fingerprints do.
+        null_ids = simhash.with_fingerprints(docs.filter("doc_id IS NULL").select(*COLUMNS, F.col("text").alias("_text")), "_text")
+        first = null_ids.join(least, F.col("fp") == F.col("_fp")).groupBy("fp").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+        once = once.unionByName(first.select("r.*"))
     repeated = keep.filter("_n > 1")
     if repeated.isEmpty():
         return once

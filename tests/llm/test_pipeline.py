@@ -33,3 +33,11 @@ def test_empty_table(spark):
 def test_every_query_runs(spark):
     for name, f in queries.QUERIES.items():
         assert f(spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_near_duplicates_keep_different_documents_without_ids(spark):
+    texts = [" ".join(f"{w}{k}" for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta")) for k in range(4)]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (4, texts[3])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3])], key=str)
