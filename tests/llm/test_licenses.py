@@ -45,3 +45,21 @@ def test_scanned(docs, empty, spark):
     assert licenses.scanned(docs).filter("n_blocks > 0").count() == 0 and licenses.scanned(empty).count() == 0
     with pytest.raises(ValueError):
         licenses.scanned(docs.withColumnRenamed("feature", "licenses"))
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        *((f"This article is available under the terms of CC {k} 4.0 license.", f"CC-{k}-4.0") for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA")),
+        ("All text is published under CC BY 4.0, a free license.", "CC-BY-4.0"),
+        ("Copyright (c) 2024 Jane Doe, released under the MIT License.", "MIT"),
+        ("Copyright 2019 Jane Doe and 12 others, licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ],
+)
+def test_notices_within_other_words(scanner, text, name):
+    assert [g[2] for g in scanner.scan(text)] == [name]
+
+
+@pytest.mark.parametrize("text", ["He is licensed under the act of 1998 to sell fish.", "I read the MIT License yesterday.", "Licensed under CC BY 3.0."])
+def test_other_versions_and_mentions(scanner, text):
+    assert scanner.scan(text) == []

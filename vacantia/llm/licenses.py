@@ -2,8 +2,8 @@
 
 A candidate block is compressed alone, and with each license template as a raw
 zstandard dictionary. Templates are ranked by how much they shorten the block;
-the best few are confirmed, or not, by the exact differences in wording, which
-also tell versions and clauses apart.
+each is then confirmed, or not, by the exact wording of the stretch of the block
+that fits it best, which also tells versions and clauses apart.
 """
 
 from __future__ import annotations
@@ -56,8 +56,22 @@ TRIGGER = r"licen[cs]|spdx|permission (is hereby|to use)|public domain|creative
 _trigger = re.compile(TRIGGER, re.I)
 _unit = re.compile(r"[^\n]+?(?:[.!?](?=[ \t])(?![ \t]*\d)|$|(?=\n))", re.M)
 _word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: A template must shorten a block by this share to be looked at; so many are; this share of the block's words must stand in it, in order.
+#: This share of a stretch's words must stand in a template, in order. A block without a license's name is one whole
+#: notice if the template is among the best LOOKED_AT, shortens it by LEAST_REDUCTION and has that share of all its words.
 LEAST_REDUCTION, LOOKED_AT, LEAST_WORDS = 0.3, 3, 0.8
+#: A stretch of so many words more than it differs by is a notice without a name; a name is one so many words behind "under" or "spdx".
+LONG, NEAR = 8, 8
+#: Full names of the licenses whose SPDX name is not how notices put it.
+NAMES = {
+    "MIT": ["MIT License"], "BSD-2-Clause": ["BSD 2-Clause"], "BSD-3-Clause": ["BSD 3-Clause"], "ISC": ["ISC License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0"], "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"],
+} | {
+    f"{k}GPL-{v}": [f"GNU {w}General Public License{x}" for x in (f", version {m}", f" v{m}", f" {m}", f", version {v}", f" v{v}", f" {v}")]
+    for k, w in {"": "", "L": "Lesser ", "A": "Affero "}.items() for v, m in (("2.0", "2"), ("2.1", "2.1"), ("3.0", "3"))
+} | {
+    f"CC-{k}-4.0": [f"CC {k} 4.0", f"Creative Commons {w} 4.0"]
+    for k, w in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()
+}
 
 
 class Scanner:
@@ -67,6 +81,7 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.under = {n: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
         self.words = {n: _word.findall(t.lower()) for n, t in templates.items()}
+        self.names = {n: [_word.findall(x.lower()) for x in [*NAMES.get(n, []), *([n] if n != "MIT" and n != "ISC" else [])]] for n in templates}
         self.known: dict[str, tuple[str | None, float, str]] = {}
 
     def rank(self, block: str) -> list[tuple[float, str]]:
@@ -87,19 +102,43 @@ class Scanner:
         gaps = [w for x, y in zip(parts, parts[1:], strict=False) for w in made[x.a + x.size : y.a] if y.a - x.a - x.size <= 6]
         return len(there) / len(own), extra, gaps
 
+    def stretch(self, own: list[str], name: str) -> tuple[int, list[str], list[str], int]:
+        """How many words more the best stretch of own has in common with the template than
+        it differs by; the differing words, as in differences; and the words in common."""
+        made = self.words[name]
+        parts = [m for m in SequenceMatcher(None, made, own, autojunk=False).get_matching_blocks() if m.size]
+        best: tuple[int, list[str], list[str], int] = (0, [], [], 0)
+        here: tuple[int, list[str], list[str], int] = (0, [], [], 0)
+        for x, y in zip([None, *parts], parts, strict=False):
+            extra = own[x.b + x.size : y.b] if x else []
+            left_out = made[x.a + x.size : y.a] if x else []
+            gaps = left_out if len(left_out) <= 6 else []  # beyond that, another sentence of the template
+            score = here[0] - len(extra) - len(gaps)
+            # A number that the template lacks is another version: no stretch goes across it.
+            if score <= 0 or any(w[0].isdigit() for w in extra):
+                here = (y.size, [], [], y.size)
+            else:
+                here = (score + y.size, here[1] + extra, here[2] + gaps, here[3] + y.size)
+            best = max(best, here, key=lambda h: h[0])
+        return best
+
+    def named(self, own: list[str], name: str) -> bool:
+        """Whether own has a name of the license, closely behind "under" or "spdx"."""
+        return any(own[i : i + len(n)] == n and {"under", "spdx"} & set(own[max(i - NEAR, 0) : i]) for n in self.names[name] for i in range(len(own) - len(n) + 1))
+
     def best(self, block: str) -> tuple[str | None, float, str]:
         """The confirmed template (or None), its reduction, and the differing words."""
         if block in self.known:
             return self.known[block]
+        own = _word.findall(block.lower())
         found: list[tuple] = []
-        for reduction, name in self.rank(block)[:LOOKED_AT]:
-            if reduction < LEAST_REDUCTION:
-                break
-            share, extra, gaps = self.differences(block, name)
-            # A number in the block that the template lacks is another version.
-            if share >= LEAST_WORDS and not any(w[0].isdigit() for w in extra):
-                found.append((len(extra) + len(gaps), -reduction, name, " ".join([*(f"+{w}" for w in extra), *(f"-{w}" for w in gaps)])))
-        out = (None, 0.0, "") if not found else (min(found)[2], round(-min(found)[1], 6), min(found)[3])
+        for k, (reduction, name) in enumerate(self.rank(block)):
+            score, extra, gaps, common = self.stretch(own, name)
+            named = self.named(own, name)
+            whole = k < LOOKED_AT and reduction >= LEAST_REDUCTION and common >= LEAST_WORDS * len(own) and not any(w[0].isdigit() for w in self.differences(block, name)[1])
+            if named or (common >= LEAST_WORDS * (common + len(extra)) and (score >= LONG or whole)):
+                found.append((not named, -score, -reduction, name, " ".join([*(f"+{w}" for w in extra), *(f"-{w}" for w in gaps)])))
+        out = (None, 0.0, "") if not found else (min(found)[3], round(-min(found)[2], 6), min(found)[4])
         if len(self.known) < 20_000:
             self.known[block] = out
         return out
