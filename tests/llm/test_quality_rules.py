@@ -72,3 +72,37 @@ def test_verdicts_on_held_out_labels(spark):
     out = q.judged(docs, rules).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not _q_base_failed")
     right = out.agg(F.avg((F.col("_q_kept") == (F.col("quality") == 1)).cast("double"))).first()[0]
     assert right > 0.95
+
+
+def test_few_labels_still_teach():
+    rng = np.random.default_rng(5)
+    c = {k: rng.integers(60, 400, 70) for k in q.COUNTS}
+    c["n_words"] = rng.integers(60, 400, 70)
+    c["word_chars"] = c["n_words"] * 5
+    c["n_symbols"] = rng.integers(0, 4, 70)
+    bad = np.zeros(70, bool)
+    bad[[3, 17, 29, 44, 58, 66]] = True
+    c["n_symbols"][bad] = c["word_chars"][bad] // 4
+    rules = q.learn(c, bad)
+    assert [r[0].feature for r in rules] == ["symbols_per_char"] and rules[0][0].above
+    hit = q._holds(rules[0], q.features(c), 70)
+    assert (hit == bad).all()
+
+
+def test_few_labels_without_a_pattern_teach_nothing_imprecise():
+    rng = np.random.default_rng(6)
+    c = {k: rng.integers(60, 400, 80) for k in q.COUNTS}
+    bad = rng.random(80) < 0.5
+    for rule in q.learn(c, bad):
+        hit = q._holds(rule, q.features(c), 80)
+        assert (hit & bad).sum() >= 0.9 * hit.sum()
+
+
+def test_repeated_rows_do_not_crowd_out_labels(spark):
+    rows = [(1, "alpha beta gamma " * 3 + " ".join(f"w{k}" for k in range(60)))] * 13000
+    rows += [(k, (" ".join(f"w{j * k % 97}" for j in range(80))) + (" ### $$$ %%%" * 30 if k % 2 else "")) for k in range(2, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0 if k % 2 and k > 1 else 1) for k in range(1, 80)], "doc_id long, quality int")
+    rules = q.fit(docs, labels)
+    out = q.judged(docs, rules).filter("doc_id > 1").select("doc_id", "_q_kept", "_q_base_failed").collect()
+    assert all(r["_q_kept"] == (r["doc_id"] % 2 == 0) for r in out if not r["_q_base_failed"]) and not all(r["_q_base_failed"] for r in out)

@@ -2,9 +2,10 @@
 
 Statistics of whole texts are counted in numpy over Arrow batches. From labelled
 statistics, sequential covering learns rules that name low-quality texts: each rule
-is a conjunction of thresholds, grown by FOIL gain on two thirds of the labels,
-then pruned on the last third, and kept only if it is precise there. The rules come
-out as one ordered Spark conditional expression.
+is a conjunction of thresholds, grown by FOIL gain on two thirds of the labels, then
+pruned on the last third (by cross-validation where that is too small), and kept
+only if it is precise there. The rules come out as one ordered Spark conditional
+expression.
 """
 
 from __future__ import annotations
@@ -146,60 +147,102 @@ def _holds(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndarra
     return m
 
 
-def learn(counts: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, least: int = 5, most_conditions: int = 4, seed: int = 7) -> list[list[Condition]]:
+#: A part of the labels with fewer rows of either kind is too small to prune on.
+FEW, FOLDS = 10, 5
+
+
+def _least(bad: np.ndarray) -> int:
+    """Bad rows that a rule must cover: an eighth of them, at least 2 and at most 5."""
+    return int(min(5, max(2, bad.sum() // 8)))
+
+
+def _grown(x: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarray, least: int, most: int) -> list[Condition]:
+    """A conjunction grown on the rows inside: each condition is the one of most FOIL gain."""
+    rule: list[Condition] = []
+    while len(rule) < most:
+        p0, n0 = (bad & inside).sum(), (~bad & inside).sum()
+        if not p0 or not n0:
+            break
+        best, gain = None, 1e-9
+        for f, v in x.items():
+            for cut in _cuts(v[inside]):
+                for above in (True, False):
+                    hit = inside & ((v > cut) if above else (v <= cut))
+                    p1, n1 = (bad & hit).sum(), (~bad & hit).sum()
+                    if p1 < least:
+                        continue
+                    g = p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p0 / (p0 + n0)))
+                    if g > gain:
+                        best, gain = Condition(f, above, float(f"{cut:.8g}")), g
+        if best is None:
+            break
+        rule.append(best)
+        inside = inside & best.holds(x)
+    return rule
+
+
+def _worth(rule: list[Condition], x: dict[str, np.ndarray], bad: np.ndarray, where: np.ndarray) -> tuple[int, int]:
+    hit = _holds(rule, x, len(bad)) & where
+    return int((bad & hit).sum()), int((~bad & hit).sum())
+
+
+def _share(p: int, q: int) -> float:
+    return (p - q) / (p + q) if p + q else -1.0
+
+
+def _pruned(rule: list[Condition], x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray) -> list[Condition]:
+    """The rule without the conditions that do not pay on the rows to prune on."""
+    while len(rule) > 1:
+        shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule))), key=lambda r: _share(*_worth(r, x, bad, prune)))
+        if _share(*_worth(shorter, x, bad, prune)) < _share(*_worth(rule, x, bad, prune)):
+            break
+        rule = shorter
+    return rule
+
+
+def _cross_validated(x: dict[str, np.ndarray], bad: np.ndarray, left: np.ndarray, fold: np.ndarray, least: int, most: int) -> list[Condition]:
+    """A rule grown on all rows left, cut to the number of conditions that does best on
+    rows that rules grown without them have not seen."""
+    tally = np.zeros((most + 1, 2), np.int64)
+    for k in range(FOLDS):
+        rule = _grown(x, bad, left & (fold != k), max(2, least - 1), most)
+        for size in range(1, most + 1):
+            tally[size] += _worth(rule[:size], x, bad, left & (fold == k)) if rule else (0, 0)
+    size = max(range(1, most + 1), key=lambda m: (_share(*tally[m].tolist()), -m))
+    return _grown(x, bad, left, least, most)[:size]
+
+
+def learn(counts: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, least: int | None = None, most_conditions: int = 4, seed: int = 7) -> list[list[Condition]]:
     """An ordered list of rules, each a conjunction that names bad texts.
 
-    Grown on two thirds, pruned and tested on one third; a rule stays if its
-    precision on either part is at least `precision` and it covers `least` bad rows.
-    No rows, or labels of one kind only: no rules."""
+    Grown on two thirds and pruned on one third of the labels; where that third has
+    fewer than FEW rows of either kind, grown on all and pruned by cross-validation
+    in FOLDS parts. A rule stays if its precision on every part it is tested on is at
+    least `precision` and it covers `least` bad rows (by default an eighth of the bad
+    rows, 2 at least and 5 at most). No rows, or labels of one kind only: no rules."""
     x = features(counts)
     n = len(bad)
     if not n or bad.all() or not bad.any():
         return []
-    hold = np.random.default_rng(seed).random(n) < 1 / 3
+    least = _least(bad) if least is None else least
+    draw = np.random.default_rng(seed).random(n)
+    hold, fold = draw < 1 / 3, (draw * FOLDS).astype(int)
     left, rules = np.ones(n, bool), []
     while (bad & left).sum() >= least and len(rules) < 32:
         grow, prune = left & ~hold, left & hold
-        rule: list[Condition] = []
-        inside = grow.copy()
-        while len(rule) < most_conditions:
-            p0, n0 = (bad & inside).sum(), (~bad & inside).sum()
-            if not p0 or not n0:
-                break
-            best, gain = None, 1e-9
-            for f, v in x.items():
-                for cut in _cuts(v[inside]):
-                    for above in (True, False):
-                        hit = inside & ((v > cut) if above else (v <= cut))
-                        p1, n1 = (bad & hit).sum(), (~bad & hit).sum()
-                        if p1 < least:
-                            continue
-                        g = p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p0 / (p0 + n0)))
-                        if g > gain:
-                            best, gain = Condition(f, above, float(f"{cut:.8g}")), g
-            if best is None:
-                break
-            rule.append(best)
-            inside &= best.holds(x)
+        if min((bad & prune).sum(), (~bad & prune).sum()) >= FEW:
+            parts = (grow, prune)
+            rule = _pruned(_grown(x, bad, grow, least, most_conditions), x, bad, prune)
+        else:
+            parts = (left,)
+            rule = _cross_validated(x, bad, left, fold, least, most_conditions)
         if not rule:
             break
-
-        def worth(r: list[Condition], where: np.ndarray) -> float:
-            hit = _holds(r, x, n) & where
-            p, q = (bad & hit).sum(), (~bad & hit).sum()
-            return (p - q) / (p + q) if p + q else -1.0
-
-        while len(rule) > 1:
-            shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule))), key=lambda r: worth(r, prune))
-            if worth(shorter, prune) < worth(rule, prune):
-                break
-            rule = shorter
-        hit = _holds(rule, x, n) & left
-        p = {part.tobytes(): ((bad & hit & part).sum(), (hit & part).sum()) for part in (grow, prune)}
-        if (bad & hit).sum() < least or any(t and g < precision * t for g, t in p.values()):
+        hits = [_worth(rule, x, bad, part) for part in parts]
+        if sum(p for p, _ in hits) < least or any(p + q and p < precision * (p + q) for p, q in hits):
             break
         rules.append(rule)
-        left &= ~hit
+        left &= ~_holds(rule, x, n)
     return rules
 
 
@@ -224,13 +267,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **options: flo
     """Learn rules from at most `rows` labelled documents (quality 0 is bad), chosen by
     the hash of doc_id, so a rerun learns the same. Rows that fail the base tests are
     not learned from, as rules apply to those that pass. Labels without a document,
-    null labels and null ids are ignored; a doc_id labelled or standing more than once counts once."""
+    null labels and null ids are ignored; a doc_id labelled or standing more than once
+    counts once (its worst label, its least row of counts)."""
     marks = labels.select(F.col("doc_id").alias("_id"), "quality").filter("_id IS NOT NULL AND quality IS NOT NULL")
     marks = marks.groupBy("_id").agg(F.min("quality").alias("quality"))
     marks = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(rows))  # its size is the bound
     seen = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"))
     stats = with_counts(seen.select("doc_id", "quality", "text")).drop("text").filter(~base_failed())
-    got = stats.orderBy("doc_id", *COUNTS).limit(2 * rows).toPandas().drop_duplicates("doc_id")
+    # One row an id, the least by its counts; there are no more ids than marks.
+    stats = stats.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "quality", "c.*")
+    got = stats.orderBy("doc_id").toPandas()
     counts = {c: got[c].to_numpy(np.int64) for c in COUNTS}
     return learn(counts, got["quality"].to_numpy() == 0, **options)
 
