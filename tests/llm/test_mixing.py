@@ -68,3 +68,35 @@ def test_edges(spark, corpus):
     assert {r["_copies"] for r in mixing.copies(blank, mixing.fit(blank)).collect()} == {1}
     one = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
     assert mixing.mixed(one).count() == 1
+
+
+def test_a_source_of_one_repeated_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(1, "w " * 100, "s")] * 1000 + [(k, "w " * (k % 90 + 10), "t") for k in range(2, 900)] + [(None, "x " * 7, "u")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mix = mixing.fit(docs)
+    out = mixing.copies(docs, mix)
+    got = {r["source"]: r for r in out.groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.count("*").alias("n"), F.first("_target").alias("target")).collect()}
+    assert {s: r["n"] for s, r in got.items()} == {"s": 1000, "t": 898, "u": 300}
+    assert abs(got["s"]["taken"] - got["s"]["target"]) <= 100 and abs(got["u"]["taken"] - got["u"]["target"]) <= 7
+    again = mixing.copies(docs.repartition(3), mix)
+    count = lambda d: sorted(map(str, d.groupBy("doc_id", "source", "_copies").count().collect()))
+    assert count(out) == count(again)
+
+
+def test_equal_rows_that_differ_in_a_map_or_another_column(spark):
+    rows = [(1, "w " * 50, "s", {"a": 1}, k % 2) for k in range(40)] + [(2, "w " * 10, "t", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, other int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.filter("source = 's' AND m['a'] = 1").count() == out.filter("source = 's'").count() > 0
+
+
+def test_sizes_in_place_of_texts_and_clashes(spark, corpus):
+    sizes = corpus.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    by = {"size": "size", "identity": ("doc_id", "source", "h")}
+    mix = mixing.fit(sizes, **by)
+    assert mixing.copies(sizes, mix, **by).count() == corpus.count()
+    with pytest.raises(ValueError):
+        mixing.copies(corpus.withColumn("_rate", F.lit(1)), mix)
+    with pytest.raises(ValueError):
+        mixing.fit(corpus.withColumn("_mix_row", F.lit(1)))

@@ -7,8 +7,8 @@ multiplier is the zero of the gradient of the convex dual. Newton steps on the
 dual run for all sources at once; each step is one aggregation over a histogram
 of (source, size), so no step reads the documents again and no source, however
 large, meets in one task. Rates are then rounded to whole copies: a document gets
-floor(r_i) copies, and one more if its fixed random number falls under the
-fraction, moved by one cut per source so that the source's words come out within
+floor(r_i) copies, and one more if its fixed random number (equal rows have evenly
+spread ones) falls under the fraction, moved by one cut per source so that the source's words come out within
 about one document of T_s; a few single documents then make up most of the rest.
 """
 
@@ -22,7 +22,13 @@ from .common import BROADCAST_ROWS, small, stored
 #: A rate, and so the copies of a document, is never above this.
 MOST_COPIES = 3
 #: Newton stops at this relative error of every source's words, or after so many steps.
-TOLERANCE, MOST_STEPS = 1e-7, 40
+TOLERANCE, MOST_STEPS = 1e-7, 100
+#: After the last step an error above this raises; rounding makes up a smaller one.
+WORST = 1e-3
+#: Targets order all sources in one task, one row a source; more sources than this raise.
+MOST_SOURCES = 1_000_000
+#: Equal rows are dealt out in blocks of so many.
+BLOCK = 1 << 16
 #: Rounding keys have 30 bits, settled 10 at a time.
 KEY_BITS, LEVEL_BITS = 30, 10
 
@@ -32,15 +38,53 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def chance(doc_id: Column, text: Column) -> Column:
+def _hashable(docs: DataFrame) -> list[str]:
+    return [f.name for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+
+
+#: What tells rows apart: rows equal in these are dealt out evenly, whatever other columns they have.
+IDENTITY = ("doc_id", "text", "source")
+
+
+def _hash(columns: list[str]) -> Column:
+    cols = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
+
+
+def _marked(docs: DataFrame, text: str, source: str, size: str | None, identity: tuple[str, ...]) -> DataFrame:
+    """docs with _mix_source, _mix_size and _mix_row, a hash of the identity columns."""
+    taken = [c for c in docs.columns if c.lower().startswith("_mix_")]
+    if taken:
+        raise ValueError(f"columns {taken} are named like those used inside")
+    n = words(F.col(text)) if size is None else F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))
+    return docs.withColumns({"_mix_source": F.col(source).cast("string"), "_mix_size": n, "_mix_row": _hash(list(identity))})
+
+
+def _chance(row: Column) -> Column:
     """A number in [0, 1) that depends on the row alone."""
-    return (F.xxhash64(doc_id, text).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
+    return (F.xxhash64(row).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
+
+
+def _dealt(groups: DataFrame) -> DataFrame:
+    """Each of n equal rows once, those from the _first-th on of _all, the j-th with the
+    random number (j + chance) / _all.
+
+    So equal rows spread evenly over [0, 1), and a mix takes its share of them, not
+    all or none. Groups beyond a block are dealt out to many tasks."""
+    few = groups.filter(F.col("n") <= BLOCK).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    blocks = groups.filter(F.col("n") > BLOCK).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))).repartition("_mix_row", "_b")
+    first = F.col("_b") * BLOCK
+    many = blocks.withColumn("_j", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n")) - 1))).drop("_b")
+    return few.unionByName(many).withColumn("_chance", (F.col("_first") + F.col("_j") + _chance(F.col("_mix_row"))) / F.col("_all")).drop("_j", "n", "_first", "_all")
 
 
 def source_targets(hist: DataFrame) -> DataFrame:
     """Source, its words, and its target: weights 1, 2, 3, 1, ... by source, null last;
     targets are capped at three times the source's words and the excess is shared by weight."""
     per = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
+    per = stored(per, "mix-sources")
+    if per.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
     per = per.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
     per = per.withColumn("cap", F.lit(float(MOST_COPIES)) * F.col("source_size"))
@@ -91,6 +135,9 @@ def solve(hist: DataFrame) -> DataFrame:
         state = stored(new.select(*state.columns), "mix-state", 1)
         if state.filter(F.col("error") > TOLERANCE).limit(1).count() == 0:
             break
+    else:
+        if state.filter(F.col("error") > WORST).limit(1).count():
+            raise RuntimeError(f"Newton's steps did not settle in {MOST_STEPS}")
     return state.select("source", "source_size", "target", "mean", "lambda")
 
 
@@ -188,31 +235,61 @@ def settled(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     return known.drop("need")
 
 
-def fit(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def fit(docs: DataFrame, text: str = "text", source: str = "source", size: str | None = None, identity: tuple[str, ...] = IDENTITY) -> DataFrame:
     """Fit the mix of docs: one row a source with its target, multiplier, cut and fixes.
 
-    Reads the texts once; what Newton and the rounding read is a stored table of
-    (source, size, chance). Empty table: no rows. Null text: size 0. A null source
-    is a source of its own, last in order. Equal rows share one random number.
-    Extra columns are not read."""
-    rows = docs.select(F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), chance(F.col(doc_id), F.col(text)).alias("_chance"))
-    rows = stored(rows.groupBy("source", "size", "_chance").agg(F.count("*").alias("n")), "mix-sizes")
-    hist = stored(rows.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-hist")
+    Reads the texts once (or a column of sizes in their place); what Newton and the
+    rounding read is a stored table of (source, size, chance). Empty table: no rows.
+    Null text: size 0. A null source is a source of its own, last in order. Ids, null
+    or not, only tell rows apart; equal rows are counted and then rounded one by one.
+    Extra columns are not read; names that begin with _mix_ raise."""
+    own = _marked(docs, text, source, size, identity).select(F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), "_mix_row")
+    groups = stored(own.groupBy("source", "size", "_mix_row").agg(F.count("*").alias("n")), "mix-sizes")
+    hist = stored(groups.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-hist")
+    if (groups.agg(F.max("n")).first()[0] or 0) > 1:
+        rows = stored(_dealt(groups.withColumns({"_first": F.lit(0).cast("long"), "_all": F.col("n")})), "mix-rows")
+    else:
+        rows = groups.withColumn("_chance", _chance(F.col("_mix_row")))
+    rows = rows.select("source", "size", "_chance", F.lit(1).cast("long").alias("n"))
     return settled(rows, cuts(rows, solve(hist)))
 
 
-def copies(docs: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs and _size, _source_size, _target, _rate and _copies of each document under a fitted mix.
-    Columns of docs are untouched; names that begin with _mix_ are used inside."""
-    base = docs.withColumns({"_mix_source": F.col(source).cast("string"), "_mix_size": words(F.col(text)), "_mix_chance": chance(F.col(doc_id), F.col(text))})
+OUT = ("_size", "_source_size", "_target", "_rate", "_copies")
+
+
+def copies(docs: DataFrame, mix: DataFrame, text: str = "text", source: str = "source", size: str | None = None, identity: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """docs and _size, _source_size, _target, _rate and _copies of each row under a fitted mix.
+
+    Of n rows equal in the identity columns as many get a copy more as the mix says, in
+    the order of a hash of their other columns (maps excepted). An input with one of
+    these names, or one that begins with _mix_, raises."""
+    clash = {c.lower() for c in docs.columns} & set(OUT)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    base = _marked(docs, text, source, size, identity)
+    twins = stored(base.groupBy("_mix_row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_mix_row").alias("_mix_twin")), "mix-twins")
+    if twins.isEmpty():
+        base = base.withColumn("_chance", _chance(F.col("_mix_row")))
+    else:
+        same, t = F.col("_mix_row") == F.col("_mix_twin"), small(twins)
+        keys = [*_hashable(docs), "_mix_source", "_mix_size", "_mix_row"]
+        rest = [F.first(c).alias(c) for c in base.columns if c not in keys]
+        many = base.join(t, same, "left_semi").groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("n"), *rest)
+        many = stored(many.withColumn("_mix_whole", _hash(_hashable(docs))), "mix-equal")
+        of_row = Window.partitionBy("_mix_row")  # one row a kind of equal rows, not a row of docs
+        before = of_row.orderBy("_mix_whole").rowsBetween(Window.unboundedPreceding, -1)
+        kinds = many.select(F.col("_mix_row").alias("_r"), F.col("_mix_whole").alias("_w"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"), F.sum("n").over(of_row).alias("_all"))
+        many = many.join(kinds, (F.col("_mix_row") == F.col("_r")) & (F.col("_mix_whole") == F.col("_w"))).drop("_r", "_w", "_mix_whole")
+        once = base.join(t, same, "left_anti").withColumn("_chance", _chance(F.col("_mix_row")))
+        base = once.unionByName(_dealt(many))
     s = small(mix.select(*[F.col(c).alias(f"_mix_s_{c}") for c in mix.columns]))
     out = base.join(s, F.col("_mix_source").eqNullSafe(F.col("_mix_s_source")), "left")
     r = F.round(F.coalesce(rate(F.col("_mix_s_lambda"), F.col("_mix_size"), F.col("_mix_s_mean")), F.lit(1.0)), 12)
-    n = F.when(F.col("_mix_size") == 0, F.lit(1)).otherwise(_copies(r, F.col("_mix_size"), F.col("_mix_chance"), F.col("_mix_s_cut"), F.col("_mix_s_fixes")))
+    n = F.when(F.col("_mix_size") == 0, F.lit(1)).otherwise(_copies(r, F.col("_mix_size"), F.col("_chance"), F.col("_mix_s_cut"), F.col("_mix_s_fixes")))
     return out.select(*docs.columns, F.col("_mix_size").alias("_size"), F.col("_mix_s_source_size").alias("_source_size"), F.col("_mix_s_target").alias("_target"), r.alias("_rate"), n.cast("int").alias("_copies"))
 
 
 def mixed(docs: DataFrame, **columns: str) -> DataFrame:
     """docs, each row as often as the mix takes it (documents without words once)."""
     out = copies(docs, fit(docs, **columns), **columns)
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return out.filter("_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

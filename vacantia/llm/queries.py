@@ -42,8 +42,11 @@ def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix by source weights 1, 2, 3 takes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mixing.copies(docs, mixing.fit(docs))
+    docs = table(spark, sf_dir, "documents")
+    # Only counts are returned, so texts are read once: for their words, and a hash that tells rows apart.
+    sizes = stored(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "mix-documents")
+    by = {"size": "size", "identity": ("doc_id", "source", "text_hash")}
+    out = mixing.copies(sizes, mixing.fit(sizes, **by), **by)
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
