@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import mixing, packing, quality_rules, simhash
-from vacantia.llm.common import small, stored, table
+from vacantia.llm.common import stored, table
 from vacantia.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,26 +26,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that with the smallest doc_id.
 
-    Rows that share that doc_id are one document: the first by text stays. A
-    document without an id stays only if no document of its component has one: then
-    the first by text of the component's least fingerprint."""
+    Rows of the component that share that doc_id are one document: the first by
+    fingerprint and then by text stays. A document without an id stays only if no
+    document of its component has one: then the first by text of the component's
+    least fingerprint."""
     found = stored(simhash.grouped(docs.select("doc_id", "text")), "dedup-found")
-    keep = stored(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "dedup-keep")
-    same = F.col("doc_id") == F.col("_id")
+    keep = found.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
+    rows = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_of")).agg(F.count("*").alias("_n"))
+    keep = stored(keep.join(rows, F.col("doc_id") == F.col("_of")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "_n"), "dedup-keep")
     # Texts are dealt out by id at every size: keep has no proven bound, so it is not broadcast.
-    once = docs.select(*COLUMNS).join(keep.filter("_n = 1").hint("shuffle_hash"), same).select(*COLUMNS)
-    nameless = found.filter("component_id IS NULL")
-    if not nameless.isEmpty():
-        least = stored(nameless.groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp"), "dedup-nameless")
-        # Null ids cannot name rows; fingerprints do.
-        null_ids = simhash.with_fingerprints(docs.filter("doc_id IS NULL").select(*COLUMNS, F.col("text").alias("_text")), "_text")
-        first = null_ids.join(least, F.col("fp") == F.col("_fp")).groupBy("fp").agg(F.min(F.struct(*COLUMNS)).alias("r"))
-        once = once.unionByName(first.select("r.*"))
-    repeated = keep.filter("_n > 1")
-    if repeated.isEmpty():
+    once = docs.select(*COLUMNS).join(keep.filter("_n = 1").hint("merge"), F.col("doc_id") == F.col("_id")).select(*COLUMNS)
+    # Where an id stands on several rows, or there is none, fingerprints name the rows.
+    least = found.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("_fp"))
+    named = stored(keep.filter("_n > 1").select("_id", "_fp").unionByName(least.select(F.lit(None).cast("long").alias("_id"), "_fp")), "dedup-named")
+    if named.isEmpty():
         return once
-    more = docs.select(*COLUMNS).join(small(repeated), same).groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return once.unionByName(more.select("doc_id", "r.*").select(*COLUMNS))
+    ids = named.select("_id").distinct().hint("merge")
+    some = docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    some = simhash.with_fingerprints(some.withColumn("_text", F.col("text")), "_text", "_own_fp")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp"))
+    first = some.join(named.hint("merge"), same).groupBy("_own_fp", "doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return once.unionByName(first.select("doc_id", "r.*").select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
