@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tune_arrow
+from .common import small, stored, tune_arrow
 
 #: Magic number of the skippable frame with the dictionary, of plain dictionaries, and of frames (fixed values of the formats).
 SKIPPABLE, DICTIONARY, FRAME = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
@@ -146,18 +146,31 @@ def parse(raw: bytes) -> dict:
 
 
 def plan(pages: DataFrame, page_id: str = "page_id", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, uri columns of pages, payload, and refers_to: of equal payloads of at least
-    `least_bytes` bytes the one with the smallest id is written in full, the others refer to it.
+    """pages with _payload and _refers: of equal payloads of at least `least_bytes` bytes the
+    one with the smallest id is written in full, all others refer to it.
 
-    A null html is an empty payload. Rows without an id are all written in full, as
-    are rows that repeat the smallest id."""
+    A null html is an empty payload. Rows without an id refer to the smallest id too; if
+    no row of a payload has an id, all are written in full. Of rows that repeat the
+    smallest id one is written in full. Bodies are joined by id, so a payload that many
+    pages share is no hot key; who refers to what is settled on slim rows."""
     body = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
-    rows = pages.withColumn("_payload", body).withColumn("_digest", F.sha1("_payload"))
-    slim = rows.select("_digest", F.col(page_id).cast("long").alias("_pid"), F.length("_payload").alias("_n"))
-    first = slim.groupBy("_digest").agg(F.min("_pid").alias("_first"), F.count("*").alias("_copies"), F.max("_n").alias("_n"))
-    first = stored(first.filter((F.col("_copies") > 1) & (F.col("_n") >= least_bytes)).select(F.col("_digest").alias("_d"), "_first"), "warc-first")
-    out = rows.join(first, F.col("_digest") == F.col("_d"), "left")
-    return out.withColumn("_refers", F.when(F.col("_first") < F.col(page_id), F.col("_first"))).drop("_digest", "_d", "_first")
+    rows = pages.withColumn("_pid", F.col(page_id).cast("long")).withColumn("_payload", body).withColumn("_digest", F.sha1("_payload"))
+    slim = rows.groupBy("_digest", "_pid").agg(F.count("*").alias("_n"), F.max(F.length("_payload")).alias("_bytes"))
+    slim = stored(slim.filter(F.col("_bytes") >= least_bytes), "warc-slim")
+    first = slim.filter("_pid IS NOT NULL").groupBy("_digest").agg(F.min(F.struct("_pid", "_n")).alias("f"))
+    first = first.select(F.col("_digest").alias("_d"), F.col("f._pid").alias("_first"), F.col("f._n").alias("_times"))
+    pairs = slim.join(first, F.col("_digest") == F.col("_d")).filter(F.coalesce(F.col("_pid") != F.col("_first"), F.lit(True)) | (F.col("_times") > 1))
+    pairs = stored(pairs.select("_d", F.col("_pid").alias("_p"), "_first", F.coalesce(F.col("_pid") == F.col("_first"), F.lit(False)).alias("_again")), "warc-refers")
+    same = F.col("_pid").eqNullSafe(F.col("_p")) & (F.col("_digest") == F.col("_d"))
+    out = rows.join(small(pairs), same, "left")
+    inner = ["_pid", "_digest", "_d", "_p", "_first", "_again"]
+    if pairs.filter("_again").isEmpty():
+        return out.withColumn("_refers", F.col("_first")).drop(*inner)
+    plain = out.filter("NOT coalesce(_again, false)").withColumn("_refers", F.col("_first"))
+    again = stored(out.filter("_again").withColumn("_row", F.monotonically_increasing_id()), "warc-again")
+    full = again.groupBy(F.col("_d").alias("_of")).agg(F.min("_row").alias("_least"))
+    again = again.join(full.select("_least"), F.col("_row") == F.col("_least"), "left").withColumn("_refers", F.when(F.col("_least").isNull(), F.col("_first")))
+    return plain.drop(*inner).unionByName(again.drop(*inner, "_row", "_least"))
 
 
 def write(pages: DataFrame, page_id: str = "page_id", uri: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", archive_bytes: int = 8 << 20, level: int = 3) -> DataFrame:
