@@ -68,3 +68,36 @@ def test_real_pages(spark, model):
         inner = re.sub("<br>", " ", re.search("<article>(.*?)</article>", source, re.S)[1])
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert got == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<p>", "<a '", '<b "x>', "</x>", "<table><td>", "<a><b>", "<svg>", "<select>", "<textarea>", "<li><ul>", "<!", "<![CDATA[", "<a href='>\">", "<p a=\"<p b='"])
+def test_hostile_pages_take_linear_time(model, piece):
+    import time
+
+    begin = time.perf_counter()
+    htmlmodel.extract([piece * ((1 << 20) // len(piece))], model)
+    assert time.perf_counter() - begin < 12  # about 2 s; the machine may be busy
+
+
+def test_deep_stacks_and_stray_ends(model):
+    import time
+
+    begin = time.perf_counter()
+    htmlmodel.extract(["<x><table><td>" + "<div>" * 50000 + "</x>" * 50000, "<div>" * 50000 + "t" + "</div>" * 50000], model)
+    assert time.perf_counter() - begin < 12
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><p>One is a sentence.</p><select><option>a<p>Two is a sentence.", "One is a sentence.\n\nTwo is a sentence."),
+        ("<article><p>One is a sentence.</p><select><option>a</select><p>Two is a sentence.", "One is a sentence.\n\nTwo is a sentence."),
+        ("<article><p>One is a sentence.</p><object data=x><p>Fallback is a sentence.</p></object></article>", "One is a sentence.\n\nFallback is a sentence."),
+        ("<article><p>For <math><mi>x</mi><mo>=</mo><mn>1</mn></math> it holds, they say.</p></article>", "For x=1 it holds, they say."),
+        ("<article><p>One <svg><title>t</title><text>u</text></svg>is a sentence.<p>Two <textarea>is a sentence.", "One is a sentence.\n\nTwo is a sentence."),
+        ("<article><p>One is < two, and 3 > 2, as <a title='a>b' href=\"c>d\">they</a> say.</p></article>", "One is < two, and 3 > 2, as they say."),
+    ],
+)
+def test_nothing_else_is_lost(source, text):
+    page = htmlmodel.Page(source)
+    assert page.extract(np.ones(len(page.parent), bool)) == text

@@ -12,20 +12,28 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import tune_arrow
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe xmp noembed noframes textarea title svg math object select".split())
+#: Their content is text without tags, up to their closing tag. Without one, a script or style goes on to the end; others are read as usual.
+RAW = frozenset("script style iframe xmp noembed noframes textarea title".split())
+#: Parsed, but nothing inside is text of the page: drawings, choices of a form, what is shown without scripts, templates.
+UNSEEN = frozenset("svg select datalist noscript template".split())
+#: Nodes below this depth are made siblings, as browsers do; and after so many tags whose quotes never close, quotes no longer count.
+MOST_DEPTH, MOST_OPEN = 512, 16
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html head caption tbody td tfoot th thead tr legend li dd dt summary".split()) | {"li", "dd", "dt"}
 #: An opening tag closes an open tag of these, looking no further up than the stops.
@@ -75,91 +83,177 @@ def _attributes(tag: str, raw: str) -> tuple[tuple[int, ...], bool]:
     return tuple(sorted(set(found))), marked
 
 
+class Tags:
+    """Text and tags of a source in one pass.
+
+    A tag ends at the first > outside quotes, or at the first > at all if its quotes
+    never close. What looks like a tag but has no > behind it is text."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.open = source, 0
+
+    def _end(self, at: int) -> int:
+        """Where the tag that goes on at `at` has its >, or -1."""
+        source = self.source
+        plain = source.find(">", at)
+        if plain < 0 or self.open > MOST_OPEN:
+            return plain
+        while True:
+            m = STOP.search(source, at)
+            if m is None:
+                self.open += 1
+                return plain
+            if m[0] == ">":
+                return m.start()
+            at = source.find(m[0], m.end()) + 1
+            if not at:
+                self.open += 1
+                return plain
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, int]]:
+        """(kind, name, rest, end): kind is 'text', 'open' or 'close'; the reader may set `at` to go on elsewhere."""
+        source = self.source
+        size, self.at, begin = len(source), 0, 0
+        ended = False  # no > follows
+        while True:
+            lt = source.find("<", self.at) if not ended else -1
+            if lt < 0:
+                if begin < size:
+                    yield "text", "", source[begin:], size
+                return
+            kind, name, rest, end = "", "", "", -1
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4) + 3
+                end = size if end < 3 else end
+            elif source.startswith("<![CDATA[", lt):
+                end = source.find("]]>", lt + 9) + 3
+                end = size if end < 3 else end
+            elif source[lt + 1 : lt + 2] in ("!", "?"):
+                end = source.find(">", lt + 2) + 1
+                ended = not end
+            else:
+                kind = "close" if source[lt + 1 : lt + 2] == "/" else "open"
+                m = NAME.match(source, lt + 1 + (kind == "close"))
+                if m is None:
+                    self.at = lt + 1
+                    continue
+                gt = self._end(m.end())
+                name, rest, end = m[0].lower(), source[m.end() : gt], gt + 1
+                ended = gt < 0
+            if ended:
+                continue
+            if lt > begin:
+                yield "text", "", source[begin:lt], lt
+            begin = self.at = end
+            if kind:
+                yield kind, name, rest, end
+                begin = self.at
+
+
+class _Open:
+    """The open elements: tag and node of each, and where each tag stands, so that no search walks down them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {"html": [0]}
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost of these tags, 0 if there is none but the root."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def cut(self, k: int) -> list[str]:
+        """Close all from place k on; the tags closed."""
+        gone = [t for t, _ in self.stack[k:] if t]
+        del self.stack[k:]
+        for t in set(gone):
+            places = self.places[t]
+            while places and places[-1] >= k:
+                places.pop()
+        return gone
+
+    def lift(self, k: int) -> None:
+        """Close place k alone; what is inside it stays open."""
+        self.places[self.stack[k][0]].remove(k)
+        self.stack[k] = ("", self.stack[k][1])
+        while not self.stack[-1][0]:
+            self.stack.pop()
+
+
 class Page:
     """The nodes of a page, and its text as (node, block number, text) in page order."""
 
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.attributes, self.depth = [-1], ["html"], [_attributes("html", "")[0]], [0]
         self.text: list[tuple[int, int, str, bool]] = []
-        stack: list[tuple[str, int]] = [("html", 0)]  # tag and its node (an inline tag shares its parent's)
-        block, links, at = 0, 0, 0
+        opened = _Open()
+        stack = opened.stack  # tag and its node (an inline tag shares its parent's)
+        block, links, unseen = 0, 0, 0
+        unclosed: set[str] = set()
+        low = ""
 
         def close(k: int) -> None:
-            nonlocal block, links
-            for t, _ in stack[k:]:
+            nonlocal block, links, unseen
+            for t in opened.cut(k):
                 block += t in BLOCK
                 links -= t == "a"
-            del stack[k:]
-
-        def say(text: str) -> None:
-            if text:
-                self.text.append((stack[-1][1], block, html.unescape(text), links > 0))
+                unseen -= t in UNSEEN
 
-        size, low = len(source), None
-        while at < size:
-            m = TOKEN.search(source, at)
-            if m is None:
-                say(source[at:])
-                break
-            if m.start() > at:
-                say(source[at : m.start()])
-            at = m.end()
-            tag = m[2] or m[5]
-            if tag is None:
+        tags = Tags(source)
+        for kind, tag, raw, end in tags:
+            if kind == "text":
+                if not unseen:
+                    self.text.append((stack[-1][1], block, html.unescape(raw), links > 0))
                 continue
-            tag = tag.lower()
-            if m[1] or m[4]:  # a closing tag
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if stack[k][0] in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "body", "html"):
-                        break
+            if kind == "close":
+                k = opened.last((tag,))
+                bar = 0 if tag in ("table", "tr", "tbody", "body", "html") else opened.last(("table", "td", "th"))
+                if k and (k >= bar or tag in ("table", "td", "th")):
+                    close(k)
                 continue
-            raw = m[3] or m[6] or ""
             if tag == "br":
-                self.text.append((stack[-1][1], block, " ", links > 0))
+                if not unseen:
+                    self.text.append((stack[-1][1], block, " ", links > 0))
                 continue
             if tag in VOID:
                 block += tag == "hr"
                 continue
-            if tag in RAW:
-                if not raw.rstrip().endswith("/") or tag not in ("svg", "math"):
-                    low = low or source.lower()
-                    if len(low) != size:  # a letter whose lower case is longer
+            if tag in RAW and tag not in unclosed:
+                if not low:
+                    low = source.lower()
+                    if len(low) != len(source):  # a letter whose lower case is longer
                         low = "".join(c.lower() if c < "\x80" else c for c in source)
-                    end = low.find(f"</{tag}", at)
-                    if end < 0:
-                        at = size
-                    else:
-                        at = source.find(">", end) + 1 or size
+                shut = low.find(f"</{tag}", end)
+                if shut >= 0:
+                    tags.at = source.find(">", shut) + 1 or len(source)
+                    continue
+                unclosed.add(tag)
+                if tag in ("script", "style"):
+                    tags.at = len(source)
+                    continue
+            if raw.endswith("/") and tag in UNSEEN:
                 continue
-            if tag in ("html", "body") and any(t == tag for t, _ in stack):
+            if tag in ("html", "body") and opened.places.get(tag):
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in ("td", "th", "table", "button", "caption"):
-                        break
+            if unseen and tag in CLOSES_P and (k := opened.last(("select",))) and k > opened.last(("svg", "noscript", "template")):
+                close(k)
+            if tag in CLOSES_P and (k := opened.last(("p",))) > opened.last(("td", "th", "table", "button", "caption")):
+                close(k)
             if tag in IMPLIED:
                 ends, stops = IMPLIED[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
-                    if stack[k][0] in stops:
-                        break
+                if (k := opened.last(ends)) > opened.last(stops - ends):
+                    close(k)
             if tag == "a" and links:  # links do not nest
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "a":
-                        del stack[k]
-                        links -= 1
-                        break
-            found, marked = _attributes(tag, raw)
+                links -= 1
+                opened.lift(opened.last(("a",)))
+            found, marked = _attributes(tag, raw) if len(raw) < 4096 else _attributes.__wrapped__(tag, raw)
             node = stack[-1][1]
-            if tag in BLOCK or marked or tag in ("button", "label"):
+            if not unseen and (tag in BLOCK or marked or tag in ("button", "label")):
+                if self.depth[node] == MOST_DEPTH:
+                    node = self.parent[node]
                 self.parent.append(node)
                 self.tag.append(tag)
                 self.attributes.append(found)
@@ -167,9 +261,11 @@ class Page:
                 node = len(self.parent) - 1
             block += tag in BLOCK
             links += tag == "a"
-            stack.append((tag, node))
+            unseen += tag in UNSEEN
+            opened.push(tag, node)
 
-    def features(self) -> np.ndarray:
+    def features(self, weights: np.ndarray | None = None) -> np.ndarray:
+        """The features of the nodes, or, given weights, their sums: made for a stretch of nodes at a time."""
         n = len(self.parent)
         own, linked = np.zeros(n, np.int64), np.zeros(n, np.int64)
         last = [""] * n
@@ -181,24 +277,33 @@ class Page:
             if k:
                 last[node] = t
         whole, wlinks = own.copy(), linked.copy()
-        for i in range(n - 1, 0, -1):
-            whole[self.parent[i]] += whole[i]
-            wlinks[self.parent[i]] += wlinks[i]
-        x = np.zeros((n, len(NAMES)), np.float32)
-        for i, a in enumerate(self.attributes):
-            x[i, list(a)] = 1
+        for at in reversed(by_depth(np.array(self.depth))[1:]):
+            up = self._parents()[at]
+            np.add.at(whole, up, whole[at])
+            np.add.at(wlinks, up, wlinks[at])
         share = wlinks / np.maximum(whole, 1)
-        x[:, AT["no text"]] = whole == 0
+        columns = {"no text": whole == 0, "only child text": (own == 0) & (whole > 0), "deep": np.array(self.depth) > 8}
         for name, low, high in (("short", 1, 25), ("medium", 25, 100), ("long", 100, 400), ("very long", 400, 1 << 60)):
-            x[:, AT[name]] = (whole >= low) & (whole < high)
+            columns[name] = (whole >= low) & (whole < high)
         for name, low, high in (("no link", -1, 0), ("few links", 0, 0.2), ("many links", 0.2, 0.8), ("all links", 0.8, 1)):
-            x[:, AT[name]] = (whole > 0) & (share > low) & (share <= high)
-        x[:, AT["ends a sentence"]] = [bool(t) and t.rstrip()[-1:] in (".", "!", "?", "…", ":") for t in last]
-        x[:, AT["only child text"]] = (own == 0) & (whole > 0)
-        x[:, AT["has copyright"]] = ["©" in t for t in last]
-        x[:, AT["deep"]] = np.array(self.depth) > 8
-        x[:, AT["bias"]] = 1
-        return x
+            columns[name] = (whole > 0) & (share > low) & (share <= high)
+        columns["ends a sentence"] = np.array([bool(t) and t.rstrip()[-1:] in (".", "!", "?", "…", ":") for t in last])
+        columns["has copyright"] = np.array(["©" in t for t in last])
+        out = []
+        for i in range(0, n, 1 << 15):
+            marks = self.attributes[i : i + (1 << 15)]
+            x = np.zeros((len(marks), len(NAMES)), np.float32)
+            x[np.repeat(np.arange(len(marks)), [len(m) for m in marks]), np.fromiter(chain.from_iterable(marks), np.int64)] = 1
+            for name, v in columns.items():
+                x[:, AT[name]] = v[i : i + (1 << 15)]
+            x[:, AT["bias"]] = 1
+            out.append(x if weights is None else x @ weights)
+        return np.concatenate(out)
+
+    def _parents(self) -> np.ndarray:
+        if not hasattr(self, "_up"):
+            self._up = np.array(self.parent)
+        return self._up
 
     def extract(self, keep: np.ndarray) -> str:
         """The text of kept nodes: white space is one space, blocks are two newlines apart."""
@@ -266,7 +371,8 @@ class Model:
         Unary and pair weights are trained together: the gradient of the pages'
         conditional likelihood is what the labels have less what the marginals
         expect, and messages give those exactly. Adam steps from zero."""
-        x, parent, depth, kind = cls._stack([p for p, _ in pages])
+        parent, depth, kind = cls._forest([p for p, _ in pages])
+        x = np.concatenate([p.features() for p, _ in pages]).astype(np.float64)
         y = np.concatenate([np.asarray(label, int) for _, label in pages])
         levels, child = by_depth(depth), np.flatnonzero(parent >= 0)
         up_kind = kind[parent[child]]
@@ -289,24 +395,34 @@ class Model:
         return cls(theta[:-16], theta[-16:].reshape(4, 2, 2))
 
     @staticmethod
-    def _stack(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Features, parents, depths and kinds of the nodes of all pages, one after another."""
+    def _forest(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parents, depths and kinds of the nodes of all pages, one after another."""
         start = np.concatenate([[0], np.cumsum([len(p.parent) for p in pages])])
         parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + s) for p, s in zip(pages, start, strict=False)])
-        x = np.concatenate([p.features() for p in pages]).astype(np.float64)
-        return x, parent, np.concatenate([p.depth for p in pages]), np.concatenate([kinds(p) for p in pages])
+        return parent, np.concatenate([p.depth for p in pages]), np.concatenate([kinds(p) for p in pages])
 
     def keep(self, pages: list[Page]) -> list[np.ndarray]:
         """Which nodes of each page belong to the article."""
         if not pages:
             return []
-        x, parent, depth, kind = self._stack(pages)
-        odds = x @ self.weights
+        parent, depth, kind = self._forest(pages)
+        odds = np.concatenate([p.features(self.weights) for p in pages])
         m = marginals(np.stack([np.zeros_like(odds), odds], axis=1), self.pair, parent, depth, kind)
         edge = np.concatenate([[0], np.cumsum([len(p.parent) for p in pages])])
         return [m[a:b] > 0.5 for a, b in zip(edge, edge[1:], strict=False)]
 
 
+def _runs(source: pa.Array, most: int = 200, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, count) of runs of at most `most` pages and about `size` bytes; a longer page is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(source), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(source):
+        before = upto[at - 1] if at else 0
+        n = min(most, max(1, int(np.searchsorted(upto, before + size, "right")) - at))
+        yield at, n
+        at += n
+
+
 def extract(sources: list[str | None], model: Model) -> list[str]:
     pages = [Page(s or "") for s in sources]
     return [p.extract(k) for p, k in zip(pages, model.keep(pages), strict=True)]
@@ -322,9 +438,9 @@ def main_text(pages: DataFrame, model: Model, html_column: str = "html", name: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             source = b.column(b.schema.get_field_index(html_column))
-            for i in range(0, max(len(source), 1), 200):
-                part = b.slice(i, 200)
-                texts = extract(source[i : i + 200].to_pylist(), model)
+            for i, n in _runs(source):
+                part = b.slice(i, n)
+                texts = extract(source[i : i + n].to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array(texts, pa.string())], names=[*others, name])
 
     if name in others:
