@@ -36,8 +36,8 @@ def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document; documents labelled good are the target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    models = lmscore.fit(lmscore.labelled_good(docs, table(spark, sf_dir, "labels")), docs)
-    return lmscore.scored(docs, models)
+    docs = lmscore.with_good(docs, table(spark, sf_dir, "labels"))
+    return lmscore.scored(docs, F.col("is_good")).drop("is_good")
 
 
 def op4_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,7 @@ def op4_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with an answer, against its twin with another answer."""
-    chosen, rejected = preference.swapped_answers(table(spark, sf_dir, "conversations"))
-    out = preference.formatted(chosen, rejected)
+    out = preference.formatted(preference.swapped_answers(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
     return out.select(F.col("pair_id").alias("conv_id"), "prefix_turns", "prompt", "chosen_completion", spans("chosen_mask").alias("chosen_spans"), "rejected_completion", spans("rejected_mask").alias("rejected_spans"))
 
@@ -103,5 +102,31 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-#: DuckDB SQL where SQL can express the operator.
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL where SQL can express the operator. The rendering of turns, and the alphabet of base32, are fixed values.
+ORACLE: dict[str, str] = {
+    "op2_warc_zstd": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, strlen(body) AS n, sha1(body) AS x FROM p),
+        d AS (SELECT page_id, n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1) FOR i IN range(0, 32)], '') AS payload_digest FROM h),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS k FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN k = 1 OR least IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN least END AS refers_to FROM f
+    """,
+    "op5_preference_pairs": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS made FROM t),
+        l AS (SELECT conv_id, max(k) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
+        a AS (SELECT n.conv_id, l.last, n.text AS answer, md5(n.conv_id::VARCHAR) AS place FROM n JOIN l ON n.conv_id = l.conv_id AND n.k = l.last),
+        r AS (SELECT *, CASE WHEN answer = lag(answer) OVER (ORDER BY place, conv_id) THEN 0 ELSE 1 END AS fresh FROM a),
+        s AS (SELECT *, sum(fresh) OVER (ORDER BY place, conv_id) AS run FROM r),
+        f AS (SELECT run, answer FROM s WHERE fresh = 1),
+        e AS (SELECT max(run) AS most FROM s),
+        w AS (SELECT s.conv_id, s.last, CASE WHEN s.run < most THEN (SELECT answer FROM f WHERE f.run = s.run + 1) WHEN s.answer <> (SELECT answer FROM f WHERE f.run = 1) THEN (SELECT answer FROM f WHERE f.run = 1) ELSE (SELECT answer FROM f WHERE f.run = 2) END AS other FROM s, e),
+        v AS (SELECT n.*, w.last, coalesce(sum(length(made)) OVER (PARTITION BY n.conv_id, k >= last ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, w.other FROM n JOIN w ON n.conv_id = w.conv_id WHERE w.other IS NOT NULL)
+        SELECT conv_id, last::BIGINT AS prefix_turns, coalesce(string_agg(made, '' ORDER BY k) FILTER (k < last), '') AS prompt,
+            string_agg(made, '' ORDER BY k) FILTER (k >= last) AS chosen_completion,
+            string_agg((pos + 13 + length(role))::BIGINT || '-' || (pos + length(made) - 1)::BIGINT, ',' ORDER BY k) FILTER (k >= last AND role = 'assistant') AS chosen_spans,
+            '<|im_start|>assistant' || chr(10) || any_value(other) || '<|im_end|>' || chr(10) AS rejected_completion,
+            '22-' || (22 + length(any_value(other)) + 10) AS rejected_spans
+        FROM v GROUP BY conv_id, last
+    """,
+}
