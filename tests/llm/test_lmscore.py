@@ -3,51 +3,82 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vacantia.llm import lmscore
 
 
-def test_against_brute_force(spark, docs, empty):
-    target = docs.filter("doc_id in (4, 11)")
-    models = lmscore.fit(target.select("text"), docs.select("text"))
-    got = {r["doc_id"]: r for r in lmscore.scored(docs.select("doc_id", "text"), models).collect()}
-    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    rows = {"t": [r["text"] for r in target.collect()], "b": [r["text"] for r in docs.collect()]}
-    single = {k: collections.Counter(w for t in v for w in words(t)) for k, v in rows.items()}
-    total = {k: sum(c.values()) for k, c in single.items()}
-    vocab = {w for k in single for w, n in single[k].items() if n > 1 and n >= lmscore.WORD_SHARE * total[k]}
-    ids = lambda t: [w if w in vocab else "?" for w in words(t)]
-    pair = {k: collections.Counter(p for t in v for p in zip(["^", *ids(t)], ids(t), strict=False)) for k, v in rows.items()}
-    kept = {p for k in pair for p, n in pair[k].items() if n > 1 and n >= lmscore.PAIR_SHARE * total[k]}
-
-    def loss(k, h, w):
-        n = single[k][w] if w in vocab else total[k] - sum(single[k][v] for v in vocab)
-        p = (n + lmscore.ADD) / (total[k] + lmscore.ADD * (len(vocab) + 1))
-        of = sum(pair[k][q] for q in kept if q[0] == h)
-        return -math.log(((pair[k][(h, w)] if (h, w) in kept else 0) + lmscore.PRIOR * p) / (of + lmscore.PRIOR))
-
-    for doc_id in (3, 4, 6, 7, 8):
-        own = ids(next(r["text"] for r in docs.filter(f"doc_id = {doc_id}").collect()))
-        for k, c in (("t", "target_loss"), ("b", "background_loss")):
-            want = sum(loss(k, h, w) for h, w in zip(["^", *own], own, strict=False)) / len(own)
-            assert got[doc_id][c] == pytest.approx(want, abs=1e-8)
-    assert got[0]["score"] == 0 and got[1]["n_tokens"] == 0
-    assert got[11]["score"] < got[8]["score"]
-    none = lmscore.fit(empty.select("text"), empty.select("text"))
-    assert lmscore.scored(empty.select("doc_id", "text"), none).count() == 0
-    assert lmscore.scored(docs.select("doc_id", "text"), none).count() == docs.count()
-
-
-@pytest.mark.parametrize("head", [lmscore.HEAD, 5])
-def test_rare_words_are_told_apart_in_a_large_corpus(spark, monkeypatch, head):
-    monkeypatch.setattr(lmscore, "HEAD", head)
-    # 400,000 tokens of filler: a share of 2e-5 would ask for 8 occurrences.
-    rows = [(k, "filler " * 1000) for k in range(400)]
-    rows += [(1000, "rare good pair"), (1001, "rare good pair"), (1002, "scarce bad couple"), (1003, "scarce bad couple"), (1004, "once alone")]
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def brute(rows):
+    """(losses under the target, under the background) of rows (text, in target, in background)."""
+    vocab = {w for t, *side in rows if any(side) for w in words(t)} | ({"$"} if any(words(t) and any(s) for t, *s in rows) else set())
+    # The vocabulary is that of all rows that are packed, scored ones included.
+    vocab |= {w for t, *_ in rows for w in [*words(t), "$"] if words(t)}
+    out = []
+    for k, (text, *_) in enumerate(rows):
+        losses, own = [], [*words(text), "$"] if words(text) else []
+        for side in (1, 2):
+            single, pair = collections.Counter(), collections.Counter()
+            for j, r in enumerate(rows):
+                if r[side] and j != k and words(r[0]):
+                    s = [*words(r[0]), "$"]
+                    single.update(s)
+                    pair.update(zip(["^", *s], s, strict=False))
+            history = collections.Counter()
+            for (h, _), n in pair.items():
+                history[h] += n
+            total = sum(single.values())
+            loss = 0.0
+            for h, w in zip(["^", *own], own, strict=False):
+                p = (single[w] + lmscore.ADD) / (total + lmscore.ADD * (len(vocab) + 1))
+                loss -= math.log((pair[(h, w)] + lmscore.PRIOR * p) / (history[h] + lmscore.PRIOR))
+            losses.append(loss / max(len(own), 1))
+        out.append(losses)
+    return out
+
+
+@pytest.mark.parametrize("bytes_", [1 << 23, 700])
+def test_against_brute_force(spark, docs, empty, monkeypatch, bytes_):
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", bytes_)
+    monkeypatch.setattr(lmscore, "PART_BYTES", bytes_)
+    plain = docs.select("doc_id", "text", "lang").filter("length(text) < 2000 OR text IS NULL")
+    chosen, known = F.col("doc_id").isin(4, 11), F.coalesce(F.col("doc_id") != 6, F.lit(True))
+    got = lmscore.scored(plain, chosen, known).collect()
+    rows = plain.select("text", F.coalesce(chosen, F.lit(False)), known, "doc_id").collect()
+    assert len(got) == len(rows)
+    want = sorted((str(r[3]), round(t, 7), round(b, 7)) for r, (t, b) in zip(rows, brute([(r[0], r[1], r[2]) for r in rows]), strict=True))
+    have = sorted((str(r["doc_id"]), round(r["target_loss"], 7), round(r["background_loss"], 7)) for r in got)
+    for x, y in zip(want, have, strict=True):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], abs=1e-6)
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["score"] == 0 and by[1]["n_tokens"] == 0 and by[3]["n_tokens"] == 1
+    assert lmscore.scored(empty.select("doc_id", "text"), F.lit(True)).count() == 0
+
+
+def test_whole_table_clashes_and_nulls(spark, docs):
+    got = lmscore.scored(docs.drop("n_words", "feature").withColumn("flag", F.lit(None).cast("boolean")), F.col("flag"))
+    assert got.count() == docs.count() and got.columns == ["doc_id", "source", "lang", "flag", *lmscore.OUT]
+    with pytest.raises(ValueError):
+        lmscore.scored(docs.withColumn("score", F.lit(1)), F.lit(True))
+
+
+def test_a_second_copy_is_seen_and_rare_words_count(spark):
+    rows = [(k, "filler " * 1000) for k in range(60)]
+    rows += [(1000, "rare good pair"), (1001, "rare good pair"), (1002, "scarce bad couple"), (1003, "scarce bad couple"), (1004, "once alone here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    models = lmscore.fit(docs.filter("doc_id = 1000 OR doc_id < 50"), docs)
-    got = {r["doc_id"]: r for r in lmscore.scored(docs, models).collect()}
-    assert len(got) == len(rows) and models.words.count() == 7
-    assert got[1000]["score"] < got[1002]["score"]
-    again = {r["doc_id"]: r for r in lmscore.scored(docs.select("*"), models).collect()}
-    assert all(again[k]["score"] == pytest.approx(r["score"], abs=1e-8) and again[k]["n_tokens"] == r["n_tokens"] for k, r in got.items())
+    got = {r["doc_id"]: r for r in lmscore.scored(docs, F.expr("doc_id = 1000 OR doc_id < 50")).collect()}
+    assert len(got) == len(rows)
+    assert got[1001]["score"] < got[1002]["score"] == got[1003]["score"]
+    # Copies know each other; a document that stands alone knows none of its words.
+    assert got[1002]["background_loss"] < got[1004]["background_loss"] - 1
+    again = {r["doc_id"]: r for r in lmscore.scored(docs.repartition(7), F.expr("doc_id = 1000 OR doc_id < 50")).collect()}
+    assert again == got
+
+
+def test_labels(spark, docs):
+    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (6, 1, 1), (7, 0, 0), (8, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = lmscore.with_good(docs, labels)
+    assert out.count() == docs.count() and {r["doc_id"] for r in out.filter("is_good").collect()} == {4, 8}

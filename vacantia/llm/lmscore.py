@@ -1,288 +1,282 @@
 """Cross-entropy difference: documents scored by two n-gram models.
 
-A target model (of chosen documents) and a background model (of all documents) are
-matched: one vocabulary, the same bigram form, the same smoothing. The score of a
-document is the mean over its tokens of target loss less background loss, so low
-scores read like the target.
-
-Counts cover every token of every document, and every word and bigram that either
-side has LEAST times is in the models, so they grow with the corpus. They are stored
-tables: a text's words get their numbers, and its bigrams their log probabilities,
-by joins. Only the HEAD most frequent entries are also broadcast, which spares rows
-in those joins and changes no result.
+A target model (of chosen documents) and a background model are matched: one
+vocabulary, the same bigram form, the same smoothing. The score of a document is the
+mean over its tokens of target loss less background loss, so low scores read like
+the target. Both models hold every word and every bigram of their documents, but
+those of the document that is being scored: a document is never judged by itself,
+while a second copy of it is.
+
+Documents are packed into blocks of bounded text. Each block sends its distinct keys
+(hashes of words and bigrams) with their counts to the part of the key space that
+sums them; a part answers with the sums in the order of the block's own sorted keys,
+so no key travels back and no count is broadcast or collected. A key costs one entry
+a block however frequent it is, so no word or bigram is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import stored, tune_arrow
-from .textkernel import Words, slices
+from .textkernel import Words, mix, runs, slices
 
-#: Words and bigrams that neither side has so often are left to smoothing; no share of all tokens is asked for.
-LEAST, WORD_SHARE, PAIR_SHARE = 2, 0.0, 0.0
-#: At most so many of the most frequent entries of a table are broadcast.
-HEAD = 1 << 18
 #: Weight of the unigrams in a bigram's estimate, in tokens; and of every word in a unigram's.
 PRIOR, ADD = 8.0, 0.5
-#: Distinct keys a task sums before it passes them on.
-HELD = 1 << 20
-#: Numbers of the unknown word and of the start of a text; words follow.
-UNKNOWN, START, FIRST = 0, 1, 2
+#: Text of a block, in bytes (a longer text is a block of its own), and text whose keys a part sums.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+#: Hashes of the start of a text (a history alone) and of its end (a word like any other).
+START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814E)
+#: Results, in order.
+OUT = ("n_tokens", "target_loss", "background_loss", "score")
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers of one length: narrow, byte by byte, compressed."""
+    out = [struct.pack("<q", len(arrays[0]))]
+    for a in arrays:
+        a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        out += [struct.pack("<b", a.itemsize), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, at, out = struct.unpack_from("<q", raw)[0], 8, []
+    while at < len(raw):
+        width = raw[at]
+        planes = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += 1 + n * width
+    return out
+
+
+class _Tokens:
+    """The tokens of a block: every word of every text, and END behind the last of each text that has one."""
+
+    def __init__(self, texts: pa.ChunkedArray) -> None:
+        words, pairs, counts = [], [], []
+        for _, n, data, off in slices(texts):
+            w = Words(data, off)
+            length = w.count + (w.count > 0)
+            last = np.cumsum(length)[w.count > 0] - 1
+            h = np.empty(length.sum(), np.uint64)
+            inner = np.ones(len(h), bool)
+            inner[last] = False
+            h[inner], h[last] = w.hashes(w.start, w.end), END
+            before = np.empty_like(h)
+            before[1:] = h[:-1]
+            before[(np.cumsum(length) - length)[length > 0]] = START
+            with np.errstate(over="ignore"):
+                pairs.append(mix(before * np.uint64(0x9E3779B97F4A7C55) + h) | np.uint64(1))
+            words.append(h & ~np.uint64(1))  # words are even, bigrams odd
+            counts.append(length)
+        self.length = np.concatenate([*counts, np.zeros(0, np.int64)])
+        self.size = int(self.length.sum())
+        self.doc = np.repeat(np.arange(len(self.length)), self.length)
+        self.keys = np.concatenate([*words, *pairs, np.zeros(0, np.uint64)])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted distinct keys, the order that sorts all keys, and where each distinct one begins in it."""
+        order = np.argsort(self.keys, kind="stable")
+        s = self.keys[order]
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        return s[at], order, at
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows (with _text) as (block, bytes, rows): runs of about BLOCK_BYTES of text, in Arrow's stream format."""
 
-Counted = tuple[np.ndarray, np.ndarray, np.ndarray]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal block, held, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(pa.Table.from_batches(held).combine_chunks())
+            made = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bytes", "rows"])
+            block, held, size = block + 1, [], 0
+            return made
+
+        for b in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("_text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                before = int(upto[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(upto, before + BLOCK_BYTES - size, "right")))
+                held.append(b.slice(at, end - at))
+                size += int(upto[end - 1]) - before
+                at = end
+                if size >= BLOCK_BYTES or at < b.num_rows:
+                    yield out()
+        if held:
+            yield out()
 
+    tune_arrow(rows.sparkSession)
+    return stored(rows.mapInArrow(run, "block long, bytes long, rows binary"), "lm-blocks")
 
-def _merged(held: list[Counted]) -> Counted:
-    """Each key once, with its sums."""
-    k, t, b = (np.concatenate(x) for x in zip(*held, strict=True))
-    if not len(k):
-        return k, t, b
-    order = np.argsort(k, kind="stable")
-    k = k[order]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[at], np.add.reduceat(t[order], at), np.add.reduceat(b[order], at)
 
+def _table(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
 
-def _summed(texts: DataFrame, keyed: Callable[[pa.RecordBatch], Iterator[Counted]], name: str) -> DataFrame:
-    """key, t and b: how often each key stands in target and background; a stored table of those kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counted] = []
-        size = 0
-
-        def out(part: Counted) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(part[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in part], names=["key", "t", "b"])
-
-        for batch in batches:
-            for part in keyed(batch):
-                held.append(_merged([part]))
-                size += len(held[-1][0])
-                if size > 2 * HELD:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > HELD:
-                        yield from out(held[0])
-                        held, size = [], 0
-        if held:
-            yield from out(_merged(held))
+def _flag(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
 
-    tune_arrow(texts.sparkSession)
-    counts = texts.mapInArrow(run, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    return stored(counts.filter((F.col("t") >= LEAST) | (F.col("b") >= LEAST)), name)
 
+def _sent(blocks: DataFrame, bits: int) -> DataFrame:
+    """part, block, keys: the distinct keys of each block with their counts on both sides, by part of the key space."""
 
-def _texts(sides: list[tuple[DataFrame, int, int]], text: str) -> DataFrame:
-    """Each distinct text once: text_key, text, and how often target and background have it."""
-    rows = None
-    for d, t, b in sides:
-        part = d.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"), F.lit(t).cast("long").alias("t"), F.lit(b).cast("long").alias("b")).filter("text IS NOT NULL")
-        rows = part if rows is None else rows.unionByName(part)
-    return stored(rows.groupBy("text_key").agg(F.first("text").alias("text"), F.sum("t").alias("t"), F.sum("b").alias("b")), "lm-texts")
-
-
-def _head(df: DataFrame, count: str) -> DataFrame:
-    """The rows of the highest counts, HEAD at most: all rows above a count, never some of one count."""
-    seen, least = 0, None
-    for r in df.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(HEAD + 1).collect():
-        seen += r["n"]
-        if seen > HEAD:
-            break
-        least = r["c"]
-    return df.filter(F.lit(False) if least is None else F.col(count) >= least)
-
-
-def _columns(df: DataFrame, by: str, *others: str) -> tuple[np.ndarray, ...]:
-    got = df.select(by, *others).toArrow()
-    order = np.argsort(got[by].to_numpy(), kind="stable")
-    return tuple(got[c].to_numpy()[order] for c in (by, *others))
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each key, and whether it is there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def _hashes(w: Words) -> np.ndarray:
-    return w.hashes(w.start, w.end).view(np.int64)
-
-
-def _word_counts(batch: pa.RecordBatch) -> Iterator[Counted]:
-    t, b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("t", "b"))
-    for at, size, data, off in slices(batch.column(batch.schema.get_field_index("text"))):
-        w = Words(data, off)
-        yield _hashes(w), np.repeat(t[at : at + size], w.count), np.repeat(b[at : at + size], w.count)
-
-
-def _numbers(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Histories and words of all tokens of a batch, and how many tokens each text has."""
-    rows = [np.frombuffer(x, np.int32) for x in ids.to_pylist()]
-    count = np.array([len(x) for x in rows], np.int64)
-    word = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[(np.cumsum(count) - count)[count > 0]] = START
-    return before, word, count
-
-
-def _pair_counts(batch: pa.RecordBatch) -> Iterator[Counted]:
-    before, word, count = _numbers(batch.column(batch.schema.get_field_index("ids")))
-    t, b = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(), count) for c in ("t", "b"))
-    yield before << 32 | word, t, b
-
-
-@dataclass
-class Models:
-    """Both models over one vocabulary.
-
-    words has key (a hash) and id of every word in it. parts has what log probabilities
-    are summed from: key, x_t and x_b, with keys h << 32 | w for a bigram, -1 - 2 * w for
-    a word, -2 - 2 * h for a history. source is the background that ids was made of."""
-
-    words: DataFrame
-    parts: DataFrame
-    source: DataFrame
-    ids: DataFrame
-
-
-def _numbered(words: DataFrame) -> DataFrame:
-    """words with id: numbers without gaps from FIRST on, stored."""
-    at = stored(words.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "lm-rows")
-    sizes = at.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row a file
-    first, next_id = [], FIRST
-    for r in sizes:
-        first.append((r["_part"], next_id))
-        next_id += r["n"]
-    if next_id >= 1 << 31:
-        raise ValueError("more words than 31 bits number")
-    first = words.sparkSession.createDataFrame(first, "_part int, _first long")
-    return stored(at.join(F.broadcast(first), "_part").select("key", "t", "b", (F.col("_first") + F.col("_row")).alias("id")), "lm-words")
-
-
-def _with_ids(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """text_key, t, b and ids: the numbers of a text's words in order, as 32-bit integers."""
-    spark = texts.sparkSession
-    tune_arrow(spark)
-    sent = spark.sparkContext.broadcast(_columns(_head(words.withColumn("n", F.col("t") + F.col("b")), "n"), "key", "id"))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name = batch.column(0).to_numpy()
-            for at, size, data, off in slices(batch.column(1)):
-                w = Words(data, off)
-                h = _hashes(w)
-                tail = ~_find(sent.value[0], h)[1]
-                h, doc = h[tail], w.doc[tail]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(name[at : at + size][doc[new]]), pa.array(h[new])], names=["text_key", "key"])
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pc.list_flatten(batch.column(4))
-            key, number = found.field(0).to_numpy(), found.field(1).to_numpy()
-            key, at = np.unique(key, return_index=True)
-            number = number[at]
-            out: list[bytes] = []
-            for _, _, data, off in slices(batch.column(1)):
-                w = Words(data, off)
-                h = _hashes(w)
-                ids = np.full(len(h), UNKNOWN, np.int32)
-                for keys, values in (sent.value, (key, number)):
-                    place, there = _find(keys, h)
-                    ids[there] = values[place[there]]
-                raw = ids.tobytes()
-                out += [raw[4 * x : 4 * y] for x, y in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.binary())], names=["text_key", "t", "b", "ids"])
-
-    tail = texts.select("text_key", "text").mapInArrow(rare, "text_key long, key long")
-    found = tail.join(words.select("key", "id"), "key").groupBy("text_key").agg(F.collect_list(F.struct("key", "id")).alias("found"))
-    both = texts.join(found.withColumnRenamed("text_key", "_key"), F.col("text_key") == F.col("_key"), "left").select("text_key", "text", "t", "b", "found")
-    return stored(both.mapInArrow(numbered, "text_key long, t long, b long, ids binary"), "lm-ids")
-
-
-def fit(target: DataFrame, background: DataFrame, text: str = "text") -> Models:
-    """Both models, from every token of target and background. Empty tables give models without words."""
-    spark = background.sparkSession
-    texts = _texts([(target, 1, 0), (background, 0, 1)], text)
-    words = _numbered(_summed(texts, _word_counts, "lm-word-counts"))
-    ids = _with_ids(texts, words)
-    pairs = _summed(ids, _pair_counts, "lm-pairs")
-    tokens = [F.coalesce(F.sum(F.length("ids") / 4 * F.col(c)), F.lit(0.0)) for c in ("t", "b")]
-    total = ids.agg(*tokens).first()
-    known = words.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "b")]).first()
-    rest = spark.createDataFrame([(UNKNOWN, int(total[0]) - known[1], int(total[1]) - known[2])], "id long, t long, b long")
-    single = words.select("id", "t", "b").unionByName(rest)
-    p = {c: (F.col(f"p_{c}") + ADD) / F.lit(float(total[k]) + ADD * (known[0] + 1)) for k, c in enumerate("tb")}
-    single = single.select("id", F.col("t").alias("p_t"), F.col("b").alias("p_b")).select("id", *[p[c].alias(f"p_{c}") for c in "tb"], F.greatest("p_t", "p_b").alias("n"))
-    single = stored(single, "lm-singles")
-    history = pairs.groupBy(F.shiftright("key", 32).alias("h")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    # log p(w | h) = log p(w) - log(1 + c(h) / PRIOR) + log(1 + c(h, w) / (PRIOR p(w))), c(h) over the kept pairs of h.
-    of_pairs = pairs.join(single.drop("n"), F.col("key").bitwiseAND((1 << 32) - 1) == F.col("id")).select("key", *[F.log1p(F.col(c) / (PRIOR * F.col(f"p_{c}"))).alias(f"x_{c}") for c in "tb"], F.greatest("t", "b").alias("n"))
-    of_words = single.select((-1 - 2 * F.col("id")).alias("key"), *[F.log(f"p_{c}").alias(f"x_{c}") for c in "tb"], "n")
-    of_histories = history.select((-2 - 2 * F.col("h")).alias("key"), *[(-F.log1p(F.col(c) / PRIOR)).alias(f"x_{c}") for c in "tb"], F.greatest("t", "b").alias("n"))
-    parts = stored(of_pairs.unionByName(of_words).unionByName(of_histories), "lm-parts")
-    return Models(words, parts, background, ids.filter("b > 0"))
-
-
-def scored(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """docs with its text column replaced by n_tokens, target_loss, background_loss and score
-    (means over tokens, rounded to nine places; score is the difference).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                table = _table(rows)
+                tokens = _Tokens(table.column("_text"))
+                keys, order, at = tokens.distinct()
+                if not len(keys):
+                    continue
+                sides = []
+                for c in ("_t", "_b"):
+                    each = np.repeat(_flag(table, c), tokens.length)
+                    sides.append(np.add.reduceat(np.concatenate([each, each])[order], at))
+                part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+                step = np.diff(keys, prepend=np.uint64(0))
+                step[edge[:-1]] = keys[edge[:-1]]
+                blobs = [_packed(step[x:y], sides[0][x:y], sides[1][x:y]) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array([block] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "keys"])
+
+    return blocks.select("block", "rows").mapInArrow(run, "part long, block long, keys binary")
+
+
+def _answered(sent: DataFrame) -> DataFrame:
+    """block, part, data: the sums of both sides for each key that the block sent, in its order; and in
+    one row a part, words and tokens of either side."""
+
+    def answer(part: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        blocks, parts = [r[0] for r in rows], [_unpacked(r[1]) for r in rows]
+        keys = np.concatenate([np.cumsum(p[0].astype(np.uint64), dtype=np.uint64) for p in parts])
+        order = np.argsort(keys, kind="stable")
+        s = keys[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        at, group = np.flatnonzero(new), np.empty(len(s), np.int64)
+        group[order] = np.cumsum(new) - 1
+        sums = [np.add.reduceat(np.concatenate([p[k].astype(np.int64) for p in parts])[order], at) for k in (1, 2)]
+        word = s[at] & np.uint64(1) == 0
+        edge = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        blobs = [_packed(*(v[group[x:y]] for v in sums)) for x, y in zip(edge, edge[1:], strict=False)]
+        stats = [int(word.sum()), int(sums[0][word].sum()), int(sums[1][word].sum())]
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(blobs, pa.binary()), *(pa.array([v] + [0] * (n - 1), pa.int64()) for v in stats)], names=["block", "part", "data", "words", "t", "b"])
 
-    A text without words, or null, has losses and score 0; equal texts score alike;
-    other columns pass through; an empty table stays empty. Words and texts are told
-    apart by 64-bit hashes, upper case from lower."""
-    others = [c for c in docs.columns if c != text]
-    ids = models.ids if docs is models.source else _with_ids(_texts([(docs, 0, 0)], text), models.words)
-    sent = docs.sparkSession.sparkContext.broadcast(_columns(_head(models.parts, "n"), "key", "x_t", "x_b"))
-    tune_arrow(docs.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for part, block, keys in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != now and held:
+                    yield answer(now, held)
+                    held = []
+                now = part
+                held.append((block, keys))
+        if held:
+            yield answer(now, held)
+
+    parts = sent.repartition("part").sortWithinPartitions("part", "block")
+    return stored(parts.mapInArrow(run, "block long, part long, data binary, words long, t long, b long"), "lm-counts")
+
+
+def _losses(table: pa.Table, counts: list[bytes], words: int, totals: tuple[int, int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words of each text of a block, and its mean losses under both models."""
+    tokens = _Tokens(table.column("_text"))
+    keys, order, at = tokens.distinct()
+    group, new = np.empty(len(order), np.int64), np.zeros(len(order), np.int64)
+    new[at] = 1
+    group[order] = np.cumsum(new) - 1
+    size, doc, length = tokens.size, tokens.doc, tokens.length
+    sums = [np.concatenate(x).astype(np.float64) for x in zip(*map(_unpacked, counts), strict=True)] or [np.zeros(0)] * 2
+    word, pair = group[:size], group[size:]
+    own_word, own_pair = (runs(doc, g.astype(np.uint64))[0] for g in (word, pair))
+    first = np.zeros(size, bool)
+    first[(np.cumsum(length) - length)[length > 0]] = True
+    end = np.searchsorted(keys, END & ~np.uint64(1))
+    losses = []
+    for name, c, total in zip(("_t", "_b"), sums, totals, strict=True):
+        own = _flag(table, name)
+        mine = own[doc]
+        c_word = c[word] - mine * own_word
+        c_history = np.empty(size)
+        c_history[1:] = c_word[:-1]
+        if size:
+            c_history[first] = c[end] - mine[first]
+        p = (c_word + ADD) / (total - mine * length[doc] + ADD * (words + 1))
+        p = (c[pair] - mine * own_pair + PRIOR * p) / (c_history + PRIOR)
+        losses.append(np.bincount(doc, weights=-np.log(p), minlength=len(length)) / np.maximum(length, 1))
+    return length - (length > 0), losses
+
+
+def scored(docs: DataFrame, target: Column, background: Column | None = None, text: str = "text") -> DataFrame:
+    """docs with its text column replaced by n_tokens, target_loss, background_loss and score
+    (losses are means over the words and the end of a text, rounded to nine places; score
+    is their difference).
+
+    The target is every row for which `target` holds, the background every row for which
+    `background` does (by default all); null is false. Rows of neither are scored too.
+    Each row is left out of the models it is scored by. A text without words, or null,
+    has losses and score 0 and is in no model; a side without words gives every word the
+    same loss. Rows with equal texts and flags score alike; other columns pass through,
+    and one named like a result (or _text, _t, _b) raises; an empty table stays empty.
+    Words are told apart by 64-bit hashes, upper case from lower."""
+    others = [f for f in docs.schema.fields if f.name != text]
+    clash = {f.name.lower() for f in others} & {*OUT, "_text", "_t", "_b"}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    background = F.lit(True) if background is None else background
+    flag = lambda c: F.coalesce(c.cast("boolean"), F.lit(False)).cast("int")
+    blocks = _blocks(docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(text).alias("_text"), flag(target).alias("_t"), flag(background).alias("_b")))
+    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    counts = _answered(_sent(blocks, max(0, (size // PART_BYTES).bit_length())))
+    words, *totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t", "b")]).first()
+    names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The parts of each text that are not in the head, and one row of what is, under a key that no part has."""
-        keys, *values = sent.value
-        for batch in batches:
-            name = batch.column(0).to_numpy()
-            before, word, count = _numbers(batch.column(1))
-            doc = np.repeat(np.arange(len(name)), count)
-            sums, tails = np.zeros((2, len(name))), [(-(1 << 62) - (name & ((1 << 61) - 1)), np.arange(len(name)))]
-            for key in (before << 32 | word, -1 - 2 * word, -2 - 2 * before):
-                at, there = _find(keys, key)
-                for k, v in enumerate(values):
-                    sums[k] += np.bincount(doc[there], weights=v[at[there]], minlength=len(name)) if len(v) else 0.0
-                tails.append((key[~there], doc[~there]))
-            key, doc = (np.concatenate(x) for x in zip(*tails, strict=True))
-            fill = np.zeros(len(key) - len(name))
-            columns = [name[doc], key, np.concatenate([count, fill.astype(np.int64)]), *(np.concatenate([s, fill]) for s in sums)]
-            for i in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["text_key", "key", "n", "t", "b"])
-
-    rows = ids.select("text_key", "ids").mapInArrow(run, "text_key long, key long, n long, t double, b double")
-    got = rows.join(models.parts.select(F.col("key").alias("_key"), "x_t", "x_b"), F.col("key") == F.col("_key"), "left")
-    total = [F.sum(F.col(c) + F.coalesce(f"x_{c}", F.lit(0.0))).alias(c) for c in "tb"]
-    sums = stored(got.groupBy(F.col("text_key").alias("_text_key")).agg(F.sum("n").alias("_n"), *[x.alias(f"_{c}") for x, c in zip(total, "tb", strict=True)]), "lm-sums")
-    slim = docs.select(*others, F.xxhash64(text).alias("_of"), F.col(text).isNotNull().alias("_has"))
-    out = slim.join(sums, F.col("_has") & (F.col("_of") == F.col("_text_key")), "left")
-    loss = {c: F.when(F.col("_n") > 0, F.round(-F.col(f"_{c}") / F.col("_n"), 9)).otherwise(F.lit(0.0)) for c in "tb"}
-    return out.select(*others, F.coalesce("_n", F.lit(0)).cast("long").alias("n_tokens"), loss["t"].alias("target_loss"), loss["b"].alias("background_loss"), F.round(loss["t"] - loss["b"], 9).alias("score"))
-
-
-def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents labelled of good quality and not toxic; a stored table of their texts.
-
-    Texts are dealt out by id at every size, and ids are hashed, not sorted: labels have
-    no proven bound, so they are not broadcast."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return stored(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi").select("text"), "lm-target")
+        now, held = None, []
+        for b in batches:
+            for block, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if block != now:
+                    now, held = block, []
+                if part >= 0:
+                    held.append(data.as_py())
+                    continue
+                table = _table(data)
+                n, (t, b_) = _losses(table, held, words, tuple(totals))
+                t, b_ = np.round(t, 9) + 0.0, np.round(b_, 9) + 0.0
+                out = table.select(names).combine_chunks()
+                for c, v in zip(OUT, (n, t, b_, np.round(t - b_, 9) + 0.0), strict=True):
+                    out = out.append_column(c, pa.array(v))
+                yield from out.to_batches(10_000)
+
+    # The sums of a block come before its rows, whose part is -1: both ascending by the negated part.
+    both = counts.select("block", "part", "data").unionByName(blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col("rows").alias("data")))
+    both = both.repartition("block").sortWithinPartitions("block", F.col("part") < 0, "part")
+    kinds = [LongType(), DoubleType(), DoubleType(), DoubleType()]
+    return both.mapInArrow(run, StructType([*others, *(StructField(c, k) for c, k in zip(OUT, kinds, strict=True))]))
+
+
+def with_good(docs: DataFrame, labels: DataFrame, name: str = "is_good") -> DataFrame:
+    """docs and whether a document is labelled of good quality and not toxic.
+
+    Labels have no proven bound, so they are not broadcast: both sides are sorted by id."""
+    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good_id")).distinct()
+    return docs.join(good.hint("merge"), F.col("doc_id") == F.col("_good_id"), "left").withColumn(name, F.col("_good_id").isNotNull()).drop("_good_id")

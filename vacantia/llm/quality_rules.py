@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import tune_arrow
-from .textkernel import DIGIT, LEAD, PUNCT, SYMBOL, UPPER, Words, slices
+from .textkernel import DIGIT, LEAD, PUNCT, SYMBOL, UPPER, Words, runs, slices
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper", "n_punct", "n_distinct_words"]
 
@@ -42,22 +42,6 @@ FEATURES = {
 FIT_ROWS = 6000
 
 
-def _runs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each item, how many items of its text have its hash, and whether it is counted first."""
-    with np.errstate(over="ignore"):
-        key = h ^ (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    group = np.cumsum(new) - 1
-    count = np.empty(len(s), np.int64)
-    count[order] = np.bincount(group)[group] if len(s) else 0
-    first = np.zeros(len(s), bool)
-    first[order[new]] = True
-    return count, first
-
-
 def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """The COUNTS of each text; null is empty.
 
@@ -73,17 +57,17 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
         np.cumsum(w.solid, out=solid[1:])
         full = solid[end] > solid[start]
         start, end, doc = start[full], end[full], doc[full]
-        _, first = _runs(doc, w.hashes(start, end))
+        _, first = runs(doc, w.hashes(start, end))
         put["n_lines"] = np.bincount(doc, minlength=n)
         put["n_dup_lines"] = np.bincount(doc[~first], minlength=n)
         h = w.hashes(w.start, w.end)
-        _, first = _runs(w.doc, h)
+        _, first = runs(w.doc, h)
         put["n_distinct_words"] = np.bincount(w.doc[first], minlength=n)
         if len(h) >= 3:
             with np.errstate(over="ignore"):
                 three = h[:-2] * np.uint64(0xA24BAED4963EE407) + (h[1:-1] ^ np.uint64(0x51ED270B35)) * np.uint64(0x9FB21C651E98DF25) + h[2:]
             own = np.flatnonzero(w.doc[:-2] == w.doc[2:])
-            count, _ = _runs(w.doc[own], three[own])
+            count, _ = runs(w.doc[own], three[own])
             twice = own[count > 1]
             covered = np.zeros(len(h), bool)
             for k in range(3):

@@ -128,3 +128,19 @@ class Words:
         end[inner] -= 1  # without its \n
         end[last] = self.off[1:]
         return start, end, doc
+
+
+def runs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item, how many items of its text have its hash, and whether it is counted first."""
+    with np.errstate(over="ignore"):
+        key = h ^ (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    group = np.cumsum(new) - 1
+    count = np.empty(len(s), np.int64)
+    count[order] = np.bincount(group)[group] if len(s) else 0
+    first = np.zeros(len(s), bool)
+    first[order[new]] = True
+    return count, first
