@@ -34,12 +34,13 @@ def test_clean(scanner, text):
 def test_ranking_and_differences(scanner):
     reduction, best = scanner.rank("Licensed under the Apache License, Version 2.0.")[0]
     assert best == "Apache-2.0" and reduction > 0.4
-    share, extra, _ = scanner.differences("Released under the famous MIT License.", "MIT")
-    assert extra == ["famous"] and share > 0.8
+    own = licenses._words(licenses.LICENSES["ISC"].text.replace("hereby granted", "hereby most kindly granted"))
+    _, extra, gaps, common, skipped = scanner.stretch(own, "ISC")
+    assert extra == ["most", "kindly"] and gaps == [] and common == len(own) - 2 and skipped == 0
 
 
 def test_scanned(docs, empty, spark):
-    more = spark.createDataFrame([(100, "x\nReleased under the MIT License.\ny " * 3), (101, None)], "doc_id long, text string")
+    more = spark.createDataFrame([(100, ("x\nReleased under the MIT License.\n" + "y " * 60 + "\n") * 3), (101, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in licenses.scanned(more).collect()}
     assert rows[100]["licenses"] == "MIT" and rows[100]["n_blocks"] == 3 and rows[101]["licenses"] == ""
     assert licenses.scanned(docs).filter("n_blocks > 0").count() == 0 and licenses.scanned(empty).count() == 0
@@ -63,3 +64,55 @@ def test_notices_within_other_words(scanner, text, name):
 @pytest.mark.parametrize("text", ["He is licensed under the act of 1998 to sell fish.", "I read the MIT License yesterday.", "Licensed under CC BY 3.0."])
 def test_other_versions_and_mentions(scanner, text):
     assert scanner.scan(text) == []
+
+
+@pytest.mark.parametrize("name", list(licenses.LICENSES))
+def test_every_template_is_itself(scanner, name):
+    assert {g[2] for g in scanner.scan(licenses.TEMPLATES[name])} == {name}
+    text = licenses.LICENSES[name].text
+    if text:
+        assert {g[2] for g in scanner.scan(text)} == {name}
+        assert {g[2] for g in scanner.scan(f"Some prose before it.\n\n{text.replace('. ', '.' + chr(10))}\n\nSome prose behind it.")} == {name}
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under the zlib License.", "Zlib"),
+        ("Released under the Eclipse Public License.", "EPL-1.0 OR EPL-2.0"),
+        ("Released under the Zope Public License.", "ZPL-2.1"),
+        ("Released under the Boost License.", "BSL-1.0"),
+        ("Licensed under GPLv3.", "GPL-3.0"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("Licensed under the MIT License. Parts are released under the GNU General Public License, version 3.", "GPL-3.0,MIT"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later\nversion. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.", "LGPL-2.1"),
+        ("You may use it under the terms of the Frobnitz License, version 2.", ""),
+    ],
+)
+def test_names_versions_and_blocks(scanner, text, name):
+    assert ",".join(sorted({g[2] for g in scanner.scan(text)})) == name
+
+
+def test_clauses_of_a_wrapped_notice(scanner):
+    import textwrap
+
+    for name in ("BSD-1-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "MIT", "X11", "Zlib", "ISC", "0BSD"):
+        wrapped = "\n".join(textwrap.wrap(licenses.LICENSES[name].text.replace("copyright holder", "Example Company"), 72))
+        assert {g[2] for g in scanner.scan(f"Copyright (c) 2014 Example Company\n\n{wrapped}\n")} == {name}
+        bullets = wrapped.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+        assert {g[2] for g in scanner.scan(bullets)} == {name}
+
+
+def test_ranking_against_brute_force(scanner):
+    import zstandard
+
+    block = "Permission is granted to anyone to use this software for any purpose, including commercial applications."
+    size = lambda t: len(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if t else None).compress(block.lower().encode()))
+    lowered = lambda k: " ".join(f"{licenses._statement(k, v)} {v.text}".lower().split()) if (v := licenses.LICENSES[k]) else ""
+    want = {k: size(lowered(k)) for k in licenses.LICENSES}
+    assert scanner.rank(block)[0][1] == min(want, key=want.get) == "Zlib"
+
+
+def test_long_pieces_are_looked_at_in_parts(scanner):
+    text = "word " * 3000 + "and it is licensed under the Apache License, Version 2.0 " + "word " * 3000
+    assert [g[2] for g in scanner.scan(text)] == ["Apache-2.0"]
