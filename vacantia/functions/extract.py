@@ -5,7 +5,7 @@ the first hit in (sentence, rule) order wins, as an array filter and its first i
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import collapsed, first_of_each, let, normalized, trimmed
@@ -172,3 +172,10 @@ def bad_content_reasons(page_text: Column, extracted: Column) -> Column:
     )
     empty = F.coalesce(extracted, F.lit("")) == ""
     return let(some, lambda found: F.sort_array(F.when((F.size(found) == 0) & empty, F.array(F.lit("unusable_unknown"))).otherwise(found)))
+
+
+def requirement_stats(rows: DataFrame, column: str) -> DataFrame:
+    """How many requirements are empty, short (under 120 characters), or one line of under 200."""
+    r = F.col(column)
+    one_line = ~F.coalesce(F.rtrim(r).contains("\n"), F.lit(False))
+    return rows.agg(F.count_if(F.coalesce(r, F.lit("")) == "").alias("empty"), F.count_if((r != "") & (F.length(r) < 120)).alias("short"), F.count_if((r != "") & (F.length(r) < 200) & one_line).alias("generic"))

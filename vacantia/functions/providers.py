@@ -37,14 +37,18 @@ def board(url: Column) -> Column:
     return out
 
 
-def entry_url(provider: Column, identifier: Column) -> Column:
-    """The canonical listing URL of boards that have one."""
-    token = F.url_encode(identifier)
+def entry_url(provider: Column, identifier: Column, url: Column) -> Column:
+    """The canonical listing URL of a board; for iCIMS and Workday it is the recognised URL itself
+    (a Workday one needs a site)."""
+    token = F.url_encode(trimmed(identifier))
+    for a, b in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):
+        token = F.replace(token, F.lit(a), F.lit(b))
     ok = trimmed(identifier) != ""
     return (
         F.when(ok & (provider == "greenhouse"), F.concat(F.lit("https://boards-api.greenhouse.io/v1/boards/"), token, F.lit("/jobs?content=true")))
         .when(ok & (provider == "lever"), F.concat(F.lit("https://api.lever.co/v0/postings/"), token, F.lit("?mode=json")))
         .when(ok & (provider == "ashby"), F.concat(F.lit("https://api.ashbyhq.com/posting-api/job-board/"), token, F.lit("?includeCompensation=true")))
+        .when((provider == "icims") | (ok & (provider == "workday")), url)
     )
 
 

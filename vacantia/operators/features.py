@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, tokens
+from ..functions.text import STOP_WORDS, let, tokens
 
 
 def tfidf(docs: DataFrame, key: str, text: str, least_chars: int = 2, fraction: float = 0.25, most: int = 50, round_up: bool = False) -> DataFrame:
@@ -68,14 +69,45 @@ def read_terms(lines: DataFrame) -> DataFrame:
 
 
 def technologies(docs: DataFrame, key: str, text: str, terms: list[tuple[str, str]]) -> DataFrame:
-    """key, technologies and categories, sorted, of each document: one regular expression a
-    term, so no join between texts and terms is needed."""
-    s = searchable(F.col(text))
-    found = []
+    """key, technologies and categories, sorted, of each document.
+
+    A text is normalised once. Its words, and the phrases that begin with a word that some
+    spelling begins with, are looked up in a set of spellings; only spellings with
+    other signs than letters and digits are searched one by one. No join and no shuffle."""
+    single, phrases, signs = {}, {}, []
     for name, category in terms:
-        parts = [f" {re.escape(a)} " if " " in a else f"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])" for a in aliases(name)]
-        if parts:
-            found.append(F.when(s.rlike("|".join(parts)), F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"))))
-    hits = F.array_compact(F.array(*found))
-    names = lambda f: F.array_sort(F.array_distinct(F.transform(hits, lambda h: h[f])))
-    return docs.select(key, names("name").alias("technologies"), names("category").alias("categories"))
+        for a in aliases(name):
+            if " " in a:
+                phrases.setdefault(a, []).append((name, category))
+            elif a.isalnum():
+                single.setdefault(a, []).append((name, category))
+            else:
+                signs.append((a, name, category))
+    pair = lambda n, c: F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"))
+    known = single | phrases
+    meaning = F.create_map(*chain.from_iterable((F.lit(a), F.array(*[pair(*x) for x in v])) for a, v in known.items())) if known else None
+
+    def spelled(s: Column) -> Column:
+        found = [F.array().cast("array<string>")]
+        if single:
+            found.append(F.filter(F.split(s, "[^a-z0-9]+"), lambda w: w.isin(list(single))))
+        if phrases:
+            heads, longest = {a.split()[0] for a in phrases}, max(a.count(" ") for a in phrases) + 1
+
+            def at(words: Column) -> Column:
+                starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.try_element_at(words, i).isin(list(heads)))
+                lengths = F.array(*[F.lit(n) for n in range(2, longest + 1)])
+                made = F.flatten(F.transform(starts, lambda i: F.transform(lengths, lambda n: F.array_join(F.slice(words, i, n), " "))))
+                return F.filter(made, lambda w: w.isin(list(phrases)))
+
+            found.append(let(F.split(F.trim(s), " "), at))
+        return F.array_distinct(F.concat(*found))
+
+    def hits(s: Column) -> Column:
+        out = [F.flatten(F.transform(spelled(s), lambda w: F.element_at(meaning, w)))] if known else []
+        out += [F.array_compact(F.array(*[F.when(s.rlike(f"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])"), pair(n, c)) for a, n, c in signs]))] if signs else []
+        return F.concat(*out) if out else F.array().cast("array<struct<name:string,category:string>>")
+
+    found = docs.select(key, let(searchable(F.col(text)), hits).alias("_hits"))
+    names = lambda f: F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h[f])))
+    return found.select(key, names("name").alias("technologies"), names("category").alias("categories"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
@@ -52,3 +52,10 @@ def shown(value: Column) -> Column:
     v = value.cast("double")
     text = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", v), "0+$", ""), r"\.$", "")
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit("unknown")).otherwise(text)
+
+
+def status_counts(df: DataFrame, code: str) -> DataFrame:
+    """status, n and place: numbers in order, what has none last."""
+    n = df.groupBy(F.col(code).cast("int").alias("_code")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("_code"))).cast("long")  # one row a status
+    return n.select(F.coalesce(F.col("_code").cast("string"), F.lit("unknown")).alias("status"), "n", place.alias("place"))

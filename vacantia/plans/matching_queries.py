@@ -23,17 +23,8 @@ def cross_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", *[F.round(x, 6).alias(x) for x in ("max_score", "mean_score", "top_mean_score")], "pairs")
 
 
-@query(f"WITH {METRICS_SQL}, k AS (SELECT query_id, job_id, CASE WHEN job_id % 2 = 0 THEN cross_score ELSE CASE WHEN job_id % 3 = 0 THEN 1.0 ELSE 0.0 END END AS score FROM metrics WHERE job_id < 200) SELECT query_id, job_id, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM k")
-def filled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates without a score are scored, and all are ranked anew."""
-    m = metrics(spark, sf_dir).filter("job_id < 200")
-    c = m.select("query_id", "job_id", F.lit("x").alias("a"), F.when(F.col("job_id") % 3 == 0, F.lit("x")).otherwise(F.lit("y")).alias("b"))
-    known = m.filter("job_id % 2 = 0").select("query_id", "job_id", F.col("cross_score").alias("score"))
-    return matching.filled_scores(c, known)
-
-
 @query(f"WITH {METRICS_SQL}, k AS (SELECT query_id, job_id, CASE WHEN job_id % 2 = 0 THEN cross_score ELSE CASE WHEN job_id % 3 = 0 THEN 1.0 ELSE 0.0 END END AS score FROM metrics) SELECT query_id, job_id, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM k")
-def filled_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V12 over every candidate: those without a score are scored, and all are ranked anew."""
     m = metrics(spark, sf_dir)
     c = m.select("query_id", "job_id", F.lit("x").alias("a"), F.when(F.col("job_id") % 3 == 0, F.lit("x")).otherwise(F.lit("y")).alias("b"))
@@ -141,9 +132,9 @@ def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .engine import RankQuery, enrich, rank
 
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select(
+    d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.split_part("text", F.lit("."), F.lit(1)).alias("title"),
         F.concat(F.col("text"), F.lit("\nRequirements:\n* at least "), (F.col("doc_id") % 9).cast("string"), F.lit(" years of experience with SQL")).alias("content_text"),
         F.element_at(F.array(*[F.lit(x) for x in ("Boston, MA", "Remote - United States", "London")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("location_name"),
         F.concat(F.lit("Posted "), (F.col("doc_id") % 30).cast("string"), F.lit(" days ago")).alias("posted_at"),

@@ -111,11 +111,11 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _URLS = "urls AS (SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat('https://boards.greenhouse.io/co', c_custkey, '/jobs/1') WHEN 1 THEN concat('https://api.lever.co/v0/postings/co', c_custkey, '?mode=json') WHEN 2 THEN concat('https://jobs.ashbyhq.com/co', c_custkey) WHEN 3 THEN concat('https://x', c_custkey, '.wd5.myworkdayjobs.com/en-US/Careers') WHEN 4 THEN concat('https://careers-co', c_custkey, '.icims.com/jobs') WHEN 5 THEN concat('https://apply.workable.com/co', c_custkey) WHEN 6 THEN concat('https://jobs.co', c_custkey, '.com/api/jobs?page=2') ELSE concat('https://example.com/', c_custkey) END AS url FROM customer)"
 
 
-@query(f"WITH {_URLS} SELECT id, CASE id % 8 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'workday' WHEN 4 THEN 'icims' WHEN 5 THEN 'workable' WHEN 6 THEN 'icims' END AS provider, CASE id % 8 WHEN 0 THEN concat('co', id) WHEN 1 THEN concat('co', id) WHEN 2 THEN concat('co', id) WHEN 3 THEN concat('x', id, '/Careers') WHEN 4 THEN '' WHEN 5 THEN '' WHEN 6 THEN concat('jobs.co', id, '.com') END AS identifier, CASE id % 8 WHEN 0 THEN concat('https://boards-api.greenhouse.io/v1/boards/co', id, '/jobs?content=true') WHEN 1 THEN concat('https://api.lever.co/v0/postings/co', id, '?mode=json') WHEN 2 THEN concat('https://api.ashbyhq.com/posting-api/job-board/co', id, '?includeCompensation=true') END AS entry_url FROM urls")
+@query(f"WITH {_URLS} SELECT id, CASE id % 8 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'workday' WHEN 4 THEN 'icims' WHEN 5 THEN 'workable' WHEN 6 THEN 'icims' END AS provider, CASE id % 8 WHEN 0 THEN concat('co', id) WHEN 1 THEN concat('co', id) WHEN 2 THEN concat('co', id) WHEN 3 THEN concat('x', id, '/Careers') WHEN 4 THEN '' WHEN 5 THEN '' WHEN 6 THEN concat('jobs.co', id, '.com') END AS identifier, CASE id % 8 WHEN 0 THEN concat('https://boards-api.greenhouse.io/v1/boards/co', id, '/jobs?content=true') WHEN 1 THEN concat('https://api.lever.co/v0/postings/co', id, '?mode=json') WHEN 2 THEN concat('https://api.ashbyhq.com/posting-api/job-board/co', id, '?includeCompensation=true') WHEN 3 THEN url WHEN 4 THEN url WHEN 6 THEN url END AS entry_url FROM urls")
 def board_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The board of a URL, and its canonical listing."""
     u = from_sql(spark, sf_dir, ["customer"], f"WITH {_URLS} SELECT * FROM urls").withColumn("b", providers.board(F.col("url")))
-    return u.select("id", "b.provider", "b.identifier", providers.entry_url(F.col("b.provider"), F.col("b.identifier")).alias("entry_url"))
+    return u.select("id", "b.provider", "b.identifier", providers.entry_url(F.col("b.provider"), F.col("b.identifier"), F.col("url")).alias("entry_url"))
 
 
 @query("SELECT c_custkey AS id, array_to_string(list_distinct_ordered, ',') AS slugs FROM (SELECT c_custkey, [concat('co', c_custkey), concat('customer-', substr(c_name, 10)), concat('customer', substr(c_name, 10))] AS list_distinct_ordered FROM customer)")

@@ -31,15 +31,21 @@ def centroid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("rank", F.rank().over(Window.orderBy("distance")).cast("long"))  # one row a cluster
 
 
-_W = "w AS (SELECT axis, v, sum(ia) OVER o * 1.0 / sum(ia) OVER p - sum(ib) OVER o * 1.0 / sum(ib) OVER p AS gap, lead(v) OVER (PARTITION BY axis ORDER BY v) - v AS step FROM g WINDOW o AS (PARTITION BY axis ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY axis))"
+_W = "w AS (SELECT label, axis, v, sum(ia) OVER o * 1.0 / sum(ia) OVER p - sum(ib) OVER o * 1.0 / sum(ib) OVER p AS gap, lead(v) OVER (PARTITION BY label, axis ORDER BY v) - v AS step FROM g WINDOW o AS (PARTITION BY label, axis ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY label, axis))"
 
 
-@query(f"WITH e AS (SELECT label, CAST(unnest(embedding[1:8]) AS DOUBLE) AS v, unnest(range(8)) AS axis FROM embeddings WHERE label IN (0, 1)), g AS (SELECT axis, v, count(*) FILTER (WHERE label = 0) AS ia, count(*) FILTER (WHERE label = 1) AS ib FROM e GROUP BY 1, 2), {_W} SELECT axis, round(sum(abs(gap) * step), 6) AS distance FROM w GROUP BY axis")
+@query(f"WITH e AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS axis FROM embeddings), l AS (SELECT DISTINCT label FROM e WHERE label <> 0), u AS (SELECT label, axis, v, 0 AS own FROM e WHERE label <> 0 UNION ALL SELECT l.label, axis, v, 1 FROM e, l WHERE e.label = 0), g AS (SELECT label, axis, v, count(*) FILTER (WHERE own = 1) AS ia, count(*) FILTER (WHERE own = 0) AS ib FROM u GROUP BY 1, 2, 3), {_W} SELECT label, axis, round(sum(abs(gap) * step), 6) AS distance FROM w GROUP BY label, axis")
 def wasserstein_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5: first Wasserstein distances of two clouds along eight axes."""
-    e = table(spark, sf_dir, "embeddings").filter("label IN (0, 1)").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "v"))
-    out = vectors.wasserstein_1d(e.withColumn("axis", F.col("pos").cast("long")), F.col("label") == 0, F.col("label") == 1, F.col("v"), ["axis"])
-    return out.select("axis", F.round("distance", 6).alias("distance"))
+    """V5: first Wasserstein distances, along every axis, of each label's cloud from that of label 0.
+
+    The query's cloud stands beside every label's: once a label, not once a row."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+    labels = e.filter("label <> 0").agg(F.collect_set("label").alias("all"))  # one row of distinct labels
+    own = e.filter("label <> 0").withColumn("query", F.lit(False))
+    query_ = e.filter("label = 0").join(F.broadcast(labels)).select(F.explode("all").alias("label"), "pos", "v", F.lit(True).alias("query"))
+    both = own.unionByName(query_).withColumn("axis", F.col("pos").cast("long"))
+    out = vectors.wasserstein_1d(both, F.col("query"), ~F.col("query"), F.col("v"), ["label", "axis"])
+    return out.select("label", "axis", F.round("distance", 6).alias("distance"))
 
 
 @query()
@@ -62,20 +68,8 @@ def _percentiles(n: DataFrame) -> DataFrame:
     return j.select("vec_id", F.col("d").alias("nearest"), F.round("pct", 4).alias("percentile"), (F.col("pct") <= 10).alias("flagged"), (F.col("pct") >= 90).alias("bad"))
 
 
-@query(f"WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), r AS (SELECT v AS rv FROM e WHERE label = 0 AND vec_id < 400), n AS (SELECT vec_id, label, min(1 - list_cosine_similarity(v, rv)) AS nearest FROM e, r WHERE label <> 0 GROUP BY 1, 2), pool AS (SELECT nearest FROM n WHERE label > 1), j AS (SELECT vec_id, nearest, (SELECT count(*) FROM pool WHERE round(pool.nearest, 6) <= round(n.nearest, 6)) * 100.0 / (SELECT count(*) FROM pool) AS pct FROM n WHERE label = 1) SELECT vec_id, round(nearest, 6) AS nearest, round(pct, 4) AS percentile, pct <= 10 AS flagged, pct >= 90 AS bad FROM j")
-def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each phrase's nearest resume phrase, as a percentile of a reference pool.
-
-    The percentile is a running count over distances, not a join with the pool."""
-    e = table(spark, sf_dir, "embeddings")
-    # The resume is the query: its phrases are a stated, small set.
-    resume = np.array([r[0] for r in e.filter("label = 0 AND vec_id < 400").select("embedding").collect()]).reshape(-1, 64)
-    n = vectors.nearest(e.filter("label <> 0").select("vec_id", "label", "embedding"), "embedding", resume).withColumn("d", F.round("nearest", 6))
-    return _percentiles(n)
-
-
 @query(f"WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), r AS (SELECT v AS rv FROM e WHERE label = 0), n AS (SELECT vec_id, label, min(1 - list_cosine_similarity(v, rv)) AS nearest FROM e, r WHERE label <> 0 GROUP BY 1, 2), pool AS (SELECT nearest FROM n WHERE label > 1), j AS (SELECT vec_id, nearest, (SELECT count(*) FROM pool WHERE round(pool.nearest, 6) <= round(n.nearest, 6)) * 100.0 / (SELECT count(*) FROM pool) AS pct FROM n WHERE label = 1) SELECT vec_id, round(nearest, 6) AS nearest, round(pct, 4) AS percentile, pct <= 10 AS flagged, pct >= 90 AS bad FROM j")
-def phrase_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V17, J8, W23 with all of label 0 as the resume, which may grow with the table."""
     e = table(spark, sf_dir, "embeddings")
     n = vectors.nearest_of(e.filter("label <> 0").select("vec_id", "label", "embedding"), "embedding", e.filter("label = 0").select("embedding")).withColumn("d", F.round("nearest", 6))
