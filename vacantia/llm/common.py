@@ -19,7 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or our own if unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/vacantia_work").rstrip("/")
+    if found:
+        return found.rstrip("/")
+    home = spark.conf.get("spark.sql.warehouse.dir")
+    if (home.startswith("file:") or "://" not in home) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
+    return f"{home.rstrip('/')}/vacantia_work"
 
 
 def tune_arrow(spark: SparkSession) -> None:
