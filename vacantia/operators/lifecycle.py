@@ -66,20 +66,25 @@ def mark_missing(rows: DataFrame, seen: DataFrame, scope: list[str], key: str, n
 def newest_shards(rows: DataFrame, at: str, key: str, per_shard: int, most: int | None = None) -> DataFrame:
     """The `most` newest rows with their 0-based recency and shard.
 
-    A global row number would send all rows to one task; here a rank is the number of
-    newer days' rows, from a small daily count, and the rank within the day."""
-    day = F.to_date(F.col(at))
-    r = rows.filter(F.col(at).isNotNull()).withColumn("_day", day)
-    days = r.groupBy("_day").agg(F.count("*").alias("_n"))
+    A global row number would send all rows to one task; here a rank is the number of rows
+    of newer days and of newer minutes of the day, from small counts, and the rank within
+    the minute."""
+    r = rows.filter(F.col(at).isNotNull()).withColumns({"_day": F.to_date(F.col(at)), "_minute": F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / 60)})
+    minutes = r.groupBy("_day", "_minute").agg(F.count("*").alias("_n"))
+    days = minutes.groupBy("_day").agg(F.sum("_n").alias("_n"))
     newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
     days = days.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
     if most is not None:
         days = days.filter(F.col("_before") < most)
-    inside = Window.partitionBy("_day").orderBy(F.desc(at), F.desc(key))
-    out = r.join(days, F.col("_day") == F.col("_d")).withColumn("recency", F.col("_before") + F.row_number().over(inside) - 1)
+    later = Window.partitionBy("_day").orderBy(F.desc("_minute")).rowsBetween(Window.unboundedPreceding, -1)  # 1440 rows a day
+    minutes = minutes.join(days, F.col("_day") == F.col("_d")).select(F.col("_d"), F.col("_minute").alias("_m"), (F.col("_before") + F.coalesce(F.sum("_n").over(later), F.lit(0))).alias("_before"))
+    if most is not None:
+        minutes = minutes.filter(F.col("_before") < most)
+    inside = Window.partitionBy("_day", "_minute").orderBy(F.desc(at), F.desc(key))
+    out = r.join(minutes, (F.col("_day") == F.col("_d")) & (F.col("_minute") == F.col("_m"))).withColumn("recency", F.col("_before") + F.row_number().over(inside) - 1)
     if most is not None:
         out = out.filter(F.col("recency") < most)
-    return out.withColumn("artifact_shard", F.floor(F.col("recency") / per_shard).cast("long")).drop("_day", "_d", "_before")
+    return out.withColumn("artifact_shard", F.floor(F.col("recency") / per_shard).cast("long")).drop("_day", "_minute", "_d", "_m", "_before")
 
 
 def early_stop(rows: DataFrame, shard: str, survives: Column, enough: int) -> DataFrame:

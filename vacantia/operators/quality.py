@@ -1,4 +1,4 @@
-"""Data-quality profiles: each is one aggregation, exact percentiles included."""
+"""Data-quality profiles, with exact percentiles."""
 
 from __future__ import annotations
 
@@ -8,25 +8,81 @@ from pyspark.sql import functions as F
 from ..functions.text import trimmed
 
 
+#: Stretches of values an octave has, when the ranks of percentiles are sought.
+STRETCHES = 64
+
+
+def _stretch(v: Column) -> Column:
+    """A whole number that does not fall as v grows: nearby values share one."""
+    steps = F.floor(F.log2(F.abs(v)) * STRETCHES) + 100_000
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * steps).cast("long")
+
+
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """by and one exact, interpolated percentile per name in shares; nulls are left out.
+
+    Values are counted, then ranked in two steps: running counts over stretches of values
+    (a few thousand rows), and over the values of those stretches alone in which a
+    percentile falls. So no group's values meet in one task or in one aggregate."""
+    by = list(by)
+    n = df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    n = n.withColumn("_s", _stretch(F.col("_v")))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    per = n.groupBy(*by, "_s").agg(F.sum("_n").alias("_m"))
+    upto = F.sum("_m").over(whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per = per.withColumns({"_upto": upto, "_all": F.sum("_m").over(whole)})
+    place = lambda p: F.lit(float(p)) * (F.col("_all") - 1)
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), place(p).alias("at"), side(place(p)).cast("long").alias("k")) for k, p in shares.items() for side in (F.floor, F.ceil)])
+    hit = per.withColumn("_w", F.explode(F.array_distinct(wanted))).filter((F.col("_w.k") < F.col("_upto")) & (F.col("_w.k") >= F.col("_upto") - F.col("_m")))
+    hit = hit.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.col("_s").alias("_h_s"), "_w.name", "_w.at", "_w.k", (F.col("_upto") - F.col("_m")).alias("_before"))
+    same = F.col("_s") == F.col("_h_s")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    stretches = hit.groupBy(*[f"_h_{c}" for c in by], "_h_s").agg(F.collect_list(F.struct("name", "at", "k", "_before")).alias("_list"))
+    inside = Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = n.join(stretches, same).withColumn("_to", F.sum("_n").over(inside)).withColumn("_w", F.explode("_list"))
+    k = F.col("_w.k") - F.col("_w._before")
+    rows = rows.filter((k < F.col("_to")) & (k >= F.col("_to") - F.col("_n")))
+    at = F.max("_w.at")
+    ends = rows.groupBy(*by, "_w.name").agg(F.min("_v").alias("a"), F.max("_v").alias("b"), at.alias("at"))
+    value_ = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    return ends.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, value_)).alias(name) for name in shares])
+
+
+def _with_percentiles(df: DataFrame, value: Column, shares: dict[str, float], by: list[str], *others: Column) -> DataFrame:
+    """others and percentiles of each group; a group without values has null percentiles."""
+    by = list(by)
+    out = df.groupBy(*by).agg(*others)
+    p = percentiles(df, value, shares, by)
+    if not by:
+        return out.join(F.broadcast(p), F.lit(True), "left")  # one row each
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    return out.join(p.withColumnsRenamed({c: f"_p_{c}" for c in by}), same, "left").drop(*[f"_p_{c}" for c in by])
+
+
 def numeric_profile(df: DataFrame, value: Column, by: list[str] = ()) -> DataFrame:
     """min, p50, p90 and max of what reads as a finite number."""
     v = value.cast("string").try_cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.9).alias("p90"), F.max(v).alias("max"))
+    out = _with_percentiles(df, v, {"p50": 0.5, "p90": 0.9}, by, F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return out.select(*by, "n", "min", "p50", "p90", "max")
 
 
-def _spread(v: Column) -> list[Column]:
-    return [F.count(v).alias("n"), F.avg(v).alias("avg"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.9).alias("p90")]
+def _spread(df: DataFrame, v: Column, by: list[str]) -> DataFrame:
+    out = _with_percentiles(df, v, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, by, F.count(v).alias("n"), F.avg(v).alias("avg"))
+    return out.select(*by, "n", "avg", "p10", "p50", "p90")
 
 
 def length_profile(df: DataFrame, text: Column, by: list[str] = ()) -> DataFrame:
     """Lengths of trimmed texts, blanks left out."""
     n = F.length(trimmed(text))
-    return df.groupBy(*by).agg(*_spread(F.when(n > 0, n)))
+    return _spread(df, F.when(n > 0, n), by)
 
 
 def count_profile(df: DataFrame, count: Column, by: list[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*_spread(count))
+    return _spread(df, count, by)
 
 
 def blanks(text: Column) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import ranking, vectors
 from .registry import query, table
 
 _D = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
@@ -78,13 +78,18 @@ def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def requirement_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means clusters of vectors, by size (an iterative fit, so no oracle)."""
+    """K-means clusters of vectors, ranked by the distance of their centroids from
+    a query vector; the vectors of the better half of the clusters stay (an iterative fit, so no oracle)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
-    model = KMeans(k=8, seed=11, maxIter=20).fit(e)
-    return model.transform(e).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
+    found = KMeans(k=8, seed=11, maxIter=20).fit(e).transform(e).select("vec_id", "embedding", F.col("prediction").alias("cluster"))
+    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    c = vectors.centroids(found, "cluster", "embedding").join(F.broadcast(q))  # one row a cluster, and one query
+    c = c.select(F.col("cluster").alias("_c"), F.rank().over(Window.orderBy(F.round(vectors.cosine_distance(F.col("centroid"), F.col("q")), 9))).alias("rank"))
+    ranked = found.join(F.broadcast(c), F.col("cluster") == F.col("_c")).select(F.lit(0).alias("query_id"), "vec_id", "cluster", "rank")
+    return ranking.best_clusters(ranked, 0.5).select("vec_id", F.col("cluster").cast("long").alias("cluster"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH w AS (SELECT DISTINCT label % 3 AS text_no, count(*) AS n FROM embeddings GROUP BY 1) SELECT text_no, n FROM w")
