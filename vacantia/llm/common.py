@@ -27,6 +27,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{home.rstrip('/')}/vacantia_work"
 
 
+def refuse(columns: list[str], *names: str) -> None:
+    """Raises if one of the columns has a name that a result is given."""
+    clash = {c.lower() for c in columns} & set(names)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+
+
 def tune_arrow(spark: SparkSession) -> None:
     """Small Arrow batches, so that very long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune_arrow
+from .common import refuse, tune_arrow
 
 _diagonals = sorted(((x + y, (x if (x + y) % 2 else y), x, y) for x in range(8) for y in range(8)), key=lambda t: (t[0], t[1]))
 #: Natural position (row * 8 + column) of each zigzag position.
@@ -595,8 +595,12 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 def with_media(docs: DataFrame, text: str = "text", unit: int = 576, batch: int = 1 << 20) -> DataFrame:
     """docs with its text column replaced by n_bytes and media: the text's UTF-8 (null: empty),
-    filled with bytes of 255 to a positive multiple of `unit`, as a progressive JPEG."""
+    filled with bytes of 255 to a positive multiple of `unit`, as a progressive JPEG.
+
+    Other columns pass through; one named like a result raises. A text is encoded whole:
+    one of 64 MB takes some 7 GB of its worker's memory."""
     others = [c for c in docs.columns if c != text]
+    refuse(others, "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -617,8 +621,10 @@ def decoded(media: DataFrame, column: str = "media", tensor: bool = True, batch:
     `tensor`), payload (null for images without one) and feature.
 
     feature: height x width, and the sum of each channel of the RGB tensor. A null
-    image gives nulls; a file that is no whole progressive JPEG raises JpegError."""
+    image gives nulls; a file that is no whole progressive JPEG raises JpegError. Other
+    columns pass through; one named like a result raises."""
     others = [c for c in media.columns if c != column]
+    refuse(others, "height", "width", "rgb", "payload", "feature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

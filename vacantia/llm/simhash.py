@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, tune_arrow
+from .common import refuse, small, stored, tune_arrow
 from .components import components
 from .textkernel import LOWER, Words, slices
 
@@ -68,8 +68,10 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """docs with its text column replaced by the fingerprint, a long of the same bits."""
+    """docs with its text column replaced by the fingerprint, a long of the same bits.
+    Other columns pass through; one with the fingerprint's name raises."""
     columns = [c for c in docs.columns if c != text]
+    refuse(columns, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
