@@ -134,7 +134,7 @@ def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.split_part("text", F.lit("."), F.lit(1)).alias("title"),
+        F.concat_ws(" ", F.lit("Writer"), "lang", "source").alias("title"),
         F.concat(F.col("text"), F.lit("\nRequirements:\n* at least "), (F.col("doc_id") % 9).cast("string"), F.lit(" years of experience with SQL")).alias("content_text"),
         F.element_at(F.array(*[F.lit(x) for x in ("Boston, MA", "Remote - United States", "London")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("location_name"),
         F.concat(F.lit("Posted "), (F.col("doc_id") % 30).cast("string"), F.lit(" days ago")).alias("posted_at"),
