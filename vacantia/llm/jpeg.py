@@ -31,6 +31,8 @@ ZIGZAG = np.array([x * 8 + y for _, _, x, y in _diagonals])
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 9, 0, 1), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0), ((0,), 10, 63, 0, 0), ((0,), 1, 9, 1, 0), ((0, 1, 2), 0, 0, 1, 0)]
 #: Restart intervals: MCUs of scans of all components, blocks of scans of one.
 RESTART_DC, RESTART_AC = 16, 4
+#: Lanes that are encoded at a time, and blocks that are transformed at a time: long payloads need little more than their own size.
+LANES, BLOCKS = 1 << 12, 1 << 13
 _END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
@@ -178,6 +180,19 @@ def _encode_scan(blocks: np.ndarray, lane: np.ndarray, lanes: int, comp: np.ndar
     return _pack(lane[key[order] >> shift], token[order], bits[order], lanes)
 
 
+def _encoded(blocks: np.ndarray, lane: np.ndarray, comp: np.ndarray, marker: np.ndarray, scan: tuple) -> tuple[bytes, np.ndarray]:
+    """One scan of all images with its restart markers, and where lanes start; lanes depend on no others."""
+    parts, place = [], [np.zeros(1, np.int64)]
+    for a in range(0, len(marker), LANES):
+        b = min(a + LANES, len(marker))
+        x, y = np.searchsorted(lane, [a, b])
+        made, at = _encode_scan(blocks[x:y].astype(np.int64), lane[x:y] - a, b - a, comp[x:y], scan)
+        body, starts = _stuffed(made, at, marker[a:b])
+        parts.append(body)
+        place.append(starts[1:] + place[-1][-1])
+    return b"".join(parts), np.concatenate(place)
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -218,8 +233,7 @@ def encode_payloads(payloads: list[bytes], across: int = 64) -> list[bytes]:
             units, every = mcus * (4 if comps[0] == 0 else 1), RESTART_AC
             lane, first, marker = _lanes(units, every)
             comp, data = np.zeros(len(lane), int), planes[comps[0]]
-        made, at = _encode_scan(data.astype(np.int64), lane, first[-1], comp, scan)
-        body, place = _stuffed(made, at, marker)
+        body, place = _encoded(data, lane, comp, marker, scan)
         head = _segment(0xDD, struct.pack(">H", every)) + _segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c + 1, 0]) for c in comps) + bytes([scan[1], scan[2], scan[3] << 4 | scan[4]]))
         scans.append((head, body, place[first]))
     tables = _segment(0xC4, b"\x00" + _DC[2]) + _segment(0xC4, b"\x10" + _AC[2])
@@ -535,16 +549,20 @@ def tensors(images: list[Image], coef: list[np.ndarray]) -> list[np.ndarray]:
         return []
     scaled = []
     for image, c in zip(images, coef, strict=True):
-        s = c.astype(np.float64)
         for p in image.parts:
             q = image.quant.get(p["q"])
             if q is None:
                 raise JpegError("no quantisation table")
             if (q != 1).any():
-                s[p["base"] : p["base"] + p["stride"] * p["tall"]] *= q
-        scaled.append(s)
-    samples = np.floor((np.concatenate(scaled) @ _INVERSE + (1 << (_SCALE - 1))) / (1 << _SCALE)) + 128
-    samples = np.clip(samples, 0, 255).astype(np.uint8)
+                own = slice(p["base"], p["base"] + p["stride"] * p["tall"])
+                c = c.astype(np.int64)
+                c[own] *= q
+        scaled.append(c)
+    whole = scaled[0] if len(scaled) == 1 else np.concatenate(scaled)
+    samples = np.empty((len(whole), 64), np.uint8)
+    for a in range(0, len(whole), BLOCKS):
+        s = np.floor((whole[a : a + BLOCKS].astype(np.float64) @ _INVERSE + (1 << (_SCALE - 1))) / (1 << _SCALE)) + 128
+        samples[a : a + BLOCKS] = np.clip(s, 0, 255)
     out, at = [], 0
     for image in images:
         planes = []
@@ -559,18 +577,25 @@ def tensors(images: list[Image], coef: list[np.ndarray]) -> list[np.ndarray]:
                 plane = plane.repeat(v, axis=0)
             if h > 1:
                 plane = plane.repeat(h, axis=1)
-            planes.append(plane[: image.height, : image.width].astype(np.int32))
+            planes.append(plane[: image.height, : image.width])
         at += image.blocks
-        if len(planes) == 1:
-            rgb = np.repeat(planes[0][:, :, None], 3, axis=2)
-        else:
-            y, b, r = planes[0] << 16, planes[1] - 128, planes[2] - 128
-            # 1.402, 0.344136, 0.714136 and 1.772 in 1/65536.
-            rgb = np.stack([y + 91881 * r, y - 22554 * b - 46802 * r, y + 116130 * b], axis=2) + 32768 >> 16
-        out.append(np.clip(rgb, 0, 255).astype(np.uint8))
+        rgb = np.empty((image.height, image.width, 3), np.uint8)
+        tall = max(1, BLOCKS * 64 // image.width)
+        for top in range(0, image.height, tall):
+            rgb[top : top + tall] = _coloured([p[top : top + tall].astype(np.int32) for p in planes])
+        out.append(rgb)
     return out
 
 
+def _coloured(planes: list[np.ndarray]) -> np.ndarray:
+    """RGB of planes of luma and chroma, or of luma alone."""
+    if len(planes) == 1:
+        return planes[0][:, :, None]
+    y, b, r = planes[0] << 16, planes[1] - 128, planes[2] - 128
+    # 1.402, 0.344136, 0.714136 and 1.772 in 1/65536.
+    return np.clip(np.stack([y + 91881 * r, y - 22554 * b - 46802 * r, y + 116130 * b], axis=2) + 32768 >> 16, 0, 255)
+
+
 def payload(image: Image, coef: np.ndarray) -> bytes:
     """The bytes that encode_payloads stored."""
     found = re.fullmatch(rb"payload=(\d+)", image.comment)
@@ -597,8 +622,8 @@ def with_media(docs: DataFrame, text: str = "text", unit: int = 576, batch: int
     """docs with its text column replaced by n_bytes and media: the text's UTF-8 (null: empty),
     filled with bytes of 255 to a positive multiple of `unit`, as a progressive JPEG.
 
-    Other columns pass through; one named like a result raises. A text is encoded whole:
-    one of 64 MB takes some 7 GB of its worker's memory."""
+    Other columns pass through; one named like a result raises. Scans of long texts are
+    encoded in slices of restart intervals."""
     others = [c for c in docs.columns if c != text]
     refuse(others, "n_bytes", "media")
 
