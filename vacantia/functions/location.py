@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators.filters import COUNTRIES
+from .places import US_STATES as US
 
 #: Subdivisions by country: code and name (fixed values of ISO 3166-2).
-US = "AL Alabama,AK Alaska,AZ Arizona,AR Arkansas,CA California,CO Colorado,CT Connecticut,DE Delaware,DC District of Columbia,FL Florida,GA Georgia,HI Hawaii,ID Idaho,IL Illinois,IN Indiana,IA Iowa,KS Kansas,KY Kentucky,LA Louisiana,ME Maine,MD Maryland,MA Massachusetts,MI Michigan,MN Minnesota,MS Mississippi,MO Missouri,MT Montana,NE Nebraska,NV Nevada,NH New Hampshire,NJ New Jersey,NM New Mexico,NY New York,NC North Carolina,ND North Dakota,OH Ohio,OK Oklahoma,OR Oregon,PA Pennsylvania,RI Rhode Island,SC South Carolina,SD South Dakota,TN Tennessee,TX Texas,UT Utah,VT Vermont,VA Virginia,WA Washington,WV West Virginia,WI Wisconsin,WY Wyoming"
 CA = "AB Alberta,BC British Columbia,MB Manitoba,NB New Brunswick,NL Newfoundland and Labrador,NS Nova Scotia,ON Ontario,PE Prince Edward Island,QC Quebec,SK Saskatchewan"
 GB = "ENG England,NIR Northern Ireland,SCT Scotland,WLS Wales"
 AU = "ACT Australian Capital Territory,NSW New South Wales,NT Northern Territory,QLD Queensland,SA South Australia,TAS Tasmania,VIC Victoria,WA Western Australia"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, let, tokens
+from ..functions.text import STOP_WORDS, blank_to_null, let, phrase_chunks, tokens, without_stop_words
+from .vectors import encoded, hashing_encoder
 
 
 def tfidf(docs: DataFrame, key: str, text: str, least_chars: int = 2, fraction: float = 0.25, most: int = 50, round_up: bool = False) -> DataFrame:
@@ -32,6 +34,35 @@ def tfidf(docs: DataFrame, key: str, text: str, least_chars: int = 2, fraction:
     return w.filter(F.col("place") <= F.least(F.lit(most), F.greatest(F.lit(1), keep))).select(F.col("_k").alias(key), "term", "tf", "tfidf", "place")
 
 
+def without_frequent(docs: DataFrame, key: str, words: Column, most: int) -> DataFrame:
+    """key, pos and word of the words that stand at most `most` times in their document: counted
+    in one shuffle by (key, word), so that a very long document is many groups."""
+    if most < 1:
+        raise ValueError("most must be 1 or more")
+    w = docs.select(key, F.posexplode(words).alias("pos", "word"))
+    return w.withColumn("_n", F.count("*").over(Window.partitionBy(key, "word"))).filter(F.col("_n") <= most).drop("_n")
+
+
+def title_text(title: Column, requirements: Column, content: Column) -> Column:
+    """Title and requirements, or the whole content where there are none, as one text to encode."""
+    body = F.coalesce(blank_to_null(requirements), content, F.lit(""))
+    return F.concat(F.lit("Job title: "), F.coalesce(title, F.lit("")), F.lit("\nRequirements and description: "), body)
+
+
+def profiles(resumes: DataFrame, key: str, text: str, terms: list[tuple[str, str]], encoder: Callable = hashing_encoder) -> DataFrame:
+    """What ranking needs of each resume, to be stored and read back: its vector, its distinct words and its
+    phrases with their vectors, technologies and categories. A resume without words or phrases has null vectors."""
+    r = encoded(resumes.select(F.col(key), F.col(text).alias("_text")), "_text", encoder, "vector")
+    words = F.array_distinct(without_stop_words(tokens(F.col("_text"))))
+    for name, items in (("word", words), ("phrase", phrase_chunks(F.col("_text")))):
+        long = r.select(F.col(key).alias("_k"), F.posexplode(items).alias("_p", "_i"))
+        made = encoded(long, "_i", encoder, "_v").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_p", "_i", "_v"))).alias("_l"))
+        made = made.select("_k", F.transform("_l", lambda s: s["_i"]).alias(f"{name}s"), F.transform("_l", lambda s: s["_v"]).alias(f"{name}_vectors"))
+        r = r.join(made, F.col(key) == F.col("_k"), "left").drop("_k")
+    found = technologies(resumes.select(F.col(key).alias("_k"), F.col(text).alias("_body")), "_k", "_body", terms)
+    return r.join(found, F.col(key) == F.col("_k"), "left").drop("_k", "_text")
+
+
 def looked_up(docs: DataFrame, key: str, words: Column, lookup: DataFrame) -> DataFrame:
     """key and vectors: those of the words that lookup (word, vector) has, in order."""
     w = docs.select(F.col(key).alias("_k"), F.posexplode(words).alias("pos", "word"))

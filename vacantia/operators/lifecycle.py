@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed, usable
+from ..functions.text import usable
 
 #: Location statuses that may be exported (fixed values).
 EXPORTABLE = ("parsed", "country_only", "remote", "multi_location", "city_resolved")
@@ -112,9 +112,26 @@ def attempt_streaks(events: DataFrame, source: str, at: str, code: Column, tie:
     return streak.select("source", F.col("_last.at").alias("last_get_at"), F.col("_last.code").alias("last_http_status_code"), "http_404_streak", F.when(F.col("_last.code") >= 400, F.col("_last.at")).alias("last_error_at"))
 
 
-def normalized_record(rows: DataFrame) -> DataFrame:
-    """Postings with a company (given, else the host, else the source) and known times; rows without a key raise."""
-    company = F.coalesce(F.nullif(trimmed(F.col("source_company")), F.lit("")), F.lower(F.try_parse_url("source_url", F.lit("HOST"))), F.col("source_type"))
-    whole = F.col("source_type").isNotNull() & F.col("source_job_id").isNotNull()
-    key = F.when(whole, F.col("source_job_id")).otherwise(F.raise_error(F.lit("a posting without source_type or source_job_id")).cast("string"))
-    return rows.withColumns({"source_job_id": key, "source_company": company})
+def normalized_record(rows: DataFrame, now: Column) -> DataFrame:
+    """Postings as the table holds them: a company (given, else its name, else the source's URL, else
+    'unknown'), known times (now where none was noted), active unless said otherwise, not stale, raw_json
+    never null, and no NUL in any text. A row without source_type or source_job_id raises."""
+    texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    d = rows.withColumns({c: F.replace(F.col(c), F.lit("\0"), F.lit("")) for c in texts})
+    there = lambda c: F.nullif(F.col(c), F.lit("")) if c in d.columns else F.lit(None).cast("string")
+    for c in ("source_type", "source_job_id"):
+        d = d.withColumn(c, F.coalesce(there(c), F.raise_error(F.lit(f"a posting without {c}")).cast("string")))
+    at = lambda c, other: F.coalesce(F.col(c), other) if c in rows.columns else other
+    fetched = at("fetched_at_utc", now)
+    return d.withColumns(
+        {
+            "source_company": F.coalesce(there("source_company"), there("company_name"), there("source_url"), F.lit("unknown")),
+            "fetched_at_utc": fetched,
+            "first_seen_at_utc": at("first_seen_at_utc", fetched),
+            "last_seen_at_utc": at("last_seen_at_utc", fetched),
+            "is_active": at("is_active", F.lit(True)),
+            "missing_from_source_at_utc": F.lit(None).cast("timestamp"),
+            "stale_reason": F.lit(None).cast("string"),
+            "raw_json": F.coalesce(there("raw_json"), F.lit("{}")),
+        }
+    )

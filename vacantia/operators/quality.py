@@ -110,6 +110,22 @@ def shown(value: Column) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit("unknown")).otherwise(text)
 
 
+def shown_text(value: Column) -> Column:
+    return F.coalesce(F.nullif(trimmed(value.cast("string")), F.lit("")), F.lit("unknown"))
+
+
+def shown_counts(counts: Column) -> Column:
+    """A map as {key:value,...}, in order of its keys."""
+    entries = F.array_sort(F.transform(F.map_entries(counts), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
+    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+
+
+def line(stage: Column, **fields: Column) -> Column:
+    """One line of the quality log, its fields (shown already) in the order given."""
+    parts = [F.concat(F.lit(f"{k}="), v) for k, v in fields.items()]
+    return F.concat_ws(" ", F.concat(F.lit("DATA_QUALITY stage="), stage), *parts)
+
+
 def status_counts(df: DataFrame, code: str) -> DataFrame:
     """status, n and place: numbers in order, what has none last."""
     n = df.groupBy(F.col(code).cast("int").alias("_code")).agg(F.count("*").alias("n"))

@@ -79,6 +79,23 @@ def reduced(df: DataFrame, order: list[Column], policy: Policy, score: str = "sc
     return d.filter(F.col("_again") <= F.greatest(F.col("_kept"), F.lit(policy.least))).drop("_n", "_pos", "_keep", "_again", "_kept")
 
 
+def by_operation(candidates: DataFrame, results: DataFrame, operation: str, by: str = "query_id") -> DataFrame:
+    """candidates (by, job_id) in the order that one operation's results give, as `place`. Where it ranked
+    none of a query's, or failed, all of them stay in the order of their ids, and ordered_by is null."""
+    r = results.filter((F.col("operation") == operation) & (F.col("status") == "ok") & F.col("rank").isNotNull()).select(F.col(by).alias("_q"), F.col("job_id").alias("_j"), "rank")
+    d = candidates.join(r, (F.col(by) == F.col("_q")) & (F.col("job_id") == F.col("_j")), "left").drop("_q", "_j")
+    w = Window.partitionBy(by)
+    d = d.withColumn("_any", F.count("rank").over(w) > 0).filter(~F.col("_any") | F.col("rank").isNotNull())
+    d = d.withColumn("place", F.row_number().over(w.orderBy(F.asc_nulls_last("rank"), "job_id")).cast("long"))
+    return d.withColumn("ordered_by", F.when(F.col("_any"), F.lit(operation))).drop("_any", "rank")
+
+
+def by_coverage(candidates: DataFrame, percent: Column, by: str = "query_id") -> DataFrame:
+    """candidates in the order of coverage, the largest first (null is 0), then of ids, as `place`."""
+    w = Window.partitionBy(by).orderBy(F.coalesce(percent, F.lit(0.0)).desc(), "job_id")
+    return candidates.withColumn("place", F.row_number().over(w).cast("long"))
+
+
 def best_clusters(df: DataFrame, fraction: float, by: str = "query_id") -> DataFrame:
     """Rows of the best max(1, floor(n * fraction)) clusters, by their least rank; noise (-1) goes."""
     d = df.filter(F.col("cluster") >= 0)

@@ -40,7 +40,7 @@ def enrich(jobs: DataFrame, now: Column | None = None) -> DataFrame:
     d = location.parse_locations(d, "location_name")
     d = d.withColumn("is_export_eligible", lifecycle.eligible(F.col("is_active"), F.col("content_text_clean"), F.col("posted_at_utc"), F.col("location_parse_status")))
     body = F.coalesce(text.blank_to_null(F.col("extracted_requirements")), F.col("content_text_clean"))
-    d = d.withColumn("title_requirements_text", F.concat(F.lit("Job title: "), F.coalesce("title", F.lit("")), F.lit("\nRequirements and description: "), F.coalesce(body, F.lit(""))))
+    d = d.withColumn("title_requirements_text", features.title_text(F.col("title"), F.col("extracted_requirements"), F.col("content_text_clean")))
     return d.withColumns({"job_word_tokens": text.without_stop_words(text.tokens(F.coalesce("content_text_clean", F.lit("")))), "job_phrase_chunks": text.phrase_chunks(F.coalesce(body, F.lit("")))})
 
 
@@ -100,7 +100,7 @@ def rank(jobs: DataFrame, q: RankQuery, key: str = "id") -> DataFrame:
     resume_vector, word_cloud, phrase_cloud = q.encoder([q.resume])[0], q.encoder(words), q.encoder(phrases)
     array = lambda v: F.lit(np.asarray(v, dtype=np.float64))
 
-    j = jobs.filter(filters.in_country(F.col("location_segments"), F.col("location_country"), F.col("location_name"), q.country, q.state)) if q.country or q.state else jobs
+    j = jobs.filter(filters.in_country(F.col("location_segments"), F.col("location_country"), F.col("location_name"), q.country, q.state, F.col("location_region") if "location_region" in jobs.columns else None)) if q.country or q.state else jobs
     j = filters.within_experience(j, q.max_required_yoe)
     j = filters.without_clearance(j) if q.exclude_security_clearance else j
     j = filters.recent(j, q.now if q.now is not None else F.current_timestamp(), q.recent_hours) if q.recent_hours else j

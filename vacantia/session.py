@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,19 @@ def session(name: str = "vacantia", master: str | None = None, **conf: str) -> S
         b = b.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     return b.config(map=settings | conf).getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or our own beside the warehouse if unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    home = spark.conf.get("spark.sql.warehouse.dir")
+    if (home.startswith("file:") or "://" not in home) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
+    return f"{home.rstrip('/')}/vacantia_work"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
 
 #: The namespace of the elements of a DOCX document (a fixed value).
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -32,10 +33,19 @@ def metadata_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, text: str) -> DataFrame:
-    """Rows of a CSV with text; the schema is given, never inferred."""
-    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
-    return df.filter(F.trim(F.col(text)) != "")
+def read_csv(spark: SparkSession, path: str, schema: str, text: str, index: str = "csv_row_index") -> DataFrame:
+    """Rows of CSV files with text, trimmed, and their number in the file before others are dropped.
+
+    The schema is given, never inferred. Rows of several lines keep a file in one task, so
+    numbering a file's rows moves no more than that task reads."""
+    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"').withColumn("_row", F.monotonically_increasing_id())
+    df = df.withColumn(index, F.row_number().over(Window.partitionBy("_metadata.file_path").orderBy("_row")).cast("long") - 1)
+    return df.drop("_row").withColumn(text, trimmed(F.col(text))).filter(F.col(text) != "")
+
+
+def read_shards(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    """Several shards at once, by partition pruning: what a loop would fetch ahead, tasks read side by side."""
+    return spark.read.parquet(path).filter(F.col("artifact_shard").isin(*numbers))
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:

@@ -82,10 +82,17 @@ def workable(df: DataFrame) -> DataFrame:
     return _record(d, "workable", source_job_id=_first(F.col("j.shortcode"), F.col("j.id")), title=F.col("j.title"), department=F.col("j.department"), location_name=text.blank_to_null(place), content_text=F.concat_ws("\n\n", *parts), job_url=F.col("j.url"), apply_url=_first(F.col("j.application_url"), F.col("j.url")), posted_at=F.col("j.published"))
 
 
-def workday(df: DataFrame) -> DataFrame:
-    """A summary and, if fetched, its JSON-LD: details win for all but the place."""
+def workday(df: DataFrame, stored: str | None = None) -> DataFrame:
+    """A summary and, if fetched, its details, over the row stored before (a struct column, if there is one).
+
+    Details win over the summary, and that over the stored row; but the place is the summary's
+    first, and a posting that is stored keeps its id."""
     d = _parsed(df, "summary struct<title:string,locationsText:string,externalPath:string,postedOn:string>, detail struct<title:string,description:string,datePosted:string,identifier:struct<value:string>,url:string,location:string>")
-    return _record(d, "workday", source_job_id=_first(F.col("j.detail.identifier.value"), F.col("j.summary.externalPath")), title=_first(F.col("j.detail.title"), F.col("j.summary.title")), location_name=_first(F.col("j.summary.locationsText"), F.col("j.detail.location")), content_text=text.html_to_text(F.col("j.detail.description")), job_url=_first(F.col("j.detail.url"), F.col("j.summary.externalPath")), apply_url=_first(F.col("j.detail.url"), F.col("j.summary.externalPath")), posted_at=_first(F.col("j.detail.datePosted"), F.col("j.summary.postedOn")))
+    old = lambda c: F.col(f"{stored}.{c}") if stored else F.lit(None).cast("string")
+    said, seen = (lambda c: F.col(f"j.detail.{c}")), (lambda c: F.col(f"j.summary.{c}"))
+    url = _first(said("url"), seen("externalPath"))
+    body = text.blank_to_null(text.html_to_text(said("description")))
+    return _record(d, "workday", source_job_id=_first(old("source_job_id"), F.col("j.detail.identifier.value"), seen("externalPath")), title=_first(said("title"), seen("title"), old("title")), location_name=_first(seen("locationsText"), said("location"), old("location_name")), content_text=F.coalesce(body, old("content_text")), job_url=url, apply_url=url, posted_at=_first(said("datePosted"), seen("postedOn"), old("posted_at")))
 
 
 def json_ld_posting(html: Column) -> Column:
