@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia import session
 from vacantia.llm import common, jpeg, simhash
 
 
@@ -14,4 +15,7 @@ def test_results_never_share_a_name_with_a_column(docs):
 
 
 def test_work_folder(spark):
-    assert common.work_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert session.work_dir(spark) == shared
+    path = common.stored(spark.range(3), "kept").inputFiles()[0]
+    assert f"{shared}/kept-" in path

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
+
 #: A side is broadcast only if it has been counted and has no more rows.
 BROADCAST_ROWS = 10_000
 
@@ -16,17 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own if unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    home = spark.conf.get("spark.sql.warehouse.dir")
-    if (home.startswith("file:") or "://" not in home) and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
-    return f"{home.rstrip('/')}/vacantia_work"
-
-
 def refuse(columns: list[str], *names: str) -> None:
     """Raises if one of the columns has a name that a result is given."""
     clash = {c.lower() for c in columns} & set(names)
@@ -44,7 +33,7 @@ def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost
     executor costs no more than the tasks that read it."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
