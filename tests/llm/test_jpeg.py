@@ -63,6 +63,11 @@ def test_query_columns(spark, docs, empty):
         assert r["n_bytes"] == len(raw) and bytes(r["payload"]) == want
         assert len(r["rgb"]) == r["height"] * r["width"] * 3
         assert hashlib.sha256(bytes(r["payload"])).digest() == hashlib.sha256(want).digest()
+    both = jpeg.round_trip(docs.select("doc_id", "text"), tensor=True)
+    shown = ["doc_id", "n_bytes", "height", "width", "rgb", "payload", "feature"]
+    assert sorted(map(repr, both.select(shown).collect())) == sorted(map(repr, jpeg.decoded(media).select(shown).collect()))
+    assert sorted(bytes(r[0]) for r in both.select("media").collect()) == sorted(bytes(r[0]) for r in media.select("media").collect())
+    assert jpeg.round_trip(empty.select("doc_id", "text")).count() == 0
     assert jpeg.decoded(jpeg.with_media(empty.select("doc_id", "text"))).count() == 0
     gone = spark.createDataFrame([(1, None)], "doc_id long, media binary")
     assert jpeg.decoded(gone).first()["feature"] is None

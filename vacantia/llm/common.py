@@ -23,10 +23,10 @@ def refuse(columns: list[str], *names: str) -> None:
         raise ValueError(f"columns {sorted(clash)} exist already")
 
 
-def tune_arrow(spark: SparkSession) -> None:
-    """Small Arrow batches, so that very long texts cannot fill a Python worker."""
+def tune_arrow(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Small Arrow batches (of `most` bytes), so that very long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:

@@ -15,10 +15,11 @@ from __future__ import annotations
 import re
 import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 9, 0, 1), ((1,), 1, 63, 0, 0), ((2,
 RESTART_DC, RESTART_AC = 16, 4
 #: Lanes that are encoded at a time, and blocks that are transformed at a time: long payloads need little more than their own size.
 LANES, BLOCKS = 1 << 12, 1 << 13
+#: Bytes that are coded at a time, and of an Arrow batch: they bound what a Python worker holds.
+BATCH, ARROW = 1 << 19, 4 << 20
 _END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
@@ -618,7 +621,53 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def with_media(docs: DataFrame, text: str = "text", unit: int = 576, batch: int = 1 << 20) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoder(text: str, others: list[str], unit: int, batch: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text))
+            size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            whole = [max(unit, -(-n // unit) * unit) for n in size]
+            for i, j in _groups(whole, batch):
+                part = b.slice(i, j - i)
+                media = encode_payloads([(t or "").encode().ljust(n, b"\xff") for t, n in zip(texts[i:j].to_pylist(), whole[i:j], strict=True)])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array(size[i:j], pa.int64()), pa.array(media, pa.binary())], names=[*others, "n_bytes", "media"])
+
+    return run
+
+
+def _decoder(column: str, others: list[str], tensor: bool, batch: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            stored = b.column(b.schema.get_field_index(column))
+            for i, j in _groups(pc.fill_null(pc.binary_length(stored), 0).to_pylist(), batch):
+                part, files = b.slice(i, j - i), stored[i:j].to_pylist()
+                there = [k for k, f in enumerate(files) if f is not None]
+                images, coef = decode([files[k] for k in there])
+                rows: dict[int, tuple] = {}
+                for k, image, c, rgb in zip(there, images, coef, tensors(images, coef), strict=True):
+                    sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+                    rows[k] = (image.height, image.width, rgb.tobytes() if tensor else None, payload(image, c) if image.comment.startswith(b"payload=") else None, f"{image.height}x{image.width}:{sums[0]},{sums[1]},{sums[2]}")
+                cols = list(zip(*(rows.get(k, (None,) * 5) for k in range(j - i)), strict=True))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*others, *_DECODED])
+
+    return run
+
+
+_DECODED = ("height", "width", "rgb", "payload", "feature")
+_ENCODED_KIND, _DECODED_KIND = "n_bytes long, media binary", "height long, width long, rgb binary, payload binary, feature string"
+
+
+def _mapped(df: DataFrame, run: Callable[[Batches], Batches], kept: list[str], *more: str) -> DataFrame:
+    tune_arrow(df.sparkSession, ARROW)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *more]))
+
+
+def with_media(docs: DataFrame, text: str = "text", unit: int = 576, batch: int = BATCH) -> DataFrame:
     """docs with its text column replaced by n_bytes and media: the text's UTF-8 (null: empty),
     filled with bytes of 255 to a positive multiple of `unit`, as a progressive JPEG.
 
@@ -626,22 +675,10 @@ def with_media(docs: DataFrame, text: str = "text", unit: int = 576, batch: int
     encoded in slices of restart intervals."""
     others = [c for c in docs.columns if c != text]
     refuse(others, "n_bytes", "media")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [(t or "").encode() for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            full = [r + b"\xff" * (max(unit, -(-len(r) // unit) * unit) - len(r)) for r in raw]
-            for i, j in _groups([len(f) for f in full], batch):
-                part = b.slice(i, j - i)
-                media = encode_payloads(full[i:j])
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array([len(r) for r in raw[i:j]], pa.int64()), pa.array(media, pa.binary())], names=[*others, "n_bytes", "media"])
-
-    tune_arrow(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n_bytes long, media binary"]))
+    return _mapped(docs, _encoder(text, others, unit, batch), others, _ENCODED_KIND)
 
 
-def decoded(media: DataFrame, column: str = "media", tensor: bool = True, batch: int = 1 << 20) -> DataFrame:
+def decoded(media: DataFrame, column: str = "media", tensor: bool = True, batch: int = BATCH) -> DataFrame:
     """media with its column replaced by height, width, rgb (bytes, row by row; null unless
     `tensor`), payload (null for images without one) and feature.
 
@@ -649,25 +686,17 @@ def decoded(media: DataFrame, column: str = "media", tensor: bool = True, batch:
     image gives nulls; a file that is no whole progressive JPEG raises JpegError. Other
     columns pass through; one named like a result raises."""
     others = [c for c in media.columns if c != column]
-    refuse(others, "height", "width", "rgb", "payload", "feature")
+    refuse(others, *_DECODED)
+    return _mapped(media, _decoder(column, others, tensor, batch), others, _DECODED_KIND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            files = b.column(b.schema.get_field_index(column)).to_pylist()
-            for i, j in _groups([len(f or b"") for f in files], batch):
-                part, there = b.slice(i, j - i), [k for k in range(i, j) if files[k] is not None]
-                images, coef = decode([files[k] for k in there])
-                rows: dict[int, tuple] = {}
-                for k, image, c, rgb in zip(there, images, coef, tensors(images, coef), strict=True):
-                    sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-                    rows[k] = (image.height, image.width, rgb.tobytes() if tensor else None, payload(image, c) if image.comment.startswith(b"payload=") else None, f"{image.height}x{image.width}:{sums[0]},{sums[1]},{sums[2]}")
-                cols = list(zip(*(rows.get(k, (None,) * 5) for k in range(i, j)), strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*others, "height", "width", "rgb", "payload", "feature"])
 
-    tune_arrow(media.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in media.schema.fields}
-    return media.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "height long, width long, rgb binary, payload binary, feature string"]))
+def round_trip(docs: DataFrame, text: str = "text", unit: int = 576, tensor: bool = False, batch: int = BATCH) -> DataFrame:
+    """What with_media and then decoded give, with media kept: the files that a batch is stored as are
+    read back in the same Python worker, so that a task needs one worker and not two."""
+    others = [c for c in docs.columns if c != text]
+    refuse(others, "n_bytes", "media", *_DECODED)
+    encode, read = _encoder(text, others, unit, batch), _decoder("media", [*others, "n_bytes", "media"], tensor, 2 * batch)
+    return _mapped(docs, lambda batches: read(encode(batches)), others, _ENCODED_KIND, _DECODED_KIND)
 
 
 def tail_crc(column: str, n: int = 32):

@@ -18,10 +18,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a progressive JPEG, decoded again."""
-    media = jpeg.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = media.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    out = jpeg.decoded(kept, tensor=False)
-    return out.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), jpeg.tail_crc("payload").alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    out = jpeg.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: [F.length(c).cast("long").alias(f"{c}_bytes"), F.sha2(c, 256).alias(f"{c}_sha256")]
+    return out.select("doc_id", "n_bytes", *digest("payload"), jpeg.tail_crc("payload").alias("tail_crc32"), *digest("media"), "feature")
 
 
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
