@@ -55,10 +55,10 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.uploaded_text(c)
 
 
-@query("SELECT concat('resumes/r', s_suppkey) AS name, s_comment AS text, sha256(s_comment) AS sha256 FROM (SELECT s_suppkey, concat('# ', s_name, chr(10), 'Five years of SQL.', chr(10)) AS s_comment FROM supplier WHERE s_suppkey <= 8)")
+@query("SELECT concat('resumes/r', n_nationkey) AS name, body AS text, sha256(body) AS sha256 FROM (SELECT n_nationkey, concat('# ', n_name, chr(10), 'Five years of SQL.', chr(10)) AS body FROM nation)")
 def example_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text file below a folder, with its hash (eight files are made for it)."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey <= 8").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("# "), "s_name", F.lit("\nFive years of SQL.")).alias("value"))
+    """Every text file below a folder, with its hash."""
+    s = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("# "), "n_name", F.lit("\nFive years of SQL.")).alias("value"))
     path = new_folder(spark, "example-texts") + "/resumes"
     s.repartition("name").write.partitionBy("name").text(path)
     got = files.read_texts(spark, path, "*.txt")
@@ -133,15 +133,15 @@ def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", size("words"), size("word_vectors"), size("phrases"), F.size("vector").cast("long").alias("dimension"), F.array_join("technologies", ",").alias("technologies"))
 
 
-@query(f"WITH {METRICS_SQL} SELECT query_id, job_id, 'halves' AS operation, 'ok' AS status FROM metrics WHERE job_id % 2 = 0 UNION ALL SELECT query_id, job_id, 'breaks', 'failed: breaks: SparkRuntimeException' FROM metrics")
+@query(f"WITH {METRICS_SQL} SELECT query_id, job_id, 'covered' AS operation, 'ok' AS status FROM metrics WHERE coverage IS NOT NULL UNION ALL SELECT query_id, job_id, 'breaks', 'failed: breaks: SparkRuntimeException' FROM metrics")
 def contained_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A failing operation says so and lets every id pass."""
-    m = metrics(spark, sf_dir).select("query_id", "job_id")
-    steps = {"halves": lambda d: d.filter("job_id % 2 = 0"), "breaks": lambda d: d.filter(F.raise_error(F.lit("no model")).cast("boolean"))}
+    m = metrics(spark, sf_dir).select("query_id", "job_id", "coverage")
+    steps = {"covered": lambda d: d.filter("coverage IS NOT NULL"), "breaks": lambda d: d.filter(F.raise_error(F.lit("no model")).cast("boolean"))}
     out = None
     for name, step in steps.items():
         d, status = matching.contained(step, m, name)
-        d = d.withColumns({"operation": F.lit(name), "status": F.lit(status)})
+        d = d.select("query_id", "job_id", F.lit(name).alias("operation"), F.lit(status).alias("status"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -162,12 +162,11 @@ def written_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", filters.text_in_country(at, "U.S.").alias("us"), filters.text_in_country(at, "United  Kingdom").alias("uk"), filters.text_in_country(at, "Ireland").alias("ireland"), filters.text_in_state(at, "Ut").alias("utah"), filters.text_in_country(at, " ").alias("anywhere"))
 
 
-@query(f"WITH {METRICS_SQL}, {RESULTS_SQL}, r AS (SELECT query_id, job_id, rank FROM results WHERE operation = 'cross_encoder' AND status = 'ok' AND query_id % 3 <> 2), c AS (SELECT m.query_id, m.job_id, m.coverage, r.rank, count(r.rank) OVER (PARTITION BY m.query_id) > 0 AS found FROM metrics m LEFT JOIN r ON r.query_id = m.query_id AND r.job_id = m.job_id) SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, job_id) AS place, CASE WHEN found THEN 'cross_encoder' END AS ordered_by, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(coverage, 0) DESC, job_id) AS coverage_place FROM c")
+@query(f"WITH {METRICS_SQL}, {RESULTS_SQL}, r AS (SELECT query_id, job_id, rank FROM results WHERE operation = 'cross_encoder' AND status = 'ok'), c AS (SELECT m.query_id, m.job_id, m.coverage, r.rank, count(r.rank) OVER (PARTITION BY m.query_id) > 0 AS found FROM metrics m LEFT JOIN r ON r.query_id = m.query_id AND r.job_id = m.job_id) SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, job_id) AS place, CASE WHEN found THEN 'cross_encoder' END AS ordered_by, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(coverage, 0) DESC, job_id) AS coverage_place FROM c")
 def ordered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates in the order of one operation, and of coverage."""
     m = ranking.by_coverage(metrics(spark, sf_dir), F.col("coverage")).withColumnRenamed("place", "coverage_place")
-    r = results(spark, sf_dir).filter("query_id % 3 <> 2")
-    return ranking.by_operation(m, r, "cross_encoder").select("query_id", "job_id", "place", "ordered_by", "coverage_place")
+    return ranking.by_operation(m, results(spark, sf_dir), "cross_encoder").select("query_id", "job_id", "place", "ordered_by", "coverage_place")
 
 
 @query(f"WITH {JOBS_SQL}, n AS (SELECT id, row_number() OVER (ORDER BY posted_at_utc DESC NULLS LAST, id DESC) - 1 AS k FROM jobs WHERE is_active) SELECT id, CAST(k // 200 AS BIGINT) AS artifact_shard FROM n WHERE k < 1600 AND k // 200 IN (1, 3, 4)")
