@@ -13,40 +13,19 @@ def _clouds():
     return np.concatenate([c + 0.03 * rng.normal(size=(12, 8)) for c in centre]), np.repeat(np.arange(3), 12)
 
 
-@pytest.mark.parametrize(("method", "options"), [("dbscan", {"eps": 0.1, "least": 3}), ("agglomerative", {"clusters": 3}), ("kmeans", {"clusters": 3, "seed": 1})])
-def test_three_clouds(spark, method, options):
+def test_three_clouds(spark, monkeypatch):
     v, truth = _clouds()
     rows = [(q, k, [float(x) for x in v[k]]) for q in (0, 1) for k in range(len(v))]
-    got = clusters.labelled(spark.createDataFrame(rows, "query_id int, job_id int, vector array<double>"), "job_id", "vector", method, **options).collect()
-    assert len(got) == len(rows)
+    d = spark.createDataFrame(rows, "query_id int, job_id int, vector array<double>")
+    got = clusters.linked(d, "job_id", "vector", clusters=3).collect()
     by = {(r["query_id"], r["job_id"]): r["cluster"] for r in got}
+    assert len(got) == len(rows)
     for q in (0, 1):
-        if method != "kmeans":
-            assert len({(by[q, k], truth[k]) for k in range(len(v))}) == 3
-        assert [by[0, k] for k in range(len(v))] == [by[1, k] for k in range(len(v))]
-
-
-def test_noise_and_bounds(spark, monkeypatch):
-    v, _ = _clouds()
-    assert clusters.dbscan(np.concatenate([v, -np.ones((1, 8))]), 0.1, 3)[-1] == -1
-    d = spark.createDataFrame([(0, k, [1.0, float(k)]) for k in range(5)], "query_id int, job_id int, vector array<double>")
-    assert clusters.labelled(d.limit(0), "job_id", "vector").count() == 0
-    with pytest.raises(ValueError):
-        clusters.labelled(d, "job_id", "vector", "other")
+        assert len({(by[q, k], truth[k]) for k in range(len(v))}) == 3
+    assert clusters.linked(d.limit(0), "job_id", "vector").count() == 0
     monkeypatch.setattr(clusters, "MOST", 4)
     with pytest.raises(Exception, match="4 at most"):
-        clusters.labelled(d, "job_id", "vector").collect()
-
-
-def test_forest_fails_open(spark):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = [(k, float(k % 10), float(k % 7), int(k % 10 >= 6)) for k in range(300)]
-    d = spark.createDataFrame(rows, "job_id int, a double, b double, label int")
-    model = RandomForestClassifier(numTrees=10, seed=1).fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(d))
-    got = clusters.judged(d.unionByName(spark.createDataFrame([(999, None, 1.0, 1)], d.schema)), model, ["a", "b"], 1, 0.5).collect()
-    assert {r["job_id"] for r in got} == {r[0] for r in rows if not r[3]} | {999}
+        clusters.linked(d, "job_id", "vector").collect()
 
 
 def test_asked_in_order_until_enough(spark):

@@ -20,11 +20,3 @@ def test_phrase_coverage_uses_every_vector_of_the_resume(spark):
     got = {r["vec_id"]: r["nearest"] for r in registry.QUERIES["phrase_coverage"](spark, SF).collect()}
     want = {r["vec_id"]: 1 - (resume @ unit[r["vec_id"]]).max() for r in rows if r["label"] == 1}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-6 for k, v in want.items())
-
-
-def test_nearest_of_blocks(spark):
-    from vacantia.operators import vectors
-
-    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
-    few, many = (vectors.nearest_of(e, "embedding", e.filter("vec_id % 3 = 0").select("embedding"), n) for n in (16, 512))
-    assert {r["vec_id"]: round(r["nearest"], 9) for r in few.collect()} == {r["vec_id"]: round(r["nearest"], 9) for r in many.collect()}

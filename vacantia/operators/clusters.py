@@ -1,4 +1,4 @@
-"""Clusters of one query's candidates, and screens by a trained or asked judge.
+"""Average linkage of one query's candidates, and screens by an asked judge.
 
 Candidates of a query are a list of set length, so a query is one group; queries are
 dealt out. Larger groups raise rather than fill a task."""
@@ -22,25 +22,6 @@ def _cosine(v: np.ndarray) -> np.ndarray:
     return 1 - u @ u.T
 
 
-def dbscan(v: np.ndarray, eps: float = 0.25, least: int = 5) -> np.ndarray:
-    """Clusters of points with `least` neighbours (themselves included) within eps, and what they reach; noise is -1."""
-    near = _cosine(v) <= eps
-    core = near.sum(axis=1) >= least
-    label, k = np.full(len(v), -1), 0
-    for i in range(len(v)):
-        if not core[i] or label[i] >= 0:
-            continue
-        reach = np.zeros(len(v), bool)
-        reach[i] = True
-        edge = reach
-        while edge.any():
-            new = near[edge & core].any(axis=0) & ~reach
-            reach, edge = reach | new, new
-        label[reach & (label < 0)] = k
-        k += 1
-    return label
-
-
 def agglomerative(v: np.ndarray, clusters: int = 8) -> np.ndarray:
     """Average linkage: the two nearest clusters merge until `clusters` are left."""
     d = _cosine(v)
@@ -57,53 +38,21 @@ def agglomerative(v: np.ndarray, clusters: int = 8) -> np.ndarray:
     return np.unique(parent, return_inverse=True)[1]
 
 
-def kmeans(v: np.ndarray, clusters: int = 8, seed: int = 0, steps: int = 50) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    centre = v[rng.choice(len(v), min(clusters, len(v)), replace=False)]
-    label = np.zeros(len(v), int)
-    for step in range(steps):
-        new = ((v[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
-        if step and (new == label).all():
-            break
-        label = new
-        centre = np.stack([v[label == k].mean(axis=0) if (label == k).any() else centre[k] for k in range(len(centre))])
-    return label
-
-
-METHODS: dict[str, Callable[..., np.ndarray]] = {"dbscan": dbscan, "agglomerative": agglomerative, "kmeans": kmeans}
-
-
-def labelled(df: DataFrame, key: str, vector: str, method: str = "kmeans", by: str = "query_id", **options: float) -> DataFrame:
-    """by, key and cluster of each candidate. A query with more than MOST candidates raises; none give none."""
-    if method not in METHODS:
-        raise ValueError(f"unknown clustering method: {method}")
+def linked(df: DataFrame, key: str, vector: str, by: str = "query_id", clusters: int = 8) -> DataFrame:
+    """by, key and cluster of each candidate, by average linkage. A query with more than MOST
+    candidates raises; none give none. (near.dbscan and MLlib's k-means have no such bound.)"""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) > MOST:
             raise ValueError(f"{len(group)} candidates in one query; {MOST} at most")
         g = group.sort_values(key, kind="stable")
         v = np.array([np.asarray(x, float) for x in g[vector]])
-        return pd.DataFrame({by: g[by], key: g[key], "cluster": METHODS[method](v, **options).astype(np.int64)})
+        return pd.DataFrame({by: g[by], key: g[key], "cluster": agglomerative(v, clusters).astype(np.int64)})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return df.select(by, key, vector).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, cluster long")
 
 
-def judged(df: DataFrame, model: object, features: list[str], bad_class: int, threshold: float) -> DataFrame:
-    """df with bad_probability of a fitted MLlib classifier, without the rows at or above the threshold.
-
-    A row that lacks a feature has no probability and stays: the filter fails open."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    whole = F.lit(True)
-    for f in features:
-        whole &= F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
-    ready = VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="features").transform(df.withColumns({f"_f_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}))
-    out = model.transform(ready).withColumn("bad_probability", F.when(whole, F.get(vector_to_array("probability"), F.lit(bad_class))))
-    return out.select(*df.columns, "bad_probability").filter(F.coalesce(F.col("bad_probability") < threshold, F.lit(True)))
-
-
 def asked(df: DataFrame, ask: Callable[[str], bool], prompt: str, order: list[Column], enough: int, most: int, by: str = "query_id") -> DataFrame:
     """The first `enough` rows of each query that `ask` accepts, among its first `most`, and status.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_windows
+from .ordered import with_pool_shares
 
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
 
@@ -58,17 +59,20 @@ def coverage(distances: DataFrame, reference: Column, by: list[str], flag: float
     """Per key of by: phrases, flagged and bad shares, mean percentile and distance.
 
     distances: by, d and whether a row is of the reference pool. The percentile of a
-    phrase is the share of the pool at its distance or nearer: a running count over
-    distinct distances, whatever the sizes."""
-    per = distances.groupBy("d").agg(F.count_if(reference).alias("_k"))
-    run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a distance, after aggregation
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.select(F.col("d").alias("_d"), (F.sum("_k").over(run) * 100.0 / F.sum("_k").over(whole)).alias("pct"))
-    p = distances.filter(~reference).join(per, F.col("d") == F.col("_d"))
+    phrase is the share of the pool at its distance or nearer."""
+    p = with_pool_shares(distances, "d", reference)
     share = lambda c: 100.0 * F.count_if(c) / F.count("*")
     return p.groupBy(*by).agg(F.count("*").alias("phrases"), share(F.col("pct") <= flag).alias("percent_flagged"), share(F.col("pct") >= bad).alias("bad_match_percent"), F.avg("pct").alias("mean_percentile"), F.avg("d").alias("mean_distance"))
 
 
+def of_newest(rows: DataFrame, job: str, at: Column, n: int) -> DataFrame:
+    """rows with in_pool: whether their job is among the n newest (no more than n ids are broadcast)."""
+    newest = rows.select(F.col(job).alias("_job"), at.alias("_at")).groupBy("_job").agg(F.max("_at").alias("_at"))
+    newest = newest.orderBy(F.desc_nulls_last("_at"), F.desc("_job")).limit(n)
+    out = rows.join(F.broadcast(newest.select("_job", F.lit(True).alias("_in"))), F.col(job) == F.col("_job"), "left")
+    return out.withColumn("in_pool", F.coalesce("_in", F.lit(False))).drop("_job", "_in")
+
+
 def strongest(phrases: DataFrame, by: list[str], n: int = 5) -> DataFrame:
     """The n phrases of each key with the least percentile, then distance."""
     w = Window.partitionBy(*by).orderBy("pct", "d", "phrase_no")

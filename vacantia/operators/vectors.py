@@ -101,37 +101,6 @@ def nearest(df: DataFrame, vector: str, pool: np.ndarray, block: int = 4096) ->
     return df.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "nearest double"]))
 
 
-def nearest_of(df: DataFrame, vector: str, pool: DataFrame, block: int = 512) -> DataFrame:
-    """df with nearest: the least cosine distance of its vector to any row of pool (of the one
-    column `vector`), however many those are. Both sides are dealt into blocks, and every pair of
-    blocks is one matrix product in a task. Other columns of df tell its rows apart; an empty
-    pool gives no rows."""
-    import pandas as pd
-
-    others = [c for c in df.columns if c != vector]
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # blocks are wide rows
-
-    def blocks(d: DataFrame, name: str, *columns: str) -> DataFrame:
-        n = max(1, -(-d.count() // block))
-        return d.groupBy(F.pmod(F.xxhash64(*columns), F.lit(n)).alias(f"_{name}")).agg(F.collect_list(F.struct(*d.columns)).alias(name))
-
-    def unit(vectors: list) -> np.ndarray:
-        x = np.stack([np.asarray(v, np.float64) for v in vectors])
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for rows, near in zip(b["rows"], b["near"], strict=True):
-                out = pd.DataFrame({c: [r[c] for r in rows] for c in others})
-                out["_n"] = 1 - np.clip((unit([r[vector] for r in rows]) @ unit([r[vector] for r in near]).T).max(axis=1), -1, 1)
-                yield out
-
-    pairs = blocks(df, "rows", *others).crossJoin(blocks(pool.select(vector), "near", vector)).select("rows", "near")
-    kinds = dict(df.dtypes)
-    found = pairs.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "_n double"]))
-    return found.groupBy(*others).agg(F.min("_n").alias("nearest"))
-
-
 def hashing_encoder(texts: list[str], dim: int = 64) -> np.ndarray:
     """A deterministic stand-in for a sentence encoder: hashed words, unit length."""
     import zlib
@@ -150,7 +119,11 @@ def encoded(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_t": b["_t"], name: [v.astype(np.float32).tolist() for v in encoder(b["_t"].tolist())] if len(b) else []})
-
-    made = df.select(F.col(text).alias("_t")).filter("_t IS NOT NULL").distinct().mapInPandas(run, f"_t string, `{name}` array<float>")
-    return df.join(made, F.col(text) == F.col("_t"), "left").drop("_t")
+            yield pd.DataFrame({"_m1": b["_h1"], "_m2": b["_h2"], name: [v.astype(np.float32).tolist() for v in encoder(b["_t"].tolist())] if len(b) else []})
+
+    # Texts are told by 128 bits of hashes, so that no text is a join key; nulls stay out of the join.
+    keys = lambda c: [F.xxhash64(c).alias("_h1"), F.xxhash64(F.lit("second"), c).alias("_h2")]
+    has = df.filter(F.col(text).isNotNull()).select("*", *keys(text))
+    made = has.groupBy("_h1", "_h2").agg(F.first(text).alias("_t")).select("_h1", "_h2", "_t").mapInPandas(run, f"_m1 long, _m2 long, `{name}` array<float>")
+    out = has.join(made, (F.col("_h1") == F.col("_m1")) & (F.col("_h2") == F.col("_m2"))).drop("_h1", "_h2", "_m1", "_m2")
+    return out.unionByName(df.filter(F.col(text).isNull()).withColumn(name, F.lit(None).cast("array<float>")))

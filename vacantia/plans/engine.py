@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, extract, location, text, times
-from ..operators import features, filters, lifecycle, matching, ranking, vectors
+from ..operators import features, filters, forest, lifecycle, matching, ranking, vectors
+from ..session import stored
 
 #: What the six levels of seniority stand for, as anchors of the level score (the engine's own wording).
 LEVEL_TEXTS = [
@@ -72,6 +73,7 @@ class RankQuery:
     bad_fit_fraction: float = 0.25
     mode: str = "minimax"
     technologies: list[tuple[str, str]] = field(default_factory=list)
+    forest: Callable[[], forest.Forest] | None = None
     encoder: Callable[[list[str]], np.ndarray] = vectors.hashing_encoder
     scorer: matching.Scorer = matching.overlap_scorer
     most_chars: int = 12_000
@@ -112,7 +114,7 @@ def rank(jobs: DataFrame, q: RankQuery, key: str = "id") -> DataFrame:
     j = ranking.reduced(j, [F.col("requirements_distance"), F.col(key)], ranking.Policy(top_fraction=q.candidate_fraction))
 
     # At most `candidates` rows, read by every operation below: computed once.
-    j = j.cache()
+    j = stored(j, "rank-candidates")
 
     anchors = q.encoder(LEVEL_TEXTS)
     sims = F.array(*[vectors.dot(F.col("_v"), array(a)) for a in anchors])
@@ -126,19 +128,26 @@ def rank(jobs: DataFrame, q: RankQuery, key: str = "id") -> DataFrame:
         j = j.join(tech, key).filter(~F.col("is_mismatch"))
 
     w = vectors.sliced_wasserstein(_clouds(j.withColumn("_w", F.array_distinct("job_word_tokens")), key, "_w", q.encoder), "matrix", word_cloud, q.word_projections, 3).withColumnRenamed("distance", "word_distance")
-    clouds = _clouds(j, key, "job_phrase_chunks", q.encoder).cache()
+    clouds = stored(_clouds(j, key, "job_phrase_chunks", q.encoder), "rank-phrases")
     p = vectors.sliced_wasserstein(clouds, "matrix", phrase_cloud, q.phrase_projections, 5).withColumnRenamed("distance", "phrase_distance")
     near = vectors.nearest(clouds.select(key, F.explode("matrix").alias("vector")), "vector", phrase_cloud)
-    c = near.groupBy(key).agg(F.avg("nearest").alias("mean_phrase_distance"), (100.0 * F.count_if(F.col("nearest") <= 0.5) / F.count("*")).alias("percent_flagged"))
+    c = near.groupBy(key).agg(F.avg("nearest").alias("mean_phrase_distance"), (100.0 * F.count_if(F.col("nearest") <= 0.5) / F.count("*")).alias("percent_flagged"), (100.0 * F.count_if(F.col("nearest") > 0.9) / F.count("*")).alias("percent_unmatched"))
     first = j.orderBy("requirements_distance", key).limit(q.cross_encoder_inputs).select(key, F.lit(q.resume).alias("a"), F.coalesce("content_text_clean", F.lit("")).alias("b"))
     x = matching.chunk_aggregate(matching.pair_scores(matching.chunk_pairs(first, [key], "a", "b", q.chunk_words, q.chunk_overlap), q.scorer), [key]).select(key, F.col("top_mean_score").alias("cross_score"))
-    m = j.select("query_id", key, "title", "requirements_distance", "seniority_gap")
+    overlap = F.col("overlap").cast("double") if q.technologies else F.lit(None).cast("double")
+    m = j.select("query_id", key, "title", "requirements_distance", "seniority_gap", overlap.alias("technology_overlap"))
     for part in (w, p, c, x):
         m = m.join(part, key, "left")
-    m = m.withColumn("job_id", F.col(key)).cache()
+    m = stored(m.withColumn("job_id", F.col(key)), "rank-metrics")
     bad = ranking.bad_fit(m, {"word_distance": -1, "phrase_distance": -1, "percent_flagged": 1, "cross_score": 1}, q.bad_fit_fraction)
     m = m.join(bad.select("query_id", "job_id", "is_bad"), ["query_id", "job_id"], "left").withColumn("is_bad", F.coalesce("is_bad", F.lit(False)))
-    good = m.filter(~F.col("is_bad"))
+    m = m.withColumn("is_flagged", F.lit(False))
+    if q.forest is not None:
+        m = m.withColumn("seniority_abs_gap", F.abs("seniority_gap"))
+        columns = {"word_distance": "word_distance", "phrase_distance": "phrase_distance", "requirements_distance": "requirements_distance", "seniority_abs_gap": "seniority_abs_gap", "technology_overlap": "technology_overlap", "percent_flagged": "percent_flagged", "bad_match_percent": "percent_unmatched"}
+        seen = forest.judged(matching.pair_features(m, columns), q.forest)
+        m = stored(seen.select(*[c for c in m.columns if c != "is_flagged"], "is_flagged", "bad_probability"), "rank-judged")
+    good = m.filter(~F.col("is_bad") & ~F.col("is_flagged"))
     orders = {"word_sliced_wasserstein": ("word_distance", True), "phrase_sliced_wasserstein": ("phrase_distance", True), "resume_phrase_coverage": ("percent_flagged", False), "cross_encoder": ("cross_score", False)}
     results = None
     for name, (column, ascending) in orders.items():

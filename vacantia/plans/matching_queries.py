@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import listed, tokens
-from ..operators import features, filters, matching
+from ..operators import features, filters, forest, matching
+from ..session import new_folder
 from ..sources import files
 from .registry import query, table
 from .shapes import JOBS_SQL, METRICS_SQL, jobs, metrics
@@ -49,13 +50,66 @@ def strongest_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {METRICS_SQL}, v AS (SELECT query_id, job_id, word_distance / 100000 AS w, cross_score / 10 AS p, coverage / 100 AS n, CAST(job_id % 5 AS DOUBLE) AS g, CAST(job_id % 3 AS DOUBLE) / 2 AS t, coverage / 50 AS f, cross_score / 20 AS b FROM metrics) SELECT query_id, job_id, round(sqrt(w * p), 10) AS semantic_distance_geomean, round(ln((w + 1e-9) / (p + 1e-9)), 10) AS semantic_distance_ratio_log, round(CASE WHEN n IS NULL THEN (w + p) / 2 ELSE (w + p + n) / 3 END, 10) AS semantic_requirements_mean, round(greatest(w, p, n), 10) AS semantic_requirements_max, round(exp(-g), 10) AS seniority_fit_exp, round(t * exp(-sqrt(w * p)), 10) AS technology_x_semantic_similarity, round(n * (1 + g), 10) AS requirements_x_seniority_badness, round(CASE WHEN f IS NULL THEN b ELSE (f + b) / 2 END, 10) AS coverage_badness_mean FROM v WHERE NOT coalesce(n * (1 + g) >= 1.2, false)")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of a pair classifier, and a filter on them that fails open."""
-    m = metrics(spark, sf_dir).selectExpr("query_id", "job_id", "word_distance / 100000 AS w", "cross_score / 10 AS p", "coverage / 100 AS n", "job_id % 5 AS g", "(job_id % 3) / 2 AS t", "coverage / 50 AS f", "cross_score / 20 AS b")
-    out = matching.pair_features(m, {"word_distance": "w", "phrase_distance": "p", "requirements_distance": "n", "seniority_abs_gap": "g", "technology_overlap": "t", "percent_flagged": "f", "bad_match_percent": "b"})
+    """Features of a pair classifier, and a filter on one of them that fails open."""
+    out = _pairs(spark, sf_dir)
     out = matching.screened(out, F.col("requirements_x_seniority_badness"), 1.2)
     return out.select("query_id", "job_id", *[F.round(c, 10).alias(c) for c in out.columns[9:]])
 
 
+#: Three small trees over two derived features and a given one; how a trained forest is stored.
+_NODES = [
+    (0, 0, 0, 0.16, 1, 2, None),
+    (0, 1, 1, 1.3, 3, 4, None),
+    (0, 2, -1, None, -1, -1, [0.7, 0.1, 0.2]),
+    (0, 3, -1, None, -1, -1, [0.1, 0.8, 0.1]),
+    (0, 4, -1, None, -1, -1, [0.5, 0.2, 0.3]),
+    (1, 0, 2, 0.55, 1, 2, None),
+    (1, 1, -1, None, -1, -1, [0.2, 0.5, 0.3]),
+    (1, 2, 0, 0.13, 3, 4, None),
+    (1, 3, -1, None, -1, -1, [0.3, 0.3, 0.4]),
+    (1, 4, -1, None, -1, -1, [0.9, 0.0, 0.1]),
+    (2, 0, -1, None, -1, -1, [0.4, 0.4, 0.2]),
+]
+_VALUES = ", ".join(f"({t}, {n}, {f}, {'NULL' if h is None else h}, {a}, {b}, {'NULL' if p is None else list(p)})" for t, n, f, h, a, b, p in _NODES)
+_PAIR_COLUMNS = {"word_distance": "w", "phrase_distance": "p", "requirements_distance": "n", "seniority_abs_gap": "g", "technology_overlap": "t", "percent_flagged": "f", "bad_match_percent": "b"}
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metrics(spark, sf_dir).selectExpr("query_id", "job_id", "word_distance / 100000 AS w", "cross_score / 10 AS p", "coverage / 100 AS n", "job_id % 5 AS g", "(job_id % 3) / 2 AS t", "coverage / 50 AS f", "cross_score / 20 AS b")
+    return matching.pair_features(m, _PAIR_COLUMNS)
+
+
+@query(f"""WITH RECURSIVE {METRICS_SQL}, nodes(tree, node, feature, threshold, lower, upper, shares) AS (VALUES {_VALUES}),
+    v AS (SELECT query_id, job_id, sqrt(word_distance / 100000 * cross_score / 10) AS a, coverage / 100 * (1 + job_id % 5) AS b, coverage / 50 AS f FROM metrics),
+    x AS MATERIALIZED (SELECT query_id, job_id, [coalesce(a, 0.1), coalesce(b, 0.9), coalesce(f, 0.6)] AS given, CAST((a IS NULL)::INT + (b IS NULL)::INT + (f IS NULL)::INT AS BIGINT) AS missing_features FROM v),
+    walk AS (SELECT query_id, job_id, given, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nodes)
+        UNION ALL SELECT query_id, job_id, given, w.tree, CASE WHEN given[n.feature + 1] <= n.threshold THEN n.lower ELSE n.upper END FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature >= 0),
+    p AS (SELECT query_id, job_id, avg(n.shares[1]) AS bad, avg(n.shares[2]) AS good, avg(n.shares[3]) AS unclear FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature < 0 GROUP BY ALL)
+    SELECT query_id, job_id, round(bad, 9) AS bad_probability, round(good, 9) AS good_probability, round(unclear, 9) AS unclear_probability, bad >= 0.48125 AS is_flagged, CASE WHEN bad >= 0.48125 THEN 2 ELSE 1 END AS rank, missing_features, 'ok' AS status FROM p JOIN x USING (query_id, job_id)""")
+def bad_match_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A three-class forest from its node table over every pair, and what it flags."""
+    model = forest.Forest(_NODES, ["semantic_distance_geomean", "requirements_x_seniority_badness", "f"], [forest.BAD, "really_good", "unclear"], [0.1, 0.9, 0.6], bad_threshold=0.48125)
+    out = forest.judged(_pairs(spark, sf_dir), lambda: model)
+    p = lambda c: F.round(F.element_at("class_probabilities", F.lit(c)), 9)
+    return out.select("query_id", "job_id", F.round("bad_probability", 9).alias("bad_probability"), p("really_good").alias("good_probability"), p("unclear").alias("unclear_probability"), "is_flagged", "rank", F.col("missing_features").cast("long").alias("missing_features"), "status")
+
+
+@query()
+def fitted_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest fitted on the documents that `labels` covers, by text statistics, written as a node
+    table, read back and put to every document (learned, so no oracle; tested against SQL over its nodes)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    words = F.array_remove(F.split("t", r"\s+"), "")
+    d = d.select("doc_id", F.size(words).alias("n_words"), (F.length("t") / F.size(words)).alias("per_word"), (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"), (F.length(F.regexp_replace("t", r"[\p{L}\s]", "")) / F.length("t")).alias("other_share"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality")
+    known = d.join(labels, F.col("doc_id") == F.col("_id"))
+    made = forest.fit(known, ["n_words", "per_word", "distinct_share", "other_share"], "quality", threshold=0.5)
+    path = new_folder(spark, "forest-nodes")
+    made.save(spark, path)
+    out = forest.judged(d, lambda: forest.load(spark, path))
+    return out.select("doc_id", F.round("bad_probability", 9).alias("good_probability"), "is_flagged", "missing_features", "status")
+
+
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM documents), l AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS word FROM part), v AS (SELECT 'the' AS word, 1.5 AS x UNION ALL SELECT 'of', 2.5 UNION ALL SELECT 'and', 0.5) SELECT doc_id, count(*) AS n, round(sum(x), 4) AS total FROM w JOIN v ON v.word = w.word GROUP BY doc_id")
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the words that a lookup has, in order."""

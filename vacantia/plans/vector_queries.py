@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import ranking, vectors
+from ..operators import near, ordered, ranking, vectors
+from ..session import stored
 from .registry import query, table
 
 _D = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
@@ -59,21 +60,31 @@ def sliced_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d
 
 
-def _percentiles(n: DataFrame) -> DataFrame:
-    """Phrases of label 1 with the percentile of their distance d among those of higher labels."""
-    per = n.groupBy("d").agg(F.count_if(F.col("label") > 1).alias("k"))
-    run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a distance, after aggregation
-    per = per.select(F.col("d").alias("_d"), (F.sum("k").over(run) * 100.0 / F.sum("k").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("pct"))
-    j = n.filter("label = 1").join(per, F.col("d") == F.col("_d"))
+@query(f"WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), r AS (SELECT v AS rv FROM e WHERE label = 0), n AS (SELECT vec_id, label, min(1 - list_cosine_similarity(v, rv)) AS nearest FROM e, r WHERE label <> 0 GROUP BY 1, 2), pool AS (SELECT nearest FROM n WHERE label > 1), j AS (SELECT vec_id, nearest, (SELECT count(*) FROM pool WHERE round(pool.nearest, 6) <= round(n.nearest, 6)) * 100.0 / (SELECT count(*) FROM pool) AS pct FROM n WHERE label = 1) SELECT vec_id, round(nearest, 6) AS nearest, round(pct, 4) AS percentile, pct <= 10 AS flagged, pct >= 90 AS bad FROM j")
+def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all vectors of label 0, which may grow with the table, sought in the
+    cells of pivots; and the share of the pool (higher labels) that is as near."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    n = near.nearest(e.filter("label <> 0"), e.filter("label = 0"), "vec_id", "embedding")
+    n = n.withColumn("d", F.round("nearest", 6)).select(F.col("vec_id").alias("_id"), "d")
+    n = stored(e.select("vec_id", "label").join(n, F.col("vec_id") == F.col("_id")).drop("_id"), "phrase-distances")
+    j = ordered.with_pool_shares(n, "d", F.col("label") > 1).filter("label = 1")
     return j.select("vec_id", F.col("d").alias("nearest"), F.round("pct", 4).alias("percentile"), (F.col("pct") <= 10).alias("flagged"), (F.col("pct") >= 90).alias("bad"))
 
 
-@query(f"WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), r AS (SELECT v AS rv FROM e WHERE label = 0), n AS (SELECT vec_id, label, min(1 - list_cosine_similarity(v, rv)) AS nearest FROM e, r WHERE label <> 0 GROUP BY 1, 2), pool AS (SELECT nearest FROM n WHERE label > 1), j AS (SELECT vec_id, nearest, (SELECT count(*) FROM pool WHERE round(pool.nearest, 6) <= round(n.nearest, 6)) * 100.0 / (SELECT count(*) FROM pool) AS pct FROM n WHERE label = 1) SELECT vec_id, round(nearest, 6) AS nearest, round(pct, 4) AS percentile, pct <= 10 AS flagged, pct >= 90 AS bad FROM j")
-def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V17, J8, W23 with all of label 0 as the resume, which may grow with the table."""
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, {_D} AS v FROM embeddings),
+    n AS MATERIALIZED (SELECT a.label, a.vec_id AS u, b.vec_id AS w FROM e a JOIN e b ON b.label IS NOT DISTINCT FROM a.label WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.74),
+    core AS MATERIALIZED (SELECT u FROM n GROUP BY u HAVING count(*) >= 4),
+    l AS MATERIALIZED (SELECT u, w FROM n WHERE u IN (SELECT u FROM core) AND w IN (SELECT u FROM core)),
+    r(u, w) AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON l.u = r.w),
+    c AS (SELECT u, min(w) AS first FROM r GROUP BY u),
+    k AS MATERIALIZED (SELECT c.u, dense_rank() OVER (PARTITION BY e.label ORDER BY c.first) - 1 AS cluster FROM c JOIN e ON e.vec_id = c.u),
+    b AS (SELECT n.u, min(k.cluster) AS cluster FROM n JOIN k ON k.u = n.w GROUP BY n.u)
+    SELECT e.label, e.vec_id, coalesce(k.cluster, b.cluster, -1)::BIGINT AS cluster FROM e LEFT JOIN k ON k.u = e.vec_id LEFT JOIN b ON b.u = e.vec_id""")
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of each label's vectors, with noise, over all rows."""
     e = table(spark, sf_dir, "embeddings")
-    n = vectors.nearest_of(e.filter("label <> 0").select("vec_id", "label", "embedding"), "embedding", e.filter("label = 0").select("embedding")).withColumn("d", F.round("nearest", 6))
-    return _percentiles(n)
+    return near.dbscan(e, "vec_id", "embedding", 0.74, 4, by="label")
 
 
 @query()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "vacantia", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,3 +33,16 @@ def work_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there, so a lost
+    executor costs no more than the tasks that read it."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, marked for broadcast if a count shows that it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
