@@ -232,7 +232,9 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, "id long, v string, at int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         s = spark.readStream.schema("id long, v string, at int").parquet(str(tmp_path / "in"))
         upsert_stream(s, str(tmp_path / "out"), str(tmp_path / "ck"), ["id"], "at").awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out" / "version=1")).orderBy("id").collect()
+    from vacantia.operators import store
+
+    got = store.read(spark, str(tmp_path / "out"), 1).orderBy("id").collect()
     assert [(r["id"], r["v"]) for r in got] == [(1, "c"), (2, "d")]
 
 

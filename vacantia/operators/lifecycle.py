@@ -96,6 +96,23 @@ def early_stop(rows: DataFrame, shard: str, survives: Column, enough: int) -> Da
     return kept.join(n, F.col(shard) == F.col("_s"), "left_semi")
 
 
+def read_until(table: DataFrame, shard: str, shards: list, survives: Column, enough: int, at_once: int = 4) -> DataFrame:
+    """As early_stop, of a table that is partitioned by shard: reading stops with it.
+
+    shards are the table's, in order (a manifest). They are counted `at_once` at a time, and
+    each filter on them is a filter on partitions, so the files of later shards are never opened."""
+    kept, used = 0, []
+    for i in range(0, len(shards), at_once):
+        now = shards[i : i + at_once]
+        n = {r[0]: r[1] for r in table.filter(F.col(shard).isin(now)).filter(survives).groupBy(shard).agg(F.count("*")).collect()}
+        for s in now:
+            used.append(s)
+            kept += n.get(s, 0)
+            if kept >= enough:
+                return table.filter(F.col(shard).isin(used)).filter(survives)
+    return table.filter(survives)
+
+
 def backing_off(failures: Column, last_failure: Column, now: Column, most: int, hours: int) -> Column:
     """Failed too often, and too recently, to be tried again."""
     recent = last_failure > now - F.make_dt_interval(F.lit(0), F.lit(hours))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions.text import fingerprint, trimmed
 from ..operators import filters, lifecycle, quality
+from ..session import new_folder
 from .registry import query, table
 from .shapes import JOBS_SQL, jobs
 
@@ -28,9 +29,14 @@ def recency_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {JOBS_SQL}, r AS (SELECT id, is_active, posted_at_utc, row_number() OVER (ORDER BY posted_at_utc DESC, id DESC) - 1 AS recency FROM jobs WHERE posted_at_utc IS NOT NULL), s AS (SELECT *, recency // 200 AS shard FROM r), n AS (SELECT shard, count(*) FILTER (WHERE is_active AND id % 3 = 0) AS k FROM s GROUP BY shard), b AS (SELECT shard, coalesce(sum(k) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WHERE k > 0) SELECT id, CAST(s.shard AS BIGINT) AS shard FROM s JOIN b ON s.shard = b.shard WHERE before < 250 AND is_active AND id % 3 = 0")
 def early_stop_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors of shards, up to the one that makes 250."""
+    """Survivors of shards, up to the one that makes 250; later shards are not read."""
+    path = new_folder(spark, "shards")
     s = lifecycle.newest_shards(jobs(spark, sf_dir), "posted_at_utc", "id", 200)
-    return lifecycle.early_stop(s, "artifact_shard", F.col("is_active") & (F.col("id") % 3 == 0), 250).select("id", F.col("artifact_shard").alias("shard"))
+    s.select("id", "is_active", "artifact_shard").repartition("artifact_shard").write.partitionBy("artifact_shard").parquet(path)
+    s = spark.read.parquet(path)
+    shards = sorted(r[0] for r in s.select("artifact_shard").distinct().collect())  # the export's manifest
+    out = lifecycle.read_until(s, "artifact_shard", shards, F.col("is_active") & (F.col("id") % 3 == 0), 250)
+    return out.select("id", F.col("artifact_shard").cast("long").alias("shard"))
 
 
 @query(f"WITH {JOBS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY coalesce(posted_at_utc, TIMESTAMP '1990-01-01'), id) AS k, count(*) OVER () AS n FROM jobs WHERE is_active) SELECT id, k <= least(500, n - 2000) AS cleaned FROM r")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lifecycle import upsert
+from ..operators import store
 
 
 def latest(batch: DataFrame, key: list[str], at: str) -> DataFrame:
@@ -17,19 +17,16 @@ def latest(batch: DataFrame, key: list[str], at: str) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str], at: str, **options) -> StreamingQuery:
-    """Merge every micro-batch into versions of a Parquet table below path.
+    """Merge every micro-batch into the bucketed table below path, as the version of its number.
 
-    Each batch writes path/version=<batch id> from the version before, so a batch that
-    is run again writes the same version, and readers see whole versions only."""
+    Only the buckets that a batch touches are rewritten; a batch that is run again makes the
+    same version, and readers see whole versions only (store.read)."""
     spark = stream.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = latest(batch, key, at)
-        before = f"{path}/version={number - 1}"
-        out = new if number == 0 else upsert(spark.read.parquet(before), new, key, **options)
-        out.write.mode("overwrite").parquet(f"{path}/version={number}")
+    def put(batch: DataFrame, number: int) -> None:
+        store.merge(spark, path, latest(batch, key, at), key, number, **options)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
