@@ -35,8 +35,8 @@ def test_ranking_and_differences(scanner):
     reduction, best = scanner.rank("Licensed under the Apache License, Version 2.0.")[0]
     assert best == "Apache-2.0" and reduction > 0.4
     own = licenses._words(licenses.LICENSES["ISC"].text.replace("hereby granted", "hereby most kindly granted"))
-    _, extra, gaps, common, skipped = scanner.stretch(own, "ISC")
-    assert extra == ["most", "kindly"] and gaps == [] and common == len(own) - 2 and skipped == 0
+    _, extra, gaps, common, skipped, span, ends = scanner.stretch(own, "ISC")
+    assert extra == ["most", "kindly"] and gaps == [] and common == len(own) - 2 and skipped == 0 and span == (0, len(own)) and ends == 0
 
 
 def test_scanned(docs, empty, spark):
@@ -116,3 +116,83 @@ def test_ranking_against_brute_force(scanner):
 def test_long_pieces_are_looked_at_in_parts(scanner):
     text = "word " * 3000 + "and it is licensed under the Apache License, Version 2.0 " + "word " * 3000
     assert [g[2] for g in scanner.scan(text)] == ["Apache-2.0"]
+
+
+WORDED = [k for k, v in licenses.LICENSES.items() if v.text]
+
+
+@pytest.mark.parametrize("step", [1, 2, 7, 18])
+def test_two_notices_in_one_block(scanner, step):
+    """Ordered pairs of templates with a blank line between: both are found, nothing else."""
+    for k, a in enumerate(WORDED):
+        b = WORDED[(k + step) % len(WORDED)]
+        assert {g[2] for g in scanner.scan(f"{licenses.LICENSES[a].text}\n\n{licenses.LICENSES[b].text}")} == {a, b}
+
+
+@pytest.mark.parametrize("times", [2, 5, 20])
+def test_repeated_notices(scanner, times):
+    for k in WORDED:
+        assert {g[2] for g in scanner.scan("\n\n".join([licenses.LICENSES[k].text] * times))} == {k}
+
+
+def test_three_notices_among_prose(scanner):
+    own = [licenses.LICENSES[k].text for k in ("MIT", "BSD-3-Clause", "Zlib")]
+    got = scanner.scan("Some prose.\n" + "\nCopyright (c) 2001 A. Body\n".join(own) + "\nMore prose stands here.")
+    assert {g[2] for g in got} == {"MIT", "BSD-3-Clause", "Zlib"}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "This is not licensed under the MIT License.",
+        "It was never released under the GPL.",
+        "The files are not available under the terms of the Apache License, Version 2.0.",
+        "Er fuhr mit unter der Bank, mit dem Hund.",
+        "A fee is licensed under law.",
+        "This code isn't licensed under MIT.",
+    ],
+)
+def test_negations_and_chance_words(scanner, text):
+    assert scanner.scan(text) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under MIT.", "MIT"),
+        ("MIT Licensed", "MIT"),
+        ("License: MIT", "MIT"),
+        ("License: GPL-3.0-or-later", "GPL-3.0"),
+        ("Licensed under the GPL.", "GPL-2.0 OR GPL-3.0 OR GPL-1.0"),
+        ("Licensed under the GPL, version 2 or later.", "GPL-2.0"),
+        ("The code is BSD licensed.", "BSD-3-Clause OR BSD-2-Clause OR BSD-1-Clause OR BSD-4-Clause"),
+        ("Dieser Text steht unter der MIT-Lizenz.", "MIT"),
+        ("Ce texte est sous licence MIT.", "MIT"),
+        ("Este texto se publica bajo la licencia Apache 2.0.", "Apache-2.0"),
+        ("It is not only licensed under the MIT License but also free of charge.", "MIT"),
+        ("Licensed under MIT No Attribution.", "MIT-0"),
+    ],
+)
+def test_short_names_after_a_cue(scanner, text, name):
+    assert [g[2] for g in scanner.scan(text)] == [name]
+
+
+def cover(scanner, words):
+    """Brute force: of every template, as often as it stands word for word in what is left, longest first."""
+    found, rest = set(), words
+    for k in sorted(WORDED, key=lambda k: -len(scanner.words[k])):
+        own = scanner.words[k]
+        while (at := next((i for i in range(len(rest) - len(own) + 1) if rest[i : i + len(own)] == own), None)) is not None:
+            found.add(k)
+            rest = rest[:at] + ["|"] * 3 + rest[at + len(own) :]
+    return found
+
+
+def test_blocks_against_exact_cover(scanner):
+    import random
+
+    r = random.Random(3)
+    for _ in range(25):
+        picks = [r.choice(WORDED) for _ in range(r.randint(1, 4))]
+        text = "\n\n".join(licenses.LICENSES[k].text for k in picks)
+        assert {g[2] for g in scanner.scan(text)} == cover(scanner, licenses._words(text)) == set(picks)

@@ -103,3 +103,12 @@ def test_fingerprints_of_null_ids_link(spark, monkeypatch):
     docs = spark.createDataFrame([(k, str(v)) for k, v in rows], "doc_id long, text string")
     got = {r["fp"]: r["component_id"] for r in simhash.classes(docs).collect()}
     assert got == {0b1111 << 8: 7, 0: 7, 0b1111 << 20: 7, (1 << 40) * 0xFFFF: None, (1 << 60) - 1: 3}
+
+
+def test_groups_of_very_many_tiles(spark):
+    from pyspark.sql import functions as F
+
+    at = [(7, 2048, 5000), (7, 5000, 2048), (7, 4999, 5000), ((1 << 19) - 1, (1 << 20) - 1, (1 << 20) - 1), (7, 0, 0), (8, 0, 0)]
+    rows = spark.createDataFrame(at, "anchor long, own int, other int")
+    got = [r[0] for r in rows.select(simhash._group(F.col("anchor"), F.col("own"), F.col("other"))).collect()]
+    assert got == [a + (min(i, j) * (1 << 20) + max(i, j)) * (1 << 19) for a, i, j in at] and len(set(got)) == 5

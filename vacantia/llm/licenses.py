@@ -114,6 +114,8 @@ LICENSES = {
 
 #: A piece is looked at if the dictionary of all templates saves it so many bytes; longer pieces are tried in parts of PIECE characters.
 LEAST_SAVED, PIECE = 6, 300
+#: Stand around pieces of fewer than TINY bytes, which zstandard would else store as they are.
+HEAD, TAIL, TINY = bytes(range(14, 22)), bytes(range(1, 14)) * 2, 40
 #: So many pieces of up to SHORT characters may stand between two candidates of one block (wrapped lines, holders' names).
 BETWEEN, SHORT = 3, 90
 #: A template's wording is compared if it shortens the block by this share, a stretch confirms it with so many common
@@ -123,6 +125,15 @@ LEAST_REDUCTION, LONG, LEAST_WORDS, NOTICE = 0.2, 10, 0.8, 25
 NEAR, CUES = 8, {"under", "spdx", "terms"}
 #: Template words that a block may leave out at once; more are another passage of the template, and count as so many.
 GAP = 6
+#: What turns a statement into its contrary when it stands so closely before the cue.
+NEGATIONS, BEFORE = frozenset("not never no nor neither cannot isn aren wasn weren nicht kein pas nunca".split()), 4
+#: Statements with a short name, as it is written: a cue before it, or one behind it. {} is the name.
+SHORT_FORMS = (
+    r"(?i:licen[sc]ed|released|distributed|published|available|made available)\s+(?i:under)\s+(?i:the\s+)?{}",
+    r"(?i:licen[sc]es?|licencia|lizenz)\s*[:=]\s*{}",
+    r"(?i:unter\s+der|sous\s+(?:la\s+)?licence|sous\s+la|bajo\s+(?:la\s+)?licencia|bajo\s+la)\s+{}",
+    r"{}[ -](?i:licen[sc]ed)",
+)
 _unit = re.compile(r"[^\n]+?(?:[.!?](?=[ \t])(?![ \t]*\d)|$|(?=\n))", re.M)
 _word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _number = re.compile(r"v?(\d+(?:\.\d+)*)$")
@@ -173,7 +184,10 @@ class Scanner:
 
         self.licenses = licenses
         templates = {k: f"{_statement(k, v)} {v.text}" for k, v in licenses.items()}
-        self.alone, self.all = press(), press(dict_data=raw(" ".join(templates.values())))
+        said = " ".join(f"license: {n}. licensed under {n}. licensed under the {n}. {n} licensed. unter der {n}-lizenz. sous licence {n}. bajo la licencia {n}." for n in self.short_names(licenses))
+        # zstandard indexes every third place of a dictionary, so short statements stand in it at all three.
+        said = "".join(said + "-" * ((k - len(said)) % 3) for k in (1, 1, 1))
+        self.alone, self.all = press(), press(dict_data=raw(f"{said} {' '.join(templates.values())}"))
         self.under = {k: press(dict_data=raw(t)) for k, t in templates.items()}
         self.words = {k: _words(v.text) for k, v in licenses.items()}
         self.place = {k: n for n, k in enumerate(licenses)}
@@ -191,6 +205,39 @@ class Scanner:
             self.names.setdefault(own[0], []).append((list(own), full, versions))
         self.ids = {tuple(_words(k)): k for k in licenses}
         self.known: dict[str, list[tuple[str, float, str]]] = {}
+        self.families = self.short_names(licenses)
+        name = "(?:" + "|".join(sorted(map(re.escape, self.families), key=len, reverse=True)) + ")"
+        # A capital word behind it, other than License, is part of a longer name.
+        version = r"(?:,?[ -]?(?:[vV]ersion )?[vV]?(?P<v>\d+(?:\.\d+)*))?(?:-or-later|-only|\+)?(?![\w])(?!\s+(?!Licen[sc]e)[A-Z0-9])(?!-(?!Lizenz)[A-Z0-9])"
+        self.forms = [re.compile(r"(?<![\w-])" + f.format(f"(?P<name>{name}){version}") if not f.startswith("{") else r"(?<![\w-])" + f.format(f"(?P<name>{name})" + r"(?:[ -]?[vV]?(?P<v>\d+(?:\.\d+)*))?")) for f in SHORT_FORMS]
+
+    @staticmethod
+    def short_names(licenses: dict[str, License]) -> dict[str, dict[str, str]]:
+        """By short name, as written: version -> license ('' or, where names have no versions, each license by itself)."""
+        out: dict[str, dict[str, str]] = {}
+        for k, v in licenses.items():
+            for n in {*v.short, k.split("-")[0]}:
+                if not n.isdigit() and (n in v.short or not v.version):
+                    out.setdefault(n, {})[v.version or k] = k
+        return {n: {"": n} if n in licenses and not licenses[n].version else of for n, of in out.items() if n not in ("CC", "MS", "PSF")}
+
+    def shortly(self, block: str) -> list[tuple[str, ...]]:
+        """The licenses that the block states by a short name with a cue; more than one where it names no version."""
+        found = []
+        for form in self.forms:
+            for m in form.finditer(block):
+                before = _words(re.split(r"[.!?]\s|\n\n", block[: m.start()])[-1])[-BEFORE:]
+                if NEGATIONS & set(before):
+                    continue
+                versions = self.families[m["name"]]
+                version = _version(m["v"]) if m["v"] else ""
+                if "" in versions:
+                    found.append((versions[""],))
+                elif version in versions:
+                    found.append((versions[version],))
+                elif not version:
+                    found.append(tuple(versions.values()))
+        return found
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """(reduction, license) of all templates, the largest reduction first."""
@@ -209,29 +256,32 @@ class Scanner:
             parts = [piece[a:b] for a, b in zip(cuts, [*cuts[1:], len(piece)], strict=True)]
         for p in parts:
             raw = p.lower().encode()
+            raw = HEAD + raw + TAIL if len(raw) < TINY else raw
             if len(self.alone.compress(raw)) - len(self.all.compress(raw)) >= LEAST_SAVED:
                 return True
         return False
 
-    def stretch(self, own: list[str], name: str) -> tuple[int, list[str], list[str], int, int]:
+    def stretch(self, own: list[str], name: str) -> tuple[int, list[str], list[str], int, int, tuple[int, int], int]:
         """Of the best stretch of own: how many words more it has in common with the license's text than it
-        differs by; the words that differ; words in common; and words of longer left-out passages inside it."""
+        differs by; the words that differ; words in common; words of longer left-out passages inside it;
+        where it stands in own; and words of the license's text before and behind it (GAP at most either)."""
         made = self.words[name]
         parts = [m for m in SequenceMatcher(None, made, own, autojunk=False).get_matching_blocks() if m.size]
-        best = here = (0, [], [], 0, 0)
+        best = here = (0, [], [], 0, 0, (0, 0), (0, 0))
         for x, y in zip([None, *parts], parts, strict=False):
             extra = own[x.b + x.size : y.b] if x else []
             left_out = made[x.a + x.size : y.a] if x else []
             gaps, skipped = (left_out, 0) if len(left_out) <= GAP else ([], len(left_out))
             score = here[0] - len(extra) - min(len(left_out), GAP)
             # Across a number or a name that the text lacks it is another license.
-            differs = any((_version(w) and len(left_out) <= GAP) or w in self.telling for w in extra) and bool(gaps or not left_out)
+            differs = any((_version(w) and len(left_out) <= GAP) or w in self.telling or w in NEGATIONS for w in extra) and bool(gaps or not left_out)
             if score <= 0 or differs:
-                here = (y.size, [], [], y.size, 0)
+                here = (y.size, [], [], y.size, 0, (y.b, y.b + y.size), (y.a, y.a + y.size))
             else:
-                here = (score + y.size, here[1] + extra, here[2] + gaps, here[3] + y.size, here[4] + skipped)
+                here = (score + y.size, here[1] + extra, here[2] + gaps, here[3] + y.size, here[4] + skipped, (here[5][0], y.b + y.size), (here[6][0], y.a + y.size))
             best = max(best, here, key=lambda h: (h[0], -h[4]))
-        return best
+        a, b = best[6]
+        return *best[:6], min(a, GAP) + min(len(made) - b, GAP)
 
     def named(self, own: list[str], lines: list[list[str]]) -> _Names:
         """The licenses that the block names."""
@@ -252,7 +302,9 @@ class Scanner:
                     end += 1
                 at = end + (own[end : end + 1] in (["version"], ["v"]))
                 version = _version(own[at]) if at < len(own) else ""
-                cue = bool(CUES & set(own[max(i - NEAR, 0) : i])) or any(len(x) <= end - i + 4 and " ".join(own[i:end]) in " ".join(x) and set(x) <= {*own[i : at + 1], "the", "license", "version"} for x in lines)
+                cues = [j for j in range(max(i - NEAR, 0), i) if own[j] in CUES]
+                denied = any(own[j] in NEGATIONS and own[j + 1] != "only" for j in range(max(cues[0] - BEFORE, 0), cues[0])) if cues else False
+                cue = bool(cues) and not denied or not cues and any(len(x) <= end - i + 4 and " ".join(own[i:end]) in " ".join(x) and set(x) <= {*own[i : at + 1], "the", "license", "version"} for x in lines)
                 if "" in versions:
                     found = [versions[""]] if full else []
                 elif version:
@@ -275,25 +327,43 @@ class Scanner:
             return self.known[block]
         own = _words(block)
         names = self.named(own, [_words(x) for x in block.split("\n")])
-        ranked = self.rank(block) if own else []
-        reduction = {n: r for r, n in ranked}
-        worded: dict[str, tuple] = {}
-        for r, n in ranked:
-            if r < LEAST_REDUCTION or not self.words[n]:
+        rank = self.rank(block) if own else []
+        whole = {n: r for r, n in rank}
+        found = {n: (whole[n], "") for n in names.stated}
+        parts = [own]
+        while parts:
+            part = parts.pop(0)
+            if len(part) < LONG:
+                continue
+            worded: dict[str, tuple] = {}
+            for r, n in rank if part is own else self.rank(" ".join(part)):
+                if r < LEAST_REDUCTION or not self.words[n]:
+                    continue
+                score, extra, gaps, common, skipped, span, ends = self.stretch(part, n)
+                # What another license left of the block is a license only if it is most of a notice.
+                least = LONG if part is own else max(NOTICE, len(self.words[n]) // 2)
+                if score >= LONG and common >= least and common >= LEAST_WORDS * (common + len(extra)):
+                    worded[n] = (ends - score, skipped, -round(r, 2), self.place[n], " ".join([*(f"+{w}" for w in extra), *(f"-{w}" for w in gaps)]), score, r, span)
+            # Where a block names licenses, wording can decide between those; a whole notice also counts beside them.
+            fits = {n: w for n, w in worded.items() if not names.mentioned or n in names.mentioned or w[5] >= NOTICE and not any(worded[m][5] >= w[5] for m in names.mentioned & set(worded))}
+            best = min(fits, key=fits.get, default=None)
+            if best is None:
                 continue
-            score, extra, gaps, common, skipped = self.stretch(own, n)
-            if score >= LONG and common >= LEAST_WORDS * (common + len(extra)):
-                worded[n] = (-score, skipped, -round(r, 2), self.place[n], " ".join([*(f"+{w}" for w in extra), *(f"-{w}" for w in gaps)]))
-        # Where a block names licenses, wording can decide between those; a whole notice also counts beside them.
-        fits = {n: w for n, w in worded.items() if not names.mentioned or n in names.mentioned or -w[0] >= NOTICE and not any(-worded[m][0] >= -w[0] for m in names.mentioned & set(worded))}
-        found = dict.fromkeys(names.stated)
-        best = min(fits, key=fits.get, default=None)
-        if best is not None and not any(worded[m][0] <= fits[best][0] for m in found if m in worded):
-            found[best] = None
+            stated = [m for m in names.stated if m in worded]
+            for m in stated:
+                found[m] = (found[m][0], worded[m][4])
+            as_good = min((m for m in stated if worded[m][0] <= fits[best][0]), key=worded.get, default=None)
+            if as_good is None:
+                found.setdefault(best, (fits[best][6], fits[best][4]))
+            a, b = worded[as_good or best][7]
+            parts += [part[:a], part[b:]]
+        for family in self.shortly(block):
+            if not set(family) & set(found) and not any(set(family) & set(x) for x in names.open):
+                names.open.append(family)
         for family in names.open:
             if not set(family) & set(found):
-                found[" OR ".join(family)] = None
-        out = [(n, round(max(reduction[x] for x in n.split(" OR ")), 6), worded[n][4] if n in worded else "") for n in found]
+                found[" OR ".join(family)] = (max(whole[x] for x in family), "")
+        out = [(n, round(r, 6), differs) for n, (r, differs) in found.items()]
         if len(self.known) < 20_000:
             self.known[block] = out
         return out

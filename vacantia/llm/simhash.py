@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import refuse, small, stored, tune_arrow
@@ -165,6 +165,12 @@ def link(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tu
     return node[np.array(left, np.int64)], node[np.array(right, np.int64)]
 
 
+def _group(anchor: Column, own: Column, other: Column) -> Column:
+    """The key of a group: an anchor, or a pair of tiles of a large one above the anchor's 19 bits (up to 2**20 tiles)."""
+    low, high = F.least(own, other).cast("long"), F.greatest(own, other).cast("long")
+    return anchor.cast("long") + (low * F.lit(1 << 20) + high) * F.lit(1 << 19)
+
+
 def links(nodes: DataFrame, distance: int = 4, tile: int = TILE) -> DataFrame:
     """nodes has distinct fp and node (long): edges (u, v) that connect whatever links connect."""
 
@@ -203,9 +209,7 @@ def links(nodes: DataFrame, distance: int = 4, tile: int = TILE) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("_m")).cast("int")
     other = F.explode(F.when(F.col("_m").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_m") - 1)))
     rows = rows.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)
-    pair = F.least("_own", "_other") * F.lit(1 << 20) + F.greatest("_own", "_other")
-    # The key of a group: an anchor, or a pair of tiles of a large one (hashed into the anchor's number above its 19 bits).
-    rows = rows.select((F.col("anchor") + pair.cast("long") * F.lit(1 << 19)).alias("key"), "fp", "node")
+    rows = rows.select(_group(F.col("anchor"), F.col("_own"), F.col("_other")).alias("key"), "fp", "node")
     rows = rows.repartition("key").sortWithinPartitions("key", "fp")
     return rows.mapInArrow(compare, "u long, v long")
 
