@@ -8,7 +8,7 @@ from vacantia.llm import htmlmodel, labelled_pages
 
 @pytest.fixture(scope="module")
 def model():
-    return labelled_pages.trained(250)
+    return labelled_pages.trained()
 
 
 def test_marginals_against_enumeration():
@@ -98,6 +98,52 @@ def test_deep_stacks_and_stray_ends(model):
         ("<article><p>One is < two, and 3 > 2, as <a title='a>b' href=\"c>d\">they</a> say.</p></article>", "One is < two, and 3 > 2, as they say."),
     ],
 )
-def test_nothing_else_is_lost(source, text):
+def test_nothing_else_is_lost(model, source, text):
     page = htmlmodel.Page(source)
     assert page.extract(np.ones(len(page.parent), bool)) == text
+    assert htmlmodel.extract([source], model)[0] == text
+
+
+def words(n, end=""):
+    return " ".join(f"word{k}" for k in range(n)) + end
+
+
+@pytest.mark.parametrize("end", ["", "."])
+@pytest.mark.parametrize("n", [1, 3, 6, 10, 15, 20, 40, 60, 80])
+def test_short_articles_stay_whole(model, n, end):
+    """Articles without a heading, bare paragraphs and bare text of any length."""
+    t = words(n, end)
+    shapes = [
+        f"<nav><a href=/>Home</a> <a href=/x>About</a></nav><article><p>{t}</p></article><footer>Some footer text</footer>",
+        f"<header><h1>Site</h1></header><main><p>{t}</p></main><aside>Side words here.</aside>",
+        f"<div role=dialog><p>We use cookies.</p><button>OK</button></div><article>{t}</article>",
+        f"<p>{t}</p>",
+        t,
+    ]
+    assert htmlmodel.extract(shapes, model) == [t] * len(shapes)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><p>Line one<br>line two</p><p>Another one stands here.</p></article>", "Line one line two\n\nAnother one stands here."),
+        ("just plain text here", "just plain text here"),
+        ('<div class="cookie-banner">We use cookies to improve. <button>OK</button></div><article>One sentence is here. And another one.</article>', "One sentence is here. And another one."),
+        ("<article><blockquote>A short quote.</blockquote></article>", "A short quote."),
+        ("<nav><a href=/>H</a></nav><article><ul><li>one</li><li>two</li></ul></article>", "one\n\ntwo"),
+        ("<nav><a href=/>Home</a></nav><footer>&copy; 2024 Foo</footer>", ""),
+        (f"<article><h1>Title of it</h1><p>{words(60, '.')}</p></article><div id=cmt><h3>12 Comments</h3><p>I like this text a lot, thanks.</p><p>Me too, great.</p></div>", f"Title of it\n\n{words(60, '.')}"),
+        (f"<article><p>{words(30, '.')}</p></article><div><h2>Kommentare</h2><ul><li>Sehr schön gemacht, danke.</li></ul></div>", words(30, ".")),
+        (f"<body class=home><div id=page><div id=masthead><p>Name</p></div><div id=primary><div class=entry><h1>A title</h1><p>{words(25, '.')}</p><p>{words(9, '.')}</p></div></div><div id=secondary><h3>Archive</h3><ul><li><a href=/1>May</a><li><a href=/2>June</a></ul></div><div id=colophon>Made by hand</div></div>", f"A title\n\n{words(25, '.')}\n\n{words(9, '.')}"),
+        (f"<ul class=menu><li><a href=/a>A</a><li><a href=/b>B</a></ul><section><h2>Heading here</h2><p>{words(14, '.')}</p><table><tr><td>a cell</td><td>b cell</td></tr></table></section><div class=share><a href=/t>Tweet</a></div>", f"Heading here\n\n{words(14, '.')}\n\na cell\n\nb cell"),
+    ],
+)
+def test_shapes_that_the_generator_does_not_make(model, source, text):
+    assert htmlmodel.extract([source], model)[0] == text
+
+
+def test_a_page_is_not_empty_where_the_model_keeps_nothing():
+    """The tree decides then: what stands in no known part, inside the article if there is one."""
+    nothing = htmlmodel.Model(np.r_[np.zeros(len(htmlmodel.NAMES) - 1), -50.0], np.zeros((4, 2, 2)))
+    page = "<header>Site</header><div>Beside</div><article><p>One.</p><div class=ad>Buy</div><p>Two.</p></article><div><h3>3 Comments</h3></div><footer>Foot</footer>"
+    assert htmlmodel.extract([page, "<nav>Menu</nav><p>Bare.</p>", "<nav>Menu</nav>"], nothing) == ["One.\n\nTwo.", "Bare.", ""]

@@ -56,10 +56,15 @@ WORDS = {
 }
 KEYWORD = {k: re.compile(rf"(?:^|[\s_\-])(?:{v})(?=$|[\s_\-])") for k, v in WORDS.items()}
 TAGS = "html head body nav header footer aside main article section div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table tr td th tbody thead form fieldset label button figure figcaption blockquote pre details summary dialog menu address a span b i em strong small other raw".split()
-TEXT = ["no text", "short", "medium", "long", "very long", "no link", "few links", "many links", "all links", "ends a sentence", "only child text", "has copyright", "deep"]
+TEXT = ["no text", "short", "medium", "long", "very long", "no link", "few links", "many links", "all links", "ends a sentence", "only child text", "has copyright", "deep", "opens comments", "in main", "beside main"]
 NAMES = [*(f"tag {t}" for t in TAGS), *(f"word {k}" for k in WORDS), *(f"role {k}" for k in ("menu", "head", "foot", "side", "search", "main", "dialog", "other")), *TEXT, "bias"]
 AT = {n: i for i, n in enumerate(NAMES)}
 ROLES = {"navigation": "menu", "menu": "menu", "menubar": "menu", "banner": "head", "contentinfo": "foot", "complementary": "side", "search": "search", "form": "search", "main": "main", "article": "main", "dialog": "dialog", "alert": "dialog", "alertdialog": "dialog"}
+#: A short text that announces readers' comments, in the languages of the pages.
+OPENS_COMMENTS = re.compile(r"\W*\d*\W*(?:\w+ )?(?:comments?|responses?|replies|kommentare?|commentaires?|comentarios?)\b.{0,20}$|\W*(?:leave|post|write) a (?:comment|reply)\W*$", re.I)
+#: Never an article: these tags, and what has these names or roles, with all that stands inside them.
+AROUND = frozenset("nav header footer aside form fieldset dialog button label menu".split())
+NAMED_AROUND = frozenset("menu head foot side advert notice comment share more form hidden".split())
 #: Kinds of parent: page frames, generic containers, article containers, others.
 KINDS = {"html": 0, "body": 0, "div": 1, "section": 1, "main": 1, "td": 1, "table": 1, "tbody": 1, "tr": 1, "center": 1, "article": 2}
 
@@ -288,6 +293,15 @@ class Page:
         for name, low, high in (("no link", -1, 0), ("few links", 0, 0.2), ("many links", 0.2, 0.8), ("all links", 0.8, 1)):
             columns[name] = (whole > 0) & (share > low) & (share <= high)
         columns["ends a sentence"] = np.array([bool(t) and t.rstrip()[-1:] in (".", "!", "?", "…", ":") for t in last])
+        columns["opens comments"] = self.comments()
+        inside = np.array([t in ("article", "main") for t in self.tag])
+        whole_of = bool((inside & (whole > 0)).any())
+        for at in by_depth(np.array(self.depth))[1:]:
+            inside[at] |= inside[self._parents()[at]]
+        above = inside & (whole > 0)
+        for at in reversed(by_depth(np.array(self.depth))[1:]):
+            np.logical_or.at(above, self._parents()[at], above[at])
+        columns["in main"], columns["beside main"] = inside, ~inside & ~above & whole_of
         columns["has copyright"] = np.array(["©" in t for t in last])
         out = []
         for i in range(0, n, 1 << 15):
@@ -305,6 +319,38 @@ class Page:
             self._up = np.array(self.parent)
         return self._up
 
+    def comments(self) -> np.ndarray:
+        """Nodes that a heading of comments stands in, and the container that it opens."""
+        n = len(self.parent)
+        first, opens = np.full(n, len(self.text)), np.zeros(n, bool)
+        for i, (node, _, t, _) in enumerate(self.text):
+            if k := len(t.strip()):
+                first[node] = min(first[node], i)
+                opens[node] |= k <= 40 and OPENS_COMMENTS.match(t.strip()) is not None
+        if opens.any():
+            for at in reversed(by_depth(np.array(self.depth))[1:]):
+                np.minimum.at(first, self._parents()[at], first[at])
+            for node in np.flatnonzero(opens):
+                up = self.parent[node]
+                if up >= 0 and first[node] == first[up] and self.tag[up] not in ("html", "body", "article", "main"):
+                    opens[up] = True
+        return opens
+
+    def outside(self) -> np.ndarray:
+        """Nodes in no part that is known to stand around articles; of those, the ones in an article or main element
+        with text, if there are any. What a page has left when the model keeps nothing."""
+        n = len(self.parent)
+        around, inside = np.zeros(n, bool), np.zeros(n, bool)
+        named = {AT[f"word {k}"] for k in NAMED_AROUND} | {AT[f"role {k}"] for k in ("menu", "head", "foot", "side", "search", "dialog")}
+        says = self.comments()
+        for i in range(n):
+            up = self.parent[i]
+            around[i] = up >= 0 and around[up] or self.tag[i] in AROUND or i > 0 and bool(named & set(self.attributes[i])) or i > 0 and bool(says[i])
+            inside[i] = up >= 0 and inside[up] or self.tag[i] in ("article", "main")
+        own = np.zeros(n, bool)
+        own[[node for node, _, t, _ in self.text if t.strip()]] = True
+        return ~around & inside if (own & ~around & inside).any() else ~around
+
     def extract(self, keep: np.ndarray) -> str:
         """The text of kept nodes: white space is one space, blocks are two newlines apart."""
         out, parts, now = [], [], -1
@@ -425,13 +471,14 @@ def _runs(source: pa.Array, most: int = 200, size: int = 1 << 20) -> Iterator[tu
 
 def extract(sources: list[str | None], model: Model) -> list[str]:
     pages = [Page(s or "") for s in sources]
-    return [p.extract(k) for p, k in zip(pages, model.keep(pages), strict=True)]
+    return [p.extract(k) or p.extract(p.outside()) for p, k in zip(pages, model.keep(pages), strict=True)]
 
 
 def main_text(pages: DataFrame, model: Model, html_column: str = "html", name: str = "text") -> DataFrame:
     """pages with its html column replaced by the article's text ('' if there is none).
 
-    A null or empty html gives ''. Unclosed and stray tags are mended as browsers do;
+    A null or empty html gives ''. Where the model keeps nothing, all text that stands in no menu,
+    header, footer or other known part is the article, so that a short or bare page is not lost. Unclosed and stray tags are mended as browsers do;
     equal html gives equal text; other columns pass through; an empty table stays empty."""
     others = [c for c in pages.columns if c != html_column]
 

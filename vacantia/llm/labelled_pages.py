@@ -75,6 +75,9 @@ class _Maker:
         one = lambda: self.one(f"<p>{self.sentences(1, 4)}</p>", f"<b>{self.words(1, 2)}</b><p>{self.sentences(1, 3)}</p>", f'<p>{self.words(1, 2)}</p><p>{self.sentences(1, 3)}</p><p>{self.sentences(1, 2)}</p>', self.sentences(1, 3))
         n = range(self.r.randint(1, 5))
         inner = self.one("".join(f'<div class="comment">{one()}</div>' for _ in n), "<ul>" + "".join(f"<li>{one()}</li>" for _ in n) + "</ul>", "".join(f'<article class="comment">{one()}</article>' for _ in n), "<ol>" + "".join(f'<li class="comment">{one()}</li>' for _ in n) + "</ol>", "".join(f"<div>{one()}</div>" for _ in n), "".join(f"<p>{self.sentences(1, 3)}</p>" for _ in n), "".join(f"<article>{one()}</article>" for _ in n))
+        if self.r.random() < 0.25:  # told by their heading alone
+            said = f"{self.one('', f'{self.r.randint(1, 40)} ')}{self.one('Comments', 'comments', 'Responses', 'Replies', 'Kommentare', 'Commentaires', 'Comentarios', 'Leave a reply', 'Reader comments')}"
+            return self.named("div section div", "cmt c-list u2 thread box", f"<h{(h := self.one('2', '3', '4'))}>{said}</h{h}>{inner}", plain=0.3)
         return self.named("div section section aside", "comments comment-list comment-section discussion disqus_thread replies respond reader-comments", self.one("", f"<h2>{self.words(1, 3)}</h2>", f"<h3>{self.words(1, 3)}</h3>") + inner + self.one("", "", self.form()))
 
     def more(self) -> str:
@@ -104,15 +107,23 @@ class _Maker:
             return f"<div>{p()}</div>"
         return f"<dl><dt>{self.words(1, 3, m)}</dt><dd>{p()}</dd></dl>"
 
+    def short(self) -> str:
+        """An article of a few words or lines, without a heading."""
+        m = MARK
+        some = lambda: self.one(self.words(1, 60, m), self.words(1, 12, m), self.sentences(1, 2, m), self.sentences(1, 4, m))
+        return self.one(f"<p>{some()}</p>", f"<p>{some()}</p>", f"<p>{some()}<br>{some()}</p>", some(), f"<p>{some()}</p><p>{some()}</p>", f"<p>{some()}<br>{some()}<br>{some()}</p><p>{some()}</p>", f"{some()}<br>{some()}", f"<div>{some()}</div>")
+
     def article(self) -> str:
         title = f"<h1>{self.words(1, 10, MARK)}{self.one('', '.')}</h1>"
         parts = [self.one(title, title, title, f"<header>{title}</header>", "")] + [self.item() for _ in range(self.r.randint(1, 9))]
         for _ in range(self.r.choice([0, 0, 0, 1, 1, 2])):
             parts.insert(self.r.randint(1, len(parts)), self.one(self.advert(), self.notice(), self.form(), self.comments(), self.more(), f"<aside>{self.sentences(1, 2)}</aside>", self.menu(), f"<footer>{self.words(2, 9)}</footer>"))
-        inner = "".join(parts)
+        inner = self.short() if self.r.random() < 0.3 else "".join(parts)
         return self.one(f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", self.named("div section article", "article content main post entry entry-content story article-body post-content text", inner), self.named("div", "content main", f"<article>{inner}</article>"), f"<div>{inner}</div>", f"<section>{inner}</section>", inner)
 
     def page(self) -> str:
+        if self.r.random() < 0.06:
+            return self.one(self.short(), f"<html><body>{self.short()}</body></html>")  # nothing else at all
         around = [self.menu, self.header, self.advert, self.notice, self.form, self.side, self.more]
         before = [self.one(*[""], f())[:] if self.r.random() < 0.1 else f() for f in self.r.sample(around, self.r.randint(0, 4))]
         after = [f() for f in self.r.sample([self.footer, self.comments, self.side, self.advert, self.more, self.notice, self.form], self.r.randint(0, 4))]
