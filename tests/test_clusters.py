@@ -52,3 +52,18 @@ def test_percentiles_against_numpy(spark):
         for name, p in (("p10", 10), ("p50", 50), ("p90", 90)):
             assert got[g][name] == pytest.approx(np.percentile(own, p), rel=1e-9, abs=1e-9)
     assert quality.percentiles(d.limit(0), F.col("v"), {"p50": 0.5}).count() in (0, 1)
+
+
+def test_rounds_ask_as_one_by_one(spark):
+    rows = [(q, k) for q in (0, 1, 2, None) for k in range(8)]
+    d = spark.createDataFrame(rows, "query_id int, job_id int").repartition(3)
+    asked = []
+
+    def ask(now):
+        asked.extend((r["query_id"], r["job_id"]) for r in now.collect())
+        return now.withColumn("accepted", F.when((F.col("query_id") == 1) & (F.col("job_id") == 2), F.lit(None).cast("boolean")).when(F.col("query_id") == 2, F.lit(False)).otherwise(F.col("job_id") % 2 == 1))
+
+    got = {(r["query_id"], r["job_id"]): (r["status"], r["calls"]) for r in clusters.asked_in_rounds(d, ask, [F.col("job_id")], 2, 5).collect()}
+    assert got == {(q, k): ("ok", 4) for q in (0, None) for k in (1, 3)} | {(1, k): ("failed", 3) for k in range(8)}
+    assert len(asked) == len(set(asked)) == 4 + 3 + 5 + 4
+    assert clusters.asked_in_rounds(d.limit(0), ask, [F.col("job_id")], 2, 5).count() == 0

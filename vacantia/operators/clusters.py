@@ -9,9 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Candidates of one query at most.
 MOST = 2000
 
@@ -59,8 +61,6 @@ def asked(df: DataFrame, ask: Callable[[str], bool], prompt: str, order: list[Co
     Calls go in order and stop early. If a call raises, the query's status is 'failed' and
     all its candidates are given back as they were; else 'ok'."""
     kinds = df.withColumn("status", F.lit("")).schema
-    from pyspark.sql import Window
-
     ranked = df.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -75,3 +75,32 @@ def asked(df: DataFrame, ask: Callable[[str], bool], prompt: str, order: list[Co
         return g.iloc[kept].assign(status="ok")
 
     return ranked.groupBy(by).applyInPandas(run, kinds)
+
+
+def asked_in_rounds(df: DataFrame, ask: Callable[[DataFrame], DataFrame], order: list[Column], enough: int, most: int, by: str = "query_id") -> DataFrame:
+    """As asked, for all queries at once: round k puts the k-th candidate of every query that is still open.
+
+    ask adds accepted (true, false, or null where the call failed) to the rows it is given. A query
+    closes with `enough` accepted, with its first failure, or after `most` calls. The result has the
+    accepted rows (all rows of a query that failed), status ('ok' or 'failed') and calls; there are
+    at most `most` rounds, whatever the number of queries, and each is stored."""
+    places = Window.partitionBy(by).orderBy(*order)
+    ranked = stored(df.withColumn("_place", F.row_number().over(places)), "asked-ranked")
+    answers = None
+    for k in range(1, most + 1):
+        now = ranked.filter(F.col("_place") == k)
+        if answers is not None:
+            shut = answers.groupBy(F.col(by).alias("_by")).agg(F.count_if("accepted").alias("_n"), F.count_if(F.col("accepted").isNull()).alias("_f"))
+            shut = shut.filter((F.col("_n") >= enough) | (F.col("_f") > 0))
+            now = now.join(shut, F.col(by).eqNullSafe(F.col("_by")), "left_anti")
+        made = stored(ask(now).select(by, "_place", "accepted"), "asked-answers")
+        if made.isEmpty():
+            break
+        answers = made if answers is None else answers.unionByName(made)
+    if answers is None:
+        return df.limit(0).withColumns({"status": F.lit("ok"), "calls": F.lit(0).cast("long")})
+    ends = answers.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("calls"), (F.count_if(F.col("accepted").isNull()) > 0).alias("_failed"))
+    yes = answers.filter("accepted").select(F.col(by).alias("_q"), F.col("_place").alias("_p"), F.lit(True).alias("_yes"))
+    out = ranked.join(ends, F.col(by).eqNullSafe(F.col("_by"))).join(yes, F.col(by).eqNullSafe(F.col("_q")) & (F.col("_place") == F.col("_p")), "left")
+    out = out.filter(F.col("_failed") | F.col("_yes"))
+    return out.select(*df.columns, F.when(F.col("_failed"), "failed").otherwise("ok").alias("status"), "calls")

@@ -39,8 +39,13 @@ def wasserstein_1d(df: DataFrame, a: Column, b: Column, value: Column, by: list[
 
 
 def projections(dim: int, n: int, seed: int) -> np.ndarray:
-    """n random unit vectors."""
-    p = np.random.default_rng(seed).normal(size=(n, dim))
+    """n random unit vectors, each number made from the MD5 of 'seed:projection:axis' (two uniform
+    numbers from its first and second 8 digits, Box and Muller's way), so that SQL can make them too."""
+    import hashlib
+
+    digits = [hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest() for i in range(n) for j in range(dim)]
+    u = np.array([((int(d[:8], 16) + 1) / 4294967297.0, int(d[8:16], 16) / 4294967296.0) for d in digits])
+    p = (np.sqrt(-2 * np.log(u[:, 0])) * np.cos(2 * np.pi * u[:, 1])).reshape(n, dim)
     return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
 
 

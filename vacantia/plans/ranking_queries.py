@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import clusters, ranking
 from .registry import query, table
 from .shapes import JOBS_SQL, METRICS_SQL, RESULTS_SQL, jobs, metrics, results
 
@@ -156,3 +156,15 @@ def rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = ranking.bad_fit(m, DIRECTIONS).filter("is_bad").select("query_id", "job_id")
     left = m.join(bad, ["query_id", "job_id"], "left_anti")
     return ranking.fused(results(spark, sf_dir), left).filter("final_rank <= 10").select("query_id", "job_id", "final_rank")
+
+
+@query(f"""WITH {METRICS_SQL}, a AS (SELECT query_id, job_id, CASE WHEN query_id % 7 = 3 AND job_id % 5 = 0 THEN NULL ELSE job_id % 3 = 0 END AS accepted, row_number() OVER (PARTITION BY query_id ORDER BY word_distance, job_id) AS place FROM metrics),
+    b AS (SELECT *, coalesce(count(*) FILTER (accepted) OVER w, 0) AS passed, coalesce(count(*) FILTER (accepted IS NULL) OVER w, 0) AS failed FROM a WHERE place <= 9 WINDOW w AS (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT * FROM b WHERE passed < 2 AND failed = 0),
+    e AS (SELECT query_id, count(*) AS calls, bool_or(accepted IS NULL) AS lost FROM c GROUP BY query_id)
+    SELECT a.query_id, a.job_id, CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, calls FROM a JOIN e USING (query_id) LEFT JOIN c ON c.query_id = a.query_id AND c.job_id = a.job_id WHERE lost OR c.accepted""")
+def asked_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A screen that asks about the next candidate of every open query, until two pass, nine were asked or a call fails."""
+    answer = lambda d: d.withColumn("accepted", F.when((F.col("query_id") % 7 == 3) & (F.col("job_id") % 5 == 0), F.lit(None).cast("boolean")).otherwise(F.col("job_id") % 3 == 0))
+    out = clusters.asked_in_rounds(metrics(spark, sf_dir), answer, [F.col("word_distance"), F.col("job_id")], 2, 9)
+    return out.select("query_id", "job_id", "status", "calls")
