@@ -67,3 +67,12 @@ def test_rounds_ask_as_one_by_one(spark):
     assert got == {(q, k): ("ok", 4) for q in (0, None) for k in (1, 3)} | {(1, k): ("failed", 3) for k in range(8)}
     assert len(asked) == len(set(asked)) == 4 + 3 + 5 + 4
     assert clusters.asked_in_rounds(d.limit(0), ask, [F.col("job_id")], 2, 5).count() == 0
+
+
+def test_only_finite_ranks_are_fused(spark):
+    from vacantia.operators import ranking
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, "a", "ok", j, r) for j, r in enumerate([1.0, nan, inf, -inf, None, 7.0])]
+    d = spark.createDataFrame(rows, "query_id int, operation string, status string, job_id int, rank double")
+    assert {(r["job_id"], r["dense"]) for r in ranking.dense_ranks(d, d).collect()} == {(0, 1), (5, 2)}

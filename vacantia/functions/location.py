@@ -18,11 +18,29 @@ from ..operators.filters import COUNTRIES
 from .places import US_STATES as US
 
 #: Subdivisions by country: code and name (fixed values of ISO 3166-2).
-CA = "AB Alberta,BC British Columbia,MB Manitoba,NB New Brunswick,NL Newfoundland and Labrador,NS Nova Scotia,ON Ontario,PE Prince Edward Island,QC Quebec,SK Saskatchewan"
-GB = "ENG England,NIR Northern Ireland,SCT Scotland,WLS Wales"
-AU = "ACT Australian Capital Territory,NSW New South Wales,NT Northern Territory,QLD Queensland,SA South Australia,TAS Tasmania,VIC Victoria,WA Western Australia"
+CA = {
+    "AB": "Alberta", "BC": "British Columbia", "MB": "Manitoba", "NB": "New Brunswick", "NL": "Newfoundland and Labrador",
+    "NS": "Nova Scotia", "ON": "Ontario", "PE": "Prince Edward Island", "QC": "Quebec", "SK": "Saskatchewan",
+}
+GB = {
+    "ENG": "England", "NIR": "Northern Ireland", "SCT": "Scotland", "WLS": "Wales",
+}
+AU = {
+    "ACT": "Australian Capital Territory", "NSW": "New South Wales", "NT": "Northern Territory", "QLD": "Queensland", "SA": "South Australia",
+    "TAS": "Tasmania", "VIC": "Victoria", "WA": "Western Australia",
+}
 #: Cities: name, country and, in the United States, state; of one name, the largest.
-CITIES = "Boston US MA,London GB,Stockholm SE,Paris FR,Berlin DE,Munich DE,Madrid ES,Barcelona ES,Rome IT,Milan IT,Amsterdam NL,Dublin IE,Toronto CA,Montreal CA,Vancouver CA,Sydney AU,Melbourne AU,Tokyo JP,Singapore SG,Bangalore IN,Bengaluru IN,Mumbai IN,Hyderabad IN,Tel Aviv IL,Zurich CH,Warsaw PL,Mexico City MX,Sao Paulo BR,New York US NY,San Francisco US CA,Los Angeles US CA,Seattle US WA,Austin US TX,Chicago US IL,Denver US CO,Atlanta US GA,Dallas US TX,Houston US TX,Philadelphia US PA,San Diego US CA,San Jose US CA,Portland US OR,Miami US FL,Phoenix US AZ,Minneapolis US MN,Detroit US MI,Nashville US TN,Raleigh US NC,Pittsburgh US PA,Shanghai CN,Beijing CN"
+CITIES = [
+    ("Boston", "US", "MA"), ("London", "GB", ""), ("Stockholm", "SE", ""), ("Paris", "FR", ""), ("Berlin", "DE", ""), ("Munich", "DE", ""),
+    ("Madrid", "ES", ""), ("Barcelona", "ES", ""), ("Rome", "IT", ""), ("Milan", "IT", ""), ("Amsterdam", "NL", ""), ("Dublin", "IE", ""),
+    ("Toronto", "CA", ""), ("Montreal", "CA", ""), ("Vancouver", "CA", ""), ("Sydney", "AU", ""), ("Melbourne", "AU", ""), ("Tokyo", "JP", ""),
+    ("Singapore", "SG", ""), ("Bangalore", "IN", ""), ("Bengaluru", "IN", ""), ("Mumbai", "IN", ""), ("Hyderabad", "IN", ""), ("Tel Aviv", "IL", ""),
+    ("Zurich", "CH", ""), ("Warsaw", "PL", ""), ("Mexico City", "MX", ""), ("Sao Paulo", "BR", ""), ("New York", "US", "NY"), ("San Francisco", "US", "CA"),
+    ("Los Angeles", "US", "CA"), ("Seattle", "US", "WA"), ("Austin", "US", "TX"), ("Chicago", "US", "IL"), ("Denver", "US", "CO"), ("Atlanta", "US", "GA"),
+    ("Dallas", "US", "TX"), ("Houston", "US", "TX"), ("Philadelphia", "US", "PA"), ("San Diego", "US", "CA"), ("San Jose", "US", "CA"), ("Portland", "US", "OR"),
+    ("Miami", "US", "FL"), ("Phoenix", "US", "AZ"), ("Minneapolis", "US", "MN"), ("Detroit", "US", "MI"), ("Nashville", "US", "TN"), ("Raleigh", "US", "NC"),
+    ("Pittsburgh", "US", "PA"), ("Shanghai", "CN", ""), ("Beijing", "CN", ""),
+]
 MORE_COUNTRIES = {"south korea": "KR", "korea": "KR", "hong kong": "HK", "the netherlands": "NL", "saudi arabia": "SA", "czech republic": "CZ", "brasil": "BR", "portugal": "PT", "belgium": "BE", "austria": "AT", "denmark": "DK", "norway": "NO", "finland": "FI", "greece": "GR", "turkey": "TR", "philippines": "PH", "south africa": "ZA", "new zealand": "NZ", "argentina": "AR", "chile": "CL", "colombia": "CO", "romania": "RO", "ukraine": "UA", "vietnam": "VN", "thailand": "TH", "indonesia": "ID", "malaysia": "MY", "taiwan": "TW", "egypt": "EG", "nigeria": "NG", "kenya": "KE", "democratic republic of the congo": "CD"}
 
 _arrangements = [("hybrid", re.compile(r"\bhybrid\b", re.I)), ("remote", re.compile(r"\b(remote(ly)?|work\s+from\s+home|wfh|virtual|anywhere|worldwide)\b", re.I)), ("onsite", re.compile(r"\b(on[-\s]?site|in[-\s]?office|office[-\s]?based)\b", re.I))]
@@ -44,21 +62,14 @@ class Gazetteer:
         self.codes = {c.lower() for c in self.countries.values()}
         self.regions: dict[str, dict[str, str]] = {}
         for country, listed in (("US", US), ("CA", CA), ("GB", GB), ("AU", AU)):
-            for entry in listed.split(","):
-                code, name = entry.split(" ", 1)
+            for code, name in listed.items():
                 self.regions.setdefault(country, {}).update({key(name): code, code.lower(): code})
         self.regions["US"] |= {"mass": "MA", "washington dc": "DC", "washington d c": "DC", "d c": "DC"}
         self.cities = {}
-        for entry in CITIES.split(","):
-            m = re.fullmatch(r"(.+?) ([A-Z]{2})(?: ([A-Z]{2}))?", entry)
-            name, country, region = (m[1], m[2], m[3])
-            if country not in self.codes_upper() and re.fullmatch(r".+ US", m[1]):
-                name, country, region = m[1][:-3], "US", m[2]
-            self.cities[key(name)] = (country, region)
+        for name, country, region in CITIES:
+            self.cities[key(name)] = (country, region or None)
         self.ambiguous = {c for r in self.regions.values() for c in r if len(c) == 2}
 
-    def codes_upper(self) -> set[str]:
-        return {c.upper() for c in self.codes}
 
     def country(self, token: str, code_too: bool) -> str | None:
         k = key(token)

@@ -67,7 +67,7 @@ def country_code(name: str | None) -> str | None:
 
 def state_names(state: str) -> tuple[str, str]:
     """Name and code, in lower case, of a state given by either; another text has no code."""
-    codes = {n.lower(): c.lower() for c, n in (s.split(" ", 1) for s in places.US_STATES.split(","))}
+    codes = {n.lower(): c.lower() for c, n in places.US_STATES.items()}
     key, letters = _written(state), re.sub("[^A-Za-z]", "", state).lower()
     if key in codes:
         return key, codes[key]
@@ -102,7 +102,7 @@ def text_in_country(location: Column, name: str | None) -> Column:
         return F.lit(True)
     if country_code(name) != "US":
         return _said(location, _word(list(places.COUNTRY_ALIASES.get(key, (key,)))))
-    states = [s.split(" ", 1) for s in places.US_STATES.split(",")]
+    states = places.US_STATES.items()
     return _said(location, "|".join([_word([*places.US_TERMS, *(n.lower() for _, n in states), *places.US_CITIES]), _code([c.lower() for c, _ in states])]))
 
 

@@ -24,7 +24,7 @@ def ranked(df: DataFrame, score: Column, by: list[str], ascending: bool = True)
 
 def dense_ranks(results: DataFrame, remaining: DataFrame) -> DataFrame:
     """Usable ranks of remaining jobs, made dense within each query and operation."""
-    r = results.filter((F.col("status") == "ok") & ~F.col("operation").isin(*FILTERS) & F.col("rank").isNotNull() & ~F.isnan(F.col("rank").cast("double")))
+    r = results.filter((F.col("status") == "ok") & ~F.col("operation").isin(*FILTERS) & F.col("rank").isNotNull() & ~F.isnan(F.col("rank").cast("double")) & (F.abs(F.col("rank").cast("double")) < F.lit(float("inf"))))
     r = r.join(remaining.select("query_id", "job_id").distinct(), ["query_id", "job_id"], "left_semi")
     w = Window.partitionBy("query_id", "operation").orderBy("rank")
     return r.withColumn("dense", F.dense_rank().over(w).cast("long"))

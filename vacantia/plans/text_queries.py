@@ -100,12 +100,18 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.fingerprint(F.col("text"), F.col("lang")).alias("fingerprint"))
 
 
-@query("SELECT page_id, length(html) < 300 AS too_short, len(list_distinct(list_filter(string_split_regex(lower(url), '[^a-z]+'), lambda x: x <> ''))) AS url_words FROM pages")
+@query("""WITH p AS (SELECT page_id, html, lower(html) AS low FROM pages),
+    w AS (SELECT *, list_filter([CASE WHEN regexp_matches(low, 'access denied|forbidden|not authorized') THEN 'access_denied' END,
+        CASE WHEN len(html) > 0 AND len(list_distinct(list_filter(string_split_regex(low, '\\s+'), lambda x: x <> ''))) < 30 THEN 'boilerplate_only' END,
+        CASE WHEN regexp_matches(low, 'enable javascript|javascript is required|requires javascript') THEN 'enable_javascript' END,
+        CASE WHEN regexp_matches(low, 'job no longer available|position has been filled|posting is closed') THEN 'job_no_longer_available' END,
+        CASE WHEN len(html) > 0 AND NOT regexp_matches(low, 'qualification|qualifications|requirements|responsibilities|experience|skills') THEN 'no_requirements_like_text' END,
+        CASE WHEN length(html) < 300 THEN 'too_short' END], lambda x: x IS NOT NULL) AS r FROM p)
+    SELECT page_id, array_to_string(r, ',') AS reasons, length(html) >= 300 AND regexp_matches(low, 'qualification|requirements|what you''ll bring|what you will bring|responsibilities|what you''ll do|what you will do|about the role|experience|skills') AS is_description FROM w""")
 def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with a page."""
-    words = F.array_distinct(F.filter(F.split(F.lower("url"), "[^a-z]+"), lambda w: w != ""))
-    p = table(spark, sf_dir, "pages").withColumn("r", extract.bad_content_reasons(F.col("html"), F.col("html")))
-    return p.select("page_id", F.array_contains("r", "too_short").alias("too_short"), F.size(words).cast("long").alias("url_words"))
+    """All that is wrong with a page, and whether it reads like a description."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.array_join(extract.bad_content_reasons(F.col("html"), F.col("html")), ",").alias("reasons"), extract.looks_like_description(F.col("html")).alias("is_description"))
 
 
 _URLS = "urls AS (SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat('https://boards.greenhouse.io/co', c_custkey, '/jobs/1') WHEN 1 THEN concat('https://api.lever.co/v0/postings/co', c_custkey, '?mode=json') WHEN 2 THEN concat('https://jobs.ashbyhq.com/co', c_custkey) WHEN 3 THEN concat('https://x', c_custkey, '.wd5.myworkdayjobs.com/en-US/Careers') WHEN 4 THEN concat('https://careers-co', c_custkey, '.icims.com/jobs') WHEN 5 THEN concat('https://apply.workable.com/co', c_custkey) WHEN 6 THEN concat('https://jobs.co', c_custkey, '.com/api/jobs?page=2') ELSE concat('https://example.com/', c_custkey) END AS url FROM customer)"
@@ -167,11 +173,11 @@ def tech_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("job_categories").cast("long").alias("categories"), F.round("overlap", 6).alias("overlap"), "is_mismatch")
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 200 THEN text END AS whole, octet_length(encode(text)) <= 200 AS fits FROM documents")
+@query("WITH k AS (SELECT doc_id, text, CAST(list_max(list_filter(range(0, 201), lambda n: octet_length(encode(substr(text, 1, n))) <= 200)) AS BIGINT) AS n FROM documents) SELECT doc_id, substr(text, 1, n) AS cut, octet_length(encode(text)) <= 200 AS fits FROM k")
 def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6, K7: texts cut to 200 bytes of UTF-8; whether they fitted."""
+    """K6, K7: texts cut to 200 bytes of UTF-8, never within a character; whether they fitted."""
     d = table(spark, sf_dir, "documents").withColumn("cut", text.cut_utf8(text.without_nul(F.col("text")), 200))
-    return d.select("doc_id", F.when(F.col("cut") == F.col("text"), F.col("cut")).alias("whole"), (F.col("cut") == F.col("text")).alias("fits"))
+    return d.select("doc_id", "cut", (F.col("cut") == F.col("text")).alias("fits"))
 
 
 @query()
