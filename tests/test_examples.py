@@ -38,14 +38,34 @@ def one(spark, column, **values):
         (None, None, None, "missing"),
     ],
 )
-def test_location(written, country, region, status):
-    got = location.parse(written)
-    assert (got[0], got[1], got[4]) == (country, region, status)
+def test_location(spark, written, country, region, status):
+    got = parsed(spark, written)
+    assert (got["location_country"], got["location_region"], got["location_parse_status"]) == (country, region, status)
 
 
-def test_location_arrangement_and_segments():
-    assert location.parse("Hybrid - Boston, MA")[3] == "hybrid"
-    assert location.parse("Remote")[2] == [{"country": None, "region": None}]
+def parsed(spark, written, known=None):
+    return location.parse_locations(spark.createDataFrame([(written,)], "place string"), "place", known).first()
+
+
+def test_location_arrangement_and_segments(spark):
+    assert parsed(spark, "Hybrid - Boston, MA")["work_arrangement"] == "hybrid"
+    assert parsed(spark, "Remote")["location_segments"] == [(None, None)]
+    assert parsed(spark, "Boston | Stockholm")["location_segments"] == [("US", "MA"), ("SE", None)]
+
+
+def test_location_of_the_most_populous(spark):
+    cities = spark.createDataFrame([("Málaga", "ES", None, 500_000), ("MALAGA", "US", "WA", 2_000), ("Springfield", "US", "MO", 5), ("Springfield", "US", "IL", 5), ("Lutz", "DE", None, None)], "name string, country string, region string, population long")
+    known = location.places(spark, cities)
+    assert parsed(spark, "málaga", known)["location_country"] == "ES"
+    assert parsed(spark, "Springfield", known)["location_region"] == "IL"
+    assert parsed(spark, "lutz", known)["location_parse_status"] == "city_resolved"
+
+
+def test_location_rows_and_columns_are_kept(spark):
+    rows = [(1, "Remote", "old"), (2, "Remote", None), (2, "Remote", None), (3, None, "x")]
+    d = location.parse_locations(spark.createDataFrame(rows, "id int, place string, location_country string"), "place")
+    assert sorted((r["id"], r["location_country"], r["location_parse_status"]) for r in d.collect()) == [(1, None, "remote"), (2, None, "remote"), (2, None, "remote"), (3, None, "missing")]
+    assert location.parse_locations(spark.createDataFrame([], "place string"), "place").count() == 0
 
 
 REFERENCE = dt.datetime(2026, 6, 7, 18, 30)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, providers, text
+from ..functions import extract, location, providers, text
 from ..operators import features, ranking
 from ..sources import postings
 from .registry import query, table
@@ -180,15 +180,68 @@ def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "cut", (F.col("cut") == F.col("text")).alias("fits"))
 
 
-@query()
+def _values(rows: list[tuple]) -> str:
+    quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(quoted(v) for v in r) + ")" for r in rows)
+
+
+#: Customers with locations as written: by the names of nations and regions, and in the forms that boards use.
+_WRITTEN = """written AS (SELECT c_custkey AS id, CASE c_custkey % 17
+    WHEN 0 THEN n_name WHEN 1 THEN 'Remote - ' || n_name WHEN 2 THEN 'Boston, MA' WHEN 3 THEN 'Austin TX' WHEN 4 THEN 'Toronto, Ontario, ' || n_name
+    WHEN 5 THEN r_name WHEN 6 THEN 'Hybrid - ' || r_name || ' or Boston' WHEN 7 THEN 'US-MA' WHEN 8 THEN c_custkey % 5 || ' Locations'
+    WHEN 9 THEN 'Stockholm | ' || n_name || ' | Stockholm' WHEN 10 THEN '' WHEN 11 THEN 'WI Marshfield' WHEN 12 THEN 'Locations: Paris; SÃO PAULO'
+    WHEN 13 THEN lower(n_name) || ' (On-site)' WHEN 14 THEN 'DE' WHEN 15 THEN 'Denver, CO 80202 / ' || n_name ELSE CAST(NULL AS STRING) END AS location_name
+    FROM customer JOIN (SELECT n_nationkey, n_name, n_regionkey FROM nation) ON c_nationkey = n_nationkey JOIN (SELECT r_regionkey, r_name FROM region) ON n_regionkey = r_regionkey)"""
+#: Regions as cities of all their nations: of one name, that with most customers is meant.
+_CITIES = "cities AS (SELECT r_name AS name, concat('N', substr(n_name, 8, 1)) AS country, CAST(NULL AS STRING) AS region, count(*) AS population FROM customer JOIN (SELECT n_nationkey, n_name, n_regionkey FROM nation) ON c_nationkey = n_nationkey JOIN (SELECT r_regionkey, r_name FROM region) ON n_regionkey = r_regionkey GROUP BY r_name, n_name)"
+
+
+def _key(c: str) -> str:
+    return f"lower(strip_accents(trim(regexp_replace({c}, '{location.NO_KEY}', ' ', 'g'))))"
+
+
+def _quiet(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({c}, '{location.NOISE}', ' ', 'g'), '\\s+', ' ', 'g'), ' ,-')"
+
+
+_LAND = "coalesce(" + ", ".join(f"CASE WHEN land = '{c}' THEN in_{c} END" for c in location.SUBDIVIDED) + ")"
+_SOME = "coalesce(" + ", ".join(f"CASE WHEN in_{c} IS NOT NULL THEN {{'country': '{c}', 'region': in_{c}}} END" for c in location.SUBDIVIDED) + ")"
+
+
+@query(f"""WITH {_WRITTEN}, {_CITIES},
+known AS (SELECT kind, name, country, region, CAST(population AS BIGINT) AS population FROM (VALUES {_values(location.entries())}) AS v(kind, name, country, region, population) UNION ALL SELECT 'city', * FROM cities),
+place AS (SELECT {_key("name")} AS key, min(country) FILTER (kind = 'country') AS named, min(country) FILTER (kind = 'code') AS coded, {", ".join(f"min(region) FILTER (kind = 'region' AND country = '{c}') AS in_{c}" for c in location.SUBDIVIDED)},
+    min({{'country': country, 'region': region}}) FILTER (kind = 'pair') AS pair, first({{'country': country, 'region': region}} ORDER BY population DESC NULLS LAST, country, region) FILTER (kind = 'city') AS city FROM known GROUP BY 1),
+form AS (SELECT *, trim(regexp_replace(regexp_replace(t, '_+', ', ', 'g'), '{location.LABEL}', ''), ' ,-') AS body,
+    CASE WHEN regexp_matches(t, '{location.HYBRID}') THEN 'hybrid' WHEN regexp_matches(t, '{location.REMOTE}') THEN 'remote' WHEN regexp_matches(t, '{location.ONSITE}') THEN 'onsite' END AS arrangement
+    FROM (SELECT DISTINCT coalesce(location_name, '') AS w, trim(coalesce(location_name, '')) AS t FROM written)),
+part AS (SELECT w, i, {_quiet("parts[i]")} AS part FROM (SELECT w, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT w, list_filter(list_transform(string_split_regex(body, '{location.BETWEEN}'), lambda p: trim(p, ' ,-')), lambda p: p <> '') AS parts FROM form))),
+plain AS (SELECT *, CASE WHEN contains(part, ',') THEN part WHEN regexp_matches(part, '{location.CODE_LAST}') THEN regexp_replace(part, '{location.CODE_LAST}', '\\1, \\2') ELSE regexp_replace(part, '{location.CODE_FIRST}', '\\2, \\1') END AS plain FROM part),
+cut AS (SELECT *, list_filter(list_transform(string_split_regex(plain, '[(),]'), lambda x: trim(regexp_replace(trim(x, ' .:-'), '{location.POSTCODE}', ''), ' .:-')), lambda x: x <> '') AS tokens FROM plain),
+token AS (SELECT w, i, 'pair' AS role, unnest(regexp_extract_all(part, '{location.PAIR}')) AS token, 0 AS k, len(tokens) AS n FROM cut
+    UNION ALL SELECT w, i, 'token', unnest(tokens), unnest(range(1, len(tokens) + 1)), len(tokens) FROM cut UNION ALL SELECT w, i, 'whole', plain, len(tokens) + 1, len(tokens) FROM cut),
+hit AS (SELECT token.*, place.* EXCLUDE (key), {_SOME} AS sub, length({_key("token")}) AS letters FROM token LEFT JOIN place ON {_key("token")} = place.key),
+told AS (SELECT w, i, first(pair ORDER BY k) FILTER (role = 'pair' AND pair IS NOT NULL) AS pair,
+    coalesce(first(coalesce(named, coded) ORDER BY k) FILTER (role <> 'pair' AND (named IS NOT NULL OR (n = 1 AND coded IS NOT NULL))), first(coded ORDER BY k) FILTER (role = 'token' AND letters = 2 AND coded IS NOT NULL)) AS land,
+    {", ".join(f"first(in_{c} ORDER BY k) FILTER (role = 'token' AND in_{c} IS NOT NULL) AS in_{c}" for c in location.SUBDIVIDED)},
+    first(sub ORDER BY k) FILTER (role = 'token' AND sub IS NOT NULL AND (n > 1 OR (letters > 3 AND city IS NULL))) AS region,
+    first(city ORDER BY role <> 'whole', k) FILTER (role <> 'pair' AND city IS NOT NULL) AS city FROM hit GROUP BY w, i),
+spotted AS (SELECT w, i, coalesce(pair, CASE WHEN land IS NOT NULL THEN {{'country': land, 'region': {_LAND}}} END, region, city) AS spot, coalesce(pair.country, land, region.country) IS NULL AS by_city FROM told),
+seg AS (SELECT w, spot.country AS country, spot.region AS region, min(i) AS i, bool_or(by_city) AS by_city FROM spotted WHERE spot.country IS NOT NULL GROUP BY 1, 2, 3),
+loc AS (SELECT w, first(country ORDER BY i) AS country, first(region ORDER BY i) AS region, count(*) AS several, bool_or(by_city) AS by_city, string_agg(country || coalesce('-' || region, ''), '|' ORDER BY i) AS segments FROM seg GROUP BY w),
+done AS (SELECT form.w, CASE WHEN t <> '' AND NOT counted THEN country END AS location_country, CASE WHEN t <> '' AND NOT counted THEN region END AS location_region, CASE WHEN t = '' OR counted THEN '' ELSE coalesce(segments, '?') END AS segments, arrangement AS work_arrangement,
+    CASE WHEN t = '' THEN 'missing' WHEN counted THEN 'unparseable' WHEN arrangement = 'remote' THEN 'remote' WHEN by_city THEN 'city_resolved' WHEN several > 1 THEN 'multi_location' WHEN region IS NOT NULL THEN 'parsed'
+    WHEN country IS NOT NULL THEN 'country_only' WHEN regexp_matches({_quiet("body")}, '[\\p{{Latin}}0-9]') THEN 'ambiguous' ELSE 'unparseable' END AS location_parse_status
+    FROM (SELECT *, regexp_matches(t, '{location.COUNTED}') AS counted FROM form) AS form LEFT JOIN loc ON form.w = loc.w)
+SELECT id, location_name, done.* EXCLUDE (w) FROM written JOIN done ON coalesce(location_name, '') = done.w""")
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places as written, parsed against a gazetteer (an Arrow function; tested by examples)."""
-    from ..functions.location import parse_locations
-
-    names = ["Boston, MA", "Remote - United States", "London", "US-MA", "Toronto, Ontario, Canada", "Hybrid - Boston, MA", "Austin TX", "3 Locations", "", "Stockholm | Boston"]
-    c = table(spark, sf_dir, "customer")
-    written = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % len(names) + 1).cast("int"))
-    return parse_locations(c.select(F.col("c_custkey").alias("id"), written.alias("location_name")), "location_name").select("id", "location_name", "location_country", "location_region", "work_arrangement", "location_parse_status")
+    """Places as written, every token joined with a table of places; of cities of one name, the most populous."""
+    tables = ["customer", "nation", "region"]
+    written = from_sql(spark, sf_dir, tables, f"WITH {_WRITTEN} SELECT * FROM written")
+    known = location.places(spark, from_sql(spark, sf_dir, tables, f"WITH {_CITIES} SELECT * FROM cities"))
+    d = location.parse_locations(written, "location_name", known)
+    segments = F.array_join(F.transform("location_segments", lambda s: F.coalesce(F.concat_ws("-", s["country"], s["region"]), F.lit(""))), "|")
+    return d.withColumn("segments", F.when(F.size("location_segments") == 0, "").otherwise(F.when(segments == "", "?").otherwise(segments))).drop("location_segments")
 
 
 @query()
