@@ -58,6 +58,26 @@ def test_against_brute_force(spark, docs, empty, monkeypatch, bytes_):
     assert lmscore.scored(empty.select("doc_id", "text"), F.lit(True)).count() == 0
 
 
+def test_relays_change_nothing_and_bound_the_blobs(spark, docs, monkeypatch):
+    plain = docs.select("doc_id", "text").filter("length(text) < 2000 OR text IS NULL")
+    want = sorted(map(str, lmscore.scored(plain, F.col("doc_id") < 9).collect()))
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(lmscore, "PART_BYTES", 150)
+    monkeypatch.setattr(lmscore, "FAN_BITS", 1)
+    monkeypatch.setattr(lmscore, "FAN", 2)
+    seen, answered = [], lmscore._answered
+
+    def watched(sent):
+        parts = sent.groupBy("part").agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
+        senders = sent.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()
+        seen.append((*parts, *senders))
+        return answered(sent)
+
+    monkeypatch.setattr(lmscore, "_answered", watched)
+    assert sorted(map(str, lmscore.scored(plain, F.col("doc_id") < 9).collect())) == want
+    assert seen[0][0] > 4 and seen[0][2] <= 2
+
+
 def test_whole_table_clashes_and_nulls(spark, docs):
     got = lmscore.scored(docs.drop("n_words", "feature").withColumn("flag", F.lit(None).cast("boolean")), F.col("flag"))
     assert got.count() == docs.count() and got.columns == ["doc_id", "source", "lang", "flag", *lmscore.OUT]

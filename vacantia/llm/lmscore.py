@@ -11,7 +11,9 @@ Documents are packed into blocks of bounded text. Each block sends its distinct
 (hashes of words and bigrams) with their counts to the part of the key space that
 sums them; a part answers with the sums in the order of the block's own sorted keys,
 so no key travels back and no count is broadcast or collected. A key costs one entry
-a block however frequent it is, so no word or bigram is hot.
+a block however frequent it is, so no word or bigram is hot. Beyond 2 GB of text, keys
+reach their part through relays, each of which adds up what some 256 blocks sent, so
+that blobs grow with the input times the levels of relays, not with its square.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ from .textkernel import Words, mix, runs, slices
 PRIOR, ADD = 8.0, 0.5
 #: Text of a block, in bytes (a longer text is a block of its own), and text whose keys a part sums.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+#: A sender cuts its keys into at most FAN parts, and about FAN senders meet in one.
+FAN_BITS = 8
+FAN = 1 << FAN_BITS
+SENT = "part long, block long, keys binary"
+ANSWERED = "block long, part long, data binary, words long, t long, b long"
 #: Hashes of the start of a text (a history alone) and of its end (a word like any other).
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814E)
 #: Results, in order.
@@ -136,6 +143,20 @@ def _flag(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
 
+def _by_part(keys: np.ndarray, sides: list[np.ndarray], bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """Sorted keys with their counts, cut by their first `bits` bits: the parts that occur and a blob for each."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    step = np.diff(keys, prepend=np.uint64(0))
+    step[edge[:-1]] = keys[edge[:-1]]
+    return part[edge[:-1]], [_packed(step[x:y], *(v[x:y] for v in sides)) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def _sent_row(sender: int, keys: np.ndarray, sides: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    parts, blobs = _by_part(keys, sides, bits)
+    return pa.RecordBatch.from_arrays([pa.array(parts), pa.array([sender] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "keys"])
+
+
 def _sent(blocks: DataFrame, bits: int) -> DataFrame:
     """part, block, keys: the distinct keys of each block with their counts on both sides, by part of the key space."""
 
@@ -151,50 +172,92 @@ def _sent(blocks: DataFrame, bits: int) -> DataFrame:
                 for c in ("_t", "_b"):
                     each = np.repeat(_flag(table, c), tokens.length)
                     sides.append(np.add.reduceat(np.concatenate([each, each])[order], at))
-                part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-                step = np.diff(keys, prepend=np.uint64(0))
-                step[edge[:-1]] = keys[edge[:-1]]
-                blobs = [_packed(step[x:y], sides[0][x:y], sides[1][x:y]) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array([block] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "block", "keys"])
+                yield _sent_row(block, keys, sides, bits)
+
+    return blocks.select("block", "rows").mapInArrow(run, SENT)
+
+
+def _summed(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of blobs of sorted keys: the sorted distinct keys, their sums, each key's place in them, and where each blob starts."""
+    parts = [_unpacked(x) for x in blobs]
+    keys = np.concatenate([np.cumsum(p[0].astype(np.uint64), dtype=np.uint64) for p in parts])
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    at, group = np.flatnonzero(new), np.empty(len(s), np.int64)
+    group[order] = np.cumsum(new) - 1
+    sums = [np.add.reduceat(np.concatenate([p[k].astype(np.int64) for p in parts])[order], at) for k in (1, 2)]
+    return s[at], sums, group, np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
 
-    return blocks.select("block", "rows").mapInArrow(run, "part long, block long, keys binary")
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows with one value in the first column, and the other columns of each."""
+    now, held = None, []
+    for b in batches:
+        for key, *rest in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True):
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(tuple(rest))
+    if held:
+        yield now, held
+
+
+def _answers(part: int, blocks: list[int], sums: list[np.ndarray], group: np.ndarray, edge: np.ndarray, stats: tuple[int, int, int] = (0, 0, 0)) -> pa.RecordBatch:
+    blobs = [_packed(*(v[group[x:y]] for v in sums)) for x, y in zip(edge, edge[1:], strict=False)]
+    n = len(blocks)
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(blobs, pa.binary()), *(pa.array([v] + [0] * (n - 1), pa.int64()) for v in stats)], names=["block", "part", "data", "words", "t", "b"])
 
 
 def _answered(sent: DataFrame) -> DataFrame:
     """block, part, data: the sums of both sides for each key that the block sent, in its order; and in
     one row a part, words and tokens of either side."""
 
-    def answer(part: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        blocks, parts = [r[0] for r in rows], [_unpacked(r[1]) for r in rows]
-        keys = np.concatenate([np.cumsum(p[0].astype(np.uint64), dtype=np.uint64) for p in parts])
-        order = np.argsort(keys, kind="stable")
-        s = keys[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        at, group = np.flatnonzero(new), np.empty(len(s), np.int64)
-        group[order] = np.cumsum(new) - 1
-        sums = [np.add.reduceat(np.concatenate([p[k].astype(np.int64) for p in parts])[order], at) for k in (1, 2)]
-        word = s[at] & np.uint64(1) == 0
-        edge = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-        blobs = [_packed(*(v[group[x:y]] for v in sums)) for x, y in zip(edge, edge[1:], strict=False)]
-        stats = [int(word.sum()), int(sums[0][word].sum()), int(sums[1][word].sum())]
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(blobs, pa.binary()), *(pa.array([v] + [0] * (n - 1), pa.int64()) for v in stats)], names=["block", "part", "data", "words", "t", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for part, block, keys in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if part != now and held:
-                    yield answer(now, held)
-                    held = []
-                now = part
-                held.append((block, keys))
-        if held:
-            yield answer(now, held)
+        for part, rows in _grouped(batches):
+            keys, sums, group, edge = _summed([r[1] for r in rows])
+            word = keys & np.uint64(1) == 0
+            yield _answers(part, [r[0] for r in rows], sums, group, edge, (int(word.sum()), int(sums[0][word].sum()), int(sums[1][word].sum())))
 
     parts = sent.repartition("part").sortWithinPartitions("part", "block")
-    return stored(parts.mapInArrow(run, "block long, part long, data binary, words long, t long, b long"), "lm-counts")
+    return stored(parts.mapInArrow(run, ANSWERED), "lm-counts")
+
+
+def _relayed(sent: DataFrame, senders: int, done: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The answers to sent (whose parts are the first `done` bits of the keys), and those of the last parts.
+
+    While bits are left, up to some FAN senders of a part meet at a relay, which sends the
+    sums of its distinct keys on by the next bits, and later answers its senders from its
+    own answers. So a sender has at most FAN blobs at any size of the input, and a relay
+    holds about as many keys as a block."""
+    if done >= bits:
+        counts = _answered(sent)
+        return counts, counts
+    relays = -(-senders // FAN)
+    to = F.shiftleft(F.pmod(F.xxhash64("block"), F.lit(relays)), done).bitwiseOR(F.col("part"))
+    sent = stored(sent.withColumn("relay", to), "lm-sent")
+    upto = min(bits, done + FAN_BITS)
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for relay, rows in _grouped(batches):
+            keys, sums, *_ = _summed([r[1] for r in rows])
+            yield _sent_row(relay, keys, sums, upto)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for relay, rows in _grouped(batches):
+            own = [r for r in rows if r[1]]
+            sums = [np.concatenate(x) for x in zip(*(_unpacked(r[2]) for r in rows if not r[1]), strict=True)]
+            _, _, group, edge = _summed([r[2] for r in own])
+            yield _answers(relay & ((1 << done) - 1), [r[0] for r in own], sums, group, edge)
+
+    met = sent.select("relay", "block", "keys").repartition("relay").sortWithinPartitions("relay", "block")
+    back, last = _relayed(met.mapInArrow(up, SENT), relays, upto, bits)
+    # The answers of a relay, by part, come before what its senders sent.
+    rows = back.select(F.col("block").alias("relay"), F.col("part").alias("block"), F.lit(False).alias("is_own"), F.col("data"))
+    rows = rows.unionByName(sent.select("relay", "block", F.lit(True).alias("is_own"), F.col("keys").alias("data")))
+    rows = rows.repartition("relay").sortWithinPartitions("relay", "is_own", "block").select("relay", "block", "is_own", "data")
+    return stored(rows.mapInArrow(down, ANSWERED), "lm-answers"), last
 
 
 def _losses(table: pa.Table, counts: list[bytes], words: int, totals: tuple[int, int]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -245,9 +308,11 @@ def scored(docs: DataFrame, target: Column, background: Column | None = None, te
     background = F.lit(True) if background is None else background
     flag = lambda c: F.coalesce(c.cast("boolean"), F.lit(False)).cast("int")
     blocks = _blocks(docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(text).alias("_text"), flag(target).alias("_t"), flag(background).alias("_b")))
-    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    counts = _answered(_sent(blocks, max(0, (size // PART_BYTES).bit_length())))
-    words, *totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t", "b")]).first()
+    size, many = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    bits = max(0, (size // PART_BYTES).bit_length())
+    first = min(bits, FAN_BITS)
+    counts, last = _relayed(_sent(blocks, first), max(many, 1), first, bits)
+    words, *totals = last.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t", "b")]).first()
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
