@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import usable
+from ..functions.text import cut_utf8, usable, without_nul
+from .artifacts import merged_json
 
 #: Location statuses that may be exported (fixed values).
 EXPORTABLE = ("parsed", "country_only", "remote", "multi_location", "city_resolved")
@@ -119,6 +120,65 @@ def backing_off(failures: Column, last_failure: Column, now: Column, most: int,
     return F.coalesce((failures >= most) & recent, F.lit(False))
 
 
+#: Columns that a new text makes out of date.
+DERIVED = ("requirements_version", "yoe_version", "clearance_version", "enrichment_version", "ml_version")
+
+
+def fetched(rows: DataFrame, outcomes: DataFrame, key: str, now: Column, most_html: int, most_text: int) -> DataFrame:
+    """rows after outcomes (key, html, text, error_type; one row a key) of fetching their pages.
+
+    A success keeps the stored HTML if there is one, takes the text, both cut to their bytes and
+    without NUL, clears the versions derived from the text (DERIVED) and the failures, and notes in
+    raw_json what was cut. A failure (an error_type) counts one more, with its time and type, and
+    leaves the rest. Rows without an outcome stay; one that rows lack is ignored."""
+    o = outcomes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("html", "text", "error_type")], F.lit(True).alias("_tried"))
+    d = rows.join(o, F.col(key) == F.col("_key"), "left")
+    failed = F.col("_error_type").isNotNull()
+    won = F.coalesce(F.col("_tried") & ~failed, F.lit(False))
+    long = lambda c, most: F.coalesce(F.octet_length(c) > most, F.lit(False))
+    note = F.to_json(F.struct(F.struct(long("_html", most_html).alias("content_html_truncated"), long("_text", most_text).alias("content_text_truncated"), F.lit(False).alias("raw_json_omitted")).alias("ingestion_size_limits")))
+    html, body = (without_nul(cut_utf8(F.col(c), most)) for c, most in (("_html", most_html), ("_text", most_text)))
+    new = {
+        "content_html": F.when(won, F.coalesce(F.col("content_html"), html)).otherwise(F.col("content_html")),
+        "content_text": F.when(won, body).otherwise(F.col("content_text")),
+        "raw_json": F.when(won, merged_json(F.coalesce(F.col("raw_json"), F.lit("{}")), note)).otherwise(F.col("raw_json")),
+        "fetch_failed_count": F.when(won, 0).when(failed, F.coalesce(F.col("fetch_failed_count"), F.lit(0)) + 1).otherwise(F.col("fetch_failed_count")),
+        "fetch_last_failed_at": F.when(failed, now).when(~won, F.col("fetch_last_failed_at")),
+        "fetch_last_error_type": F.when(failed, F.col("_error_type")).when(~won, F.col("fetch_last_error_type")),
+    }
+    new |= {c: F.when(~won, F.col(c)) for c in DERIVED if c in rows.columns}
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def gone_for_long(code: Column, streak: Column, most: int) -> Column:
+    """A source whose last answer was 404, the last of `most` or more in a row; never null."""
+    return F.coalesce((code == 404) & (streak >= most), F.lit(False))
+
+
+def source_backlog(sources: DataFrame, skip_streak: int | None = None) -> DataFrame:
+    """Sources to read, without those gone for long if skip_streak says how long, and their place within
+    their kind (ats): longest unread first, never read before all, then by URL."""
+    d = sources if skip_streak is None else sources.filter(~gone_for_long(F.col("last_http_status_code"), F.col("http_404_streak"), skip_streak))
+    minute = F.coalesce(F.floor(F.unix_timestamp(F.col("last_get_at").cast("timestamp")) / 60), F.lit(-1))
+    return placed(d.withColumn("_minute", minute), "ats", "_minute", [F.asc_nulls_first("last_get_at"), F.col("source_url")]).drop("_minute")
+
+
+def skipped_sources(sources: DataFrame, skip_streak: int) -> DataFrame:
+    """How many sources of each kind source_backlog leaves out."""
+    return sources.groupBy("ats").agg(F.count_if(gone_for_long(F.col("last_http_status_code"), F.col("http_404_streak"), skip_streak)).alias("skipped"))
+
+
+def placed(rows: DataFrame, by: str, coarse: str, order: list[Column]) -> DataFrame:
+    """rows and their place (from 1) within `by`, in the order of a coarse number and then of order:
+    counts of the coarse values give the rows before, so only rows of one such value meet in a task."""
+    n = rows.groupBy(F.col(by).alias("_by"), F.col(coarse).alias("_c")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.select("_by", "_c", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(by, coarse).orderBy(*order))
+    out = rows.join(n, F.col(by).eqNullSafe(F.col("_by")) & F.col(coarse).eqNullSafe(F.col("_c")))
+    return out.withColumn("place", (F.col("_before") + inside).cast("long")).drop("_by", "_c", "_before")
+
+
 def attempt_streaks(events: DataFrame, source: str, at: str, code: Column, tie: str) -> DataFrame:
     """Per source: the last attempt, its code, how many 404s in a row it ends with, and the last error's time."""
     e = events.select(F.col(source).alias("source"), F.col(at).alias("at"), F.col(tie).alias("tie"), code.alias("code"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
+from ..functions.text import trimmed, usable
 
 
 #: Stretches of values an octave has, when the ranks of percentiles are sought.
@@ -131,3 +131,46 @@ def status_counts(df: DataFrame, code: str) -> DataFrame:
     n = df.groupBy(F.col(code).cast("int").alias("_code")).agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("_code"))).cast("long")  # one row a status
     return n.select(F.coalesce(F.col("_code").cast("string"), F.lit("unknown")).alias("status"), "n", place.alias("place"))
+
+
+def posted_summary(df: DataFrame, active: str = "is_active", posted_at: str = "posted_at") -> DataFrame:
+    """One row: active postings, how many have a posting time as text, how many lack it, and the share."""
+    has = F.coalesce(usable(F.col(posted_at)), F.lit(False))
+    d = df.filter(F.col(active)).agg(F.count("*").alias("active_jobs"), F.count_if(has).alias("has_posted_at"), F.count_if(~has).alias("missing_posted_at"))
+    return d.withColumn("percent_missing_posted_at", F.coalesce(100.0 * F.col("missing_posted_at") / F.nullif("active_jobs", F.lit(0)), F.lit(0.0)))
+
+
+def connector_summary(fetched: DataFrame, known: DataFrame, source: str, key: str = "source_job_id", fingerprint: str = "fingerprint") -> DataFrame:
+    """A row a source of what a connector fetched: rows, unchanged ones (known has the same fingerprint
+    under source and key, one row each), rows to merge, blank fields, and repeated keys.
+
+    Repeats are counted by key before sources meet, so a source of very many rows is no hot group."""
+    was = known.select(F.col(source).alias("_source"), F.col(key).alias("_key"), F.col(fingerprint).alias("_fingerprint"))
+    d = fetched.join(was, (F.col(source) == F.col("_source")) & (F.col(key) == F.col("_key")), "left")
+    blank = {"missing_title": "title", "missing_url": "job_url", "missing_location": "location_name", "missing_content_text": "content_text"}
+    same = F.col(fingerprint) == F.col("_fingerprint")
+    n = d.groupBy(source, key).agg(F.count("*").alias("_n"), F.count_if(same).alias("_same"), *[blanks(F.col(c)).alias(name) for name, c in blank.items()])
+    again = F.when(F.coalesce(trimmed(F.col(key)), F.lit("")) != "", F.col("_n") - 1).otherwise(0)
+    total = lambda c: F.sum(c).cast("long")
+    out = n.groupBy(source).agg(total("_n").alias("fetched"), total("_same").alias("unchanged_skipped"), total(F.col("_n") - F.col("_same")).alias("to_upsert"), *[total(c).alias(c) for c in blank], total(again).alias("duplicate_source_job_ids"))
+    return out
+
+
+def export_summary(rows: DataFrame, now: Column, shard: str = "artifact_shard", source: str = "source_type", first_seen: str = "first_seen_at_utc") -> DataFrame:
+    """A row a shard, and one of all (shard null): rows, those first seen in the last 24 hours, and a map of
+    rows by source ('unknown' where there is none). Shards and sources are counted once, the rest folds counts."""
+    new = F.coalesce(F.col(first_seen) >= now - F.expr("INTERVAL 24 HOURS"), F.lit(False))
+    n = rows.groupBy(F.col(shard), F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("unknown")).alias("_source")).agg(F.count("*").alias("_n"), F.count_if(new).alias("_new"))
+    n = n.unionByName(n.groupBy("_source").agg(F.sum("_n").alias("_n"), F.sum("_new").alias("_new")).withColumn(shard, F.lit(None).cast(rows.schema[shard].dataType)))
+    entries = F.array_sort(F.collect_list(F.struct("_source", "_n")))  # as many as there are kinds of sources
+    return n.groupBy(shard).agg(F.sum("_n").alias("rows"), F.sum("_new").alias("new_first_seen_24h"), F.map_from_entries(entries).alias("source_type_counts"))
+
+
+#: What a model's calls are counted by (fixed values).
+USAGE = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens", "total_tokens")
+
+
+def usage_totals(calls: DataFrame, by: list[str], usage: str = "usage") -> DataFrame:
+    """Tokens used by calls, per group: sums of the fields of a JSON text, where what is absent, null or no number counts 0."""
+    v = {c: F.coalesce(F.get_json_object(usage, f"$.{c}").try_cast("bigint"), F.lit(0)) for c in USAGE}
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), *[F.sum(x).cast("long").alias(c) for c, x in v.items()])

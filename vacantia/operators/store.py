@@ -30,7 +30,7 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
         return {}
     if version is None:
         version = m.agg(F.max("version")).first()[0]
-    return {r["bucket"]: r["data"] for r in m.filter(F.col("version") == version).select("bucket", "data").collect()}
+    return {r["bucket"]: r["data"] for r in m.filter((F.col("version") == version) & (F.col("bucket") >= 0)).select("bucket", "data").collect()}
 
 
 def newest(spark: SparkSession, path: str) -> int:
@@ -55,7 +55,8 @@ def _write(rows: DataFrame, path: str, key: list[str], version: int, buckets: in
     d.write.mode("overwrite").partitionBy("bucket").parquet(data)
     made = {r["bucket"] for r in spark.read.parquet(data).select("bucket").distinct().collect()} if not d.isEmpty() else set()
     now = before | {b: version for b in made}
-    spark.createDataFrame(sorted(now.items()), "bucket int, data int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
+    # A version without buckets has one row that says so.
+    spark.createDataFrame(sorted(now.items()) or [(-1, -1)], "bucket int, data int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
 
 
 def merge(spark: SparkSession, path: str, batch: DataFrame, key: list[str], version: int | None = None, buckets: int = BUCKETS, derive: dict[str, Column] | None = None, **options) -> set[int]:
@@ -74,6 +75,18 @@ def merge(spark: SparkSession, path: str, batch: DataFrame, key: list[str], vers
     return touched
 
 
+def delete(spark: SparkSession, path: str, keys: DataFrame, key: list[str], buckets: int = BUCKETS) -> set[int]:
+    """The table without the rows of these keys, as its next version; the buckets it touched.
+
+    Only buckets that may hold such a row are read and written; one that is left empty goes."""
+    before = manifest(spark, path)
+    touched = {r[0] for r in keys.select(_bucket(key, buckets).alias("b")).distinct().collect()} & set(before)
+    if touched:
+        left = read(spark, path, only=sorted(touched)).join(keys.select(*key).distinct(), key, "left_anti")
+        _write(left, path, key, newest(spark, path) + 1, buckets, {b: v for b, v in before.items() if b not in touched})
+    return touched
+
+
 def backfill(spark: SparkSession, path: str, key: str, column: str, value: Column, span: int, batches: int | None = None, buckets: int = BUCKETS) -> int:
     """Bring column up to value, by ranges of `span` keys behind a stored watermark; how many ranges were done.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, extract, location, text, times
@@ -75,12 +75,37 @@ class RankQuery:
     technologies: list[tuple[str, str]] = field(default_factory=list)
     forest: Callable[[], forest.Forest] | None = None
     encoder: Callable[[list[str]], np.ndarray] = vectors.hashing_encoder
+    profile: dict | None = None
     scorer: matching.Scorer = matching.overlap_scorer
     most_chars: int = 12_000
 
 
+def job_features(jobs: DataFrame, key: str = "id", encoder: Callable = vectors.hashing_encoder) -> DataFrame:
+    """key and the vectors that ranking reads of enriched postings (the posting's, its distinct words' and
+    its phrases'), to be stored with operators.profiles and joined to jobs by key: `rank` takes them as they are."""
+    out = vectors.encoded(jobs.select(key, "title_requirements_text"), "title_requirements_text", encoder, "title_requirements_vector").drop("title_requirements_text")
+    words = _clouds(jobs.select(key, F.array_distinct("job_word_tokens").alias("_w")), key, "_w", encoder)
+    phrases = _clouds(jobs, key, "job_phrase_chunks", encoder)
+    for name, cloud in (("word_vectors", words), ("phrase_vectors", phrases)):
+        out = out.join(cloud.withColumnRenamed("matrix", name), key, "left")
+    return out
+
+
+def resume_profile(spark: SparkSession, q: RankQuery) -> dict:
+    """What `rank` needs of a resume: its words and phrases with their vectors, and its own. Small, made on the
+    driver; a stored profile (operators.features.profiles) of the same encoder has the same columns."""
+    one = spark.createDataFrame([(q.resume,)], "t string").select(text.tokens(F.col("t")).alias("w"), text.phrase_chunks(F.col("t")).alias("p")).first()
+    words = list(dict.fromkeys(w for w in one["w"] if w not in text.STOP_WORDS)) or ["resume"]
+    phrases = list(one["p"]) or [q.resume]
+    return {"vector": q.encoder([q.resume])[0], "word_vectors": q.encoder(words), "phrase_vectors": q.encoder(phrases)}
+
+
 def _clouds(jobs: DataFrame, key: str, items: str, encoder: Callable) -> DataFrame:
-    """key and matrix: the vectors of each job's items; every distinct item is encoded once."""
+    """key and matrix: the vectors of each job's items, as stored beside them if they are; else every
+    distinct item is encoded once."""
+    made = {"_w": "word_vectors", "job_phrase_chunks": "phrase_vectors"}[items]
+    if made in jobs.columns:
+        return jobs.filter(F.col(made).isNotNull()).select(key, F.col(made).alias("matrix"))
     long = jobs.select(F.col(key).alias("_k"), F.explode(items).alias("item"))
     made = vectors.encoded(long, "item", encoder)
     return made.groupBy("_k").agg(F.collect_list("vector").alias("matrix")).withColumnRenamed("_k", key)
@@ -92,14 +117,13 @@ def rank(jobs: DataFrame, q: RankQuery, key: str = "id") -> DataFrame:
     Hard filters, then the nearest `candidates` by title and requirements; every
     operation measures all of those, and what they would remove is a column or a
     policy, so that one plan serves all orders. The resume is one small query: its
-    words, phrases and vectors are made on the driver."""
+    words, phrases and vectors are those of q.profile, else they are made on the driver.
+    Where jobs has the columns of `job_features`, nothing of jobs is encoded here."""
     if not q.resume.strip() or len(q.resume) > q.most_chars:
         raise ValueError(f"a resume of 1 to {q.most_chars} characters")
     spark = jobs.sparkSession
-    one = spark.createDataFrame([(q.resume,)], "t string").select(text.tokens(F.col("t")).alias("w"), text.phrase_chunks(F.col("t")).alias("p")).first()
-    words = list(dict.fromkeys(w for w in one["w"] if w not in text.STOP_WORDS)) or ["resume"]
-    phrases = list(one["p"]) or [q.resume]
-    resume_vector, word_cloud, phrase_cloud = q.encoder([q.resume])[0], q.encoder(words), q.encoder(phrases)
+    mine = q.profile if q.profile is not None else resume_profile(spark, q)
+    resume_vector, word_cloud, phrase_cloud = (np.asarray(mine[c], dtype=np.float64) for c in ("vector", "word_vectors", "phrase_vectors"))
     array = lambda v: F.lit(np.asarray(v, dtype=np.float64))
 
     j = jobs.filter(filters.in_country(F.col("location_segments"), F.col("location_country"), F.col("location_name"), q.country, q.state, F.col("location_region") if "location_region" in jobs.columns else None)) if q.country or q.state else jobs
@@ -107,7 +131,7 @@ def rank(jobs: DataFrame, q: RankQuery, key: str = "id") -> DataFrame:
     j = filters.without_clearance(j) if q.exclude_security_clearance else j
     j = filters.recent(j, q.now if q.now is not None else F.current_timestamp(), q.recent_hours) if q.recent_hours else j
     j = j.withColumn("query_id", F.lit(0))
-    j = vectors.encoded(j, "title_requirements_text", q.encoder, "_v")
+    j = j.withColumnRenamed("title_requirements_vector", "_v") if "title_requirements_vector" in j.columns else vectors.encoded(j, "title_requirements_text", q.encoder, "_v")
     j = j.withColumn("requirements_distance", F.round(vectors.cosine_distance(F.col("_v"), array(resume_vector)), 9))
     # The policy's number is known before its share: the nearest of all by a top-k, then the share of those.
     j = j.orderBy("requirements_distance", key).limit(q.candidates)
@@ -122,9 +146,9 @@ def rank(jobs: DataFrame, q: RankQuery, key: str = "id") -> DataFrame:
     own = spark.range(1).select(ranking.level_score(array(anchors @ resume_vector))).first()[0]
     j = j.withColumn("seniority_gap", F.round(level - F.lit(own), 9)).filter(F.col("seniority_gap") <= q.most_senior_gap)
     if q.technologies:
-        mine = features.technologies(spark.createDataFrame([(0, q.resume)], "k int, t string"), "k", "t", q.technologies).first()["categories"]
+        known = mine["categories"] if q.profile is not None else features.technologies(spark.createDataFrame([(0, q.resume)], "k int, t string"), "k", "t", q.technologies).first()["categories"]
         tech = features.technologies(j, key, "content_text_clean", q.technologies).select(key, F.col("categories").alias("job_categories"))
-        tech = ranking.technology_mismatch(tech.withColumn("resume_categories", F.array(*[F.lit(c) for c in mine]).cast("array<string>"))).select(key, "overlap", "is_mismatch")
+        tech = ranking.technology_mismatch(tech.withColumn("resume_categories", F.array(*[F.lit(c) for c in known or ()]).cast("array<string>"))).select(key, "overlap", "is_mismatch")
         j = j.join(tech, key).filter(~F.col("is_mismatch"))
 
     w = vectors.sliced_wasserstein(_clouds(j.withColumn("_w", F.array_distinct("job_word_tokens")), key, "_w", q.encoder), "matrix", word_cloud, q.word_projections, 3).withColumnRenamed("distance", "word_distance")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import listed, tokens
-from ..operators import features, filters, forest, matching
-from ..session import new_folder
+from ..operators import features, filters, forest, matching, profiles
+from ..session import new_folder, stored
 from ..sources import files
 from .registry import query, table
 from .shapes import JOBS_SQL, METRICS_SQL, jobs, metrics
@@ -183,7 +183,7 @@ def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine on documents as postings: enrich, hard filters, every metric, fusion
     (random projections and an injected encoder, so there is no oracle)."""
-    from .engine import RankQuery, enrich, rank
+    from .engine import RankQuery, enrich, job_features, rank
 
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     d = table(spark, sf_dir, "documents").select(
@@ -196,5 +196,8 @@ def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("is_active"),
     )
     q = RankQuery("The thing and the thinger with years of experience in the making of good things.", country="US", max_required_yoe=7, now=now, recent_hours=24 * 20)
-    out = rank(enrich(d, now), q)
+    # Features are made once and stored; ranking encodes no posting.
+    j = stored(enrich(d, now), "postings")
+    made = profiles.refreshed(spark, new_folder(spark, "features"), j, "id", "title_requirements_text", lambda rows: job_features(j.join(rows.select("id"), "id", "left_semi")), "v1", "hashing", now)
+    out = rank(j.join(made.select("id", "title_requirements_vector", "word_vectors", "phrase_vectors"), "id"), q)
     return out.select("id", F.round("word_distance", 6).alias("word_distance"), F.round("phrase_distance", 6).alias("phrase_distance"), F.round("cross_score", 6).alias("cross_score"), "is_bad", "final_rank")

@@ -176,15 +176,3 @@ def shard_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_shards(lifecycle.newest_shards(jobs(spark, sf_dir).filter("is_active"), "posted_at_utc", "id", 200, 1600).select("id", "artifact_shard"), path)
     out = files.read_shard(spark, path, 1).unionByName(files.read_shards(spark, path, [3, 4])).unionByName(files.read_shard(spark, path, 99))
     return out.select("id", F.col("artifact_shard").cast("long").alias("artifact_shard"))
-
-
-@query("SELECT * FROM (VALUES ('load', 'ok'), ('probe', 'skipped'), ('publish', 'ok')) AS v(step, state)")
-def step_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optional steps that fail in a way that may pass are skipped, and the run goes on."""
-    rows = table(spark, sf_dir, "region")
-
-    def probe() -> None:
-        raise TimeoutError("no answer")
-
-    states = artifacts.run_or_skip({"load": rows.count, "probe": probe, "publish": rows.count}, {"probe"}, (TimeoutError,))
-    return spark.createDataFrame(list(states.items()), "step string, state string")

@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import artifact_queries, lifecycle_queries, matching_queries, ranking_queries, record_queries, source_queries, store_queries, text_queries, vector_queries  # noqa: E402, F401
+from . import artifact_queries, lifecycle_queries, matching_queries, outcome_queries, ranking_queries, record_queries, source_queries, store_queries, text_queries, vector_queries  # noqa: E402, F401

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle, store
+from ..functions import text
+from ..functions.text import STOP_WORDS
+from ..operators import lifecycle, profiles, store
 from ..session import new_folder
 from .registry import query, table
 from .shapes import JOBS_SQL, jobs
@@ -68,3 +70,27 @@ def resumed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.run_units(units, path, compute, most=7)
     out = store.run_units(units, path, compute)
     return out.groupBy("query_id").agg(F.count("*").alias("pairs"), F.sum("score").cast("long").alias("total"), F.min("score").cast("long").alias("least"))
+
+
+_WORDS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(body, '')), '[a-z]+(?:''[a-z]+)?'), lambda x: x NOT IN ({0}))))".format(", ".join(f"'{w}'" for w in STOP_WORDS))
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(coalesce(text, ''), ' revised twice') ELSE text END AS body FROM documents)
+    SELECT doc_id, sha256(coalesce(body, '')) AS text_sha256, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 2 ELSE 1 END AS made_in, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS created_in, md5(array_to_string({_WORDS}, ' ')) AS words_md5, CAST(len({_WORDS}) AS BIGINT) AS n_words FROM d WHERE doc_id % 11 <> 0""")
+def stored_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of all documents, stored; some deleted, some texts changed, then refreshed: only
+    those are made again. Some more are deleted at the end."""
+    d, path = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), new_folder(spark, "profiles")
+
+    def make(run: int):
+        words = F.array_sort(F.array_distinct(text.without_stop_words(text.tokens(F.coalesce("body", F.lit(""))))))
+        return lambda rows: rows.select("doc_id", words.alias("words"), F.lit(run).alias("made_in"))
+
+    at = lambda n: F.lit(f"2024-01-0{n} 00:00:00").cast("timestamp")
+    profiles.refreshed(spark, path, d, "doc_id", "body", make(1), "v1", "words", at(1), _BUCKETS)
+    profiles.delete(spark, path, d.filter("doc_id % 5 = 0"), "doc_id", _BUCKETS)
+    d = d.withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("body", F.lit("")), F.lit(" revised twice"))).otherwise(F.col("body")))
+    profiles.refreshed(spark, path, d, "doc_id", "body", make(2), "v1", "words", at(2), _BUCKETS)
+    profiles.delete(spark, path, d.filter("doc_id % 11 = 0"), "doc_id", _BUCKETS)
+    out = profiles.load(spark, path)
+    return out.select("doc_id", "text_sha256", "made_in", F.dayofmonth("created_at").alias("created_in"), F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"), F.size("words").cast("long").alias("n_words"))

@@ -83,6 +83,27 @@ def collected(sources: DataFrame, source: str, pages: Callable[[str], Iterator[d
     return sources.select(source).filter(F.col(source).isNotNull()).mapInPandas(run, "source string, position long, raw_json string")
 
 
+def pages_read(pages: DataFrame, first_may_be_empty: bool = True, most: int | None = None) -> DataFrame:
+    """source, position and raw_json of the jobs of stored listing pages, as a reader of the pages takes them.
+
+    pages: source, page (from 1, without gaps), total (what the page says), jobs (array of JSON texts).
+    Pages are taken in order until as many entries are there as the first page's total says (its
+    own number, if it says none), or one is empty; an empty first page ends it too unless
+    first_may_be_empty. Entries that are no object count but give no job; most bounds the jobs of
+    a source. Windows see the sizes of pages only, never what they hold."""
+    valid = F.filter("jobs", lambda j: F.ltrim(j).startswith("{"))
+    size = pages.select("source", "page", F.coalesce(F.nullif("total", F.lit(0)), F.size("jobs").cast("long")).alias("_total"), F.coalesce(F.size("jobs"), F.lit(0)).alias("_n"), F.coalesce(F.size(valid), F.lit(0)).alias("_valid"))
+    w = Window.partitionBy("source").orderBy("page")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ends = (F.col("_n") == 0) & ((F.col("page") > 1) | F.lit(not first_may_be_empty))
+    size = size.withColumns({"_all": F.first("_total").over(w), "_seen": zero("_n"), "_at": zero("_valid"), "_ended": F.coalesce(F.max(ends).over(before), F.lit(False)), "_gap": F.row_number().over(w) < F.col("page")})
+    taken = size.filter((F.col("_seen") < F.col("_all")) & ~F.col("_ended") & ~F.col("_gap")).select(F.col("source").alias("_source"), F.col("page").alias("_page"), "_at")
+    out = pages.join(taken, (F.col("source") == F.col("_source")) & (F.col("page") == F.col("_page")))
+    out = out.select("source", "_at", F.posexplode(valid).alias("_k", "raw_json")).select("source", (F.col("_at") + F.col("_k")).cast("long").alias("position"), "raw_json")
+    return out if most is None else out.filter(F.col("position") < most)
+
+
 def with_details(listed: DataFrame, details: DataFrame, key: str, columns: list[str], state: str | None = None) -> DataFrame:
     """listed, with each of `columns` from its detail where that has one; only published rows if
     `state` names the column that says so (null counts as published)."""
@@ -92,19 +113,28 @@ def with_details(listed: DataFrame, details: DataFrame, key: str, columns: list[
     return out.select(*[F.coalesce(text.blank_to_null(F.col(f"_d_{c}")), F.col(c)).alias(c) if c in columns else F.col(c) for c in listed.columns])
 
 
-def probed(companies: DataFrame, key: str, slugs: Column, valid: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """key, provider, identifier and matched_url of the first endpoint that answers with a valid payload.
-
-    slugs is a short array, in order; each is tried with every provider before the
-    next. valid is given provider, slug and URL. A company has at most slugs x
-    ENDPOINTS attempts, and they meet by company."""
+def endpoints(companies: DataFrame, key: str, slugs: Column) -> DataFrame:
+    """key, attempt, provider, identifier and matched_url of all that is probed for a company: each slug
+    (a short array, in order) is tried with every provider before the next."""
     tried = companies.select(F.col(key), F.posexplode(slugs).alias("_n", "identifier"))
     ends = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("provider"), F.lit(u).alias("url")) for k, (p, u) in enumerate(ENDPOINTS)])
     tried = tried.withColumn("_e", F.explode(ends))
     url = F.replace(F.col("_e.url"), F.lit("{slug}"), F.replace(F.url_encode("identifier"), F.lit("+"), F.lit("%20")))
-    tried = tried.withColumn("matched_url", url).filter(valid(F.col("_e.provider"), F.col("identifier"), F.col("matched_url")))
-    first = F.min(F.struct("_n", "_e.k", F.col("_e.provider").alias("provider"), "identifier", "matched_url"))
-    return tried.groupBy(key).agg(first.alias("f")).select(key, "f.provider", "f.identifier", "f.matched_url")
+    return tried.select(key, (F.col("_n") * len(ENDPOINTS) + F.col("_e.k")).alias("attempt"), F.col("_e.provider").alias("provider"), "identifier", url.alias("matched_url"))
+
+
+def answers(provider: Column, status: Column, body: Column) -> Column:
+    """Whether an endpoint's answer is a listing: status 200, and a list (Lever) or an object with a list of jobs."""
+    listing = F.when(provider == "lever", F.ltrim(body).startswith("[")).otherwise(F.ltrim(F.get_json_object(body, "$.jobs")).startswith("["))
+    return F.coalesce((status == 200) & listing, F.lit(False))
+
+
+def first_answers(tried: DataFrame, answered: DataFrame, key: str) -> DataFrame:
+    """key, provider, identifier and matched_url of the first attempt of each company whose URL has a valid
+    answer (url, status, body; one row a URL) among those that were fetched and stored."""
+    hit = tried.join(answered, F.col("matched_url") == F.col("url")).filter(answers(F.col("provider"), F.col("status"), F.col("body")))
+    first = F.min(F.struct("attempt", "provider", "identifier", "matched_url"))
+    return hit.groupBy(key).agg(first.alias("f")).select(key, "f.provider", "f.identifier", "f.matched_url")
 
 
 def listing_class(stored_text: Column, same: Column, at: Column, most: int | None) -> Column:
