@@ -244,3 +244,16 @@ def test_files_of_another_encoder(factors, width, height, seed):
             lum, cb, cr = sample[0], sample[1] - 128, sample[2] - 128
             want = [lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb]
         assert np.abs(rgb[y, x] - np.clip(want, 0, 255)).max() < 2.5
+
+
+def test_tables_of_media_and_tensors(spark, docs, empty, tmp_path):
+    d = docs.select("doc_id", "text")
+    media, rgb = jpeg.media_tables(d, str(tmp_path / "a"))
+    same = lambda x, *c: sorted(map(str, x.select("doc_id", *c).collect()))
+    want = jpeg.round_trip(d, tensor=True)
+    assert same(media, "media") == same(want, "media")
+    assert same(rgb, "height", "width", "rgb", "payload", "feature") == same(want, "height", "width", "rgb", "payload", "feature")
+    assert rgb.filter("length(rgb) != 3 * height * width OR rgb IS NULL").count() == 0
+    assert [x.count() for x in jpeg.media_tables(empty.select("doc_id", "text"), str(tmp_path / "b"))] == [0, 0]
+    again = spark.read.parquet(str(tmp_path / "a" / "tensors"))
+    assert again.count() == docs.count()

@@ -699,6 +699,21 @@ def round_trip(docs: DataFrame, text: str = "text", unit: int = 576, tensor: boo
     return _mapped(docs, lambda batches: read(encode(batches)), others, _ENCODED_KIND, _DECODED_KIND)
 
 
+def media_tables(docs: DataFrame, path: str, text: str = "text", unit: int = 576, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """Two written tables below path: media (with_media's rows), and tensors (decoded's rows with rgb, of the
+    files as the first table holds them). Each write ends a lineage, so a lost executor costs single tasks.
+
+    path must be shared by all executors; what stands there already makes the write fail. An empty
+    table of documents gives two empty tables; nulls, other columns and clashing names as in with_media."""
+    spark = docs.sparkSession
+    made = with_media(docs, text, unit, batch)
+    made.write.parquet(f"{path}/media")
+    media = spark.read.schema(made.schema).parquet(f"{path}/media")
+    read = decoded(media, tensor=True, batch=2 * batch)
+    read.write.parquet(f"{path}/tensors")
+    return media, spark.read.schema(read.schema).parquet(f"{path}/tensors")
+
+
 def tail_crc(column: str, n: int = 32):
     """The unsigned CRC-32 of the last n bytes of a binary column."""
     return F.crc32(F.substring(F.col(column), -n, n))
