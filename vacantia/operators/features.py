@@ -70,11 +70,11 @@ def looked_up(docs: DataFrame, key: str, words: Column, lookup: DataFrame) -> Da
     return got.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vector"))), lambda s: s["vector"]).alias("vectors")).withColumnRenamed("_k", key)
 
 
-def searchable(text: Column) -> Column:
-    """Lower case, letters, digits, + and # alone, with a space at either end."""
+def searchable(text: Column, whole: bool = False) -> Column:
+    """Lower case, letters, digits, + and # alone, with a space at either end; whole: # between letters stays."""
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.replace(F.replace(t, F.lit(".js"), F.lit(" js")), F.lit(".net"), F.lit(" dotnet"))
-    t = F.regexp_replace(t, r"(?<=\w)[/#-](?=\w)", " ")
+    t = t if whole else F.regexp_replace(t, r"(?<=\w)[/#-](?=\w)", " ")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9+#]+", " "), r"\s+", " "))
     return F.concat(F.lit(" "), t, F.lit(" "))
 
@@ -99,9 +99,12 @@ def read_terms(lines: DataFrame) -> DataFrame:
     return out.filter(~t.startswith("#") & (t != "") & F.col("category").isNotNull()).select(F.regexp_replace(t, r"^[-*]\s*", "").alias("name"), "category")
 
 
-def technologies(docs: DataFrame, key: str, text: str, terms: list[tuple[str, str]]) -> DataFrame:
+def technologies(docs: DataFrame, key: str, text: str, terms: list[tuple[str, str]], whole: bool = False) -> DataFrame:
     """key, technologies and categories, sorted, of each document.
 
+    A spelling ends where no letter or digit follows; whole: + and # are letters too, so that
+    "of##" is not "of", and every spelling stands between spaces.
+
     A text is normalised once. Its words, and the phrases that begin with a word that some
     spelling begins with, are looked up in a set of spellings; only spellings with
     other signs than letters and digits are searched one by one. No join and no shuffle."""
@@ -121,7 +124,7 @@ def technologies(docs: DataFrame, key: str, text: str, terms: list[tuple[str, st
     def spelled(s: Column) -> Column:
         found = [F.array().cast("array<string>")]
         if single:
-            found.append(F.filter(F.split(s, "[^a-z0-9]+"), lambda w: w.isin(list(single))))
+            found.append(F.filter(F.split(s, " " if whole else "[^a-z0-9]+"), lambda w: w.isin(list(single))))
         if phrases:
             heads, longest = {a.split()[0] for a in phrases}, max(a.count(" ") for a in phrases) + 1
 
@@ -134,11 +137,13 @@ def technologies(docs: DataFrame, key: str, text: str, terms: list[tuple[str, st
             found.append(let(F.split(F.trim(s), " "), at))
         return F.array_distinct(F.concat(*found))
 
+    letter = "[a-z0-9+#]" if whole else "[a-z0-9]"
+
     def hits(s: Column) -> Column:
         out = [F.flatten(F.transform(spelled(s), lambda w: F.element_at(meaning, w)))] if known else []
-        out += [F.array_compact(F.array(*[F.when(s.rlike(f"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])"), pair(n, c)) for a, n, c in signs]))] if signs else []
+        out += [F.array_compact(F.array(*[F.when(s.rlike(f"(?<!{letter}){re.escape(a)}(?!{letter})"), pair(n, c)) for a, n, c in signs]))] if signs else []
         return F.concat(*out) if out else F.array().cast("array<struct<name:string,category:string>>")
 
-    found = docs.select(key, let(searchable(F.col(text)), hits).alias("_hits"))
+    found = docs.select(key, let(searchable(F.col(text), whole), hits).alias("_hits"))
     names = lambda f: F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h[f])))
     return found.select(key, names("name").alias("technologies"), names("category").alias("categories"))
