@@ -116,7 +116,11 @@ def is_heading(line: Column, names: list[str]) -> Column:
 
 def section_lines(text: Column) -> Column:
     """Lines that stand under an opening heading and before a closing one."""
-    lines = F.filter(F.transform(F.split(normalized(text), "\n"), trimmed), lambda s: s != "")
+    return _section_lines(normalized(text))
+
+
+def _section_lines(normal: Column) -> Column:
+    lines = F.filter(F.transform(F.split(normal, "\n"), trimmed), lambda s: s != "")
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
     end = F.aggregate(
         lines,
@@ -128,7 +132,11 @@ def section_lines(text: Column) -> Column:
 
 def units(text: Column) -> Column:
     """Lines split at bullets and hyphens; units of over 300 characters also at sentence ends."""
-    lines = F.split(normalized(text), "\n")
+    return _units(normalized(text))
+
+
+def _units(normal: Column) -> Column:
+    lines = F.split(normal, "\n")
     parts = F.flatten(F.transform(lines, lambda s: F.split(s, r"\s*[-*•‣▪●]\s*")))
     long = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) > 300, F.split(s, r"(?<=[.!?])\s+")).otherwise(F.array(s))))
     return F.filter(F.transform(long, trimmed), lambda s: s != "")
@@ -141,11 +149,15 @@ def is_noise(s: Column) -> Column:
 def requirements(text: Column) -> Column:
     """The requirements of a posting, one a line: section lines, then sentences with a
     cue, then whole patterns; cleaned, without noise, the first of equal ones."""
-    cued = F.filter(units(text), lambda s: s.rlike("(?i)" + "|".join(CUES)) & ~is_noise(s))
-    hard = F.flatten(F.array(*[F.regexp_extract_all(normalized(text), F.lit(p), F.lit(0)) for p in HARD]))
     clean = lambda s: F.regexp_replace(collapsed(F.regexp_replace(s, r"^\s*(?:[-*•‣▪●]+|\d+[.)])\s*", "")), r"^[ ;]+|[ ;]+$", "")
-    items = F.filter(F.transform(F.concat(section_lines(text), cued, hard), clean), lambda s: (F.length(s) >= 8) & ~is_noise(s))
-    return F.array_join(first_of_each(items, lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", "")), "\n")
+
+    def found(t: Column) -> Column:
+        cued = F.filter(_units(t), lambda s: s.rlike("(?i)" + "|".join(CUES)) & ~is_noise(s))
+        hard = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in HARD]))
+        items = F.filter(F.transform(F.concat(_section_lines(t), cued, hard), clean), lambda s: (F.length(s) >= 8) & ~is_noise(s))
+        return F.array_join(first_of_each(items, lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", "")), "\n")
+
+    return let(normalized(text), found)
 
 
 #: Cue terms of a job description (fixed values).

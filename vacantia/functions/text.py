@@ -25,13 +25,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Items in order without those whose key an earlier one has."""
-    empty = F.array().cast("array<string>")
+    """Items in order without those whose key an earlier one has (no list is copied item by item)."""
+    def first(every: Column) -> Column:
+        return let(F.transform(every, key), lambda keys: F.filter(every, lambda s, k: F.array_position(keys, keys[k]) == k + 1))
 
-    def add(acc: Column, s: Column) -> Column:
-        return let(key(s), lambda k: F.when(F.array_contains(acc["keys"], k), acc).otherwise(F.struct(F.concat(acc["keys"], F.array(k)).alias("keys"), F.concat(acc["out"], F.array(s)).alias("out"))))
-
-    return F.aggregate(items, F.struct(empty.alias("keys"), empty.alias("out")), add, lambda acc: acc["out"])
+    return let(items, first)
 
 
 def trimmed(c: Column) -> Column:

@@ -43,6 +43,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many tasks as the session shuffles to, at least two a core: for rows that cost
+    much more to compute than to read, since a small file of many rows is one task else."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """df, marked for broadcast if a count shows that it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
