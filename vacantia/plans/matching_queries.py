@@ -183,7 +183,7 @@ def shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine on documents as postings: enrich, hard filters, every metric, fusion
     (random projections and an injected encoder, so there is no oracle)."""
-    from .engine import RankQuery, enrich, job_features, rank
+    from .engine import RankQuery, enrich, job_clouds, job_vectors, rank
 
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     d = table(spark, sf_dir, "documents").select(
@@ -196,8 +196,9 @@ def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("is_active"),
     )
     q = RankQuery("The thing and the thinger with years of experience in the making of good things.", country="US", max_required_yoe=7, now=now, recent_hours=24 * 20)
-    # Features are made once and stored; ranking encodes no posting.
+    # Features are made once and stored: a vector of every posting, and clouds of those that become candidates.
     j = stored(enrich(d, now), "postings")
-    made = profiles.refreshed(spark, new_folder(spark, "features"), j, "id", "title_requirements_text", lambda rows: job_features(j.join(rows.select("id"), "id", "left_semi")), "v1", "hashing", now)
-    out = rank(j.join(made.select("id", "title_requirements_vector", "word_vectors", "phrase_vectors"), "id"), q)
+    made = profiles.refreshed(spark, new_folder(spark, "features"), j, "id", "title_requirements_text", lambda rows: job_vectors(rows), "v1", "hashing", now)
+    kept = lambda c: profiles.refreshed(spark, new_folder(spark, "clouds"), c, "id", "title_requirements_text", lambda rows: job_clouds(c.join(rows.select("id"), "id", "left_semi")), "v1", "hashing", now)
+    out = rank(j.join(made.select("id", "title_requirements_vector"), "id"), q, clouds=kept)
     return out.select("id", F.round("word_distance", 6).alias("word_distance"), F.round("phrase_distance", 6).alias("phrase_distance"), F.round("cross_score", 6).alias("cross_score"), "is_bad", "final_rank")
