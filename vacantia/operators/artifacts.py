@@ -69,15 +69,19 @@ def trimmed_group(chunks: Column, vectors: Column) -> Column:
     return F.when(n > 0, F.slice(F.arrays_zip(chunks.alias("chunk"), vectors.alias("vector")), 1, n))
 
 
-def packaged(ranked: DataFrame, order: list[Column], top: int, text: str, by: str = "query_id", more: int | None = None) -> DataFrame:
+def packaged(ranked: DataFrame, order: list[Column], top: int, text: str | Column, by: str = "query_id", more: int | None = None) -> DataFrame:
     """ranked with place, section ('top' for the first `top` of each query, then 'more') and the text's preview.
 
-    What is neither, if `more` bounds the second list, is left out (lists of a set length)."""
-    out = ranked.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
+    What is neither, if `more` bounds the second list, is left out (lists of a set length). text may be
+    an expression, which is computed for the rows that stay, so that no text is sorted; of a column,
+    the preview alone is."""
+    preview = F.substring(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 1, PREVIEW)
+    out = ranked.withColumn("preview", preview).drop(text) if isinstance(text, str) else ranked
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
     if more is not None:
         out = out.filter(F.col("place") <= top + more)
     out = out.withColumn("section", F.when(F.col("place") <= top, "top").otherwise("more"))
-    return out.withColumn("preview", F.substring(F.coalesce(F.col(text), F.lit("")), 1, PREVIEW)).drop(text)
+    return out if isinstance(text, str) else out.withColumn("preview", preview)
 
 
 def prompt(title: Column, requirements: Column, most: int | None = None) -> Column:

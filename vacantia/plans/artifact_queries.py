@@ -48,8 +48,8 @@ def phrase_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {METRICS_SQL}, r AS (SELECT query_id, job_id, cross_score, row_number() OVER (PARTITION BY query_id ORDER BY cross_score DESC, job_id) AS place FROM metrics) SELECT query_id, job_id, place, CASE WHEN place <= 10 THEN 'top' ELSE 'more' END AS section, CAST(least(2500, length(repeat('text ', CAST(job_id % 700 AS INT)))) AS BIGINT) AS preview_chars FROM r WHERE place <= 60")
 def packaged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten results and fifty more of each query (lists of a set length), with previews."""
-    m = metrics(spark, sf_dir).withColumn("text", F.expr("repeat('text ', cast(job_id % 700 as int))"))
-    out = artifacts.packaged(m, [F.desc("cross_score"), F.col("job_id")], 10, "text", more=50)
+    text = F.expr("repeat('text ', cast(job_id % 700 as int))")
+    out = artifacts.packaged(metrics(spark, sf_dir), [F.desc("cross_score"), F.col("job_id")], 10, text, more=50)
     return out.select("query_id", "job_id", "place", "section", F.length("preview").cast("long").alias("preview_chars"))
 
 
