@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from vacantia.functions import text
-from vacantia.operators import features
+from vacantia.operators import artifacts, features, ranking
 from vacantia.plans import engine, registry
 from vacantia.session import stored
 
@@ -62,3 +62,41 @@ def test_clouds_are_made_for_candidates_alone(spark, tmp_path):
     pick = ["id", "word_distance", "phrase_distance", "final_rank"]
     plain = lambda df: sorted((r["id"], round(r["word_distance"], 6), round(r["phrase_distance"], 6), r["final_rank"] or 0) for r in df.select(*pick).collect())
     assert asked == [5] and plain(got) == plain(engine.rank(jobs, q))
+
+
+def _windows(df):
+    """What each window of the plan is partitioned by and the sorts of the plan."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Window \[.*?\], \[([^\]]*)\]", plan), re.findall(r"Sort \[.*", plan), plan
+
+
+def test_packaged_results_sort_no_text(spark):
+    m = spark.range(100).selectExpr("id % 2 AS query_id", "id AS job_id", "id % 7 AS s", "repeat('x', 4000) AS t")
+    out = artifacts.packaged(m.drop("t"), [F.desc("s"), F.col("job_id")], 2, F.expr("repeat(string(job_id), 3000)"), more=3)
+    assert {(r["query_id"], r["place"], r["section"], len(r["preview"])) for r in out.collect()} == {(q, k, "top" if k < 3 else "more", 2500) for q in (0, 1) for k in range(1, 6)}
+    plan = registry.QUERIES["packaged_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat(" in plan and plan.index("repeat(") < plan.index("Window [")
+    kept = artifacts.packaged(m, [F.desc("s"), F.col("job_id")], 2, "t", more=3)
+    assert "t" not in kept.columns and all(len(r["preview"]) == 2500 for r in kept.collect())
+
+
+def test_bad_fit_sorts_no_whole_query(spark):
+    rows = [(q, j, float((j * 7) % 5), None if j % 4 == 0 else float(j % 3)) for q in (1, 2, None) for j in range(23)]
+    m = spark.createDataFrame(rows, "query_id int, job_id long, a double, b double")
+    out = ranking.bad_fit(m, {"a": -1, "b": 1}, 0.3)
+    want = {}
+    for q in (1, 2, None):
+        for c, d in ((2, -1), (3, 1)):
+            have = sorted((r[c] * d, r[1]) for r in rows if r[0] == q and r[c] is not None)
+            for k, (_, j) in enumerate(have):
+                want[q, j] = want.get((q, j), 0) + (k < max(1, int(len(have) * 0.3)))
+    assert {(r["query_id"], r["job_id"]): r["flag_count"] for r in out.collect()} == want
+    assert all("_range" in by for by in _windows(out)[0])
+
+
+def test_results_rank_without_whole_queries(spark):
+    for name in ("final_rows", "multi_metric_badfit"):
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert all("_range" in by for by in _windows(df)[0]), name

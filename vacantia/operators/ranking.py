@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..session import small, stored
+from .ordered import numbered, running
 
 #: Operations that filter rather than rank take no part in fusion (fixed values).
 FILTERS = ("llm_bad_match_filter", "mahalanobis_outlier", "multi_metric_bad_fit_filter", "pair_independent_bad_match_forest", "seniority_filter", "technology_mismatch_filter")
@@ -121,13 +123,21 @@ def coverage_cut(df: DataFrame, bottom: float, top: float, least: int, by: str =
 def bad_fit(metrics: DataFrame, directions: dict[str, int], fraction: float = 0.25, flags: int = 2, by: str = "query_id") -> DataFrame:
     """query_id, job_id, flag_count and is_bad: in the worst share of how many metrics.
 
-    metrics: query_id, job_id and one column a metric; direction 1: more is better.
-    Null metrics are not counted."""
+    metrics: query_id, job_id (each once) and one column a metric; direction 1: more is better.
+    Null metrics are not counted. Values are counted and summed by ranges, so no task sees a query's whole list."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(m) * F.lit(d)).cast("double").alias("goodness")) for m, d in directions.items()]))
-    long = metrics.select(by, "job_id", pairs.alias("m")).select(by, "job_id", "m.*").filter("goodness IS NOT NULL AND NOT isnan(goodness)")
-    w = Window.partitionBy(by, "metric")
-    long = long.withColumns({"_n": F.count("*").over(w), "_pos": F.row_number().over(w.orderBy("goodness", "job_id"))})
-    out = long.groupBy(by, "job_id").agg(F.count_if(F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).alias("flag_count"))
+    known = metrics.select(by, "job_id", pairs.alias("m")).select(by, "job_id", "m.*").filter("goodness IS NOT NULL AND NOT isnan(goodness)")
+    long = stored(known, "bad-fit")  # read by the counts and by their values
+    # The last place of the worst share falls on a value: below it all are in, at it the first by id are.
+    per = running(long.groupBy(by, "metric", "goodness").agg(F.count("*").alias("_n")), "goodness", F.col("_n"), [by, "metric"])
+    most = F.greatest(F.lit(1), F.floor(F.col("total") * fraction)).cast("long")
+    ends = stored(per.filter((F.col("upto") >= most) & (F.col("upto") - F.col("_n") < most)).select(F.col(by).alias("_q"), F.col("metric").alias("_m"), F.col("goodness").alias("_at"), (most - F.col("upto") + F.col("_n")).alias("_left")), "bad-fit-ends")
+    ends = small(ends)  # one row a query and metric
+    same = F.col(by).eqNullSafe(F.col("_q")) & (F.col("metric") == F.col("_m"))
+    d = long.join(ends, same)
+    ties = numbered(d.filter(F.col("goodness") == F.col("_at")).select(by, "job_id", "metric", "_left"), "job_id", [by, "metric"])
+    flag = d.select(by, "job_id", (F.col("goodness") < F.col("_at")).cast("long").alias("_flag")).unionByName(ties.select(by, "job_id", (F.col("place") < F.col("_left")).cast("long").alias("_flag")))
+    out = flag.groupBy(by, "job_id").agg(F.sum("_flag").alias("flag_count"))
     return out.withColumn("is_bad", F.col("flag_count") >= flags)
 
 
