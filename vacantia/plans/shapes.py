@@ -6,6 +6,10 @@ oracle start from the same rows."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import ordered
+from ..session import stored
 
 #: Postings made of orders: blanks, nulls, unreadable years and every location status occur.
 JOB_COLUMNS = {
@@ -57,5 +61,13 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_sql(spark, sf_dir, ["lineitem"], f"WITH {METRICS_SQL} SELECT * FROM metrics")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, ["lineitem"], f"WITH {METRICS_SQL}, {RESULTS_SQL} SELECT * FROM results")
+def results(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
+    """The rows of RESULTS_SQL (of m, the metrics as stored, if given): ranks by counted values, so that no task sorts a query's whole list."""
+    m = stored(metrics(spark, sf_dir), "metrics") if m is None else m
+    ok = F.lit("ok")
+    row = lambda d, name, status, rank: d.select("query_id", F.lit(name).alias("operation"), status.alias("status"), "job_id", rank.cast("long").alias("rank"))
+    rank = lambda d, value: ordered.ranks(d.select("query_id", "job_id", "word_distance", "coverage", "cross_score"), value, ["query_id"])
+    out = row(rank(m, F.col("word_distance")), "word_wasserstein", ok, F.col("rank"))
+    out = out.unionByName(row(rank(m.filter("coverage IS NOT NULL"), -F.col("coverage")), "phrase_coverage", ok, F.col("rank")))
+    out = out.unionByName(row(rank(m, -F.col("cross_score")), "cross_encoder", F.when(F.col("query_id") % 5 == 4, "failed").otherwise("ok"), F.col("rank")))
+    return out.unionByName(row(m, "seniority_filter", ok, F.col("job_id")))
