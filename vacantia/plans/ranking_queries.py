@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clusters, ranking
+from ..session import stored
 from .registry import query, table
 from .shapes import JOBS_SQL, METRICS_SQL, RESULTS_SQL, jobs, metrics, results
 
@@ -152,10 +153,10 @@ def final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {METRICS_SQL}, {RESULTS_SQL}, {_LONG}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, metric ORDER BY g, job_id) AS k, count(*) OVER (PARTITION BY query_id, metric) AS n FROM l), bad AS (SELECT query_id, job_id FROM p GROUP BY 1, 2 HAVING count(*) FILTER (WHERE k <= greatest(1, floor(n * 0.25))) >= 2), remaining AS (SELECT DISTINCT m.query_id, m.job_id FROM metrics m ANTI JOIN bad b ON b.query_id = m.query_id AND b.job_id = m.job_id), dense AS (SELECT r.query_id, operation, r.job_id, dense_rank() OVER (PARTITION BY r.query_id, operation ORDER BY rank) AS d FROM results r SEMI JOIN remaining m ON m.query_id = r.query_id AND m.job_id = r.job_id WHERE status = 'ok' AND operation <> 'seniority_filter'), per AS (SELECT query_id, job_id, list_sort(list(d), 'DESC') AS worst FROM dense GROUP BY 1, 2), o AS (SELECT r.query_id, r.job_id, row_number() OVER (PARTITION BY r.query_id ORDER BY worst IS NULL, worst, r.job_id) AS final_rank FROM remaining r LEFT JOIN per p ON p.query_id = r.query_id AND p.job_id = r.job_id) SELECT query_id, job_id, final_rank FROM o WHERE final_rank <= 10")
 def rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking pipeline end to end: metrics, the bad-fit filter, fusion, the ten best a query (a report)."""
-    m = metrics(spark, sf_dir)
+    m = stored(metrics(spark, sf_dir), "metrics")  # read by the filter, by every operation and by the fusion
     bad = ranking.bad_fit(m, DIRECTIONS).filter("is_bad").select("query_id", "job_id")
-    left = m.join(bad, ["query_id", "job_id"], "left_anti")
-    return ranking.fused(results(spark, sf_dir), left).filter("final_rank <= 10").select("query_id", "job_id", "final_rank")
+    left = stored(m.join(bad, ["query_id", "job_id"], "left_anti").select("query_id", "job_id"), "remaining")
+    return ranking.fused(results(spark, sf_dir, m), left).filter("final_rank <= 10").select("query_id", "job_id", "final_rank")
 
 
 @query(f"""WITH {METRICS_SQL}, a AS (SELECT query_id, job_id, CASE WHEN query_id % 7 = 3 AND job_id % 5 = 0 THEN NULL ELSE job_id % 3 = 0 END AS accepted, row_number() OVER (PARTITION BY query_id ORDER BY word_distance, job_id) AS place FROM metrics),
