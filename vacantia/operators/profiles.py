@@ -23,9 +23,11 @@ def text_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def is_current(sha: Column, version: str, model: str) -> Column:
-    """Whether a stored profile was made of this text, by this version, with this encoder; never null."""
-    same = F.col("text_sha256").eqNullSafe(sha) & F.col("profile_version").eqNullSafe(F.lit(version)) & F.col("model_name").eqNullSafe(F.lit(model))
+def is_current(sha: Column, version: str, model: str, prefix: str = "") -> Column:
+    """Whether a stored profile was made of this text, by this version, with this encoder; never null.
+    prefix: what the names of the stored columns begin with."""
+    at = lambda c: F.col(prefix + c)
+    same = at("text_sha256").eqNullSafe(sha) & at("profile_version").eqNullSafe(F.lit(version)) & at("model_name").eqNullSafe(F.lit(model))
     return F.coalesce(same, F.lit(False))
 
 
@@ -61,14 +63,20 @@ def refreshed(
     """The profiles of texts (key and text, one row a key), stale and missing ones made anew and saved.
 
     make is given the rows of those texts alone and returns one row a key. Profiles of other keys stay."""
-    want = texts.select(key, text).withColumn("_sha", text_hash(F.col(text)))
+    texts = texts.select(key, text)
+    want = texts.select(key, text_hash(F.col(text)).alias("text_sha256"))
     have = load(spark, path)
-    if have is not None:
-        was = have.select(F.col(key).alias("_key"), *STAMPS[:3])
-        want = want.join(was, F.col(key) == F.col("_key"), "left").filter(~is_current(F.col("_sha"), version, model)).select(key, text, "_sha")
-    stale = stored(want, "stale-profiles")
+    if have is None:
+        stale, todo = want, texts
+    else:
+        # Hashes alone meet the stored ones; texts meet the keys that came out stale.
+        was = have.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in STAMPS[:3]])
+        current = is_current(F.col("text_sha256"), version, model, "_")
+        stale = stored(want.join(was, F.col(key) == F.col("_key"), "left").filter(~current).select(*want.columns), "stale-profiles")
+        todo = texts.join(stale.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_semi")
     if not stale.isEmpty():
-        hashes = stale.select(F.col(key).alias("_key"), F.col("_sha").alias("text_sha256"))
-        made = make(stale.drop("_sha")).join(hashes, F.col(key) == F.col("_key")).drop("_key")
-        save(spark, path, stored(made, "made-profiles"), key, version, model, now, buckets)
+        # Stored before the join, so that profiles are shuffled once, on their way to their buckets.
+        made = stored(make(todo), "made-profiles")
+        made = store.dealt(made, [key], buckets).join(store.dealt(stale, [key], buckets), key)
+        save(spark, path, made, key, version, model, now, buckets)
     return load(spark, path, texts, key)

@@ -19,7 +19,16 @@ BUCKETS = 64
 
 
 def _bucket(key: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    return F.pmod(F.hash(*key), F.lit(buckets)).cast("int")
+
+
+def dealt(df: DataFrame, key: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """df dealt out by key to a multiple of `buckets` tasks, as many as the session shuffles to at least.
+
+    A bucket is the same hash by which Spark deals rows out, so each task holds rows of one bucket: what is
+    joined by key in this form is written with no other shuffle, in a few files a bucket."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(-(-n // buckets) * buckets, *key)
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
@@ -49,11 +58,12 @@ def read(spark: SparkSession, path: str, version: int | None = None, only: list[
 
 
 def _write(rows: DataFrame, path: str, key: list[str], version: int, buckets: int, before: dict[int, int]) -> None:
+    """rows, dealt, as the next version."""
     spark = rows.sparkSession
-    d = rows.withColumn("bucket", _bucket(key, buckets)).repartition("bucket")
     data = f"{path}/data/version={version}"
-    d.write.mode("overwrite").partitionBy("bucket").parquet(data)
-    made = {r["bucket"] for r in spark.read.parquet(data).select("bucket").distinct().collect()} if not d.isEmpty() else set()
+    rows.withColumn("bucket", _bucket(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(data)
+    # The schema is given, since a version without rows has no file to take it from.
+    made = {r["bucket"] for r in spark.read.schema("bucket int").parquet(data).distinct().collect()}
     now = before | {b: version for b in made}
     # A version without buckets has one row that says so.
     spark.createDataFrame(sorted(now.items()) or [(-1, -1)], "bucket int, data int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
@@ -69,7 +79,8 @@ def merge(spark: SparkSession, path: str, batch: DataFrame, key: list[str], vers
     before = manifest(spark, path, version - 1) if version else {}
     touched = {r[0] for r in batch.select(_bucket(key, buckets).alias("b")).distinct().collect()}
     old = read(spark, path, version - 1, sorted(touched)) if before else None
-    out = batch if old is None else upsert(old, batch, key, **options)
+    batch = dealt(batch, key, buckets)
+    out = batch if old is None else upsert(dealt(old, key, buckets), batch, key, **options)
     out = out.withColumns(derive) if derive else out
     _write(out, path, key, version, buckets, before)
     return touched
@@ -82,7 +93,7 @@ def delete(spark: SparkSession, path: str, keys: DataFrame, key: list[str], buck
     before = manifest(spark, path)
     touched = {r[0] for r in keys.select(_bucket(key, buckets).alias("b")).distinct().collect()} & set(before)
     if touched:
-        left = read(spark, path, only=sorted(touched)).join(keys.select(*key).distinct(), key, "left_anti")
+        left = dealt(read(spark, path, only=sorted(touched)), key, buckets).join(dealt(keys.select(*key), key, buckets), key, "left_anti")
         _write(left, path, key, newest(spark, path) + 1, buckets, {b: v for b, v in before.items() if b not in touched})
     return touched
 
