@@ -129,3 +129,17 @@ def test_refreshed_profiles_do_not_store_texts(spark, tmp_path, monkeypatch):
     assert {k: v[0] for k, v in got.items()} == {k: 11 if k % 3 == 0 else len(f"text {k}") for k in range(20)}
     assert got[3][1] == hashlib.sha256(b"longer text").hexdigest() and got[4][1] == hashlib.sha256(b"text 4").hexdigest()
     assert kept and not any("body" in c for c in kept)
+
+
+def test_tfidf_shuffles_words_of_blocks_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(features, "BLOCK", 40)  # many blocks
+    texts = ["a bb cc bb", None, "", "the of", "bb dd's ee ff gg hh ii jj kk", "cc cc dd's", "BB Eeé x1zz bb"]
+    rows = [*enumerate(texts), (5, "bb ee ff"), (None, "mm nn bb"), (None, "nn oo")]  # keys that stand twice are one document
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sf = folder(spark, tmp_path, documents=d)
+    out = registry.QUERIES["tfidf_top"](spark, sf)
+    want = by_sql("tfidf_top", sf, "documents").fetchall()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and len({r[0] for r in want}) == 5
+    assert features.tfidf(d.limit(0), "doc_id", "text").count() == 0 and features.tfidf(d.filter("doc_id in (1, 2, 3)"), "doc_id", "text").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_k" not in plan and "Join" not in plan  # a row a word of a document went by key, by word and by key before

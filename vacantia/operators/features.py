@@ -6,32 +6,68 @@ import re
 from collections.abc import Callable
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, blank_to_null, let, phrase_chunks, tokens, without_stop_words
 from .vectors import encoded, hashing_encoder
 
+#: Bytes of text that a task of tfidf counts at once.
+BLOCK = 16 << 20
+
+
+def _counted(block: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and words of a block; the pairs of both that occur (as places in them, by key) and how often."""
+    keys = block.column("_k").combine_chunks().dictionary_encode(null_encoding="encode")
+    lists = pc.split_pattern(block.column("_words").combine_chunks(), " ")
+    words = lists.flatten().dictionary_encode()
+    doc = np.repeat(keys.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy())
+    pairs, tf = np.unique(doc * len(words.dictionary) + words.indices.to_numpy(), return_counts=True)
+    return keys.dictionary, words.dictionary, *np.divmod(pairs, len(words.dictionary)), tf
+
+
+def _vocabulary(block: pa.Table) -> pa.Table:
+    _, words, _, word, _ = _counted(block)
+    return pa.table({"_b": pa.repeat(block.column("_b")[0], len(words)), "term": words, "_n": np.bincount(word, minlength=len(words))})
+
+
+def _with_df(block: pa.Table, df: pa.Table) -> pa.Table:
+    keys, words, doc, word, tf = _counted(block)
+    at = pc.index_in(words, value_set=df.column("term").combine_chunks()).to_numpy()
+    ends = pa.array(np.searchsorted(doc, np.arange(len(keys) + 1)), pa.int32())
+    each = lambda values: pa.ListArray.from_arrays(ends, values)
+    return pa.table({"_k": keys, "_terms": each(words.take(pa.array(word))), "_tf": each(pa.array(tf)), "_df": each(pa.array(df.column("_df").to_numpy()[at[word]]))})
+
 
 def tfidf(docs: DataFrame, key: str, text: str, least_chars: int = 2, fraction: float = 0.25, most: int = 50, round_up: bool = False) -> DataFrame:
     """key, term, tf, tfidf and place of the words selected from each document.
 
     Weights are tf * (ln((1 + n) / (1 + df)) + 1), of unit length a document; the best
-    max(1, floor(fraction * words)) stay, at most `most`; ties go to the earlier word."""
-    t = docs.select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("term"))
-    t = t.filter((F.length("term") >= least_chars) & ~F.col("term").isin(*STOP_WORDS))
-    tf = t.groupBy("_k", "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("_n"))
-    df = tf.groupBy(F.col("term").alias("_term")).agg(F.count("*").alias("_df"))
-    w = tf.join(df, F.col("term") == F.col("_term")).join(F.broadcast(n))  # one row
-    w = w.withColumn("_w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
-    per = Window.partitionBy("_k")
-    w = w.withColumn("tfidf", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(per)))
+    max(1, floor(fraction * words)) stay, at most `most`; ties go to the earlier word. Rows of one key are one document.
+
+    Documents are dealt to blocks of some BLOCK bytes. A block sends each of its words once to be counted and gets it
+    back with df, so that a word of a document is never shuffled on its own; a document is weighed in its row."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    blocks = max(2 * spark.sparkContext.defaultParallelism, -(-(size or 0) // BLOCK))
+    words = F.filter(tokens(F.col(text)), lambda w: (F.length(w) >= least_chars) & ~w.isin(*STOP_WORDS))
+    d = docs.select(F.col(key).alias("_k"), F.array_join(words, " ").alias("_words"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
+    d = d.filter("_words <> ''").repartition(blocks, "_b")
+    seen = d.groupBy("_b").applyInArrow(_vocabulary, "_b int, term string, _n long")
+    df = seen.withColumn("_df", F.sum("_n").over(Window.partitionBy("term"))).select("_b", "term", "_df")
+    w = d.groupBy("_b").cogroup(df.groupBy("_b")).applyInArrow(_with_df, f"_k {kind}, _terms array<string>, _tf array<long>, _df array<long>")
+    w = w.withColumn("_w", F.zip_with("_tf", "_df", lambda tf, df: tf * (F.log((1 + F.lit(n)) / (1 + df)) + 1)))
+    length = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x * x))
     # Rounded before ordering, so that sums in another order do not reorder equal words.
-    w = w.withColumns({"tfidf": F.round("tfidf", 9), "_size": F.count("*").over(per)})
-    w = w.withColumn("place", F.row_number().over(per.orderBy(F.desc("tfidf"), "term")).cast("long"))
-    keep = (F.ceil if round_up else F.floor)(F.col("_size") * fraction)
-    return w.filter(F.col("place") <= F.least(F.lit(most), F.greatest(F.lit(1), keep))).select(F.col("_k").alias(key), "term", "tf", "tfidf", "place")
+    item = lambda x, i, of: F.struct((-F.round(x / of, 9)).alias("_less"), F.get("_terms", i).alias("term"), F.get("_tf", i).alias("tf"))
+    items = F.array_sort(let(length, lambda of: F.transform("_w", lambda x, i: item(x, i, of))))
+    keep = (F.ceil if round_up else F.floor)(F.size("_w") * fraction)
+    best = F.slice(items, F.lit(1), F.least(F.lit(most), F.greatest(F.lit(1), keep)).cast("int"))
+    out = w.select("_k", F.posexplode(best).alias("_p", "_i"))
+    return out.select(F.col("_k").alias(key), "_i.term", "_i.tf", (-F.col("_i._less")).alias("tfidf"), (F.col("_p") + 1).cast("long").alias("place"))
 
 
 def without_frequent(docs: DataFrame, key: str, words: Column, most: int) -> DataFrame:
