@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import components, near, ordered
+from vacantia.session import stored
 
 
 def unit(v):
@@ -117,3 +118,28 @@ def test_running_sums_and_pool_shares(spark):
     assert {x["pct"] for x in ordered.with_pool_shares(d.filter("NOT p"), "v", F.col("p")).collect()} == {None}
     places = ordered.numbered(d.select("v").distinct(), "v").collect()
     assert [x["place"] for x in sorted(places)] == list(range(len(places)))
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_dbscan_in_wide_tiles_and_in_cells(spark, monkeypatch, wide):
+    for name, value in (("TILE", 7), ("WIDE", 9), ("STRIP", 4), ("_pairs_of_all", lambda rows: 0 if wide else 10**9)):
+        monkeypatch.setattr(near, name, value)
+    ids, v = clouds(90, 5)
+    q = [None if k % 3 == 0 else str(k % 3) for k in range(90)]
+    got = near.dbscan(frame(spark, ids, v, q), "id", "v", 0.12, 3, by="q", pivots=9).collect()
+    assert len(got) == 90
+    for name in {None, "1", "2"}:
+        own = [k for k in range(90) if q[k] == name]
+        assert {r["id"]: r["cluster"] for r in got if r["q"] == name} == plain_dbscan(ids[own], v[own], 0.12, 3)
+
+
+def test_dbscan_makes_no_copies_for_cells_that_prune_little(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(near, "stored", lambda df, name: names.append(name) or stored(df, name))
+    d = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=32).tolist()) for k in range(60)], "id long, v array<double>")
+    near.dbscan(d, "id", "v", 0.74, 4, pivots=16).count()
+    assert "dbscan-links" in names and "dbscan-visitors" not in names
+    names.clear()
+    apart = d.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i == F.col("id") % 8, 1.0).when(i == 31, F.col("id") / 10000).otherwise(0.0)))
+    near.dbscan(apart, "id", "v", 0.1, 3, pivots=16).count()
+    assert "dbscan-visitors" in names

@@ -7,6 +7,8 @@ s(x, y) >= s(x, p_j) - r_j (the cell's radius), >= q_j - s(x, p_j) (its least di
 from the pivot) and >= (s(x, p_j) - s(x, p_i)) / 2 with x's own pivot p_i. A vector
 visits only those cells that no bound excludes, so nothing is crossed with everything.
 Members and visitors of a cell meet in tiles of bounded size, however full the cell.
+Where the bounds exclude little, copies for cells cost more than they save: then all
+rows meet in pairs of wide tiles, each pair once.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .ordered import numbered
 
 #: Rows of either side of a tile; how many rows serve as pivots.
 TILE, PIVOTS = 2048, 64
+#: Rows of either side of a pair of tiles that are compared in strips of so many rows.
+WIDE, STRIP = 8192, 512
 #: Room for rounding in the bounds.
 SLACK = 1e-7
 
@@ -113,6 +117,33 @@ def met(members: DataFrame, visitors: DataFrame, compare: Callable[[pa.Table, pa
     return both.groupBy("by", "cell", "_a", "_b").applyInArrow(run, schema)
 
 
+def paired(rows: DataFrame, compare: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, few: bool) -> DataFrame:
+    """compare(left, right, whether they are the same rows) for every pair of wide tiles of each by, either way round
+    once; rows have by, key, unit and what compare needs. few: by has one value."""
+    sizes = rows.groupBy(F.col("by").alias("_by")).agg(F.ceil(F.count("*") / WIDE).cast("int").alias("_k"))
+    sizes = F.broadcast(sizes) if few else small(stored(sizes, "near-sizes"))
+    d = rows.join(sizes, F.col("by").eqNullSafe(F.col("_by"))).withColumn("_t", F.pmod(F.xxhash64("unit", "key"), F.col("_k")).cast("int"))
+    d = d.withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    d = d.withColumns({"_a": F.least("_t", "_u"), "_b": F.greatest("_t", "_u")}).drop("_by", "_k", "_u")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        a, b = table.column("_a")[0], table.column("_b")[0]
+        own = lambda t: table.filter(pa.compute.equal(table.column("_t"), t))
+        left = own(a)
+        return compare(left, left if a == b else own(b), a == b)
+
+    return d.groupBy("by", "_a", "_b").applyInArrow(run, schema)
+
+
+def _strips(left: pa.Table, right: pa.Table, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Which rows of right are within eps of rows of left, from the row named on."""
+    if len(left) and len(right):
+        x, y = _units(left), _units(right).T
+        for i in range(0, len(x), STRIP):
+            yield i, 1 - np.clip(x[i : i + STRIP] @ y, -1, 1) <= eps
+
+
 def _units(t: pa.Table) -> np.ndarray:
     v = t.column("unit").combine_chunks()
     return _matrix(v, len(v[0])) if len(v) else np.zeros((0, 1))
@@ -165,6 +196,19 @@ def _stars(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
+def _pairs_of_all(rows: DataFrame) -> int:
+    """Pairs of rows of each by, either way round once."""
+    return int(rows.groupBy("by").count().agg(F.coalesce(F.sum(F.col("count").cast("decimal(38,0)") * (F.col("count") + 1) / 2), F.lit(0))).first()[0])
+
+
+def _pairs_in_cells(members: DataFrame, visitors: DataFrame) -> int:
+    """Pairs that members and visitors of cells are compared in."""
+    m = members.groupBy("by", "cell").agg(F.count("*").cast("decimal(19,0)").alias("_m"))
+    v = visitors.groupBy(F.col("by").alias("_by"), F.col("cell").alias("_cell")).agg(F.count("*").cast("decimal(19,0)").alias("_v"))
+    both = m.join(v, F.col("by").eqNullSafe(F.col("_by")) & (F.col("cell") == F.col("_cell")))
+    return int(both.agg(F.coalesce(F.sum(F.col("_m") * F.col("_v")), F.lit(0))).first()[0])
+
+
 def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int, by: str | None = None, pivots: int = PIVOTS) -> DataFrame:
     """by (if given), key and cluster of every row: clusters of points with `least` neighbours within eps
     (themselves included) and of what those reach; noise is -1.
@@ -187,31 +231,56 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int, by: str
     ids = full.select("by", F.col("node").alias("key"), "unit")
     members = cells.members(ids)
     reach = lambda b: np.full(b.num_rows, np.sqrt(2 * eps))
-    visitors = stored(cells.visits(ids, reach), "dbscan-visitors")
-
-    def count(members: pa.Table, visitors: pa.Table) -> pa.Table:
-        near = (1 - np.clip(_units(members) @ _units(visitors).T, -1, 1) <= eps).sum(1)
-        return pa.table({"key": members.column("key"), "n": near.astype(np.int64)})
-
-    slim = members.select("by", "cell", "key", "unit")
-    counts = stored(met(slim, visitors, count, "key long, n long", by is None).groupBy("key").agg(F.sum("n").alias("n")), "dbscan-counts")
+    slim, few = members.select("by", "cell", "key", "unit"), by is None
+    visitors = cells.visits(ids, reach)
+    wide = _pairs_of_all(slim) <= 2 * _pairs_in_cells(slim, visitors)
+    if not wide:
+        visitors = stored(visitors, "dbscan-visitors")
+
+    def count(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        """Neighbours of left in right, and of right in left."""
+        of_left, of_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        for i, near in _strips(left, right, eps):
+            of_left[i : i + len(near)] = near.sum(1)
+            of_right += near.sum(0)
+        if same:
+            return pa.table({"key": left.column("key"), "n": of_left})
+        return pa.table({"key": np.concatenate([left.column("key"), right.column("key")]), "n": np.concatenate([of_left, of_right])})
+
+    def count_members(members: pa.Table, visitors: pa.Table) -> pa.Table:
+        out = count(members, visitors, False)
+        return out.slice(0, len(members))
+
+    each = "key long, n long"
+    found = paired(ids, count, each, few) if wide else met(slim, visitors, count_members, each, few)
+    counts = stored(found.groupBy("key").agg(F.sum("n").alias("n")), "dbscan-counts")
     cores = counts.filter(F.col("n") >= least).select(F.col("key").alias("_core"))
 
-    def join(members: pa.Table, visitors: pa.Table) -> pa.Table:
-        node, core = members.column("key").to_numpy(), members.column("core").to_numpy(zero_copy_only=False)
-        other = visitors.column("key").to_numpy()  # cores alone
-        a, b = np.nonzero(1 - np.clip(_units(members) @ _units(visitors).T, -1, 1) <= eps)
-        every, at = np.unique(np.concatenate([node, other]), return_inverse=True)
-        a_at, b_at = at[: len(node)][a], at[len(node) :][b]
-        inner = core[a]
-        parent = _stars(np.arange(len(every)), a_at[inner], b_at[inner])
-        border = np.unique(np.stack([a_at[~inner], parent[b_at[~inner]]], 1), axis=0)
+    def join(left: pa.Table, right: pa.Table, same: bool = False) -> pa.Table:
+        """Stars of cores, and of either side's other rows a link to each star that they are near."""
+        core, other_core = (t.column("core").to_numpy(zero_copy_only=False) for t in (left, right))
+        every, at = np.unique(np.concatenate([left.column("key"), right.column("key")]).astype(np.int64), return_inverse=True)
+        l_at, r_at = at[: len(left)], at[len(left) :]
+        parent, border = np.arange(len(every)), np.zeros((0, 2), np.int64)
+        for i, near in _strips(left, right, eps):
+            a, b = np.nonzero(near)
+            one, two = core[a + i], other_core[b]
+            a, b = l_at[a + i], r_at[b]
+            parent = _stars(parent, a[one & two], b[one & two])
+            pairs = np.concatenate([np.stack([x[w], parent[y[w]]], 1) for x, y, w in ((a, b, ~one & two), (b, a, one & ~two))])
+            border = np.concatenate([border, np.unique(pairs, axis=0)])
+        border = np.unique(np.stack([border[:, 0], parent[border[:, 1]]], 1), axis=0)
         moved = np.flatnonzero(parent != np.arange(len(every)))
         return pa.table({"u": np.concatenate([every[moved], every[border[:, 0]]]), "v": np.concatenate([every[parent[moved]], every[border[:, 1]]]), "border": np.repeat([False, True], [len(moved), len(border)])})
 
     flagged = slim.join(cores, F.col("key") == F.col("_core"), "left").select("by", "cell", "key", "unit", F.col("_core").isNotNull().alias("core"))
-    only = visitors.join(cores, F.col("key") == F.col("_core"), "left_semi").withColumn("core", F.lit(True))
-    links = stored(met(flagged, only, join, "u long, v long, border boolean", by is None), "dbscan-links")
+    link = "u long, v long, border boolean"
+    if wide:
+        links = paired(flagged.drop("cell"), join, link, few)
+    else:
+        only = visitors.join(cores, F.col("key") == F.col("_core"), "left_semi").withColumn("core", F.lit(True))
+        links = met(flagged, only, lambda members, visitors: join(members, visitors), link, few)
+    links = stored(links, "dbscan-links")
     joined = components(links.filter("NOT border").select("u", "v"))
     root = stored(cores.join(joined, F.col("_core") == F.col("node"), "left").select("_core", F.coalesce("component", "_core").alias("component")), "dbscan-roots")
     named = full.select("by", "key", "node")
