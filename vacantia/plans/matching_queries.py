@@ -100,7 +100,9 @@ def fitted_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, read back and put to every document (learned, so no oracle; tested against SQL over its nodes)."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     words = F.array_remove(F.split("t", r"\s+"), "")
-    d = d.select("doc_id", F.size(words).alias("n_words"), (F.length("t") / F.size(words)).alias("per_word"), (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"), (F.length(F.regexp_replace("t", r"[\p{L}\s]", "")) / F.length("t")).alias("other_share"))
+    share = lambda a, b, name: F.try_divide(a, b).alias(name)  # noqa: E731 - a text without words has no shares: they are missing
+    d = d.select("doc_id", F.size(words).alias("n_words"), share(F.length("t"), F.size(words), "per_word"), share(F.size(F.array_distinct(words)), F.size(words), "distinct_share"), share(F.length(F.regexp_replace("t", r"[\p{L}\s]", "")), F.length("t"), "other_share"))
+    d = stored(d, "text-statistics")  # read by every pass of the fit
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality")
     known = d.join(labels, F.col("doc_id") == F.col("_id"))
     made = forest.fit(known, ["n_words", "per_word", "distinct_share", "other_share"], "quality", threshold=0.5)
