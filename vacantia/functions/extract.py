@@ -77,8 +77,7 @@ def _years_in(s: Column) -> Column:
 def _years_from(text: Column) -> Column:
     """struct<value, evidence> of the first sentence with a value, or null."""
     cue = lambda s: (F.lower(s).contains("year") | F.lower(s).contains("yrs")) & F.lower(s).rlike("|".join(YEARS_CUES))
-    found = F.filter(_pieces(text), cue)
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(collapsed(text)))
+    found = let(F.filter(_pieces(text), cue), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(collapsed(text))))
     made = F.transform(found, lambda s: F.struct(_years_in(s).alias("value"), s.alias("evidence")))
     return F.get(F.filter(made, lambda x: x["value"].isNotNull()), F.lit(0))
 
@@ -109,8 +108,23 @@ def security_clearance(content: Column, requirements: Column) -> Column:
     return let(first, lambda x: F.struct(x["kind"].isNotNull().alias("requires"), x["kind"].alias("kind"), x["evidence"].alias("evidence")))
 
 
+def _any(patterns: list[str]) -> str:
+    """A pattern that finds whichever of patterns, in any case. All begin at a word's edge, which is looked for
+    once: most places in a text have none, and cost one step there, not one for each pattern."""
+    edge = r"\b"
+    assert all(p.startswith(edge) for p in patterns)
+    return rf"(?i){edge}(?:{'|'.join(p.removeprefix(edge) for p in patterns)})"
+
+
+def _bare(line: Column) -> Column:
+    return F.regexp_replace(F.lower(trimmed(line)), r"^:+|:+$", "")
+
+
 def is_heading(line: Column, names: list[str]) -> Column:
-    t = F.regexp_replace(F.lower(trimmed(line)), r"^:+|:+$", "")
+    return _is_heading(_bare(line), names)
+
+
+def _is_heading(t: Column, names: list[str]) -> Column:
     return (F.length(t) <= 80) & trimmed(t).rlike("^(?:" + "|".join(names).replace("'", "(?:'|’)") + ")$")
 
 
@@ -122,12 +136,14 @@ def section_lines(text: Column) -> Column:
 def _section_lines(normal: Column) -> Column:
     lines = F.filter(F.transform(F.split(normal, "\n"), trimmed), lambda s: s != "")
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
-    end = F.aggregate(
-        lines,
-        start,
-        lambda acc, s: F.when(is_heading(s, OPENING), F.struct(F.lit(True).alias("on"), acc["out"].alias("out"))).when(is_heading(s, CLOSING), F.struct(F.lit(False).alias("on"), acc["out"].alias("out"))).otherwise(F.struct(acc["on"].alias("on"), F.when(acc["on"], F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))),
-    )
-    return end["out"]
+    # A line stands beside its bare form, which both tests of a heading read.
+    pairs = F.transform(lines, lambda s: F.struct(s.alias("s"), _bare(s).alias("t")))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = x["s"]
+        return F.when(_is_heading(x["t"], OPENING), F.struct(F.lit(True).alias("on"), acc["out"].alias("out"))).when(_is_heading(x["t"], CLOSING), F.struct(F.lit(False).alias("on"), acc["out"].alias("out"))).otherwise(F.struct(acc["on"].alias("on"), F.when(acc["on"], F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out")))
+
+    return F.aggregate(pairs, start, step)["out"]
 
 
 def units(text: Column) -> Column:
@@ -143,7 +159,7 @@ def _units(normal: Column) -> Column:
 
 
 def is_noise(s: Column) -> Column:
-    return (F.length(s) > 700) | s.rlike("(?i)" + "|".join(NOISE))
+    return (F.length(s) > 700) | s.rlike(_any(NOISE))
 
 
 def requirements(text: Column) -> Column:
@@ -152,7 +168,7 @@ def requirements(text: Column) -> Column:
     clean = lambda s: F.regexp_replace(collapsed(F.regexp_replace(s, r"^\s*(?:[-*•‣▪●]+|\d+[.)])\s*", "")), r"^[ ;]+|[ ;]+$", "")
 
     def found(t: Column) -> Column:
-        cued = F.filter(_units(t), lambda s: s.rlike("(?i)" + "|".join(CUES)) & ~is_noise(s))
+        cued = F.filter(_units(t), lambda s: s.rlike(_any(CUES)) & ~is_noise(s))
         hard = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in HARD]))
         items = F.filter(F.transform(F.concat(_section_lines(t), cued, hard), clean), lambda s: (F.length(s) >= 8) & ~is_noise(s))
         return F.array_join(first_of_each(items, lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", "")), "\n")

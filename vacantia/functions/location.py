@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import COUNTRIES
+from ..session import small, stored
 from .places import US_STATES as US
 
 #: Subdivisions by country: code and name (fixed values of ISO 3166-2).
@@ -170,8 +171,9 @@ def _segments(written: DataFrame, known: DataFrame) -> DataFrame:
 def parse_locations(df: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
     """df with location_country, location_region, location_segments, work_arrangement and location_parse_status.
 
-    Every written form is parsed once: a shuffle by the form serves all steps, and the results are
-    joined with the rows. known is a table of places as `places` gives it. Null and blank forms are
+    Every written form is parsed once: a shuffle by the form serves all steps. The results are stored and
+    joined with the rows: few of them go to every task, so that rows with a frequent form are not dealt to
+    one; many are joined by form, where adaptive execution can split such a partition. known is a table of places as `places` gives it. Null and blank forms are
     'missing'; results of an earlier run are replaced."""
     df = df.drop(*RESULTS).withColumn("_written", F.coalesce(F.col(column), F.lit("")))
     w = F.col("_written")
@@ -189,4 +191,4 @@ def parse_locations(df: DataFrame, column: str, known: DataFrame | None = None)
     segments = F.when(none, F.slice(unknown, 1, 0)).when(F.size("at") == 0, unknown).otherwise(segments)
     values = (F.when(~none, first["country"]), F.when(~none, first["region"]), segments, arrangement(w), status)
     found = found.select("_written", *[v.alias(n) for n, v in zip(RESULTS, values, strict=True)])
-    return df.join(found, "_written").drop("_written")
+    return df.join(small(stored(found, "locations")), "_written").drop("_written")

@@ -202,5 +202,5 @@ def rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = stored(enrich(d, now), "postings")
     made = profiles.refreshed(spark, new_folder(spark, "features"), j, "id", "title_requirements_text", lambda rows: job_vectors(rows), "v1", "hashing", now)
     kept = lambda c: profiles.refreshed(spark, new_folder(spark, "clouds"), c, "id", "title_requirements_text", lambda rows: job_clouds(c.join(rows.select("id"), "id", "left_semi")), "v1", "hashing", now)
-    out = rank(j.join(made.select("id", "title_requirements_vector"), "id"), q, clouds=kept)
+    out = rank(j, q, clouds=kept, made=made)
     return out.select("id", F.round("word_distance", 6).alias("word_distance"), F.round("phrase_distance", 6).alias("phrase_distance"), F.round("cross_score", 6).alias("cross_score"), "is_bad", "final_rank")
