@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vacantia.functions import extract, location
+from vacantia.functions import extract, location, text
 from vacantia.plans import engine, registry
 from vacantia.session import stored
 
@@ -55,3 +55,12 @@ def test_patterns_at_a_word_edge_find_the_same(spark):
     for every in (extract.CUES, extract.NOISE):
         r = d.select(F.col("t").rlike(extract._any(every)).alias("a"), F.col("t").rlike("(?i)" + "|".join(every)).alias("b")).collect()
         assert [x["a"] for x in r] == [x["b"] for x in r] and {True, False} <= {x["a"] for x in r}
+
+
+def test_pieces_are_collapsed_whatever_their_white_space(spark):
+    texts = ["a b. c  d! e", " a", "a ", "a\tb\x0bc", "a  ", "a  b", "x ; y•z", "\n\n", "", None, "one.\n two  three. "]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = F.filter(F.transform(F.split("t", extract._SENTENCE), text.collapsed), lambda s: s != "")
+    content, none = F.col("t"), F.lit(None).cast("string")
+    r = d.select(extract.pieces(content).alias("a"), want.alias("b"), extract.years_of_experience(content, none, want).alias("y"), extract.years_of_experience(content, none).alias("z")).collect()
+    assert [x["a"] for x in r] == [x["b"] for x in r] and [x["y"] for x in r] == [x["z"] for x in r]

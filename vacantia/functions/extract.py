@@ -25,6 +25,8 @@ YEARS = [
     rf"(?i){_N}\s*(?:or\s+more|or\s+more\s+years)\b",
 ]
 _SENTENCE = r"(?<=[.!?])\s+|\n+|\s*[;•]\s*"
+#: What `collapsed` would change.
+_UNTIDY = r"[^\S ]|(?:^|\s)\s|\s$"
 YEARS_CUES = ["experience", "required", "preferred", "minimum", "at least", "requirement", "qualification", "practice", "management", "leadership", "with ", " in "]
 
 #: Clearances, in order (fixed values).
@@ -59,8 +61,10 @@ HARD = [
 ]
 
 
-def _pieces(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, _SENTENCE), collapsed), lambda s: s != "")
+def pieces(text: Column) -> Column:
+    """The sentences of a text, collapsed, none empty."""
+    tidy = lambda s: F.when(s.rlike(_UNTIDY), collapsed(s)).otherwise(s)
+    return F.filter(F.transform(F.split(text, _SENTENCE), tidy), lambda s: s != "")
 
 
 def _years_in(s: Column) -> Column:
@@ -74,20 +78,22 @@ def _years_in(s: Column) -> Column:
     return F.coalesce(*[F.when(s.rlike(r), value(r, k)) for k, r in enumerate(YEARS)])
 
 
-def _years_from(text: Column) -> Column:
-    """struct<value, evidence> of the first sentence with a value, or null."""
+def _years_from(text: Column, sentences: Column) -> Column:
+    """struct<value, evidence> of the first sentence of a text with a value, or null."""
     cue = lambda s: (F.lower(s).contains("year") | F.lower(s).contains("yrs")) & F.lower(s).rlike("|".join(YEARS_CUES))
-    found = let(F.filter(_pieces(text), cue), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(collapsed(text))))
+    found = let(F.filter(sentences, cue), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(collapsed(text))))
     made = F.transform(found, lambda s: F.struct(_years_in(s).alias("value"), s.alias("evidence")))
     return F.get(F.filter(made, lambda x: x["value"].isNotNull()), F.lit(0))
 
 
-def years_of_experience(content: Column, requirements: Column) -> Column:
+def years_of_experience(content: Column, requirements: Column, sentences: Column | None = None) -> Column:
     """struct<raw, min_years, max_years, kind, evidence>: from the content, else the
-    requirements, else any 'N+' in the requirements; all null if there is none."""
+    requirements, else any 'N+' in the requirements; all null if there is none.
+    sentences: the pieces of the content, if they are there already."""
+    sentences = pieces(content) if sentences is None else sentences
     plus = rf"{_N}\s*\+"
-    fallback = F.transform(_pieces(requirements), lambda s: F.struct(F.when(s.rlike(plus), F.concat(F.regexp_extract(s, plus, 1), F.lit("+"))).alias("value"), s.alias("evidence")))
-    best = F.coalesce(_years_from(content), _years_from(requirements), F.get(F.filter(fallback, lambda x: x["value"].isNotNull()), F.lit(0)))
+    fallback = F.transform(pieces(requirements), lambda s: F.struct(F.when(s.rlike(plus), F.concat(F.regexp_extract(s, plus, 1), F.lit("+"))).alias("value"), s.alias("evidence")))
+    best = F.coalesce(_years_from(content, sentences), _years_from(requirements, pieces(requirements)), F.get(F.filter(fallback, lambda x: x["value"].isNotNull()), F.lit(0)))
 
     def described(found: Column) -> Column:
         value, low = found["value"], F.lower(found["evidence"])
@@ -99,10 +105,12 @@ def years_of_experience(content: Column, requirements: Column) -> Column:
     return let(best, described)
 
 
-def security_clearance(content: Column, requirements: Column) -> Column:
-    """struct<requires, kind, evidence> of the first sentence that names a clearance and does not negate it."""
+def security_clearance(content: Column, requirements: Column, sentences: Column | None = None) -> Column:
+    """struct<requires, kind, evidence> of the first sentence that names a clearance and does not negate it.
+    sentences: the pieces of the content, if they are there already."""
+    sentences = pieces(content) if sentences is None else sentences
     kind = lambda s: F.coalesce(*[F.when(s.rlike(r), F.lit(k)) for k, r in CLEARANCES.items()])
-    every = F.concat(F.coalesce(_pieces(content), F.array().cast("array<string>")), F.coalesce(_pieces(requirements), F.array().cast("array<string>")))
+    every = F.concat(F.coalesce(sentences, F.array().cast("array<string>")), F.coalesce(pieces(requirements), F.array().cast("array<string>")))
     made = F.transform(F.filter(every, lambda s: s.rlike(CLEARANCE_CONTEXT) & ~s.rlike(NO_CLEARANCE)), lambda s: F.struct(kind(s).alias("kind"), F.substring(s, 1, 500).alias("evidence")))
     first = F.get(F.filter(made, lambda x: x["kind"].isNotNull()), F.lit(0))
     return let(first, lambda x: F.struct(x["kind"].isNotNull().alias("requires"), x["kind"].alias("kind"), x["evidence"].alias("evidence")))
